@@ -32,6 +32,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def segment_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each segment of ``values``: a scrambled polynomial, as a difference of prefix sums modulo 2**64."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
+    value = (sums[stops] - sums[starts]) * _powers(_INVERSE, n)[starts]
+    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, document)`` of each word: runs of bytes other than ASCII white space, A-Z lower-cased.
 
@@ -47,10 +56,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[1:] &= ~inside[:-1] | edge[1:n]
     end[:-1] &= ~inside[1:] | edge[1:n]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    value = (sums[stops] - sums[starts]) * _powers(_INVERSE, n)[starts]
-    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(offsets, starts, "right") - 1
+    return segment_hashes(_LOWER[data], starts, stops), np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
