@@ -10,12 +10,48 @@ from pyspark.sql import functions as F
 from duskline.session import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from duskline.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.url_filter import fit, judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), fit(spark))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out("doc_id", 5, 0)
+    model = fit(docs.select("doc_id", "text", "lang").where(~apart))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
