@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from duskline.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.language_id import held_out
+    from duskline.llm.toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 4, 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~apart)
+    model = fit(docs.join(labels, "doc_id"))
+    return score_toxicity(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted", "toxic_spans")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +30,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.language_id import held_out
+    from duskline.llm.quality import fit, grade_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 5, 0)
+    # Graded ratings: 0 poor text, 1 good but toxic text, 2 good and clean text.
+    grade = F.expr("case when quality = 0 then 0 when quality = 1 and coalesce(toxic, 0) = 1 then 1 when quality = 1 then 2 end")
+    rated = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")).where(~apart)
+    model = fit(docs.join(rated, "doc_id"))
+    return grade_texts(docs, model).select("doc_id", apart.alias("held_out"), "expected_grade", "p_top", "p_pass", "selected")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.fingerprints import fingerprint_edits
 
