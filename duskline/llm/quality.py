@@ -87,9 +87,11 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - latent[:, None], -60, 60)))
 
 
-def fit(rated: DataFrame, docs_per_grade: int = TRAIN_DOCS, steps: int = 250, ridge: float = 1e-4) -> OrdinalModel | None:
-    """Fit on ``(doc_id, text, grade)``, grades 0, 1, ...; rows without a grade are left out; None without two grades."""
-    sample = hashed_sample(rated.where("grade is not null and doc_id is not null"), "grade", docs_per_grade)
+def fit(docs: DataFrame, ratings: DataFrame, docs_per_grade: int = TRAIN_DOCS, steps: int = 250, ridge: float = 1e-4) -> OrdinalModel | None:
+    """Fit on the texts of ``docs`` (doc_id, text) that ``ratings`` (doc_id, grade 0, 1, ...) rates; rows without a grade are
+    left out; None without two grades. The ratings are sampled first, so that only the sample's texts are moved."""
+    chosen = hashed_sample(ratings.where("grade is not null and doc_id is not null"), "grade", docs_per_grade).select("doc_id", "grade").dropDuplicates(["doc_id"])
+    sample = docs.join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

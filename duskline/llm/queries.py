@@ -17,10 +17,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     apart = held_out("doc_id", 4, 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~apart)
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score_toxicity(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted", "toxic_spans")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duskline.llm.decontaminate import find_contaminated
+
+    return find_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+SQL_op2_decontaminate = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(n.n_item AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_common
+FROM s d JOIN s i ON d.g = i.g AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n_item
+HAVING count(*) * 100 >= n.n_item * 80
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,10 +61,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Graded ratings: 0 poor text, 1 good but toxic text, 2 good and clean text.
     grade = F.expr("case when quality = 0 then 0 when quality = 1 and coalesce(toxic, 0) = 1 then 1 when quality = 1 then 2 end")
     rated = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")).where(~apart)
-    model = fit(docs.join(rated, "doc_id"))
+    model = fit(docs, rated)
     return grade_texts(docs, model).select("doc_id", apart.alias("held_out"), "expected_grade", "p_top", "p_pass", "selected")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from duskline.llm.packing import pack_documents
+    from duskline.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.fingerprints import fingerprint_edits
 

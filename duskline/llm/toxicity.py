@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.llm.arrow_map import append_columns, hashed_sample
+from duskline.session import cut
 
 #: Bounds of the fit.
 TRAIN_DOCS, TRAIN_SEGMENTS, SEGMENT, FEATURES = 4000, 6000, 48, 4000
@@ -135,12 +136,15 @@ def _association(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> tuple[
     return np.where(times > 1, ratio, -ratio), times
 
 
-def fit(labelled: DataFrame, docs_per_label: int = TRAIN_DOCS) -> ToxicField | None:
-    """Fit on ``(doc_id, text, toxic)``; rows with a null are left out; None unless both labels occur."""
-    usable = labelled.where("toxic in (0, 1) and text is not null and doc_id is not null")
-    sample = hashed_sample(usable, "toxic", docs_per_label).select("text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["text"])
+def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) -> ToxicField | None:
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1; rows with a null are left
+    out; None unless both labels occur. The labels are sampled first, so that only the sample's texts are moved."""
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    chosen = hashed_sample(usable, "toxic", docs_per_label).dropDuplicates(["doc_id"])
+    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = cut(sample.dropDuplicates(["text"]).repartition(16))
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    there = {r.toxic: r["count"] for r in usable.groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
+    there = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return None
 
@@ -172,10 +176,10 @@ def fit(labelled: DataFrame, docs_per_label: int = TRAIN_DOCS) -> ToxicField | N
                     rows.append((";".join(ids), "".join("1" if toxic and w in toxic_words else "0" for w in part), any(ids), toxic))
             yield pd.DataFrame(rows, columns=["ids", "labels", "live", "toxic"])
 
-    cut = sample.mapInPandas(segments, "ids string, labels string, live boolean, toxic int")
+    parts = sample.mapInPandas(segments, "ids string, labels string, live boolean, toxic int")
     order = F.xxhash64("ids", "labels")
     half = TRAIN_SEGMENTS // 2
-    rows = [*cut.where("live").orderBy(order).limit(half).collect(), *cut.where("not live").orderBy(order).limit(half).collect()]
+    rows = [*parts.where("live").orderBy(order).limit(half).collect(), *parts.where("not live").orderBy(order).limit(half).collect()]
     weight = np.array([there[r.toxic] / sizes[r.toxic] for r in rows])
     chain = _fit_chain([r.ids.split(";") for r in rows], [r.labels for r in rows], weight, list(kept))
 
