@@ -19,20 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the cluster's checkpoint folder; a temporary one only if none is set anywhere."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only if none is set anywhere."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if not shared:
         if not _TEST_DIR:
             _TEST_DIR.append(tempfile.mkdtemp(prefix="duskline-checkpoint-"))
         shared = _TEST_DIR[0]
     context.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
