@@ -57,7 +57,7 @@ def filter_by_ids(df: DataFrame, ids: DataFrame, column: str, keep: bool, limit:
     """Rows of ``df`` whose ``column`` is in ``ids`` (or is not). ``ids`` is broadcast only if counted under ``limit``."""
     ids = cut(ids.select(F.col(ids.columns[0]).alias(column)).distinct())
     few = ids.count() <= limit
-    return df.join(F.broadcast(ids) if few else ids, column, "left_semi" if keep else "left_anti")
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi" if keep else "left_anti").select(df.columns)
 
 
 def hashed_sample(df: DataFrame, by: str, rows: int, seed: int = 7) -> DataFrame:
