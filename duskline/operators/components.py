@@ -1,7 +1,7 @@
 """Connected components of an edge table by repeated contraction.
 
-Each round hooks every node onto the neighbour of least random priority, jumps one pointer and contracts the edges.
-The number of live edges falls by a constant factor a round in expectation, whatever the shape of the graph, so the
+Each round hooks every node onto the node of least random priority within two steps of it and contracts the edges. Stars
+and cliques vanish in one round; other graphs lose a constant factor of their edges a round in expectation, so the
 driver's loop runs O(log n) times and sees only a count. Edges are aggregated with partial aggregation, so a hub node
 costs no more than its share of the rows.
 """
@@ -20,10 +20,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Nulls: an edge with a null end is ignored. Self loops give their node a component of its own. Repeated edges count
     once. An empty edge table gives an empty result. Nodes without an edge are not listed (they are their own component).
     """
-    live = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
-    nodes = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
-    live = cut(live.where("a <> b"))
+    known = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
+    nodes = known.select(F.col("a").alias("node")).union(known.select("b")).distinct()
+    labels = nodes.select("node", F.col("node").alias("label"))
+    live = known.where("a <> b")
     rounds = 0
     while not live.isEmpty():
         rounds += 1
@@ -31,12 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             raise RuntimeError("connected components did not settle")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)).alias("h"), F.col(c).alias("v"))
         both = live.union(live.select("b", "a"))
-        hook = (
-            both.groupBy(F.col("a").alias("v")).agg(F.min(rank("b")).alias("m"))
-            .select("v", F.least(F.col("m"), rank("v")).getField("v").alias("to"))
-        )
-        jump = hook.select(F.col("v").alias("to"), F.col("to").alias("to2"))
-        hook = cut(hook.join(jump, "to", "left").select("v", F.coalesce("to2", "to").alias("to")))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", rank("a")).alias("m"))
+        hook = cut(both.join(near, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("v"), F.col("m.v").alias("to")))
         ends = lambda col: hook.select(F.col("v").alias(col), F.col("to").alias(f"{col}2"))
         live = cut(live.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
         labels = cut(labels.join(hook.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
