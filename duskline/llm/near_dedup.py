@@ -33,7 +33,7 @@ from duskline.operators.components import connected_components
 from duskline.session import cut
 
 #: Members above which a bucket is compared in blocks, and the members of a block.
-SMALL_BUCKET, BLOCK = 24, 256
+SMALL_BUCKET, BLOCK = 24, 512
 _UNSET = np.uint32(0xFFFFFFFF)
 
 
@@ -197,9 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", F.negative("node").alias("order"), "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
     alike = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
     star = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")).join(pivots, "bucket").where("a <> b").where(alike).select("a", "b").distinct()
-    links = cut(_confirmed(star, sets, num, den))
-
-    joined = connected_components(links, "a", "b")
+    links = _confirmed(star, sets, num, den)
+    joined = cut(connected_components(links, "a", "b"))
     placed = members.join(joined.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     split = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("major"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("minors")).where("comps > 1").drop("comps")
@@ -217,10 +216,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     dealt = large.where("minor").select("bucket", "node", "comp", F.lit(0).alias("side"), own("minors").alias("i"), all_of("members").alias("j"))
     dealt = dealt.unionByName(large.select("bucket", "node", "comp", F.lit(1).alias("side"), all_of("minors").alias("i"), own("members").alias("j")))
-    ends = links.select("a", "b").schema
+    ends = pairs.schema
     blocked = dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(lambda g: _block_links(g, num, den), ends)
 
-    final = connected_components(links.select("a", "b").unionByName(more).unionByName(blocked), "a", "b").withColumnRenamed("component", "component_id")
+    # What the second comparison found is contracted to the components of the first before it is joined up.
+    late = more.unionByName(blocked).join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    late = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
+    early = joined.select("node", F.col("component").alias("first")).unionByName(late.join(joined, "node", "left_anti").select("node", F.col("node").alias("first")))
+    final = early.join(late.select(F.col("node").alias("first"), F.col("component").alias("then")), "first", "left").select("node", F.coalesce("then", "first").alias("component_id"))
     known = classes.select(F.col("n").alias("n_"), F.col("s1").alias("s1_"), F.col("s2").alias("s2_"), "node")
     placed = known.join(final, "node", "left").select("n_", "s1_", "s2_", F.coalesce("component_id", "node").alias("component_id"))
     out = sketch.select("doc_id", "n", "s1", "s2").join(placed, (F.col("n") == F.col("n_")) & (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")), "left")
