@@ -27,7 +27,7 @@ LEAST_LANGUAGE_SHARE = 0.5
 def _with_own_names(docs: DataFrame, step, names: tuple[str, ...]) -> DataFrame:
     """``step`` on ``docs`` with columns that clash with the step's new ones set aside and put back."""
     aside = {c: f"_aside_{c}" for c in docs.columns if c.lower() in names}
-    return step(docs.withColumnsRenamed(aside)).withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns) if aside else step(docs).select(docs.columns)
+    return step(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
