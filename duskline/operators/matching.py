@@ -58,7 +58,11 @@ def greedy_match(candidates: DataFrame, reuse: bool = False) -> DataFrame:
         rounds += 1
         best = live.groupBy("treatment").agg(F.min(F.struct("pref", "site")).getField("site").alias("site"))
         picks = live.join(best, ["treatment", "site"])
-        blocked = picks.alias("p").join(live.alias("e"), F.expr(f"{clash('p', 'e')} and e.ord < p.ord"), "left_semi").select("treatment")
+        if reuse:
+            blocked = picks.alias("p").join(live.alias("e"), F.expr(f"{clash('p', 'e')} and e.ord < p.ord"), "left_semi").select("treatment")
+        else:  # without windows the earliest claim on a site decides, which is one row a site
+            first = live.groupBy("site").agg(F.min("ord").alias("_first"))
+            blocked = picks.join(first, "site").where("ord > _first").select("treatment")
         final = cut(picks.join(blocked, "treatment", "left_anti").select("treatment", "site", "w_start", "w_end"))
         taken = final.select("treatment", "site", F.lit(rounds).alias("rounds"))
         done = taken if done is None else done.unionByName(taken)
