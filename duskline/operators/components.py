@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             raise RuntimeError("connected components did not settle")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)).alias("h"), F.col(c).alias("v"))
         both = live.union(live.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", rank("a")).alias("m"))
+        # Kept apart, so that both sides of the next join are plain exchanges and a hub's rows can be split among tasks.
+        near = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", rank("a")).alias("m")))
         hook = cut(both.join(near, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("v"), F.col("m.v").alias("to")))
         ends = lambda col: hook.select(F.col("v").alias(col), F.col("to").alias(f"{col}2"))
         live = cut(live.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
