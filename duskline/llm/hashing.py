@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 19), base, np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps)
     return have[:n]

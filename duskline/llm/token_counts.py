@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from duskline.llm.arrow_map import append_columns
 from duskline.llm.hashing import segment_hashes
 
-#: Distinct words a worker remembers; when there are more it starts afresh. It bounds memory, not results.
-MEMORY = 1_200_000
+#: Distinct words a worker remembers, at ten bytes each; when there are more it starts afresh. It bounds memory, not results.
+MEMORY = 2_000_000
 #: The published pattern of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
 #: Characters of texts handled at once.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -48,55 +48,54 @@ class MergeCounter:
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("only byte-level BPE without normaliser and prefix space is counted")
         vocab = model["vocab"]
-        self.byte_id = [vocab[s] for s in byte_symbols()]
-        self.rank: dict[int, int] = {}  # two symbols' ids packed -> rank of their merge
-        self.merged: list[int] = []  # rank -> id of the merged symbol
+        byte_id = [vocab[s] for s in byte_symbols()]
+        self.rank: dict[int, dict[int, int]] = {}  # left symbol -> right symbol -> rank of their merge
+        self.merged: list[int] = []  # rank -> merged symbol
         for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.rank.setdefault(vocab[a] << 32 | vocab[b], len(self.merged))
+            self.rank.setdefault(vocab[a], {}).setdefault(vocab[b], len(self.merged))
             self.merged.append(vocab[a + b])
+        self.byte_id = byte_id
+        # Rank of each two bytes' merge, -1 if there is none.
+        self.pair_rank = [self.rank.get(x, {}).get(y, -1) for x in byte_id for y in byte_id]
         special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.kinds = _kinds()
-        self.memory: dict[int, int] = {}
+        self.known, self.known_tokens = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their counts
 
     def word(self, word: str) -> int:
         """Tokens of one word."""
-        byte_id, rank = self.byte_id, self.rank.get
-        symbol = [byte_id[b] for b in word.encode()]
-        n = left = len(symbol)
+        raw = word.encode()
+        n = left = len(raw)
         if n == 1:
             return 1
         bits = n.bit_length()
-        mask = (1 << bits) - 1
-        heap = []
-        a = symbol[0]
-        for i in range(1, n):
-            b = symbol[i]
-            if (r := rank(a << 32 | b)) is not None:
-                heap.append(r << bits | i - 1)
-            a = b
+        pair_rank = self.pair_rank
+        heap = [r << bits | i for i in range(n - 1) if (r := pair_rank[raw[i] << 8 | raw[i + 1]]) >= 0]
         if not heap:
             return n
         heapify(heap)
-        merged = self.merged
+        mask = (1 << bits) - 1
+        rank, merged, byte_id = self.rank, self.merged, self.byte_id
+        symbol = [byte_id[b] for b in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             i = top & mask
             j = after[i]
-            if j >= n or rank(symbol[i] << 32 | symbol[j]) != top >> bits:
+            r = top >> bits
+            if j >= n or symbol[i] not in rank or rank[symbol[i]].get(symbol[j]) != r:
                 continue  # one of the two has been merged since
-            symbol[i] = s = merged[top >> bits]
+            symbol[i] = s = merged[r]
             symbol[j] = -1
             after[i] = k = after[j]
             after[j] = n
             left -= 1
             if k < n:
                 before[k] = i
-                if (r := rank(s << 32 | symbol[k])) is not None:
+                if s in rank and (r := rank[s].get(symbol[k])) is not None:
                     heappush(heap, r << bits | i)
-            if (h := before[i]) >= 0 and (r := rank(symbol[h] << 32 | s)) is not None:
+            if (h := before[i]) >= 0 and (t := symbol[h]) in rank and (r := rank[t].get(s)) is not None:
                 heappush(heap, r << bits | h)
         return left
 
@@ -141,14 +140,20 @@ class MergeCounter:
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], n)
         distinct, first, back = np.unique(segment_hashes(codes, starts, stops), return_index=True, return_inverse=True)
-        memory = self.memory
-        if len(memory) > MEMORY:
-            memory.clear()
-        tokens = list(map(memory.get, keys := distinct.tolist()))
-        for i in [i for i, t in enumerate(tokens) if t is None]:
-            at = first[i]
-            tokens[i] = memory[keys[i]] = self.word(whole[starts[at] : stops[at]])
-        return np.add.reduceat(np.array(tokens, np.int64)[back], np.searchsorted(starts, offsets[:-1]))
+        if len(self.known) > MEMORY:
+            self.known, self.known_tokens = self.known[:0], self.known_tokens[:0]
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        tokens = np.zeros(len(distinct), np.int32)
+        tokens[~new] = self.known_tokens[at[~new]]
+        if new.any():
+            word, spans = self.word, zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
+            tokens[new] = [word(whole[a:b]) for a, b in spans]
+            self.known = np.insert(self.known, at[new], distinct[new])
+            self.known_tokens = np.insert(self.known_tokens, at[new], tokens[new])
+        return np.add.reduceat(tokens[back].astype(np.int64), np.searchsorted(starts, offsets[:-1]))
 
 
 def _kinds() -> np.ndarray:
@@ -172,7 +177,7 @@ def load(path: str) -> MergeCounter:
     return _LOADED[path]
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 512, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
     ``vocabulary`` is the path of a ``tokenizers`` file that every executor has. Null and empty texts have 0 bytes and
@@ -186,4 +191,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
         tokens = counter.count_all([t or "" for t in texts])
         return [pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
 
-    return append_columns(docs, fields, compute)
+    return append_columns(docs, fields, compute, without)
