@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,24 @@ from duskline.session import cut
 
 #: Ids that may be broadcast: 1,000,000 longs stay under 32 MB as a hash table. Beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows in a batch of texts for a Python worker, which bounds what worker and executor hold off the heap.
+STEP_ROWS = 1000
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``df`` with ``fields`` computed batch by batch; a column of ``df`` with the same name (any case) is replaced."""
-    taken = {f.name.lower() for f in fields}
+def bound_batches(spark: SparkSession, rows: int = STEP_ROWS) -> None:
+    """Hand texts to Python workers in batches of at most ``rows`` rows; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``fields`` computed batch by batch; a column of ``df`` with the same name (any case) is replaced.
+
+    Columns named in ``without`` are computed on but do not come back from the Python workers.
+    """
+    bound_batches(df.sparkSession)
+    taken = {n.lower() for n in [*without, *(f.name for f in fields)]}
     kept = [c for c in df.columns if c.lower() not in taken]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     names = schema.names
@@ -32,7 +45,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable
     return df.mapInArrow(run, schema)
 
 
-def byte_slices(texts: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(texts: pa.Array, max_bytes: int = 1 << 19, max_rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, bytes, offsets)`` of consecutive rows; a null text counts as empty.
 
     A slice holds at most ``max_rows`` rows and ``max_bytes`` bytes, or one row where a single text is longer. Offsets

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskline.llm.arrow_map import append_columns
+from duskline.llm.arrow_map import append_columns, bound_batches
 from duskline.session import cut
 
 PERIOD, SLOTS = 4096, 128
@@ -107,14 +107,14 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (same - CHANCE) / (1 - CHANCE))
 
 
-def add_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def add_fingerprints(docs: DataFrame, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``fingerprint`` of every whole text; a null text counts as empty. Extra columns stay."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         return [pa.array([fingerprint(t or "") for t in texts], pa.string())]
 
-    return append_columns(docs, [T.StructField("fingerprint", T.StringType())], compute)
+    return append_columns(docs, [T.StructField("fingerprint", T.StringType())], compute, without)
 
 
 def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int = 16, width: int = 6, least: float = 0.6, seed: int = 5) -> DataFrame:
@@ -169,6 +169,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     as empty. Rows of equal id follow each other by text; null ids come first. A table of one row has itself as next
     document. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     near = _with_neighbours(docs, range_rows)
     spread = near.repartition("part").sortWithinPartitions("part", "guest", "key", "text")

@@ -59,16 +59,14 @@ def _windows(symbols: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
 class ByteContexts:
     """Frozen statistics of all languages as lookup tables."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        grams = np.array([g for _, g, _ in counts], np.int64)
+    def __init__(self, lang: np.ndarray, grams: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS):
+        names, lang = np.unique(lang.astype(str), return_inverse=True)
+        self.langs = names.tolist()
         seen = np.unique(grams & 255)
         self.symbol = np.zeros(256, np.uint32)  # 0: never seen, and the start of a text
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         size = len(seen) + 1
         codes = np.stack([self.symbol[grams >> 8 * back & 255].astype(np.int64) for back in range(ORDER, -1, -1)], 1)
-        n = np.array([c for _, _, c in counts], np.int64)
-        lang = np.searchsorted(self.langs, [name for name, _, _ in counts])
 
         keep = [np.zeros(1, np.int64)]  # contexts of each order as numbers in base ``size``
         for order in range(1, ORDER + 1):
@@ -137,14 +135,15 @@ def _number(codes: np.ndarray, size: int) -> np.ndarray:
 def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, max_contexts: int = MAX_CONTEXTS) -> ByteContexts | None:
     """Fit on the non-null ``lang`` of ``(doc_id, text, lang)``; None if there is no labelled text."""
     sample = hashed_sample(labelled.where("lang is not null and text is not null and doc_id is not null"), "lang", docs_per_lang)
-    counts = [(r.lang, r.gram, r.n) for r in _grams(sample).collect()]  # bounded by the sample
-    model = ByteContexts(counts, max_contexts) if counts else None
-    if model:
-        model.table = np.asfortranarray(model.table)
+    counts = _grams(sample).toArrow()  # bounded by the sample
+    if not counts.num_rows:
+        return None
+    model = ByteContexts(counts["lang"].to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy(), max_contexts)
+    model.table = np.asfortranarray(model.table)
     return model
 
 
-def identify(docs: DataFrame, model: ByteContexts | None, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: ByteContexts | None, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``bits_per_byte``.
 
     ``lang_pred`` is the language of least code length (ties: the first by name), ``score`` its share of probability
@@ -171,7 +170,7 @@ def identify(docs: DataFrame, model: ByteContexts | None, text_col: str = "text"
         return [pa.array(lang, pa.string()), pa.array(score), pa.array(rate)]
 
     marked = docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return append_columns(marked, fields, compute).drop(letter)
+    return append_columns(marked, fields, compute, (letter, *without))
 
 
 def held_out(id_col: str, parts: int, part: int):

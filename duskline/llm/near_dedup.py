@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskline.llm.arrow_map import byte_slices, filter_by_ids
+from duskline.llm.arrow_map import bound_batches, byte_slices, filter_by_ids
 from duskline.llm.hashing import mix, shingle_sets
 from duskline.operators.components import connected_components
 from duskline.session import cut
@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if bands * rows > 128:
         raise ValueError("bands * rows must be at most 128")
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(_sketch(docs, k, bands, rows))
     usable = sketch.where("n > 0 and doc_id is not null")

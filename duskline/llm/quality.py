@@ -143,7 +143,7 @@ def fit(docs: DataFrame, ratings: DataFrame, docs_per_grade: int = TRAIN_DOCS, s
 _SCALE = 20.0
 
 
-def grade_texts(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def grade_texts(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", least: float = 0.5, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``expected_grade``, ``p_top`` (P of the highest grade), ``p_pass`` (P of grade 1 or more) and ``selected``
     (``p_pass >= least``; ties are selected).
 
@@ -165,4 +165,4 @@ def grade_texts(docs: DataFrame, model: OrdinalModel | None, text_col: str = "te
                 out[first:last] = np.stack((tails.sum(1), tails[:, -1], tails[:, 0]), 1)
         return [pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2]), pa.array((out[:, 2] >= least) & some & (model is not None))]
 
-    return append_columns(docs, fields, compute)
+    return append_columns(docs, fields, compute, without)

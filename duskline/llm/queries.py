@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = held_out("doc_id", 4, 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~apart)
     model = fit(docs, labels)
-    return score_toxicity(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted", "toxic_spans")
+    return score_toxicity(docs, model, without=("text",)).select("doc_id", apart.alias("held_out"), "score", "predicted", "toxic_spans")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.token_counts import count_tokens
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), without=("text",)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.expr("case when quality = 0 then 0 when quality = 1 and coalesce(toxic, 0) = 1 then 1 when quality = 1 then 2 end")
     rated = table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")).where(~apart)
     model = fit(docs, rated)
-    return grade_texts(docs, model).select("doc_id", apart.alias("held_out"), "expected_grade", "p_top", "p_pass", "selected")
+    return grade_texts(docs, model, without=("text",)).select("doc_id", apart.alias("held_out"), "expected_grade", "p_top", "p_pass", "selected")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.token_counts import count_tokens
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack_documents(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return pack_documents(count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), without=("text",)))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     apart = held_out("doc_id", 5, 0)
     model = fit(docs.select("doc_id", "text", "lang").where(~apart))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return identify(docs.select("doc_id", "text"), model, without=("text",)).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duskline.llm.secret_scan import scan_secrets
 
-    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -105,7 +105,7 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256`` and ``spans`` (``kind:start:end``, code points, end
     exclusive); with ``redacted`` also the text with its spans masked, in place.
 
@@ -127,5 +127,5 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False
             columns.append(pa.array([redact(t, found) if found else t for t, found in zip(texts, spans, strict=True)], pa.string()))
         return columns
 
-    out = append_columns(docs, fields, compute)
+    out = append_columns(docs, fields, compute, without)
     return out.withColumn(text_col, out["_redacted_"]).drop("_redacted_") if redacted else out

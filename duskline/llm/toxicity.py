@@ -252,7 +252,7 @@ def _fit_chain(ids: list[list[str]], labels: list[str], weight: np.ndarray, name
     return ToxicField(float(theta[k]), weights, np.array([[0.0, theta[k + 1]], [theta[k + 2], theta[k + 3]]]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicField | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicField | None, text_col: str = "text", threshold: float = 0.3, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` (1 if score >= ``threshold``) and ``toxic_spans`` (``start:end`` in code points).
 
     Null, empty and letterless texts and any text without a model: score 0, no spans. Whole texts are scored. Extra
@@ -269,4 +269,4 @@ def score_toxicity(docs: DataFrame, model: ToxicField | None, text_col: str = "t
         spans = [",".join(f"{a}:{b}" for a, b in x) for _, x in found]
         return [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(spans, pa.string())]
 
-    return append_columns(docs, fields, compute)
+    return append_columns(docs, fields, compute, without)
