@@ -65,7 +65,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of documents in training sequences."""
     import public_tokenizers
 
-    return pack_documents(count_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")))
+    return pack_documents(count_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), without=("text",)))
 
 
 STAGES = [
