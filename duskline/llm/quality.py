@@ -31,13 +31,18 @@ _KIND[65:91] = 2
 _KIND[48:58] = 3
 
 
-def _buckets(data: np.ndarray) -> np.ndarray:
-    """Hash bucket of the trigram that starts at each byte (the last two of the array wrap to what is there)."""
+def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash bucket of the trigram that starts at each byte, whether it ends inside its own text, and the number of such
+    trigrams of each text (none in texts of less than three bytes)."""
     x = data.astype(np.uint32)
     gram = x.copy()
     gram[:-1] |= x[1:] << np.uint32(8)
     gram[:-2] |= x[2:] << np.uint32(16)
-    return ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12)).astype(np.int32)
+    inside = np.ones(len(data), bool)
+    size = np.diff(offsets)
+    for back in (1, 2):
+        inside[offsets[1:][size >= back] - back] = False
+    return ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 12)).astype(np.int32), inside, np.maximum(size - 2, 0)
 
 
 def _surface(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,7 +65,7 @@ def _surface(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     key = np.sort((words >> np.uint64(12)) | doc.astype(np.uint64) << np.uint64(52))
     first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     distinct = np.bincount((key[first] >> np.uint64(52)).astype(np.int64), minlength=n)
-    out[:, 5] = 1 - distinct / np.maximum(np.sqrt(count * np.minimum(count, 400.0)), distinct)
+    out[full, 5] = (1 - distinct / np.maximum(np.sqrt(count * np.minimum(count, 400.0)), distinct))[full]
     out[full, 6] = np.log1p(size[full]) / 12
     out[full, 7] = 1
     return out * 4
@@ -75,11 +80,11 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def latent(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = _surface(data, offsets) @ self.surface
-        size = np.diff(offsets)
-        full = np.flatnonzero(size > 0)
+        out = (_surface(data, offsets) * self.surface).sum(1)  # row by row, so that no sum depends on the slice
+        full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
-            out[full] += np.add.reduceat(self.buckets[_buckets(data)], offsets[full]) / size[full]
+            bucket, inside, count = _trigrams(data, offsets)
+            out[full] += np.add.reduceat(np.where(inside, self.buckets[bucket], np.float32(0)), offsets[full]) / np.maximum(count[full], 1)
         return out
 
     def tails(self, latent: np.ndarray) -> np.ndarray:
@@ -97,16 +102,18 @@ def fit(docs: DataFrame, ratings: DataFrame, docs_per_grade: int = TRAIN_DOCS, s
         for batch in batches:
             for first, last, data, offsets in byte_slices(batch.column(1)):
                 n = last - first
-                doc = np.repeat(np.arange(n), np.diff(offsets))
-                key, count = np.unique(doc * BUCKETS + _buckets(data), return_counts=True) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                bucket, inside, size = _trigrams(data, offsets)
+                doc = np.repeat(np.arange(n), size)
+                key, count = np.unique(doc * BUCKETS + bucket[inside], return_counts=True)
                 cuts = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
-                size = np.maximum(np.diff(offsets), 1)
+                size = np.maximum(size, 1)
                 at = [(key[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 share = [(count[a:b] / size[i]).astype(np.float32).tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
                 surface = [row.tobytes() for row in _surface(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(at, pa.binary()), pa.array(share, pa.binary()), pa.array(surface, pa.binary())], names=["grade", "at", "share", "surface"])
 
     rows = sample.select(F.col("grade").cast("int"), "text").mapInArrow(features, "grade int, at binary, share binary, surface binary").collect()  # bounded by the sample
+    rows.sort(key=lambda r: (r.grade, r["at"], r.share, r.surface))  # sums do not follow the partitioning
     grade = np.array([r.grade for r in rows], int)
     if len(set(grade.tolist())) < 2:
         return None

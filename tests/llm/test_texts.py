@@ -166,6 +166,26 @@ def test_quality_held_out_and_rows(spark, odd, none, odd_rows):
     assert quality.grade_texts(none, model).count() == 0 and quality.fit(none.select("doc_id", "text"), ratings.limit(0)) is None
 
 
+def test_quality_score_is_of_the_text_alone():
+    import numpy as np
+
+    rng = random.Random(3)
+    weights = np.random.default_rng(4)
+    model = quality.OrdinalModel(weights.normal(size=quality.BUCKETS).astype(np.float32), weights.normal(size=quality.SURFACE), np.array([0.0, 1.0]))
+    texts = [t.encode() for t in ("", "a", "ab", "abc", "é", prose(rng, 50), "", "ab", prose(rng, 300), "abcd", "a", "")]
+
+    def latent(batch):
+        return model.latent(np.frombuffer(b"".join(batch), np.uint8), np.cumsum([0, *map(len, batch)])).tolist()
+
+    alone = [latent([t])[0] for t in texts]
+    assert latent(texts) == alone and latent(texts[::-1]) == alone[::-1]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bucket, inside, count = quality._trigrams(data, np.cumsum([0, *map(len, texts)]))
+    assert count.tolist() == [max(len(t) - 2, 0) for t in texts] and inside.sum() == count.sum()
+    whole = [t[i : i + 3] for t in texts for i in range(len(t) - 2)]
+    assert bucket[inside].tolist() == [quality._trigrams(np.frombuffer(g, np.uint8), np.array([0, 3]))[0][0] for g in whole]
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
     from math import exp, log
