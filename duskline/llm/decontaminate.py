@@ -8,8 +8,10 @@ miss all of its sketch, so looking up every shingle of a document among the sket
 of lengths. Each candidate is confirmed on the full sets.
 
 Everything is DataFrame expressions: hashes of a document are an array, exploded and joined to the sketches, whose
-number is counted. The index is broadcast in slices of at most ``MAX_BROADCAST_ROWS`` sketch rows, one pass each, so it
-has a size bound whatever the size of the benchmark, and documents are not shuffled.
+number is counted. Sketches and full sets of the items are tables of one shingle a row, linear in the items' length.
+They are broadcast in slices of at most ``MAX_BROADCAST_ROWS`` rows, one pass each, by a hash of item and shingle, so a
+slice has a size bound whatever the size of the benchmark or of one item. Documents are not shuffled; to confirm, only
+the shingles of candidate documents are, by document and shingle.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from duskline.llm.arrow_map import filter_by_ids
 from duskline.session import cut
 
-#: Rows of an index slice: at about 1 kB with the item's set, 200 MB at most.
+#: Rows of a broadcast slice: an item's key and one number, about 100 bytes, so some 20 MB.
 MAX_BROADCAST_ROWS = 200_000
 #: Words: runs of letters and digits, lower-cased.
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
@@ -38,14 +40,21 @@ def shingle_hashes(text: Column, k: int) -> Column:
 
 
 def _index(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(item_id, n_item, item_hashes, h, part)``: one row per sketch shingle; ``part`` is the size partition."""
-    sets = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), k))).alias("item_hashes"))
-    sets = sets.where(F.size("item_hashes") > 0).withColumn("n_item", F.size("item_hashes"))
-    part = F.ceil(F.log2(F.col("n_item").cast("double"))).cast("int")
-    largest = F.pow(F.lit(2), part).cast("int")
+    """``(item, n_item, h, sketched)``: one row per shingle of each item row, keyed by id and text; ``sketched``: in the
+    item's sketch, which depends on its size partition."""
+    text = F.col("text")
+    sets = items.select(F.struct("item_id", F.xxhash64(text).alias("text")).alias("item"), F.array_distinct(shingle_hashes(text, k)).alias("hashes"))
+    sets = sets.where(F.size("hashes") > 0).withColumn("n_item", F.size("hashes"))
+    largest = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_item").cast("double")))).cast("int")
     sketch = F.floor(largest * (den - num) / den).cast("int") + 1
-    least = F.slice(F.array_sort(F.transform("item_hashes", lambda h: F.struct(F.xxhash64(h).alias("rank"), h.alias("h")))), F.lit(1), sketch)
-    return sets.select("item_id", "n_item", "item_hashes", part.alias("part"), F.explode(least).alias("s")).select("item_id", "n_item", "item_hashes", "part", F.col("s.h").alias("h"))
+    ranked = F.array_sort(F.transform("hashes", lambda h: F.struct(F.xxhash64(h).alias("rank"), h.alias("h"))))
+    return sets.select("item", "n_item", sketch.alias("sketch"), F.posexplode(ranked).alias("at", "s")).select("item", "n_item", F.col("s.h").alias("h"), (F.col("at") < F.col("sketch")).alias("sketched"))
+
+
+def _slices(rows: DataFrame, max_rows: int) -> list[DataFrame]:
+    """``rows`` (item, h, ...) in as many parts as keep each at about ``max_rows`` rows, one item's rows apart too."""
+    n = max(1, -(-rows.count() // max_rows))
+    return [rows.where(F.pmod(F.xxhash64("item", "h"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -56,16 +65,17 @@ def find_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, num: int =
     document can hold. Repeated rows give repeated matches once each per (doc_id, item_id). Null ids are kept as ids.
     Empty tables give an empty result.
     """
-    index = cut(_index(items.select("item_id", "text"), k, num, den))
-    slices = max(1, -(-index.count() // max_rows))
-    hashed = docs.select("doc_id", shingle_hashes(F.col("text"), k).alias("hashes"))
-    found = []
-    for i in range(slices):
-        part = index.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i) if slices > 1 else index
-        looked_up = hashed.select("doc_id", "hashes", F.explode_outer("hashes").alias("h")).join(F.broadcast(part), "h")
-        common = F.size(F.array_intersect("item_hashes", "hashes"))
-        found.append(looked_up.select("doc_id", "item_id", "n_item", common.alias("n_common")).where(F.col("n_common") * den >= F.col("n_item") * num))
-    return reduce(DataFrame.unionAll, found).distinct()
+    index = cut(_index(items.select("item_id", "text"), k, num, den).distinct())
+    hashed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc"), shingle_hashes(F.col("text"), k).alias("hashes"))
+    looked_up = hashed.select("doc", F.explode_outer("hashes").alias("h"))
+    sketches = _slices(index.where("sketched").select("item", "h"), max_rows)
+    pairs = cut(reduce(DataFrame.unionAll, [looked_up.join(F.broadcast(part), "h").select("doc", "item") for part in sketches]).distinct())
+    # Candidates meet the items' shingles in broadcast slices, so that an item of many documents is no hot key.
+    wanted = reduce(DataFrame.unionAll, [pairs.join(F.broadcast(part), "item") for part in _slices(index.drop("sketched"), max_rows)])
+    held = filter_by_ids(hashed, pairs.select("doc"), "doc", keep=True).select("doc", F.explode(F.array_distinct("hashes")).alias("h")).distinct()
+    common = wanted.join(held, ["doc", "h"]).groupBy("doc", "item", "n_item").agg(F.count("*").cast("int").alias("n_common"))
+    found = common.where(F.col("n_common") * den >= F.col("n_item") * num)
+    return found.select(F.col("doc.doc_id").alias("doc_id"), F.col("item.item_id").alias("item_id"), "n_item", "n_common").distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:

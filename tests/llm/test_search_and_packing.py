@@ -47,6 +47,23 @@ def test_contamination_equals_brute_force(spark, odd, none, odd_rows):
     assert find_contaminated(none, bench).count() == 0 and find_contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items_are_found_in_bounded_slices(spark, monkeypatch):
+    from duskline.llm import decontaminate
+
+    rng = random.Random(12)
+    long, other = prose(rng, 30_000), prose(rng, 40)
+    bench = spark.createDataFrame([(1, long), (2, other), (2, "another text of the same id here"), (None, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "start " + long + " end"), (7, other), (None, long), (8, long[: len(long) // 2])], "doc_id long, text string")
+    sent = []
+    broadcast = decontaminate.F.broadcast
+    monkeypatch.setattr(decontaminate.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    got = find_contaminated(docs, bench, max_rows=5000)
+    n, m = len(shingles(long)), len(shingles(other))
+    assert {tuple(r) for r in got.collect()} == {(7, 1, n, n), (None, 1, n, n), (7, 2, m, m), (7, None, m, m)}
+    index = [df for df in sent if "h" in df.columns]  # what carries shingles: flat rows, one item's in several slices
+    assert len(index) > 6 and all(df.count() < 6000 and not any(t.startswith("array") for _, t in df.dtypes) for df in index)
+
+
 def test_url_rules_and_parts(spark):
     urls = [None, "", "no scheme/en/", "http://Example.NET/en/a?x#y", "https://a.b.example.net/en", "ftp://net", "http://notnet/x", "x://example.com/de/1", "x://example.com?/de/", "a://ORG/fr/", "a://b://c.org/fr/x", "http://h/" + "p" * 50_000, "http://x.net/en/", "http://x.net/en/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").selectExpr("*", "'clash' as host")
