@@ -15,24 +15,32 @@ equality that chance gives.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.llm.arrow_map import append_columns, bound_batches
-from duskline.session import cut
+from duskline.operators.components import connected_components
+from duskline.session import cut, let_go
 
 PERIOD, SLOTS = 4096, 128
 #: Share of slots that agree by chance between unlike texts: frequent characters and four-bit hashes.
 CHANCE = 0.12
+#: Members above which a bucket is compared in blocks, and the members of a block.
+SMALL_BUCKET, BLOCK = 24, 512
 #: Rows of one id range, about, when neighbours are brought together, and the most ranges there are; beyond, ranges grow
 #: (they are streamed, never held).
 RANGE_ROWS, MAX_RANGES = 2000, 2000
+#: Bands whose buckets are formed in one pass, which bounds the disk of their shuffle.
+BANDS_AT_ONCE = 20
 
 
 class EditEmbedding:
@@ -117,22 +125,124 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", without: tuple[str
     return append_columns(docs, [T.StructField("fingerprint", T.StringType())], compute, without)
 
 
-def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int = 16, width: int = 6, least: float = 0.6, seed: int = 5) -> DataFrame:
-    """``(doc_id, center_id, near)``: documents with the centre of a band they share, verified by likeness.
-
-    Bands are ``bands`` sets of ``width`` sampled slots of ``fingerprint``. Each document is held against the smallest id
-    of each of its bands, so a group of copies gives as many rows as members, not their square. Rows without id: none.
+def banding(classes: int, least: float, miss: float = 0.01) -> tuple[int, int]:
+    """``(bands, width)``: a width at which few of ``classes`` unlike texts share a band, and the bands with which a pair of
+    likeness ``least`` shares none with probability ``miss`` (its slots agree with ``CHANCE + (1 - CHANCE) * least``)."""
+    width = min(16, max(6, math.ceil(math.log(max(classes, 1)) / -math.log(CHANCE))))
+    agree = CHANCE + (1 - CHANCE) * least
+    return max(1, math.ceil(math.log(miss) / math.log1p(-min(agree**width, 1 - 1e-9)))), width
+
+
+def _unlike(a: str, b: str) -> Column:
+    """Number of unequal slots of the packed fingerprints ``a`` and ``b`` (arrays of longs, 16 slots each)."""
+    total = F.lit(0)
+    for i in range(SLOTS // 16):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _block_links(group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Links of one block of minority members (side 0) with one block of all members (side 1) of a bucket; of the pairs
+    with at most ``most`` unequal slots those that join two components not joined by an earlier pair."""
+    rows = [group[group.side == side].reset_index(drop=True) for side in (0, 1)]
+    slots = [np.array(r.print.tolist(), np.int64).reshape(len(r), -1).view(np.uint8) for r in rows]
+    slots = [np.concatenate((s & 15, s >> 4), 1) for s in slots]
+    comp = [r["comp"].to_numpy() for r in rows]
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for i in range(len(rows[0])):
+        unlike = (slots[0][i] != slots[1]).sum(1)
+        for j in np.flatnonzero((unlike <= most) & (comp[0][i] != comp[1])):
+            x, y = root(comp[0][i]), root(comp[1][j])
+            if x != y:
+                parent[x] = y
+                out.append((rows[0].node.iat[i], rows[1].node.iat[j], unlike[j]))
+    return pd.DataFrame(out, columns=["a", "b", "unlike"]).astype({"a": group.node.dtype, "b": group.node.dtype, "unlike": "int32"})
+
+
+def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None = None, width: int | None = None, least: float = 0.6, seed: int = 5) -> DataFrame:
+    """``(doc_id, center_id, near)``: links, verified by likeness, that join every two documents which share a band.
+
+    Bands are ``bands`` sets of ``width`` sampled slots of ``fingerprint``; if not given, ``banding`` chooses them for
+    ``least``. Documents of equal fingerprint form a class, linked to its smallest id. In each bucket every class is
+    compared with one pivot; where that leaves more than one component, the members outside the largest are compared
+    with all members, in large buckets block by block in bounded groups. No bucket is capped, and the links of a group
+    are about as many as members, not their square: their components are those of all like pairs that share a band.
+    Rows without id: none; rows that repeat an id count as one document.
     """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "fingerprint")
+    words = F.array(*[F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long") for i in range(SLOTS // 16)])
+    classes = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).select("fingerprint", "node", words.alias("print")))
+    if bands is None or width is None:
+        bands, width = banding(classes.count(), least)
     rng = random.Random(seed)
     picks = [rng.sample(range(SLOTS), width) for _ in range(bands)]
-    fp = F.col("fingerprint")
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.substring(fp, p + 1, 1) for p in pick]) for i, pick in enumerate(picks)])
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), fp, F.explode(keys).alias("band"))
-    centers = rows.groupBy("band").agg(F.min(F.struct(F.col("doc_id").alias("center_id"), F.col("fingerprint").alias("center"))).alias("m")).select("band", "m.*")
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(SLOTS)), lambda i: fp.substr(i, F.lit(1)) == F.col("center").substr(i, F.lit(1)))) / SLOTS
-    near = F.greatest(F.lit(0.0), (same - CHANCE) / (1 - CHANCE))
-    pairs = rows.join(centers, "band").where("doc_id <> center_id").dropDuplicates(["doc_id", "center_id"])
-    return pairs.select("doc_id", "center_id", near.alias("near")).where(F.col("near") >= least)
+    masks = [[sum(15 << 4 * (15 - p % 16) for p in pick if p // 16 == i) for i in range(SLOTS // 16)] for pick in picks]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    keys = [F.xxhash64(F.lit(n), *[F.get("print", F.lit(i)).bitwiseAND(signed(m)) for i, m in enumerate(mask) if m]) for n, mask in enumerate(masks)]
+    most = math.floor(SLOTS * (1 - CHANCE) * (1 - least) + 1e-9)
+    near = F.greatest(F.lit(0.0), (1 - F.col("unlike") / SLOTS - CHANCE) / (1 - CHANCE)).alias("near")
+
+    # Classes are numbered by their prints' hash, so that rows of buckets are two numbers.
+    numbered = lambda *more: classes.select(F.xxhash64("print").alias("class"), *more)
+    parts = []
+    for at in range(0, bands, BANDS_AT_ONCE):
+        named = numbered(F.explode(F.array(*keys[at : at + BANDS_AT_ONCE])).alias("bucket"))
+        shared = named.groupBy("bucket").agg(F.count("*").cast("int").alias("members"), F.min("class").alias("pivot")).where("members > 1")
+        parts.append(cut(named.join(shared, "bucket")))
+        del named, shared
+        let_go(docs.sparkSession)
+    members = reduce(DataFrame.unionAll, parts)
+    prints = numbered("node", "print")
+    of = lambda s: prints.select(F.col("class").alias(s), F.col("print").alias(f"p{s}"))
+    alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _unlike("pa", "pb").alias("unlike")).where(F.col("unlike") <= most)
+    star = cut(alike(members.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()))
+
+    let_go(docs.sparkSession)
+    joined = cut(connected_components(star, "a", "b"))
+    let_go(docs.sparkSession)
+    # Two members were compared as member and pivot.
+    placed = members.where("members > 2").join(joined.select(F.col("node").alias("class"), F.col("component").alias("comp")), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    split = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("major"), F.count("*").alias("comps"), (F.sum("c") - F.max("c")).alias("minors"))
+    rest = cut(placed.join(split.where("comps > 1"), "bucket").withColumn("minor", F.expr("comp <> major")))
+    let_go(docs.sparkSession)
+    small = rest.where(F.col("members") <= SMALL_BUCKET)
+    side = lambda df, s: df.select("bucket", F.col("class").alias(s), F.col("comp").alias(f"c{s}"), F.col("minor").alias(f"m{s}"), "pivot")
+    pairs = side(small.where("minor"), "a").join(side(small, "b").drop("pivot"), "bucket").where("ca <> cb and (not mb or a < b) and a <> pivot and b <> pivot")
+    more = alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    large = rest.where(F.col("members") > SMALL_BUCKET)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("class"), blocks(n).cast("long")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    dealt = large.where("minor").select("bucket", "class", "comp", F.lit(0).alias("side"), own("minors").alias("i"), all_of("members").alias("j"))
+    dealt = dealt.unionByName(large.select("bucket", "class", "comp", F.lit(1).alias("side"), all_of("minors").alias("i"), own("members").alias("j")))
+    dealt = dealt.join(prints.drop("node"), "class").withColumnRenamed("class", "node")
+    blocked = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda g: _block_links(g, most), star.schema)
+
+    ids = lambda s: prints.select(F.col("class").alias(s), F.col("node").alias(f"n{s}"))
+    links = star.unionByName(more).unionByName(blocked).join(ids("a"), "a").join(ids("b"), "b").where("na <> nb")
+    links = links.select(F.greatest("na", "nb").alias("doc_id"), F.least("na", "nb").alias("center_id"), near)
+    copies = rows.join(classes.select("fingerprint", F.col("node").alias("center_id")), "fingerprint").where("doc_id <> center_id").select("doc_id", "center_id", F.lit(1.0).alias("near"))
+    return links.unionByName(copies).groupBy("doc_id", "center_id").agg(F.max("near").alias("near"))
+
+
+def add_near_groups(prints: DataFrame, least: float = 0.6) -> DataFrame:
+    """``prints`` (doc_id, fingerprint, ...) with ``near_group``: the smallest id of the documents joined to it by
+    ``candidate_pairs``, its own if there are none, null without id. Each row stays."""
+    spark, prints = prints.sparkSession, cut(prints)
+    let_go(spark)  # the shuffled texts
+    groups = connected_components(candidate_pairs(prints, least=least), "doc_id", "center_id").select(F.col("node").alias("doc_id"), "component")
+    return prints.join(groups, "doc_id", "left").withColumn("near_group", F.coalesce("component", "doc_id")).drop("component")
 
 
 def _with_neighbours(docs: DataFrame, range_rows: int) -> DataFrame:

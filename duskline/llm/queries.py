@@ -76,9 +76,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from duskline.llm.fingerprints import fingerprint_edits
+    from duskline.llm.fingerprints import add_near_groups, fingerprint_edits
 
-    return fingerprint_edits(table(spark, sf_dir, "documents"))
+    return add_near_groups(fingerprint_edits(table(spark, sf_dir, "documents")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ where that setting is absent, as in tests, does the session get a folder of its
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle and checkpoint files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

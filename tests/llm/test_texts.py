@@ -151,6 +151,42 @@ def test_likeness_follows_edits(spark):
     assert {r.doc_id for r in pairs} == {*range(1, 20), 50} and {r.center_id for r in pairs} == {0}
 
 
+def test_near_groups_equal_brute_force(spark, monkeypatch):
+    """Copies that are not the smallest id of a bucket are found, in small and in large buckets; recall at the threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 16, (30, fp.SLOTS))
+    base[:, : fp.SLOTS - 40] = base[0, : fp.SLOTS - 40]  # strangers share most bands: 40 slots differ, likeness below 0.75
+    rows = []
+    for g, b in enumerate(base):
+        for edits in (0, 0, 3, 6):
+            one = b.copy()
+            one[rng.choice(fp.SLOTS, edits, replace=False)] = rng.integers(0, 16, edits)
+            rows.append((100 * g + len(rows) % 4, "".join("0123456789abcdef"[v] for v in one)))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, fingerprint string")
+    group = {i: i for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if fp.likeness(x, y) >= 0.8 and group[i] != group[j]:
+                group = {k: min(group[i], group[j]) if g in (group[i], group[j]) else g for k, g in group.items()}
+    assert len(set(group.values())) == 30
+    for small, block in ((1000, 512), (4, 7)):
+        monkeypatch.setattr(fp, "SMALL_BUCKET", small)
+        monkeypatch.setattr(fp, "BLOCK", block)
+        got = fp.add_near_groups(docs, least=0.8).collect()
+        assert len(got) == len(rows) + 1 and {r.doc_id: r.near_group for r in got} == group | {None: None}
+    pairs = []
+    for i in range(300):  # at the threshold itself: 83 of 128 slots agree, likeness 0.6
+        a = rng.integers(0, 16, fp.SLOTS)
+        b = a.copy()
+        at = rng.choice(fp.SLOTS, 45, replace=False)
+        b[at] = (b[at] + rng.integers(1, 16, 45)) % 16
+        pairs += [(2 * i, "".join("0123456789abcdef"[v] for v in a)), (2 * i + 1, "".join("0123456789abcdef"[v] for v in b))]
+    links = {(r.doc_id, r.center_id) for r in fp.candidate_pairs(spark.createDataFrame(pairs, "doc_id long, fingerprint string")).collect()}
+    assert links <= {(2 * i + 1, 2 * i) for i in range(300)} and len(links) >= 0.97 * 300
+
+
 def test_quality_held_out_and_rows(spark, odd, none, odd_rows):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     grade = F.expr("case when quality = 0 then 0 when toxic = 1 then 1 else 2 end")
