@@ -131,7 +131,8 @@ def curve_down_sample(spark, sf):
 @register("hash_order")
 def hash_order(spark, sf):
     """A seeded permutation of the customers; the hash is Spark's own, so no SQL elsewhere can state it."""
-    return table(spark, sf, "customer").select("c_custkey", F.rank().over(Window.partitionBy(F.pmod("c_custkey", F.lit(7))).orderBy(F.xxhash64("c_custkey", F.lit(11)), "c_custkey")).alias("place"))
+    c = table(spark, sf, "customer").select("c_custkey", F.xxhash64("c_custkey", F.lit(11)).alias("h"), F.lit(1).alias("one"))
+    return ag.running_total(c, "h", "one", "place").select("c_custkey", "place")
 
 
 @register("scenario_clones")

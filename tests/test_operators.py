@@ -218,3 +218,14 @@ def test_profile_and_different_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
     assert {r.column_name: r.nulls for r in qc.profile(df).collect()} == {"id": 0, "s": 1}
     assert qc.different_rows(df, df).count() == 0 and qc.different_rows(df.union(df), df).count() == 2
+
+
+def test_hash_order_is_one_permutation(spark):
+    from pyspark.sql import functions as F
+
+    from duskline.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    ids = spark.read.parquet(f"{sf}/customer.parquet").orderBy(F.xxhash64("c_custkey", F.lit(11))).select("c_custkey").collect()
+    got = {r.c_custkey: r.place for r in catalog.queries()["hash_order"](spark, sf).collect()}
+    assert got == {r.c_custkey: i for i, r in enumerate(ids, 1)}
