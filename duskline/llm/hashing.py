@@ -8,9 +8,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Symbols hashed at once.
+BLOCK = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,29 +23,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 19), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps)
-    return have[:n]
-
-
 def segment_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment of ``values``: a scrambled polynomial, as a difference of prefix sums modulo 2**64."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    value = (sums[stops] - sums[starts]) * _powers(_INVERSE, n)[starts]
-    return mix(value + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each of the segments ``starts``..``stops`` (ascending, not overlapping) of ``values``.
+
+    Every symbol is scrambled together with its place in its segment, and a segment's hash is the scrambled sum. A
+    polynomial modulo 2**64 would not do: it is equal on some words of 1024 or more symbols whatever its base.
+    """
+    sums = np.zeros(len(values) + 1, np.uint64)
+    origin = 0  # of the segment that the last block ended in
+    cuts = np.searchsorted(starts, np.arange(0, len(values) + BLOCK, BLOCK))
+    for i, at in enumerate(range(0, len(values), BLOCK)):  # in blocks, as large temporary arrays cost more than the work
+        part = values[at : at + BLOCK].astype(np.uint64)
+        begin = np.zeros(len(part), np.int64)
+        begin[0] = origin
+        own = starts[cuts[i] : cuts[i + 1]]
+        begin[own - at] = own
+        begin = np.maximum.accumulate(begin)
+        origin = begin[-1]
+        part += np.uint64(1)
+        part |= (np.arange(at, at + len(part)) - begin).astype(np.uint64) << np.uint64(24)
+        part *= _ODD
+        part = mix(part)
+        part[:1] += sums[at : at + 1]
+        np.cumsum(part, out=sums[at + 1 : at + 1 + len(part)])
+    return mix(sums[stops] - sums[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, document)`` of each word: runs of bytes other than ASCII white space, A-Z lower-cased.
-
-    A word's hash is a polynomial in its bytes, taken as a difference of prefix sums modulo 2**64 and scrambled.
-    """
+    """``(hash, document)`` of each word: runs of bytes other than ASCII white space, A-Z lower-cased."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -60,10 +65,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, document)`` of the distinct k-word shingles, ascending in each document.
+    """``(hash, document)`` of the distinct k-word shingles, 64-bit hashes ascending in each document.
 
-    A document of fewer than k words has its whole sequence as one shingle; one without words has none. Hashes keep 52
-    bits, the document's position in the slice (at most 4096) being sorted on in the other 12.
+    A document of fewer than k words has its whole sequence as one shingle; one without words has none.
     """
     words, doc = word_hashes(data, offsets)
     n_docs = len(offsets) - 1
@@ -71,7 +75,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     count = np.bincount(doc, minlength=n_docs)
     first = np.concatenate(([0], np.cumsum(count)))[:-1]
-    factor = mix(np.arange(1, k + 2, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    factor = mix(np.arange(1, k + 2, dtype=np.uint64) * _ODD) | np.uint64(1)
     joined = np.zeros(max(len(words) - k + 1, 0), np.uint64)
     for i in range(k):
         joined += words[i : i + len(joined)] * factor[i]
@@ -82,9 +86,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         has = count[short] > i
         whole[has] += words[first[short[has]] + i] * factor[i]
     whole += count[short].astype(np.uint64) * factor[k]
-    low = np.uint64((1 << 52) - 1)
-    keys = np.concatenate((mix(joined[full]), mix(whole))) & low
-    keys |= np.concatenate((doc[full], short)).astype(np.uint64) << np.uint64(52)
-    keys.sort()
-    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return keys & low, (keys >> np.uint64(52)).astype(np.int64)
+    keys, owner = mix(joined[full]), doc[full]
+    ends = np.searchsorted(owner, np.arange(n_docs + 1)).tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        keys[a:b].sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    keys, owner = np.concatenate((keys[new], mix(whole))), np.concatenate((owner[new], short))
+    order = np.argsort(owner.astype(np.min_scalar_type(n_docs)), kind="stable")
+    return keys[order], owner[order]

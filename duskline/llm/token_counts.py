@@ -4,8 +4,9 @@ A text is cut at the vocabulary's special strings (each is one token), then into
 pattern. A word of n bytes starts as n symbols in a linked list; a heap holds the adjacent pairs by merge rank. The pair
 of lowest rank (leftmost on ties) is merged until none is left; the count is the initial symbols minus the merges.
 
-Words repeat within and across texts, so the words of a slice of texts are found and hashed with array operations, only
-the distinct ones are looked up, and each worker remembers the counts of up to ``MEMORY`` of them.
+Words repeat within and across texts, so the words of a slice of texts are found and hashed with array operations. Each
+word is compared with the one that stands for its hash, so that no count hangs on a hash; the distinct ones are looked up,
+and each worker remembers the counts of up to ``MEMORY`` of them by the words themselves.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import types as T
 from duskline.llm.arrow_map import append_columns
 from duskline.llm.hashing import segment_hashes
 
-#: Distinct words a worker remembers, at ten bytes each; when there are more it starts afresh. It bounds memory, not results.
-MEMORY = 2_000_000
+#: Distinct words a worker remembers, about 150 bytes each (longer words than ``REMEMBERED`` characters are counted anew);
+#: when there are more it starts afresh. It bounds memory, not results.
+MEMORY, REMEMBERED = 250_000, 64
 #: The published pattern of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
@@ -61,7 +63,7 @@ class MergeCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.kinds = _kinds()
-        self.known, self.known_tokens = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their counts
+        self.known: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         """Tokens of one word."""
@@ -139,21 +141,30 @@ class MergeCounter:
         cut[joint[codes[joint] == 32] + 1] = False
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], n)
-        distinct, first, back = np.unique(segment_hashes(codes, starts, stops), return_index=True, return_inverse=True)
-        if len(self.known) > MEMORY:
-            self.known, self.known_tokens = self.known[:0], self.known_tokens[:0]
-        at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != distinct[inside]
-        tokens = np.zeros(len(distinct), np.int32)
-        tokens[~new] = self.known_tokens[at[~new]]
-        if new.any():
-            word, spans = self.word, zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)
-            tokens[new] = [word(whole[a:b]) for a, b in spans]
-            self.known = np.insert(self.known, at[new], distinct[new])
-            self.known_tokens = np.insert(self.known_tokens, at[new], tokens[new])
-        return np.add.reduceat(tokens[back].astype(np.int64), np.searchsorted(starts, offsets[:-1]))
+        _, first, back = np.unique(segment_hashes(codes, starts, stops), return_index=True, return_inverse=True)
+        if not _same_words(codes, starts, stops, starts[first][back], stops[first][back]):
+            return np.array([self.count(t) for t in texts])  # two words have one hash
+        tokens = np.array([self.known_word(whole[a:b]) for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)], np.int64)
+        return np.add.reduceat(tokens[back], np.searchsorted(starts, offsets[:-1]))
+
+    def known_word(self, word: str) -> int:
+        """Tokens of one word, remembered."""
+        tokens = self.known.get(word)
+        if tokens is None:
+            tokens = self.word(word)
+            if len(word) <= REMEMBERED:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[word] = tokens
+        return tokens
+
+
+def _same_words(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, as_starts: np.ndarray, as_stops: np.ndarray) -> bool:
+    """Whether each segment equals its stand-in; the segments ``starts``..``stops`` cover ``codes``."""
+    size = stops - starts
+    if (size != as_stops - as_starts).any():
+        return False
+    return bool((codes == codes[np.arange(len(codes)) + np.repeat(as_starts - starts, size)]).all())
 
 
 def _kinds() -> np.ndarray:
@@ -181,7 +192,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
     ``vocabulary`` is the path of a ``tokenizers`` file that every executor has. Null and empty texts have 0 bytes and
-    tokens. Texts of any length are counted whole. Extra columns stay; ones named like the new ones are replaced.
+    tokens. Texts of any length are counted whole. Repeated rows are counted each, equal texts alike. An empty table gives
+    an empty result. Extra columns stay; ones named like the new ones are replaced.
     """
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
