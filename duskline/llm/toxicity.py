@@ -9,9 +9,9 @@ is that evidence calibrated (a logistic curve of its log odds, fitted to the tra
 Training needs labelled words, but tables label documents. A word of a toxic document is labelled toxic where documents
 with that word are toxic far more often than others (likelihood ratio at least ``STRONG`` and at least ``RATIO`` times as
 often); all words of other documents are labelled clean. Weaker associations (``WEAK``) become features without a label.
-Segments are weighted so that both kinds of documents count as often as they occur. Counts come from a bounded hash sample of labelled documents
-(``TRAIN_DOCS`` of each label, distinct texts) in Spark; the field is then fitted on the driver to at most
-``TRAIN_SEGMENTS`` segments of ``SEGMENT`` words. Scoring covers all words of all texts.
+Segments are weighted so that both kinds of documents count as often as they occur. Counts come from a bounded hash sample
+of labelled documents (``TRAIN_DOCS`` of each label, distinct texts) in Spark; the field is then fitted on the driver to at
+most ``TRAIN_SEGMENTS`` segments of ``SEGMENT`` words. Scoring covers all words of all texts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,7 @@ class ToxicField:
     slope: float = 1.0
     shift: float = 0.0
     quiet: dict[int, float] = field(default_factory=dict)
+    ends: list[np.ndarray] = field(default_factory=list)
 
     def odds(self, words: list[str]) -> tuple[list[float], bool]:
         """exp(emission) of each word and whether any word has a feature."""
@@ -83,6 +85,27 @@ class ToxicField:
             g = (a10 + a11 * x) / (a00 + a01 * x)
         return out
 
+    def without_features(self, n: int) -> float:
+        """Aggregated marginals of ``n`` words that have no feature, computed once a length.
+
+        The forward ratio of a word depends on the words before it only, the backward one on those after it, so the chains
+        of all lengths share both sequences.
+        """
+        if n not in self.quiet:
+            if not self.ends or len(self.ends[0]) < n:
+                (a00, a01), (a10, a11) = np.exp(self.transitions).tolist()
+                o = math.exp(self.bias)
+                f, g = [o], [1.0]
+                for _ in range(max(2 * n, 1024)):
+                    f.append(o * (a01 + f[-1] * a11) / (a00 + f[-1] * a10))
+                    g.append((a10 + a11 * o * g[-1]) / (a00 + a01 * o * g[-1]))
+                self.ends = [np.array(f), np.array(g)]
+            r = self.ends[0][:n] * self.ends[1][:n][::-1]
+            if len(self.quiet) > 100_000:
+                self.quiet.clear()
+            self.quiet[n] = _aggregate((r / (1 + r)).tolist())
+        return self.quiet[n]
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
         """Calibrated document score and offending spans (code points); 0 for a text without words."""
         raw, spans = self.evidence(text)
@@ -93,10 +116,7 @@ class ToxicField:
         words = WORD.findall(text.lower())
         live = self.weights
         if not any(w in live or "^" + w[:PREFIX] in live for w in set(words)):
-            n = min(len(words), 64)  # a longer chain without features has the same largest marginal
-            if n not in self.quiet:
-                self.quiet[n] = _aggregate(self.marginals([math.exp(self.bias)] * n))
-            return self.quiet[n], []
+            return self.without_features(len(words)), []
         found = list(WORD.finditer(text))
         p = self.marginals(self.odds([m.group().lower() for m in found])[0])
         spans: list[tuple[int, int]] = []
@@ -138,11 +158,12 @@ def _association(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) -> ToxicField | None:
     """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1; rows with a null are left
-    out; None unless both labels occur. The labels are sampled first, so that only the sample's texts are moved."""
-    usable = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = hashed_sample(usable, "toxic", docs_per_label).dropDuplicates(["doc_id"])
-    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    sample = cut(sample.dropDuplicates(["text"]).repartition(16))
+    out; None unless both labels occur. Of contradicting labels of an id, and of equal texts, toxic counts. The labels are
+    sampled first, so that only the sample's texts are moved; other columns are ignored."""
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = hashed_sample(usable, "toxic", docs_per_label)
+    sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = cut(sample.repartition(16))
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     there = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
@@ -157,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) ->
             yield pd.DataFrame({"feature": list(count), "b": [c[0] for c in count.values()], "a": [c[1] for c in count.values()]})
 
     counts = sample.mapInPandas(present, "feature string, b long, a long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    counts = counts.where("a >= 3").collect()  # bounded by the sample
+    counts = sorted(counts.where("a >= 3").collect())  # bounded by the sample; in the order of names
     a, b = np.array([r.a for r in counts], float), np.array([r.b for r in counts], float)
     strength, times = _association(a, b, sizes[1], sizes[0])
     names = [r.feature for r in counts]
@@ -173,13 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) ->
                 for at in range(0, len(words), SEGMENT):
                     part = words[at : at + SEGMENT]
                     ids = [",".join(str(kept[f]) for f in _features(w) if f in kept) for w in part]
-                    rows.append((";".join(ids), "".join("1" if toxic and w in toxic_words else "0" for w in part), any(ids), toxic))
-            yield pd.DataFrame(rows, columns=["ids", "labels", "live", "toxic"])
+                    place = int.from_bytes(blake2b(f"{at} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    rows.append((";".join(ids), "".join("1" if toxic and w in toxic_words else "0" for w in part), any(ids), toxic, place))
+            yield pd.DataFrame(rows, columns=["ids", "labels", "live", "toxic", "place"])
 
-    parts = sample.mapInPandas(segments, "ids string, labels string, live boolean, toxic int")
-    order = F.xxhash64("ids", "labels")
+    parts = sample.mapInPandas(segments, "ids string, labels string, live boolean, toxic int, place long")
     half = TRAIN_SEGMENTS // 2
-    rows = [*parts.where("live").orderBy(order).limit(half).collect(), *parts.where("not live").orderBy(order).limit(half).collect()]
+    rows = [*parts.where("live").orderBy("place").limit(half).collect(), *parts.where("not live").orderBy("place").limit(half).collect()]
     weight = np.array([there[r.toxic] / sizes[r.toxic] for r in rows])
     chain = _fit_chain([r.ids.split(";") for r in rows], [r.labels for r in rows], weight, list(kept))
 
@@ -187,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = TRAIN_DOCS) ->
         for frame in frames:
             yield pd.DataFrame({"x": [_logit(chain.evidence(t)[0]) for t in frame.text], "toxic": frame.toxic})
 
-    seen = sample.mapInPandas(evidence, "x double, toxic int").toPandas()  # bounded by the sample
+    seen = sample.mapInPandas(evidence, "x double, toxic int").toPandas().sort_values(["x", "toxic"])  # bounded by the sample
     chain.slope, chain.shift = _calibrate(seen.x.to_numpy(), seen.toxic.to_numpy(), np.array([there[k] / sizes[k] for k in seen.toxic]))
     return chain
 
