@@ -15,15 +15,27 @@ from duskline.session import cut
 
 #: Ids that may be broadcast: 1,000,000 longs stay under 32 MB as a hash table. Beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
-#: Rows in a batch of texts for a Python worker, which bounds what worker and executor hold off the heap.
-STEP_ROWS = 1000
+#: Rows and bytes in a batch of texts for a Python worker, which bounds what worker and executor hold off the heap; a
+#: longer text makes a batch of its own.
+STEP_ROWS, STEP_BYTES = 1000, 8 << 20
 
 
-def bound_batches(spark: SparkSession, rows: int = STEP_ROWS) -> None:
-    """Hand texts to Python workers in batches of at most ``rows`` rows; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession, rows: int = STEP_ROWS, size: int = STEP_BYTES) -> None:
+    """Hand texts to Python workers in batches of at most ``rows`` rows and about ``size`` bytes. Spark reads both settings
+    when a plan runs, so they are the session's from then on; smaller ones that it had stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def spare_name(df: DataFrame, like: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while like.lower() in taken:
+        like += "_"
+    return like
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], without: tuple[str, ...] = ()) -> DataFrame:
@@ -75,6 +87,7 @@ def filter_by_ids(df: DataFrame, ids: DataFrame, column: str, keep: bool, limit:
 
 def hashed_sample(df: DataFrame, by: str, rows: int, seed: int = 7) -> DataFrame:
     """About ``rows`` rows of each value of ``by``, chosen by a hash of ``doc_id``: the bound of a classifier's fit."""
-    sizes = df.groupBy(by).count().select(by, (F.lit(float(rows)) / F.col("count")).alias("_share"))
+    share = spare_name(df, "_share")
+    sizes = df.groupBy(by).agg((F.lit(float(rows)) / F.count("*")).alias(share))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(sizes), by).where(draw < F.col("_share")).drop("_share")
+    return df.join(F.broadcast(sizes), by).where(draw < F.col(share)).drop(share)

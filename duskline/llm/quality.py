@@ -94,9 +94,11 @@ class OrdinalModel:
 
 def fit(docs: DataFrame, ratings: DataFrame, docs_per_grade: int = TRAIN_DOCS, steps: int = 250, ridge: float = 1e-4) -> OrdinalModel | None:
     """Fit on the texts of ``docs`` (doc_id, text) that ``ratings`` (doc_id, grade 0, 1, ...) rates; rows without a grade are
-    left out; None without two grades. The ratings are sampled first, so that only the sample's texts are moved."""
-    chosen = hashed_sample(ratings.where("grade is not null and doc_id is not null"), "grade", docs_per_grade).select("doc_id", "grade").dropDuplicates(["doc_id"])
-    sample = docs.join(F.broadcast(chosen), "doc_id")
+    left out; None without two grades. Of contradicting ratings of an id the lowest counts. The ratings are sampled first,
+    so that only the sample's texts are moved; other columns are ignored."""
+    rated = ratings.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = hashed_sample(rated, "grade", docs_per_grade)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +157,8 @@ def grade_texts(docs: DataFrame, model: OrdinalModel | None, text_col: str = "te
     (``p_pass >= least``; ties are selected).
 
     Null texts count as empty: they get the thresholds' own probabilities but are never selected. Without a model all
-    probabilities are 0. Extra columns stay; ones named like the new columns are replaced.
+    probabilities are 0. Repeated rows are graded each, equal texts alike. An empty table gives an empty result. Extra
+    columns stay; ones named like the new columns are replaced.
     """
     fields = [*(T.StructField(c, T.DoubleType()) for c in ("expected_grade", "p_top", "p_pass")), T.StructField("selected", T.BooleanType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from duskline.llm.arrow_map import append_columns
+from duskline.llm.arrow_map import append_columns, spare_name
 
 #: Characters in a window, and the bits a character must carry in a window of each class.
 WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.8
@@ -110,11 +110,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False
     exclusive); with ``redacted`` also the text with its spans masked, in place.
 
     Null texts count as empty (and stay null if redacted); empty texts have no spans and the digest of the empty string.
-    Texts are scanned whole. Equal starts are ordered by kind. Extra columns stay; ones named like the new are replaced.
+    Texts are scanned whole. Equal starts are ordered by kind. Repeated rows are scanned each. An empty table gives an empty
+    result. Extra columns stay; ones named like the new are replaced.
     """
+    masked = spare_name(docs, "_redacted")
     fields = [*(T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     if redacted:
-        fields.append(T.StructField("_redacted_", T.StringType()))
+        fields.append(T.StructField(masked, T.StringType()))
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -128,4 +130,4 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False
         return columns
 
     out = append_columns(docs, fields, compute, without)
-    return out.withColumn(text_col, out["_redacted_"]).drop("_redacted_") if redacted else out
+    return out.withColumn(text_col, out[masked]).drop(masked) if redacted else out

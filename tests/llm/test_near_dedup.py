@@ -74,6 +74,15 @@ def test_shingle_sets(texts, k):
         assert seen.setdefault(own, want) == want
 
 
+def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
+    from .test_texts import thue_morse
+
+    rows = [(i, thue_morse(*p, 2048)) for i, p in enumerate(("th", "ht", "on", "no", "xe", "ex"))]
+    rows += [(10 + i, f"a {t} b c d") for i, (_, t) in enumerate(rows)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+
+
 def test_signature_estimates_similarity_with_low_variance():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8):

@@ -27,6 +27,24 @@ def test_token_counts_equal_the_library():
     assert [counter.count(t) for t in texts] == want
 
 
+def thue_morse(a, b, n):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_token_counts_of_words_that_polynomial_hashes_confuse(monkeypatch):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [thue_morse(x, y, 2048) for p in ("th", "on", "xe", "ab") for x, y in (p, p[::-1])]
+    texts += [" ".join(texts), "the theme of the thing the then"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.load(P.path("byte_bpe_50k.json"))
+    assert counter.count_all(texts).tolist() == want
+    monkeypatch.setattr(token_counts, "segment_hashes", lambda codes, starts, stops: np.zeros(len(starts), np.uint64))
+    assert counter.count_all(texts).tolist() == want  # whatever the hash
+
+
 def test_token_count_rows(odd, none, odd_rows):
     got = token_counts.count_tokens(odd.withColumnRenamed("n_chars", "N_Tokens"), P.path("byte_bpe_50k.json")).collect()
     assert len(got) == len(odd_rows)
@@ -222,6 +240,31 @@ def test_quality_score_is_of_the_text_alone():
     assert bucket[inside].tolist() == [quality._trigrams(np.frombuffer(g, np.uint8), np.array([0, 3]))[0][0] for g in whole]
 
 
+def test_quality_fit_is_a_maximum_of_the_likelihood(spark):
+    """No move of weights or thresholds raises the cumulative-link likelihood, computed by its definition."""
+    import numpy as np
+
+    rng = random.Random(5)
+    kinds = [["!!", "##", "BUY"], ["river", "stone", "#"], ["river", "stone", "field"]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(12)), i % 3) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    ratings = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(0, 2), (2, 2)], "doc_id long, grade int").selectExpr("*", "1 as _share")
+    model, again = quality.fit(docs, ratings, ridge=1e-3), quality.fit(docs.repartition(3), ratings.repartition(2), ridge=1e-3)
+    assert np.allclose(model.buckets, again.buckets, atol=1e-4)
+    data = np.frombuffer("".join(r[1] for r in rows).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(r[1].encode()) for r in rows)])
+
+    def loss(m):
+        tails = np.hstack((np.ones((60, 1)), m.tails(m.latent(data, offsets)), np.zeros((60, 1))))
+        grade = np.array([r[2] for r in rows])
+        return -np.log(tails[range(60), grade] - tails[range(60), grade + 1]).mean() + 1e-3 / 2 * (((m.buckets / quality._SCALE) ** 2).sum() + (m.surface**2).sum())
+
+    at, some = loss(model), np.random.default_rng(2)
+    for _ in range(30):
+        moved = quality.OrdinalModel(model.buckets + some.normal(0, 2, model.buckets.shape).astype(np.float32), model.surface + some.normal(0, 0.3, model.surface.shape), model.thresholds + some.normal(0, 0.2, 2))
+        assert loss(moved) > at - 5e-3
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
     from math import exp, log
@@ -237,6 +280,67 @@ def test_marginals_equal_enumeration():
     assert field.marginals(odds) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("bias", [-9.0, -3.0, 0.5])
+def test_texts_without_features_are_scored_at_their_length(bias):
+    import numpy as np
+
+    for transitions in (np.zeros((2, 2)), np.array([[0.0, -1.2], [0.4, 1.5]])):
+        field = toxicity.ToxicField(bias, {"bad": 2.0}, transitions)
+        for n in (1, 2, 63, 64, 65, 500, 3000):
+            clean, p = 1.0, field.marginals([np.exp(bias)] * n)
+            for x in p:
+                clean *= 1 - x if x >= toxicity.COUNTED else 1
+            assert field.evidence("word " * n)[0] == pytest.approx(max(1 - clean, max(p)), rel=1e-9)
+
+
+def test_chain_fit_is_a_maximum_of_the_likelihood():
+    """No move of the weights raises the penalised likelihood, computed by enumeration of all labellings."""
+    from itertools import product
+
+    import numpy as np
+
+    rng = random.Random(7)
+    ids, labels = [], []
+    for _ in range(30):
+        words = [rng.choice(["0", "1", "", ""]) for _ in range(rng.randrange(2, 6))]
+        ids.append(words)
+        labels.append("".join("1" if (w == "0" and rng.random() < 0.9) or rng.random() < 0.1 else "0" for w in words))
+    weight = np.ones(len(ids))
+
+    def loss(field):
+        total = 0.0
+        for words, text in zip(ids, labels, strict=True):
+            emission = [field.bias + field.weights.get(f"w{w}", 0.0) if w else field.bias for w in words]
+            value = lambda y: sum(e for e, s in zip(emission, y, strict=True) if s) + sum(field.transitions[a, b] for a, b in zip(y[:-1], y[1:], strict=True))  # noqa: B023, E731
+            total += np.log(sum(np.exp(value(y)) for y in product((0, 1), repeat=len(words)))) - value([int(c) for c in text])
+        return total / len(ids) + 2e-5 * sum(map(abs, field.weights.values()))
+
+    field = toxicity._fit_chain(ids, labels, weight, ["w0", "w1"], steps=400)
+    at = loss(field)
+    for _ in range(40):
+        moved = toxicity.ToxicField(field.bias + rng.gauss(0, 0.3), {k: v + rng.gauss(0, 0.3) for k, v in field.weights.items()}, field.transitions + np.array([[0, rng.gauss(0, 0.3)], [rng.gauss(0, 0.3), rng.gauss(0, 0.3)]]))
+        assert loss(moved) > at - 2e-3
+
+
+def test_calibration_solves_the_logistic_equations():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.8 * x - 1)))).astype(float)
+    slope, shift = toxicity._calibrate(x, y, np.ones(4000))
+    p = 1 / (1 + np.exp(-slope * x - shift))
+    assert abs((p - y).sum()) < 1e-3 and abs(((p - y) * x).sum() + 1e-2 * slope) < 1e-3 and (slope, shift) == pytest.approx((0.8, -1), abs=0.15)
+
+
+def test_contradicting_labels_are_settled(spark):
+    rows = [(i, f"calm words number {i} here and there") for i in range(40)] + [(100 + i, f"you vile{i % 3} person number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows + [(200, rows[50][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows] + [(100, 0), (200, 0)], "doc_id long, toxic int").selectExpr("*", "1 as _share", "2 as count")
+    fits = [toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5)]
+    assert fits[0].weights == fits[1].weights and fits[0].bias == fits[1].bias and fits[0].slope == pytest.approx(fits[1].slope)
+
+
 def test_toxicity_held_out_and_rows(spark, odd, none, odd_rows):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
