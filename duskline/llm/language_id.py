@@ -4,10 +4,12 @@ Each language has a context tree of order 3: for every context of up to three by
 that language's training texts. A byte is coded with the longest context seen; where the byte never followed, an escape
 is coded (method C: q / (n + q), with n bytes seen in the context, q of them distinct) and the next shorter context is
 tried, down to a uniform code over 256 bytes. The statistics are frozen after training, so the code length of a byte
-depends on the four bytes ending in it only, and the exact code length of a text is a sum of table entries.
+depends on the four bytes ending in it only. Code lengths are multiples of 2**-18 bits: their sums are exact in any order,
+so a text's score does not depend on the texts around it.
 
-The fit takes a bounded hash sample of whole labelled texts (``TRAIN_DOCS`` documents a language); scoring covers all
-bytes of all texts.
+The fit takes a bounded hash sample of whole labelled texts (``TRAIN_DOCS`` documents a language, none longer than
+``TRAIN_BYTES``) and keeps every context seen in it. Only what a language has seen takes room: some 30 bytes for each
+distinct four-byte string of the sample and some 6 for each language that has it. Scoring covers all bytes of all texts.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskline.llm.arrow_map import append_columns, byte_slices, hashed_sample
+from duskline.llm.arrow_map import append_columns, byte_slices, hashed_sample, spare_name
 
-#: Bound of the fit: documents of each language, about; longest contexts kept, the most frequent ones first.
-TRAIN_DOCS, MAX_CONTEXTS = 400, 40_000
+#: Bound of the fit: documents of each language, about, and the bytes of the longest one. Longer ones are not learnt from.
+TRAIN_DOCS, TRAIN_BYTES = 400, 1 << 18
 ORDER = 3
 
 
@@ -56,91 +58,138 @@ def _windows(symbols: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+class SparseCosts:
+    """Code lengths of (key, language) pairs, of those that occur only.
+
+    Keys are found by an open-addressing hash table. A key has one bit for each language, and the costs of the languages
+    that have it one after the other.
+    """
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, cost: np.ndarray, langs: int):
+        order = np.lexsort((lang, keys))
+        keys, lang = keys[order], lang[order]
+        self.cost = np.append(np.rint(cost[order] * 2**18) / 2**18, 0).astype(np.float32)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.keys = keys[new].astype(np.uint32)
+        row = np.cumsum(new) - 1
+        self.bits = np.zeros((-(-langs // 64), len(self.keys)), np.uint64)
+        np.bitwise_or.at(self.bits, (lang >> 6, row), np.uint64(1) << (lang & 63).astype(np.uint64))
+        held = np.bitwise_count(self.bits).astype(np.int32)
+        self.start = (np.flatnonzero(new) + np.cumsum(held, axis=0) - held).astype(np.int32)
+        self.power = max(4, (2 * len(self.keys)).bit_length())
+        self.slots = np.full(1 << self.power, -1, np.int32)
+        todo, at = np.arange(len(self.keys), dtype=np.int32), self._home(self.keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            todo, at = todo[left], self._next(at[left])
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.power) - 1)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 for those that no language has."""
+        at = self._home(keys)
+        out = self.slots[at]
+        todo = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
+        while len(todo):
+            at[todo] = self._next(at[todo])
+            out[todo] = self.slots[at[todo]]
+            todo = todo[(self.keys[out[todo]] != keys[todo]) & (out[todo] >= 0)]
+        return out
+
+    def of(self, rows: np.ndarray, lang: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the language has the key of each row, and its cost there."""
+        word, bit = divmod(lang, 64)
+        held = self.bits[word][rows]
+        below = np.bitwise_count(held & np.uint64((1 << bit) - 1))
+        return ((held >> np.uint64(bit)) & np.uint64(1)).astype(bool) & (rows >= 0), self.cost[self.start[word][rows] + below]
+
+    def size(self) -> int:
+        """Bytes in memory."""
+        return sum(x.nbytes for x in (self.cost, self.keys, self.bits, self.start, self.slots))
+
+
 class ByteContexts:
-    """Frozen statistics of all languages as lookup tables."""
+    """Frozen statistics of all languages: of each order the direct code lengths and those of the escapes."""
 
-    def __init__(self, lang: np.ndarray, grams: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, lang: np.ndarray, grams: np.ndarray, n: np.ndarray):
         names, lang = np.unique(lang.astype(str), return_inverse=True)
         self.langs = names.tolist()
-        seen = np.unique(grams & 255)
-        self.symbol = np.zeros(256, np.uint32)  # 0: never seen, and the start of a text
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        size = len(seen) + 1
-        codes = np.stack([self.symbol[grams >> 8 * back & 255].astype(np.int64) for back in range(ORDER, -1, -1)], 1)
-
-        keep = [np.zeros(1, np.int64)]  # contexts of each order as numbers in base ``size``
-        for order in range(1, ORDER + 1):
-            number = _number(codes[:, ORDER - order : ORDER], size)
-            found, total = np.unique(number, return_inverse=True)
-            weight = np.where(np.isin(found % size ** (order - 1), keep[-1]), np.bincount(total, n), 0)  # only if what it falls back to is kept
-            keep.append(np.sort(found[np.argsort(-weight, kind="stable")[: min(max_contexts, np.count_nonzero(weight))]]))
-        base = np.cumsum([0] + [len(k) for k in keep])
-        self.table = np.zeros((base[-1] * size, len(self.langs)), np.float32)
-        shorter = np.full((1, size, len(self.langs)), 8.0)
+        self.direct, self.escape = [], []
         for order in range(ORDER + 1):
-            context = _number(codes[:, ORDER - order : ORDER], size) if order else np.zeros(len(n), np.int64)
-            at = np.minimum(np.searchsorted(keep[order], context), len(keep[order]) - 1)
-            ok = keep[order][at] == context
-            count = np.zeros((len(keep[order]), size, len(self.langs)))
-            np.add.at(count, (at[ok], codes[ok, ORDER], lang[ok]), n[ok])
-            parent = self._suffix(keep, order, size) if order else np.zeros(1, np.int64)
-            total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                direct = -np.log2(count / (total + distinct))
-            cost = np.where(count > 0, direct, escape + shorter[parent])
-            self.table[base[order] * size : base[order + 1] * size] = cost.reshape(-1, len(self.langs))
-            shorter = cost
-        self.size = size
-        self.context = np.zeros(size**ORDER, np.int32)
-        every = np.arange(size**ORDER, dtype=np.int64)
-        for order in range(ORDER + 1):
-            tail = every % size**order
-            at = np.minimum(np.searchsorted(keep[order], tail), len(keep[order]) - 1)
-            self.context = np.where(keep[order][at] == tail, base[order] + at, self.context).astype(np.int32)
-
-    @staticmethod
-    def _suffix(keep: list[np.ndarray], order: int, size: int) -> np.ndarray:
-        """Rows of the order below that the contexts of this order fall back to."""
-        return np.searchsorted(keep[order - 1], keep[order] % size ** (order - 1))
+            pair, at = np.unique(lang.astype(np.int64) << 32 | grams & _mask(order), return_inverse=True)
+            count = np.bincount(at, n)
+            context, at = np.unique(pair >> 8, return_inverse=True)  # the language's number moves along
+            total, distinct = np.bincount(at, count), np.bincount(at)
+            both = (total + distinct)[at]
+            self.direct.append(SparseCosts(pair & 0xFFFFFFFF, pair >> 32, -np.log2(count / both), len(names)))
+            self.escape.append(SparseCosts(context & 0xFFFFFF, context >> 24, -np.log2(distinct / (total + distinct)), len(names)))
+
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte string under each language: ``[languages, strings]``."""
+        out = np.zeros((len(self.langs), len(keys)))
+        at, open_ = np.arange(len(keys)), np.ones(out.shape, bool)  # strings whose byte a language has still to code
+        for order in range(ORDER, -1, -1):
+            keys = keys & np.uint32(_mask(order))
+            rows = self.direct[order].rows(keys)
+            for x in range(len(self.langs)):
+                has, cost = self.direct[order].of(rows, x)
+                here = has & open_[x]
+                out[x, at[here]] += cost[here]
+                open_[x] &= ~has
+            some = open_.any(0)
+            keys, at, open_ = keys[some], at[some], open_[:, some]
+            rows = self.escape[order].rows(keys >> np.uint32(8))
+            for x in range(len(self.langs)):
+                has, cost = self.escape[order].of(rows, x)
+                here = has & open_[x]
+                out[x, at[here]] += cost[here]
+        for x in range(len(self.langs)):
+            out[x, at[open_[x]]] += 8
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text under each language, in bits: ``[texts, languages]``."""
+        """Code length of each text under each language, in bits: ``[texts, languages]``. Each distinct string is costed once."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         full = np.flatnonzero(np.diff(offsets) > 0)
-        if len(full):
-            symbols = self.symbol[data].astype(np.int32)
-            past = [np.zeros(len(symbols), np.int32) for _ in range(ORDER)]
-            for back in range(1, ORDER + 1):
-                past[back - 1][back:] = symbols[:-back]
-                for at in range(back):
-                    here = offsets[full] + at
-                    past[back - 1][here[here < offsets[full + 1]]] = 0
-            number = past[ORDER - 1]
-            for back in range(ORDER - 1, 0, -1):
-                number = number * self.size + past[back - 1]
-            row = self.context[number] * self.size + symbols
-            for x in range(len(self.langs)):
-                out[full, x] = np.add.reduceat(self.table[row, x], offsets[full], dtype=np.float64)
+        if not len(full):
+            return out
+        windows = _windows(data.astype(np.uint32), offsets, 8)
+        rows = self.direct[ORDER].rows(windows)
+        known = rows >= 0
+        seen = np.zeros(len(self.direct[ORDER].keys), bool)
+        seen[rows[known]] = True
+        number = np.cumsum(seen, dtype=np.int32) - 1
+        at = number[rows]
+        at[~known] = np.arange(np.count_nonzero(~known)) + np.count_nonzero(seen)
+        table = self.costs(np.concatenate((self.direct[ORDER].keys[seen], windows[~known])))
+        for x in range(len(self.langs)):
+            out[full, x] = np.add.reduceat(table[x][at], offsets[full])
         return out
 
+    def size(self) -> int:
+        """Bytes in memory."""
+        return sum(t.size() for t in (*self.direct, *self.escape))
+
 
-def _number(codes: np.ndarray, size: int) -> np.ndarray:
-    number = np.zeros(len(codes), np.int64)
-    for column in range(codes.shape[1]):
-        number = number * size + codes[:, column]
-    return number
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, max_contexts: int = MAX_CONTEXTS) -> ByteContexts | None:
-    """Fit on the non-null ``lang`` of ``(doc_id, text, lang)``; None if there is no labelled text."""
-    sample = hashed_sample(labelled.where("lang is not null and text is not null and doc_id is not null"), "lang", docs_per_lang)
-    counts = _grams(sample).toArrow()  # bounded by the sample
+def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> ByteContexts | None:
+    """Fit on the non-null ``lang`` of ``(doc_id, text, lang)``; None if there is no labelled text. Rows that repeat an id or
+    a text are learnt from each; other columns are ignored."""
+    usable = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    counts = _grams(hashed_sample(usable.where(F.octet_length("text") <= longest), "lang", docs_per_lang)).toArrow()  # bounded by the sample
     if not counts.num_rows:
         return None
-    model = ByteContexts(counts["lang"].to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy(), max_contexts)
-    model.table = np.asfortranarray(model.table)
-    return model
+    return ByteContexts(counts["lang"].to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: ByteContexts | None, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
@@ -148,10 +197,10 @@ def identify(docs: DataFrame, model: ByteContexts | None, text_col: str = "text"
 
     ``lang_pred`` is the language of least code length (ties: the first by name), ``score`` its share of probability
     with all languages equally likely before. Null texts and texts without a letter: ``und``, score 0. Very short texts
-    get what their bytes give. Without a model every text is ``und``. Extra columns stay; ones named like the three new
-    columns are replaced.
+    get what their bytes give. Without a model every text is ``und``. Repeated rows are judged each, equal texts alike. An
+    empty table gives an empty result. Extra columns stay; ones named like the three new columns are replaced.
     """
-    letter = "_has_letter_"
+    letter = spare_name(docs, "_has_letter")
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
