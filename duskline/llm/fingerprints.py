@@ -23,9 +23,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from duskline.llm.arrow_map import append_columns, bound_batches
 from duskline.operators.components import connected_components
@@ -36,9 +38,8 @@ PERIOD, SLOTS = 4096, 128
 CHANCE = 0.12
 #: Members above which a bucket is compared in blocks, and the members of a block.
 SMALL_BUCKET, BLOCK = 24, 512
-#: Rows of one id range, about, when neighbours are brought together, and the most ranges there are; beyond, ranges grow
-#: (they are streamed, never held).
-RANGE_ROWS, MAX_RANGES = 2000, 2000
+#: Likeness from which documents are near.
+LEAST = 0.8
 #: Bands whose buckets are formed in one pass, which bounds the disk of their shuffle.
 BANDS_AT_ONCE = 20
 
@@ -105,8 +106,7 @@ def _codes(text: str) -> np.ndarray:
 
 def fingerprint(text: str) -> str:
     """The fingerprint of one text."""
-    codes = _codes(text)
-    return embedding().sample(codes, np.array(embedding().walk(codes.tobytes()), np.int64))
+    return _walked(text)[2]
 
 
 def likeness(a: str, b: str) -> float:
@@ -116,7 +116,8 @@ def likeness(a: str, b: str) -> float:
 
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``fingerprint`` of every whole text; a null text counts as empty. Extra columns stay."""
+    """``docs`` with ``fingerprint`` of every whole text; a null text counts as empty. Extra columns stay; one named like the
+    new one is replaced."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -126,9 +127,10 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", without: tuple[str
 
 
 def banding(classes: int, least: float, miss: float = 0.01) -> tuple[int, int]:
-    """``(bands, width)``: a width at which few of ``classes`` unlike texts share a band, and the bands with which a pair of
-    likeness ``least`` shares none with probability ``miss`` (its slots agree with ``CHANCE + (1 - CHANCE) * least``)."""
-    width = min(16, max(6, math.ceil(math.log(max(classes, 1)) / -math.log(CHANCE))))
+    """``(bands, width)``: a width at which a text shares a band with a tenth of an unlike one out of ``classes``, and the
+    bands with which a pair of likeness ``least`` shares none with probability ``miss`` (its slots agree with
+    ``CHANCE + (1 - CHANCE) * least``)."""
+    width = min(16, max(6, math.ceil(math.log(10 * max(classes, 1)) / -math.log(CHANCE))))
     agree = CHANCE + (1 - CHANCE) * least
     return max(1, math.ceil(math.log(miss) / math.log1p(-min(agree**width, 1 - 1e-9)))), width
 
@@ -168,7 +170,7 @@ def _block_links(group: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "unlike"]).astype({"a": group.node.dtype, "b": group.node.dtype, "unlike": "int32"})
 
 
-def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None = None, width: int | None = None, least: float = 0.6, seed: int = 5) -> DataFrame:
+def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None = None, width: int | None = None, least: float = LEAST, seed: int = 5) -> DataFrame:
     """``(doc_id, center_id, near)``: links, verified by likeness, that join every two documents which share a band.
 
     Bands are ``bands`` sets of ``width`` sampled slots of ``fingerprint``; if not given, ``banding`` chooses them for
@@ -176,7 +178,8 @@ def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None =
     compared with one pivot; where that leaves more than one component, the members outside the largest are compared
     with all members, in large buckets block by block in bounded groups. No bucket is capped, and the links of a group
     are about as many as members, not their square: their components are those of all like pairs that share a band.
-    Rows without id: none; rows that repeat an id count as one document.
+    Rows without id: none; rows that repeat an id count as one document. An empty table gives an empty result. Other
+    columns are ignored. ``docs`` is read several times and should be materialised.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "fingerprint")
     words = F.array(*[F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long") for i in range(SLOTS // 16)])
@@ -236,88 +239,91 @@ def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None =
     return links.unionByName(copies).groupBy("doc_id", "center_id").agg(F.max("near").alias("near"))
 
 
-def add_near_groups(prints: DataFrame, least: float = 0.6) -> DataFrame:
+def add_near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with ``near_group``: the smallest id of the documents joined to it by
-    ``candidate_pairs``, its own if there are none, null without id. Each row stays."""
-    spark, prints = prints.sparkSession, cut(prints)
-    let_go(spark)  # the shuffled texts
+    ``candidate_pairs``, its own if there are none, null without id. Each row stays. ``prints`` should be materialised."""
+    let_go(prints.sparkSession)  # what the fingerprints were made with
+    names = prints.columns
+    if any(c.lower() in ("near_group", "component") for c in names):
+        raise ValueError("near_group and component are the names of new columns")
     groups = connected_components(candidate_pairs(prints, least=least), "doc_id", "center_id").select(F.col("node").alias("doc_id"), "component")
     return prints.join(groups, "doc_id", "left").withColumn("near_group", F.coalesce("component", "doc_id")).drop("component")
 
 
-def _with_neighbours(docs: DataFrame, range_rows: int) -> DataFrame:
-    """Rows in id ranges, ``part`` and ``guest``: the first rows of each range also go to the range before as guests.
+def _edit(text: str, codes: np.ndarray, walk: np.ndarray, then: str) -> tuple[str, str]:
+    """Digest and fingerprint of ``text`` (character codes and walk given) with its last quarter replaced by the first
+    characters of ``then``."""
+    tables = embedding()
+    keep = len(text) - len(text) // 4
+    tail = then[: len(text) // 4]
+    more = _codes(tail)
+    places = np.concatenate((walk[:keep], np.array(tables.walk(more.tobytes(), int(walk[keep - 1]) if keep else 0), np.int64)))
+    digest = hashlib.sha256((text[:keep] + tail).encode("utf-8", "surrogatepass")).hexdigest()
+    return digest, tables.sample(np.concatenate((codes[:keep], more)), places)
 
-    Range ends are quantiles of the ids; the driver holds the ends and the first id of each range only, both as many as
-    ranges. Rows with a null id count as before all others.
-    """
-    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9999999999999999999").cast("decimal(20,0)"))
-    ids = cut(docs.select(key.alias("key")))
-    rows = ids.count()
-    parts = min(max(1, rows // range_rows), MAX_RANGES)
-    ends = ids.select(F.expr("cast(key as double)").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    ends = sorted(set(ends))
-    part = F.lit(0)
-    if ends:
-        lower = F.array(*[F.lit(float(e)) for e in ends])
-        part = F.size(F.filter(lower, lambda e: e <= F.col("key").cast("double")))
-    firsts = {r.part: r.k for r in ids.select("key", part.alias("part")).groupBy("part").agg(F.min("key").alias("k")).collect()}
-    held = sorted(firsts)
-    before = {str(firsts[p]): held[i - 1] for i, p in enumerate(held)}  # the first range's predecessor is the last one
-    placed = docs.withColumn("key", key).withColumn("part", part)
-    guest = F.create_map(*[x for k, p in before.items() for x in (F.lit(k), F.lit(p))])[F.col("key").cast("string")] if before else F.lit(None).cast("int")
-    homes = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest")))
-    placed = placed.withColumn("home", F.explode(F.filter(homes, lambda h: h["part"].isNotNull())))
-    return placed.select(F.col("home.part").alias("part"), F.col("home.guest").alias("guest"), "key", "doc_id", "text")
-
-
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
+
+def _walked(text: str) -> tuple[np.ndarray, np.ndarray, str]:
+    """Character codes, walk and fingerprint of a text."""
+    codes = _codes(text)
+    walk = np.array(embedding().walk(codes.tobytes()), np.int64)
+    return codes, walk, embedding().sample(codes, walk)
+
+
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text: the last floor(n_chars / 4) code points replaced by the first as
     many (or all) of the next document by id (after the last: the first).
 
-    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Null texts count
-    as empty. Rows of equal id follow each other by text; null ids come first. A table of one row has itself as next
-    document. An empty table gives an empty result.
+    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, materialised in
+    the checkpoint folder. Null texts count as empty. Rows of equal id follow each other in the order of a hash of their
+    texts; null ids come first. A table of one row has itself as next document. An empty table gives an empty result.
+
+    Texts are shuffled once, into ranges of ids as many as the session has shuffle partitions, and streamed through in
+    order. What meets at the ends of two ranges, one text of each, is set aside and joined afterwards; of that the driver
+    holds the numbers of the ranges only.
     """
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    near = _with_neighbours(docs, range_rows)
-    spread = near.repartition("part").sortWithinPartitions("part", "guest", "key", "text")
-    out = T.StructType([docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    spark = docs.sparkSession
+    bound_batches(spark)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = docs.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    done = [docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
+    #: A range's first and last text; null in all other rows.
+    ends = [T.StructField("range", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("text", T.StringType())]
+    schema = T.StructType(done + ends)
+    plain = to_arrow_schema(T.StructType(done))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = embedding()
-        done: list[tuple] = []
-        last = None  # (part, id, text, codes, walk, fingerprint) of the row that waits for its next one
-
-        def close(codes, text, then):
-            """The edited text's digest, fingerprint and likenesses, once the next document is known."""
-            n = len(text)
-            keep = n - n // 4
-            edited = text[:keep] + then[2][: n // 4]
-            tail = then[3][: n // 4]
-            head = last[4][:keep]
-            places = np.concatenate((head, np.array(tables.walk(tail.tobytes(), int(head[-1]) if keep else 0), np.int64)))
-            print_ = tables.sample(np.concatenate((codes[:keep], tail)), places)
-            digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            return (last[1], n, digest, last[5], print_, likeness(last[5], print_), likeness(last[5], then[5]))
-
+        part, arrow = TaskContext.get().partitionId(), to_arrow_schema(schema)
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        last = None  # the row that waits for its next one
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes, walk, own = _walked(text)
+                if last is None:
+                    rows.append((doc_id, None, None, own, None, None, None, part, True, text))
+                else:
+                    digest, edited = _edit(*last[1:4], text)
+                    rows.append((last[0], len(last[1]), digest, last[4], edited, likeness(last[4], edited), likeness(last[4], own), None, None, None))
+                last = (doc_id, text, codes, walk, own)
+            if rows:
+                yield give(rows)
+        if last is not None:
+            yield give([(last[0], None, None, last[4], None, None, None, part, False, last[1])])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
-            for part, guest, doc_id, text in zip(*columns, strict=True):
-                if guest and (last is None or last[0] != part):
-                    continue  # the first guest was the next document already
-                codes = _codes(text)
-                walk = np.array(tables.walk(codes.tobytes()), np.int64)
-                row = (part, doc_id, text, codes, walk, tables.sample(codes, walk))
-                if last is not None and last[0] == part:
-                    done.append(close(last[3], last[2], row))
-                last = None if guest else row
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=out.names)
-                done = []
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = [to_arrow_type(f.dataType) for f in out.fields]
-    return spread.mapInArrow(run, out)
+            rows = []
+            for doc_id, text, own, then, then_own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest, edited = _edit(text, *_walked(text)[:2], then)
+                rows.append((doc_id, len(text), digest, own, edited, likeness(own, edited), likeness(own, then_own)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), plain, strict=True)], schema=plain)
+
+    walked = cut(spread.mapInArrow(run, schema))
+    first = walked.where("first")
+    held = sorted(r.range for r in first.select("range").collect())
+    order = spark.createDataFrame(list(zip(held, held[1:] + held[:1], strict=True)), "range int, then_range int")
+    then = first.select(F.col("range").alias("then_range"), F.col("text").alias("then"), F.col("fingerprint").alias("then_own"))
+    met = walked.where("not first").join(order, "range").join(then, "then_range").select("doc_id", "text", "fingerprint", "then", "then_own")
+    return walked.where("range is null").select(*[f.name for f in done]).unionByName(cut(met.mapInArrow(close, T.StructType(done))))
