@@ -92,20 +92,82 @@ def test_pack_is_valid_and_tight(seed):
     for b, u in used.items():
         assert length[b] == min(c for c in (512, 1024, 2048, 4096) if c >= u)
     assert sum(sizes) / sum(length) > 0.95
-    # Best fit by definition: replay with a plain search over all open bins.
-    capacity, load = [], []
-    for s, b in zip(sizes, bins, strict=True):
-        fits = [(capacity[i] - load[i], i) for i in range(len(load)) if capacity[i] - load[i] >= s]
+    # Best fit with one length, by definition: a search over all open bins.
+    single, load = pack(sizes, (4096,))[0], []
+    for s, b in zip(sizes, single, strict=True):
+        fits = [4096 - x for x in load if 4096 - x >= s]
         if fits:
-            assert capacity[b] - load[b] == min(fits)[0]
+            assert 4096 - load[b] == min(fits)
         else:
-            left = sum(sizes) - sum(load)
-            capacity.append(min((c for c in (512, 1024, 2048, 4096) if c >= s), key=lambda c: ((c + 16) / min(c, left), c)))
+            assert b == len(load)
             load.append(0)
-            assert b == len(load) - 1
         load[b] += s
 
 
+def price(bins, sizes, lengths=(512, 1024, 2048, 4096)):
+    """Cost of a packing by its definition."""
+    used = {}
+    for b, s in zip(bins, sizes, strict=True):
+        used[b] = used.get(b, 0) + s
+    length = [min(c for c in lengths if c >= u) for u in used.values()]
+    return sum(16 + c + c * c / 32768 for c in length)
+
+
+def test_mixed_lengths_beat_each_single_length():
+    rng = random.Random(3)
+    corpora = {
+        "long and short": [rng.randrange(3300, 4000) for _ in range(400)] + [rng.randrange(300, 520) for _ in range(6000)],
+        "just above a third": [rng.randrange(1370, 1500) for _ in range(800)] + [rng.randrange(900, 1024) for _ in range(1500)],
+        "log-normal": [min(4096, max(1, int(rng.lognormvariate(5.6, 1.1)))) for _ in range(8000)],
+    }
+    for name, sizes in corpora.items():
+        sizes.sort(reverse=True)
+        bins, _, length = pack(sizes)
+        mixed = price(bins, sizes)
+        assert len(set(length)) > 1, name
+        for c in (512, 1024, 2048, 4096):
+            if c >= sizes[0]:
+                assert mixed < 0.995 * price(pack(sizes, (c,))[0], sizes, (c,)), (name, c)  # the same without a choice
+                assert mixed < 0.999 * price(pack(sizes, (c,))[0], sizes), (name, c)  # and with bins that shrink at the end
+        assert sum(sizes) / sum(length) > 0.9, name
+
+
+def test_packing_is_near_the_cheapest_of_all():
+    """All partitions of a few pieces, by enumeration."""
+
+    def partitions(n):
+        if not n:
+            yield []
+            return
+        for p in partitions(n - 1):
+            for b in range(max(p, default=-1) + 2):
+                yield [*p, b]
+
+    rng = random.Random(6)
+    total = best = 0.0
+    for _ in range(12):
+        sizes = sorted((rng.choice([rng.randrange(1, 600), rng.randrange(400, 2300)]) for _ in range(7)), reverse=True)
+        cheapest = min(price(p, sizes) for p in partitions(7) if all(sum(s for s, b in zip(sizes, p, strict=True) if b == i) <= 4096 for i in set(p)))
+        own = price(pack(sizes)[0], sizes)
+        assert own <= 1.35 * cheapest
+        total, best = total + own, best + cheapest
+    assert total <= 1.12 * best
+
+
+def test_packing_deals_a_hot_id_to_all_shards(spark, monkeypatch):
+    from collections import Counter
+
+    from duskline.llm import packing
+
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(None, 100)] * 300 + [(5, 40)] * 200 + [(i, 60) for i in range(10, 100)]
+    got = [pack_documents(spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(n), shard_tokens=5000) for n in (1, 4)]
+    seen = [sorted(map(tuple, df.collect()), key=repr) for df in got]
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)  # whatever the partitioning
+    hot = Counter(r[3] for r in seen[0] if r[0] is None)
+    assert len(hot) == 9 and max(hot.values()) < 60
+
+
 def test_pack_rows(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(0, 9000), "x") for i in range(300)] + [(1, None, "x"), (None, 700, "x"), (2, -5, "x"), (3, 4096, "x"), (3, 4096, "x")]
