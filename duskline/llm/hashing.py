@@ -23,13 +23,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the segments ``starts``..``stops`` (ascending, not overlapping) of ``values``.
+def segment_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, parts: int = 1) -> np.ndarray:
+    """A hash of ``parts`` (one or two) times 64 bits of each of the segments ``starts``..``stops`` (ascending, not
+    overlapping) of ``values``: ``[parts, segments]``.
 
     Every symbol is scrambled together with its place in its segment, and a segment's hash is the scrambled sum. A
     polynomial modulo 2**64 would not do: it is equal on some words of 1024 or more symbols whatever its base.
     """
-    sums = np.zeros(len(values) + 1, np.uint64)
+    sums = np.zeros((parts, len(values) + 1), np.uint64)
     origin = 0  # of the segment that the last block ended in
     cuts = np.searchsorted(starts, np.arange(0, len(values) + BLOCK, BLOCK))
     for i, at in enumerate(range(0, len(values), BLOCK)):  # in blocks, as large temporary arrays cost more than the work
@@ -44,9 +45,13 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) ->
         part |= (np.arange(at, at + len(part)) - begin).astype(np.uint64) << np.uint64(24)
         part *= _ODD
         part = mix(part)
-        part[:1] += sums[at : at + 1]
-        np.cumsum(part, out=sums[at + 1 : at + 1 + len(part)])
-    return mix(sums[stops] - sums[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for total in sums:
+            own = part.copy()
+            own[:1] += total[at : at + 1]
+            np.cumsum(own, out=total[at + 1 : at + 1 + len(own)])
+            part ^= part >> np.uint64(32)
+            part *= np.uint64(0x94D049BB133111EB)
+    return mix(sums[:, stops] - sums[:, starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +66,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[1:] &= ~inside[:-1] | edge[1:n]
     end[:-1] &= ~inside[1:] | edge[1:n]
     starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return segment_hashes(_LOWER[data], starts, stops), np.searchsorted(offsets, starts, "right") - 1
+    return segment_hashes(_LOWER[data], starts, stops)[0], np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,8 @@ pattern. A word of n bytes starts as n symbols in a linked list; a heap holds th
 of lowest rank (leftmost on ties) is merged until none is left; the count is the initial symbols minus the merges.
 
 Words repeat within and across texts, so the words of a slice of texts are found and hashed with array operations. Each
-word is compared with the one that stands for its hash, so that no count hangs on a hash; the distinct ones are looked up,
-and each worker remembers the counts of up to ``MEMORY`` of them by the words themselves.
+word is compared with the one that stands for its hash in the slice; each worker remembers the counts of up to ``MEMORY``
+distinct words by 128 bits of hash of their characters and places.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from pyspark.sql import types as T
 from duskline.llm.arrow_map import append_columns
 from duskline.llm.hashing import segment_hashes
 
-#: Distinct words a worker remembers, about 150 bytes each (longer words than ``REMEMBERED`` characters are counted anew);
-#: when there are more it starts afresh. It bounds memory, not results.
-MEMORY, REMEMBERED = 250_000, 64
+#: Distinct words a worker remembers, at 28 bytes each; when there are more it starts afresh. It bounds memory, not results.
+MEMORY = 1 << 20
 #: The published pattern of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
@@ -41,6 +40,46 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+class WordMemory:
+    """Counts by 128-bit hash, in an open-addressing table of fixed size."""
+
+    def __init__(self, size: int = MEMORY):
+        self.size, self.shift = size, np.uint64(64 - max(2 * size - 1, 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.slots = np.full(1 << 64 - int(self.shift), -1, np.int32)
+        self.keys, self.tokens = np.empty((2, self.size), np.uint64), np.empty(self.size, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered count of each key ``[2, words]``, -1 if there is none, and the slot where its search ended."""
+        at = (keys[0] >> self.shift).astype(np.int64)
+        row = self.slots[at]
+        other = lambda r, w: (r >= 0) & ((self.keys[0][r] != keys[0][w]) | (self.keys[1][r] != keys[1][w]))
+        todo = np.flatnonzero(other(row, slice(None)))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            row[todo] = self.slots[at[todo]]
+            todo = todo[other(row[todo], todo)]
+        return np.where(row >= 0, self.tokens[row], -1), at
+
+    def add(self, keys: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> None:
+        """Remember distinct new keys whose searches ended at the free slots ``at``."""
+        if self.n + len(tokens) > self.size:
+            self.clear()
+            keys, tokens = keys[:, : self.size], tokens[: self.size]
+            at = (keys[0] >> self.shift).astype(np.int64)
+        rows = np.arange(self.n, self.n + len(tokens), dtype=np.int32)
+        self.keys[:, rows], self.tokens[rows] = keys, tokens
+        self.n += len(tokens)
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]
+            left = self.slots[at] != rows
+            rows, at = rows[left], (at[left] + 1) & (len(self.slots) - 1)
+
+
 class MergeCounter:
     """Merge ranks and special strings of one ``tokenizers`` file."""
 
@@ -63,7 +102,7 @@ class MergeCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.kinds = _kinds()
-        self.known: dict[str, int] = {}
+        self.known = WordMemory()
 
     def word(self, word: str) -> int:
         """Tokens of one word."""
@@ -141,22 +180,16 @@ class MergeCounter:
         cut[joint[codes[joint] == 32] + 1] = False
         starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], n)
-        _, first, back = np.unique(segment_hashes(codes, starts, stops), return_index=True, return_inverse=True)
+        keys = segment_hashes(codes, starts, stops, 2)
+        _, first, back = np.unique(keys[0], return_index=True, return_inverse=True)
         if not _same_words(codes, starts, stops, starts[first][back], stops[first][back]):
             return np.array([self.count(t) for t in texts])  # two words have one hash
-        tokens = np.array([self.known_word(whole[a:b]) for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)], np.int64)
-        return np.add.reduceat(tokens[back], np.searchsorted(starts, offsets[:-1]))
-
-    def known_word(self, word: str) -> int:
-        """Tokens of one word, remembered."""
-        tokens = self.known.get(word)
-        if tokens is None:
-            tokens = self.word(word)
-            if len(word) <= REMEMBERED:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[word] = tokens
-        return tokens
+        keys = keys[:, first]
+        tokens, at = self.known.find(keys)
+        new = np.flatnonzero(tokens < 0)
+        tokens[new] = [self.word(whole[a:b]) for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
+        self.known.add(keys[:, new], tokens[new], at[new])
+        return np.add.reduceat(tokens[back].astype(np.int64), np.searchsorted(starts, offsets[:-1]))
 
 
 def _same_words(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, as_starts: np.ndarray, as_stops: np.ndarray) -> bool:

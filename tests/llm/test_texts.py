@@ -41,10 +41,28 @@ def test_token_counts_of_words_that_polynomial_hashes_confuse(monkeypatch):
     want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     counter = token_counts.load(P.path("byte_bpe_50k.json"))
     assert counter.count_all(texts).tolist() == want
-    monkeypatch.setattr(token_counts, "segment_hashes", lambda codes, starts, stops: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(token_counts, "segment_hashes", lambda codes, starts, stops, parts: np.zeros((parts, len(starts)), np.uint64))
     assert counter.count_all(texts).tolist() == want  # whatever the hash
 
 
+def test_word_memory_forgets_but_never_errs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    memory, every = token_counts.WordMemory(500), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 1 << 11, 90).astype(np.uint64) << np.uint64(53))  # many share a home slot
+        keys = np.stack((keys, keys ^ np.uint64(rng.integers(0, 3))))
+        tokens, at = memory.find(keys)
+        for k, t in zip(keys.T.tolist(), tokens.tolist(), strict=True):
+            assert t in (-1, every.get(tuple(k)))
+        new = np.flatnonzero(tokens < 0)
+        fresh = rng.integers(1, 99, len(new)).astype(np.int32)
+        memory.add(keys[:, new], fresh, at[new])
+        every |= {tuple(k): t for k, t in zip(keys[:, new].T.tolist(), fresh.tolist(), strict=True)}
+        assert memory.find(keys[:, new])[0].tolist() == fresh.tolist() and memory.n <= 500
+
+
 def test_token_count_rows(odd, none, odd_rows):
     got = token_counts.count_tokens(odd.withColumnRenamed("n_chars", "N_Tokens"), P.path("byte_bpe_50k.json")).collect()
     assert len(got) == len(odd_rows)
