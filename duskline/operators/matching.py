@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskline.operators.components import connected_components
-from duskline.operators.spatial import overlaps, radius_join
+from duskline.operators.spatial import radius_join_overlapping
 from duskline.session import cut
 
 
 def link_pairs(intervals: DataFrame, r: float) -> DataFrame:
     """Pairs ``(a, b)`` of ids, a < b, at most ``r`` apart whose closed intervals meet."""
     right = intervals.select(F.col("id").alias("b"), F.col("x_m").alias("bx"), F.col("y_m").alias("by"), F.col("start_ts").alias("bs"), F.col("end_ts").alias("be"))
-    near = radius_join(intervals.select(F.col("id").alias("a"), "x_m", "y_m", "start_ts", "end_ts"), right, r)
-    return near.where("a < b").where(overlaps("start_ts", "end_ts", "bs", "be")).select("a", "b")
+    near = radius_join_overlapping(intervals.select(F.col("id").alias("a"), "x_m", "y_m", "start_ts", "end_ts"), right, r)
+    return near.where("a < b").select("a", "b")
 
 
 def episodes(intervals: DataFrame, r: float) -> DataFrame:

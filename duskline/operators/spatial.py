@@ -1,15 +1,18 @@
 """Space-time joins and counts: grid equi-join, then the exact distance.
 
 Points fall into square cells of side r; the smaller side is copied to the 3 x 3 cells around it, so all pairs within r
-meet in a cell and Spark can hash or sort-merge on it. Joins with intervals add the day to the key, so that a dense place
-is spread over time as well. Bounds are explicit: distances are closed (d <= r), windows closed unless said otherwise.
+meet in a cell and Spark can hash or sort-merge on it. Joins that are bounded in time add the day, or a period of some
+days, to the key: a dense place is spread over time, and pairs far apart in time never meet. Bounds are explicit: distances
+are closed (d <= r), windows closed unless said otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskline.session import cut
+
 XY = ("x_m", "y_m")
 
 
@@ -30,7 +33,7 @@ def grid_disk(df: DataFrame, k: int, gx: str = "gx", gy: str = "gy") -> DataFram
     return df.withColumn("_i", F.explode(ring)).withColumn("_j", F.explode(ring)).withColumn("nx", F.col(gx) + F.col("_i")).withColumn("ny", F.col(gy) + F.col("_j")).drop("_i", "_j")
 
 
-def _near(a: DataFrame, b: DataFrame, r: float, a_xy: tuple[str, str], b_xy: tuple[str, str], keys: list[str], salt: int) -> DataFrame:
+def _near(a: DataFrame, b: DataFrame, r: float, a_xy: tuple[str, str], b_xy: tuple[str, str], keys: list[str], salt: int = 1, where: str = "true") -> DataFrame:
     ga, gb = cell_of(*a_xy, r), cell_of(*b_xy, r)
     ring = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     a = a.withColumn("_gx", ga[0]).withColumn("_gy", ga[1])
@@ -40,7 +43,17 @@ def _near(a: DataFrame, b: DataFrame, r: float, a_xy: tuple[str, str], b_xy: tup
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys = [*keys, "_salt"]
     d = F.sqrt((F.col(a_xy[0]) - F.col(b_xy[0])) ** 2 + (F.col(a_xy[1]) - F.col(b_xy[1])) ** 2)
-    return a.join(b, ["_gx", "_gy", *keys]).withColumn("distance", d).where(F.col("distance") <= r).drop("_gx", "_gy", *keys)
+    return a.join(b, ["_gx", "_gy", *keys]).where(where).withColumn("distance", d).where(F.col("distance") <= r).drop("_gx", "_gy", *keys)
+
+
+def period(ts: str, days: int) -> Column:
+    """Number of the period of ``days`` days in which a timestamp (SQL) lies."""
+    return F.floor(F.unix_date(F.expr(f"to_date({ts})")) / days).cast("int")
+
+
+def periods(start: str, end: str, days: int) -> Column:
+    """Numbers of the periods that meet [start, end] (SQL); null if that is empty or unbounded."""
+    return F.when(F.expr(f"({start}) <= ({end})"), F.sequence(period(start, days), period(end, days)))
 
 
 def radius_join(a: DataFrame, b: DataFrame, r: float, a_xy: tuple[str, str] = XY, b_xy: tuple[str, str] = ("bx", "by"), salt: int = 1) -> DataFrame:
@@ -64,12 +77,23 @@ def band_join(a: DataFrame, b: DataFrame, edges: list[float], **kw) -> DataFrame
     return radius_join(a, b, max(edges), **kw).withColumn("band", band_of(F.col("distance"), edges))
 
 
-def radius_join_during(points: DataFrame, intervals: DataFrame, r: float, p_xy: tuple[str, str] = XY, i_xy: tuple[str, str] = ("ix", "iy"), t: str = "t", start: str = "start_ts", end: str = "end_ts") -> DataFrame:
-    """Pairs of a point and an interval at most ``r`` apart with start <= t <= end. Open intervals match nothing."""
-    points = points.withColumn("_day", F.to_date(t))
-    days = F.sequence(F.to_date(start), F.to_date(end), F.expr("interval 1 day"))
-    intervals = intervals.where(F.col(end) >= F.col(start)).withColumn("_day", F.explode(days))
-    return _near(points, intervals, r, p_xy, i_xy, ["_day"], 1).where(F.col(t).between(F.col(start), F.col(end)))
+def radius_join_during(points: DataFrame, intervals: DataFrame, r: float, p_xy: tuple[str, str] = XY, i_xy: tuple[str, str] = ("ix", "iy"), t: str = "t", start: str = "start_ts", end: str = "end_ts", days: int = 1) -> DataFrame:
+    """Pairs of a point and an interval at most ``r`` apart with start <= t <= end (SQL on the interval's columns). Open
+    intervals match nothing. Points are copied to nine cells, intervals to the periods that they meet."""
+    points = points.withColumn("_k", period(t, days))
+    intervals = intervals.withColumn("_k", F.explode(periods(start, end, days)))
+    return _near(intervals, points, r, i_xy, p_xy, ["_k"], where=f"{t} between {start} and {end}")
+
+
+def radius_join_overlapping(a: DataFrame, b: DataFrame, r: float, a_time: tuple[str, str] = ("start_ts", "end_ts"), b_time: tuple[str, str] = ("bs", "be"), a_xy: tuple[str, str] = XY, b_xy: tuple[str, str] = ("bx", "by"), days: int = 4) -> DataFrame:
+    """Pairs at most ``r`` apart whose closed intervals (SQL on the columns of each side) meet, each once.
+
+    Both sides go to every period that they meet; a pair counts in the period in which the later one starts.
+    """
+    a = a.withColumn("_k", F.explode(periods(*a_time, days))).withColumn("_ka", period(a_time[0], days))
+    b = b.withColumn("_k", F.explode(periods(*b_time, days))).withColumn("_kb", period(b_time[0], days))
+    meet = f"_k = greatest(_ka, _kb) and ({a_time[0]}) <= ({b_time[1]}) and ({b_time[0]}) <= ({a_time[1]})"
+    return _near(a, b, r, a_xy, b_xy, ["_k"], where=meet).drop("_ka", "_kb")
 
 
 def count_in_zone_during(points: DataFrame, intervals: DataFrame, inner: float, outer: float, key: str = "id") -> DataFrame:
@@ -80,17 +104,37 @@ def count_in_zone_during(points: DataFrame, intervals: DataFrame, inner: float,
     return intervals.select(key).join(counts, key, "left").fillna(0, ["n_disc", "n_ring"])
 
 
-def count_in_windows(units: DataFrame, points: DataFrame, windows: dict[str, tuple[str, str]], radii: list[float], key: str = "id", t: str = "t") -> DataFrame:
-    """Per unit the points of each window and ring in one pass: columns ``<window>_<ring>``, zeros kept.
+def count_in_windows(units: DataFrame, points: DataFrame, windows: dict[str, tuple[str, str, str]], radii: list[float], key: str = "id", t: str = "t", days: int = 4) -> DataFrame:
+    """Per unit the points of each window and ring: columns ``<window>_<ring>``, zeros kept.
 
-    ``windows`` maps a name to a pair of SQL conditions on the unit's columns and ``t``: the opening and the closing
-    bound, such as ``("t >= start_ts - interval 14 days", "t < start_ts")``.
+    ``windows`` maps a name to (from, to, bounds): SQL on the unit's columns and one of ``[]``, ``[)``, ``(]``, ``()``. A
+    window with a null or reversed bound holds nothing. Units of one place share its points: places meet the points of the
+    periods that some window of theirs touches, running counts along time are read off at the ends of each window, and a
+    count is the difference of two. Work follows places and periods, not pairs of units and points. Sums run inside a
+    place's period; what earlier periods add is one row a place and period.
     """
-    a = points.select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), F.col(t).alias("t"))
-    near = band_join(a, units, radii, a_xy=("px", "py"), b_xy=XY)
-    cols = [F.count_if(F.expr(f"{lo} and {hi} and band = {i}")).alias(f"{name}_{i}") for name, (lo, hi) in windows.items() for i in range(len(radii))]
-    counts = near.groupBy(key).agg(*cols)
-    return units.select(key).join(counts, key, "left").fillna(0)
+    per = [f"{name}_{i}" for name in windows for i in range(len(radii))]
+    ring, place = [f"_b{i}" for i in range(len(radii))], ["x_m", "y_m", "_at_k"]
+    ends, spans = [], []
+    for w, (lo, hi, bounds) in enumerate(windows.values()):
+        end = lambda sign, bound, after: F.struct(F.lit(w).alias("w"), F.lit(sign).alias("sign"), F.expr(bound).alias("at"), F.lit(2 if after else 0).alias("turn"))  # noqa: B023, E731
+        ends.append(F.when(F.expr(f"({lo}) <= ({hi})"), F.array(end(-1, lo, bounds[0] == "("), end(1, hi, bounds[1] == "]"))))
+        spans.append(periods(lo, hi, days))
+    every = lambda arrays: F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
+    places = units.select("x_m", "y_m", F.explode(F.array_distinct(every(spans))).alias("_k")).distinct().withColumn("_at_k", F.col("_k"))
+    moved = points.select(F.col("x_m").alias("_px"), F.col("y_m").alias("_py"), F.col(t).alias("_at"), period(t, days).alias("_k"))
+    near = _near(moved, places, max(radii), ("_px", "_py"), XY, ["_k"]).withColumn("_ring", band_of(F.col("distance"), radii))
+    marks = units.select(F.col(key).alias("id"), "x_m", "y_m", F.explode(every(ends)).alias("m")).select("x_m", "y_m", period("m.at", days).alias("_at_k"), F.col("m.at").alias("_at"), F.col("m.turn").alias("_turn"), *[F.lit(0).alias(c) for c in ring], F.struct("id", "m.w", "m.sign").alias("mark"))
+    seen = near.select(*place, "_at", F.lit(1).alias("_turn"), *[(F.col("_ring") == i).cast("int").alias(c) for i, c in enumerate(ring)])
+    along = Window.partitionBy(*place).orderBy("_at", "_turn")
+    ran = seen.unionByName(marks, allowMissingColumns=True).select(*place, "mark", *[F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ring], F.lead(F.lit(True)).over(along).isNull().alias("_last"))
+    ran = cut(ran.where("mark is not null or _last"))
+    earlier = Window.partitionBy("x_m", "y_m").orderBy("_at_k").rowsBetween(Window.unboundedPreceding, -1)
+    before = ran.where("_last").select(*place, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ring])
+    read = ran.where("mark is not null").join(before, place)
+    counts = [F.greatest(F.sum(F.when(F.col("mark.w") == w, F.col("mark.sign") * (F.col(c) + F.col(f"{c}_before")))), F.lit(0)) for w in range(len(windows)) for c in ring]
+    counted = read.groupBy(F.col("mark.id").alias(key)).agg(*[c.alias(name) for c, name in zip(counts, per, strict=True)])
+    return units.select(key).join(counted, key, "left").fillna(0)
 
 
 def overlaps(s: str, e: str, a: str, b: str) -> Column:
@@ -100,7 +144,7 @@ def overlaps(s: str, e: str, a: str, b: str) -> Column:
 
 def overlap_exists(sites: DataFrame, intervals: DataFrame, r: float, key: str = "site", exclude: Column | None = None) -> DataFrame:
     """Keys of sites (x_m, y_m, w_start, w_end) with an interval (ix, iy, start_ts, end_ts) in reach that meets the window."""
-    near = radius_join(sites, intervals, r, XY, ("ix", "iy")).where(overlaps("start_ts", "end_ts", "w_start", "w_end"))
+    near = radius_join_overlapping(sites, intervals, r, ("w_start", "w_end"), ("start_ts", "end_ts"), XY, ("ix", "iy"))
     return (near if exclude is None else near.where(~exclude)).select(key).distinct()
 
 
@@ -109,8 +153,6 @@ def nearest_join(a: DataFrame, b: DataFrame, radius: float, max_radius: float, a
 
     Searches with a doubling radius; only rows without a neighbour go on to the next one, so dense places never look far.
     """
-    from duskline.session import cut
-
     found, rest, r = None, a, radius
     while True:
         hit = radius_join(rest, b, r, a_xy, b_xy).groupBy(a_key).agg(F.min(F.struct("distance", b_key)).alias("m")).select(a_key, f"m.{b_key}", "m.distance")

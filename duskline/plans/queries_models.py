@@ -19,7 +19,7 @@ def _closed(spark, sf):
 
 
 _LINKS = with_views("ivals") + ", l AS (SELECT a.id AS a, b.id AS b FROM ivals a JOIN ivals b ON a.id < b.id AND sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) <= 25 AND a.start_ts <= b.end_ts AND a.end_ts >= b.start_ts WHERE a.end_ts IS NOT NULL AND b.end_ts IS NOT NULL)"
-_COMP = _LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(id, c) AS (SELECT id, id FROM ivals WHERE end_ts IS NOT NULL UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id), m AS (SELECT id, min(c) AS episode FROM r GROUP BY 1)"
+_COMP = _LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(id, c) AS (SELECT id, id FROM ivals WHERE end_ts IS NOT NULL UNION SELECT u.b, min(r.c) FROM r JOIN u ON u.a = r.id WHERE r.c < u.b GROUP BY u.b), m AS (SELECT id, min(c) AS episode FROM r GROUP BY 1)"
 
 
 @register("link_pairs", _LINKS + " SELECT a, b FROM l")

@@ -40,34 +40,32 @@ def _windows_sql(extra: str) -> str:
 @register("count_in_windows", _windows_sql("count(CASE WHEN t >= s - INTERVAL 14 DAY AND t < s AND d <= 100 THEN 1 END) AS before_0, count(CASE WHEN t >= s - INTERVAL 14 DAY AND t < s AND d > 100 THEN 1 END) AS before_1, count(CASE WHEN t >= s AND t <= s + INTERVAL 7 DAY AND d <= 100 THEN 1 END) AS after_0, count(CASE WHEN t >= s AND t <= s + INTERVAL 7 DAY AND d > 100 THEN 1 END) AS after_1"))
 def count_in_windows(spark, sf):
     units = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    w = {"before": ("t >= start_ts - interval 14 days", "t < start_ts"), "after": ("t >= start_ts", "t <= start_ts + interval 7 days")}
+    w = {"before": ("start_ts - interval 14 days", "start_ts", "[)"), "after": ("start_ts", "start_ts + interval 7 days", "[]")}
     return sp.count_in_windows(units, view(spark, sf, "pts"), w, [100, 250])
 
 
 @register("baseline_counts", _windows_sql("count(CASE WHEN t >= s - INTERVAL 10 DAY AND t < s - INTERVAL 3 DAY AND d <= 100 THEN 1 END) AS n"))
 def baseline_counts(spark, sf):
     units = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("t >= start_ts - interval 10 days", "t < start_ts - interval 3 days")}, [100]).select("id", F.col("b_0").alias("n"))
+    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("start_ts - interval 10 days", "start_ts - interval 3 days", "[)")}, [100]).select("id", F.col("b_0").alias("n"))
 
 
 @register("lookback_rate", _windows_sql("count(CASE WHEN t >= s - INTERVAL 14 DAY AND t < s THEN 1 END) / 14.0::DOUBLE AS rate"))
 def lookback_rate(spark, sf):
     units = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("t >= start_ts - interval 14 days", "t < start_ts")}, [250]).select("id", (F.col("b_0") / 14.0).alias("rate"))
+    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("start_ts - interval 14 days", "start_ts", "[)")}, [250]).select("id", (F.col("b_0") / 14.0).alias("rate"))
 
 
 @register("lagged_activity", _windows_sql("count(CASE WHEN t >= s - INTERVAL 20 DAY AND t < s - INTERVAL 5 DAY THEN 1 END) AS n"))
 def lagged_activity(spark, sf):
     units = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("t >= start_ts - interval 20 days", "t < start_ts - interval 5 days")}, [250]).select("id", F.col("b_0").alias("n"))
+    return sp.count_in_windows(units, view(spark, sf, "pts"), {"b": ("start_ts - interval 20 days", "start_ts - interval 5 days", "[)")}, [250]).select("id", F.col("b_0").alias("n"))
 
 
 @register("prior_nearby_events", with_views("ivals") + f" SELECT a.id, count(b.id) AS n FROM ivals a LEFT JOIN ivals b ON b.start_ts < a.start_ts AND b.start_ts >= a.start_ts - INTERVAL 9 DAY AND {_SELF} <= 50 GROUP BY a.id")
 def prior_nearby_events(spark, sf):
     iv = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    b = _right(iv, {"x_m": "bx", "y_m": "by", "start_ts": "bt"})
-    near = sp.radius_join(iv, b, 50).where("bt < start_ts and bt >= start_ts - interval 9 days")
-    return iv.select("id").join(near.groupBy("id").agg(F.count("*").alias("n")), "id", "left").fillna(0)
+    return sp.count_in_windows(iv, iv, {"b": ("start_ts - interval 9 days", "start_ts", "[)")}, [50], t="start_ts").select("id", F.col("b_0").alias("n"))
 
 
 @register("events_during_open", with_views("pts", "ivals") + f" SELECT i.id, count(p.event_id) AS n, round(count(p.event_id) / greatest(epoch(i.end_ts - i.start_ts) / 86400.0, 0.25), 9) AS per_day FROM ivals i LEFT JOIN pts p ON p.t BETWEEN i.start_ts AND i.end_ts AND {_D} <= 100 WHERE i.end_ts IS NOT NULL GROUP BY i.id, i.start_ts, i.end_ts")
@@ -81,11 +79,9 @@ def events_during_open(spark, sf):
 @register("event_week_counts", with_views("pts", "ivals") + f", k AS (SELECT i.id, CAST(floor(epoch(p.t - i.start_ts) / 604800.0) AS INT) AS week FROM ivals i JOIN pts p ON {_D} <= 100) SELECT i.id, w.week, count(k.id) AS n FROM ivals i CROSS JOIN (SELECT CAST(unnest(range(-4, 5)) AS INT) AS week) w LEFT JOIN k ON k.id = i.id AND k.week = w.week GROUP BY ALL")
 def event_week_counts(spark, sf):
     iv = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    p = view(spark, sf, "pts").select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), "t")
-    week = F.floor(F.expr("timestampdiff(microsecond, start_ts, t)") / 1e6 / 604800).cast("int")
-    n = sp.radius_join(p, iv, 100, ("px", "py"), sp.XY).withColumn("week", week).groupBy("id", "week").agg(F.count("*").alias("n"))
-    spine = iv.select("id", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("week"))
-    return spine.join(n, ["id", "week"], "left").fillna(0)
+    at = lambda week: f"start_ts + interval {7 * week} days"
+    n = sp.count_in_windows(iv, view(spark, sf, "pts"), {f"w{i}": (at(i - 4), at(i - 3), "[)") for i in range(9)}, [100])
+    return n.select("id", F.posexplode(F.array(*[F.col(f"w{i}_0") for i in range(9)])).alias("i", "n")).select("id", (F.col("i") - 4).alias("week"), "n")
 
 
 _SITE_SQL = "s AS (SELECT rid AS site, rx AS x_m, ry AS y_m, TIMESTAMP '2024-01-10' AS w_start, TIMESTAMP '2024-01-12' AS w_end FROM regions)"
@@ -108,7 +104,7 @@ def clean_pre_post(spark, sf):
     iv = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts", "end_ts")
     b = _right(iv, {"id": "bid", "x_m": "bx", "y_m": "by", "start_ts": "bs", "end_ts": "be"})
     a = iv.where("end_ts is not null")
-    near = sp.radius_join(a, b, 100).where("bid <> id").groupBy("id").agg(
+    near = sp.radius_join_overlapping(a, b, 100, ("start_ts - interval 5 days", "end_ts + interval 5 days")).where("bid <> id").groupBy("id").agg(
         F.bool_or(F.expr("bs < start_ts and be >= start_ts - interval 5 days")).alias("dirty_pre"), F.bool_or(F.expr("bs <= end_ts + interval 5 days and be > end_ts")).alias("dirty_post"))
     return a.select("id").join(near, "id", "left").select("id", F.coalesce("dirty_pre", F.lit(False)).alias("dirty_pre"), F.coalesce("dirty_post", F.lit(False)).alias("dirty_post"))
 
@@ -117,7 +113,7 @@ def clean_pre_post(spark, sf):
 def near_other_pairs(spark, sf):
     iv = view(spark, sf, "ivals").where("end_ts is not null").select("id", "x_m", "y_m", "start_ts", "end_ts")
     b = _right(iv, {"id": "bid", "x_m": "bx", "y_m": "by", "start_ts": "bs", "end_ts": "be"})
-    hit = sp.radius_join(iv, b, 80).where("bid <> id").where(sp.overlaps("bs", "be", "start_ts", "end_ts")).select("id").distinct().withColumn("near", F.lit(True))
+    hit = sp.radius_join_overlapping(iv, b, 80).where("bid <> id").select("id").distinct().withColumn("near", F.lit(True))
     return iv.select("id").join(hit, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
@@ -125,7 +121,7 @@ def near_other_pairs(spark, sf):
 def count_overlapping_ring(spark, sf):
     iv = view(spark, sf, "ivals").where("end_ts is not null").select("id", "x_m", "y_m", "start_ts", "end_ts")
     b = _right(iv, {"id": "bid", "x_m": "bx", "y_m": "by", "start_ts": "bs", "end_ts": "be"})
-    n = sp.radius_join(iv, b, 120).where("bid <> id and distance > 50").where(sp.overlaps("bs", "be", "start_ts", "end_ts")).groupBy("id").agg(F.count("*").alias("n"))
+    n = sp.radius_join_overlapping(iv, b, 120).where("bid <> id and distance > 50").groupBy("id").agg(F.count("*").alias("n"))
     return iv.select("id").join(n, "id", "left").fillna(0)
 
 
@@ -164,8 +160,9 @@ def cell_universe(spark, sf):
 @register("cell_density", with_views("pts", "ivals") + " SELECT i.id, count(p.event_id) / 0.25::DOUBLE AS per_km2 FROM ivals i LEFT JOIN pts p ON floor(p.x_m / 500) = floor(i.x_m / 500) AND floor(p.y_m / 500) = floor(i.y_m / 500) AND p.t >= i.start_ts - INTERVAL 7 DAY AND p.t < i.start_ts GROUP BY i.id")
 def cell_density(spark, sf):
     iv = sp.grid_cell(view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts"), 500).select("id", "cell", "start_ts")
-    p = sp.grid_cell(view(spark, sf, "pts").select("x_m", "y_m", "t"), 500).select("cell", "t")
-    n = iv.join(p, "cell").groupBy("id").agg(F.count_if(F.expr("t >= start_ts - interval 7 days and t < start_ts")).alias("n"))
+    p = sp.grid_cell(view(spark, sf, "pts").select("x_m", "y_m", "t"), 500).groupBy("cell", sp.period("t", 1).alias("day"), "t").agg(F.count("*").alias("c"))
+    days = iv.withColumn("day", F.explode(sp.periods("start_ts - interval 7 days", "start_ts", 1)))
+    n = days.join(p, ["cell", "day"]).where("t >= start_ts - interval 7 days and t < start_ts").groupBy("id").agg(F.sum("c").alias("n"))
     return iv.select("id").join(n, "id", "left").select("id", (F.coalesce("n", F.lit(0)) / 0.25).alias("per_km2"))
 
 
