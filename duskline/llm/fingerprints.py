@@ -36,12 +36,14 @@ from duskline.session import cut, let_go
 PERIOD, SLOTS = 4096, 128
 #: Share of slots that agree by chance between unlike texts: frequent characters and four-bit hashes.
 CHANCE = 0.12
+#: The same between texts of one language, as banding has to expect it.
+STRANGE = 0.2
 #: Members above which a bucket is compared in blocks, and the members of a block.
 SMALL_BUCKET, BLOCK = 24, 512
 #: Likeness from which documents are near.
 LEAST = 0.8
 #: Bands whose buckets are formed in one pass, which bounds the disk of their shuffle.
-BANDS_AT_ONCE = 20
+BANDS_AT_ONCE = 24
 
 
 class EditEmbedding:
@@ -127,10 +129,10 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", without: tuple[str
 
 
 def banding(classes: int, least: float, miss: float = 0.01) -> tuple[int, int]:
-    """``(bands, width)``: a width at which a text shares a band with a tenth of an unlike one out of ``classes``, and the
-    bands with which a pair of likeness ``least`` shares none with probability ``miss`` (its slots agree with
-    ``CHANCE + (1 - CHANCE) * least``)."""
-    width = min(16, max(6, math.ceil(math.log(10 * max(classes, 1)) / -math.log(CHANCE))))
+    """``(bands, width)``: a width at which a text shares a band with a fifth of a stranger at most, however many ``classes``
+    there are, and the bands with which a pair of likeness ``least`` shares none with probability ``miss`` (its slots agree
+    with ``CHANCE + (1 - CHANCE) * least``)."""
+    width = min(16, max(6, math.ceil(math.log(5 * max(classes, 1)) / -math.log(STRANGE))))
     agree = CHANCE + (1 - CHANCE) * least
     return max(1, math.ceil(math.log(miss) / math.log1p(-min(agree**width, 1 - 1e-9)))), width
 
