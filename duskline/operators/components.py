@@ -3,39 +3,71 @@
 Each round hooks every node onto the node of least random priority within two steps of it and contracts the edges. Stars
 and cliques vanish in one round; other graphs lose a constant factor of their edges a round in expectation, so the
 driver's loop runs O(log n) times and sees only a count. Edges are aggregated with partial aggregation, so a hub node
-costs no more than its share of the rows.
+costs no more than its share of the rows. Once at most ``LAST_EDGES`` edges are left, one task joins them up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskline.session import cut
 
+#: Contracted edges that one task takes, a few megabytes.
+LAST_EDGES = 200_000
+
+
+def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(v, to)`` for the nodes of the edges, by union-find."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+    for frame in frames:
+        for a, b in zip(frame.a.tolist(), frame.b.tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[b] = a
+    if parent:
+        yield pd.DataFrame({"v": list(parent), "to": [root(x) for x in parent]})
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_edges: int | None = None) -> DataFrame:
     """``(node, component)`` for every node on an edge; ``component`` is the smallest node id reachable.
 
     Nulls: an edge with a null end is ignored. Self loops give their node a component of its own. Repeated edges count
     once. An empty edge table gives an empty result. Nodes without an edge are not listed (they are their own component).
     """
     known = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
-    nodes = known.select(F.col("a").alias("node")).union(known.select("b")).distinct()
-    labels = nodes.select("node", F.col("node").alias("label"))
-    live = known.where("a <> b")
-    rounds = 0
-    while not live.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
+    live, hooks = known.where("a <> b"), []
+    few = LAST_EDGES if last_edges is None else last_edges
+    while n := live.count():
+        if n <= few:
+            kind = known.schema["a"].dataType
+            hooks.append(cut(live.coalesce(1).mapInPandas(_join_up, T.StructType([T.StructField("v", kind), T.StructField("to", kind)]))))
+            break
+        if len(hooks) == max_rounds:
             raise RuntimeError("connected components did not settle")
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)).alias("h"), F.col(c).alias("v"))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = live.union(live.select("b", "a"))
         # Kept apart, so that both sides of the next join are plain exchanges and a hub's rows can be split among tasks.
         near = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("b"), F.least("m", rank("a")).alias("m")))
         hook = cut(both.join(near, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("v"), F.col("m.v").alias("to")))
-        ends = lambda col: hook.select(F.col("v").alias(col), F.col("to").alias(f"{col}2"))
+        hooks.append(hook)
+        ends = lambda col: hook.select(F.col("v").alias(col), F.col("to").alias(f"{col}2"))  # noqa: B023, E731
         live = cut(live.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
-        labels = cut(labels.join(hook.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    # A round's hooks are followed through those of the later rounds, which have ever fewer nodes.
+    label = hooks.pop() if hooks else known.limit(0).select(F.col("a").alias("v"), F.col("b").alias("to"))
+    for hook in reversed(hooks):
+        label = hook.join(label.select(F.col("v").alias("to"), F.col("to").alias("then")), "to", "left").select("v", F.coalesce("then", "to").alias("to"))
+    nodes = known.select(F.col("a").alias("node")).union(known.select("b")).distinct()
+    labels = cut(nodes.join(label.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("to", "node").alias("label")))
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

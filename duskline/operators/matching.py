@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskline.operators.components import connected_components
 from duskline.operators.spatial import radius_join_overlapping
 from duskline.session import cut
 
+#: Microseconds of a day, the period in which windows meet; candidates that one task takes to end a greedy pass.
+DAY, LAST_ROWS = 86_400_000_000, 200_000
+
 
 def link_pairs(intervals: DataFrame, r: float) -> DataFrame:
     """Pairs ``(a, b)`` of ids, a < b, at most ``r`` apart whose closed intervals meet."""
@@ -31,44 +39,135 @@ def episode_table(intervals: DataFrame, members: DataFrame) -> DataFrame:
         F.sqrt((F.max("x_m") - F.min("x_m")) ** 2 + (F.max("y_m") - F.min("y_m")) ** 2).alias("span_m"))
 
 
+def _log_scales(treated: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Standard deviation of each column on the log1p scale over the treated rows; 0 if there is none."""
+    r = treated.agg(*[F.stddev_samp(F.log1p(c)).alias(c) for c in cols]).first()
+    return {c: float(r[c] or 0.0) for c in cols}
+
+
+def _in_caliper(t: DataFrame, c: DataFrame, cols: list[str], sd: dict[str, float], width: float) -> DataFrame:
+    """Rows of ``t`` and ``c`` (columns t_<col> and c_<col>, log scale) of one region within the caliper, with ``z``. They meet
+    in cells of the caliper's width: ``t`` is copied to the neighbouring cells."""
+    keys = ["region"]
+    for x in cols:
+        step = width * sd[x] or 1.0
+        cell = F.floor(F.col(f"t_{x}") / step).cast("int")
+        t = t.withColumn(f"_{x}", F.explode(F.sequence(cell - 1, cell + 1)))
+        c = c.withColumn(f"_{x}", F.floor(F.col(f"c_{x}") / step).cast("int"))
+        keys.append(f"_{x}")
+    pairs = t.join(c, keys)
+    for x in cols:
+        pairs = pairs.where(F.abs(F.col(f"t_{x}") - F.col(f"c_{x}")) <= width * sd[x])
+    z = F.sqrt(sum(((F.col(f"t_{x}") - F.col(f"c_{x}")) / sd[x]) ** 2 for x in cols if sd[x]) + F.lit(0.0))
+    return pairs.withColumn("z", z).drop(*keys[1:])
+
+
 def caliper_candidates(treated: DataFrame, controls: DataFrame, cols: list[str], width: float = 0.5) -> DataFrame:
     """Pairs of the same region within ``width`` standard deviations on the log1p scale of every column, with the Euclidean
     distance ``z`` in those units. Scales come from the treated rows."""
-    sd = treated.agg(*[F.stddev_samp(F.log1p(c)).alias(f"sd_{c}") for c in cols])
-    t = treated.select(F.col("id").alias("t"), "region", *[F.log1p(c).alias(f"t_{c}") for c in cols]).crossJoin(F.broadcast(sd))
+    t = treated.select(F.col("id").alias("t"), "region", *[F.log1p(c).alias(f"t_{c}") for c in cols])
     c = controls.select(F.col("id").alias("c"), "region", *[F.log1p(x).alias(f"c_{x}") for x in cols])
-    pairs = t.join(c, "region").where("t <> c")
-    for x in cols:
-        pairs = pairs.where(F.abs(F.col(f"t_{x}") - F.col(f"c_{x}")) <= width * F.col(f"sd_{x}"))
-    z = F.sqrt(sum((((F.col(f"t_{x}") - F.col(f"c_{x}")) / F.col(f"sd_{x}")) ** 2 for x in cols), F.lit(0.0)))
-    return pairs.select("t", "c", z.alias("z"))
+    return _in_caliper(t, c, cols, _log_scales(treated, cols), width).where("t <> c").select("t", "c", "z")
 
 
-def greedy_match(candidates: DataFrame, reuse: bool = False) -> DataFrame:
+def caliper_best(units: DataFrame, cols: list[str], width: float = 0.5) -> DataFrame:
+    """Per unit (id, region, ``cols``), all being treated and control: ``n``, the other units in its caliper, and the nearest
+    of them as ``c`` and ``z`` (distances to nine digits; ties: the smallest id); null if there are none.
+
+    Units of equal region and columns form one profile; profiles meet, not units.
+    """
+    sd = _log_scales(units, cols)
+    same = ["region", *cols]
+    first = units.groupBy(*same).agg(F.count("*").alias("m"), F.min("id").alias("c1"))
+    second = units.join(first, same).where("id <> c1").groupBy(*same).agg(F.min("id").alias("c2"))
+    kinds = cut(first.join(second, same, "left").withColumn("kind", F.xxhash64(*same)))
+    side = lambda s, *more: kinds.select("region", *[F.log1p(c).alias(f"{s}_{c}") for c in cols], *more)
+    near = _in_caliper(side("t", F.col("kind").alias("tk")), side("c", F.col("kind").alias("ck"), "m", "c1"), cols, sd, width)
+    other = near.groupBy("tk").agg(F.sum("m").alias("all"), F.min(F.when(F.col("tk") != F.col("ck"), F.struct(F.round("z", 9).alias("z"), F.col("c1").alias("c")))).alias("other"))
+    own = F.expr("case when id <> c1 then c1 else c2 end")
+    best = F.least(F.when(own.isNotNull(), F.struct(F.lit(0.0).alias("z"), own.alias("c"))), F.col("other"))
+    return units.join(kinds, same).join(other, F.col("kind") == F.col("tk")).select("id", (F.col("all") - 1).alias("n"), best.alias("b")).select("id", "n", "b.c", "b.z")
+
+
+def _stretch(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """One row for each period of ``width`` that a closed window of numbers meets, as ``_d``."""
+    return df.withColumn("_d", F.explode(F.expr(f"sequence(cast(floor({start} / {width}) as bigint), cast(floor({end} / {width}) as bigint))")))
+
+
+def free_candidates(candidates: DataFrame, occupied: DataFrame, reuse: bool, width: int) -> DataFrame:
+    """Candidates whose site no window of ``occupied`` (site, w_start, w_end) holds: at that time with ``reuse``, at any
+    without. Windows meet by site and period, so that a busy site is spread over time."""
+    if not reuse:
+        return candidates.join(occupied.select("site"), "site", "left_anti")
+    taken = _stretch(occupied.select("site", F.col("w_start").alias("_s"), F.col("w_end").alias("_e")), "_s", "_e", width)
+    hit = _stretch(candidates.select("treatment", "site", "w_start", "w_end"), "w_start", "w_end", width).join(taken, ["site", "_d"]).where("w_start <= _e and w_end >= _s").select("treatment", "site").distinct()
+    return candidates.join(hit, ["treatment", "site"], "left_anti")
+
+
+def _sequential(reuse: bool, rounds: int):
+    """A pass in the given order over the candidates of a bounded rest: ``(treatment, site, rounds)``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        out: dict = {}
+        for frame in frames:
+            for t, site, a, b in zip(frame.treatment.tolist(), frame.site.tolist(), frame.w_start.tolist(), frame.w_end.tolist(), strict=True):
+                if t not in out and not any(not reuse or (a <= d and b >= c) for c, d in held.get(site, ())):
+                    held.setdefault(site, []).append((a, b))
+                    out[t] = site
+        if out:
+            yield pd.DataFrame({"treatment": list(out), "site": list(out.values()), "rounds": rounds})
+
+    return run
+
+
+def greedy_match(candidates: DataFrame, reuse: bool = False, occupied: DataFrame | None = None, width: int = DAY, last_rows: int = LAST_ROWS) -> DataFrame:
     """One control a treatment, as a sequential pass in ``ord`` order would choose: each takes its first free candidate.
 
-    ``candidates``: treatment, ord (unique a treatment), site, pref (unique a treatment), w_start, w_end. With ``reuse`` a
-    site is free unless a window it was given overlaps; without, it serves once. Runs in rounds: a treatment is final when
-    no earlier unresolved one still lists its best free site for an overlapping window. At least the first unresolved
-    treatment is final in each round. Returns ``treatment, site, rounds``.
+    ``candidates``: treatment, ord (unique a treatment), site, pref (unique a treatment), w_start, w_end (numbers, closed
+    windows). With ``reuse`` a site is free unless a window it was given overlaps; without, it serves once. ``occupied``
+    (site, w_start, w_end) holds windows that are taken beforehand, such as those of all eligible treatments at their own
+    sites. Returns ``treatment, site, rounds``.
+
+    Runs in rounds. The earliest claim on each site and period (``width``) among the live candidates is one row; a
+    treatment is final if the claims of its best site are its own in all periods of its window, so no treatment before it
+    can still take the site then. The first unresolved treatment is final in each round. Once at most ``last_rows``
+    candidates are left, one task ends the pass in order.
     """
-    clash = lambda a, b: f"{a}.site = {b}.site" + (f" and {a}.w_start <= {b}.w_end and {a}.w_end >= {b}.w_start" if reuse else "")
-    live, done, rounds = cut(candidates), None, 0
-    while not live.isEmpty():
+    live = candidates.select("treatment", "ord", "site", "pref", "w_start", "w_end")
+    live, done, rounds = cut(live if occupied is None else free_candidates(live, occupied, reuse, width)), [], 0
+    kinds = T.StructType([live.schema["treatment"], live.schema["site"], T.StructField("rounds", T.IntegerType())])
+    while n := live.count():
         rounds += 1
-        best = live.groupBy("treatment").agg(F.min(F.struct("pref", "site")).getField("site").alias("site"))
-        picks = live.join(best, ["treatment", "site"])
+        if n <= last_rows:
+            done.append(live.coalesce(1).sortWithinPartitions("ord", "pref").select("treatment", "site", "w_start", "w_end").mapInPandas(_sequential(reuse, rounds), kinds))
+            break
+        best = live.groupBy("treatment").agg(F.min(F.struct("pref", "site", "ord", "w_start", "w_end")).alias("p")).select("treatment", "p.site", "p.ord", "p.w_start", "p.w_end")
         if reuse:
-            blocked = picks.alias("p").join(live.alias("e"), F.expr(f"{clash('p', 'e')} and e.ord < p.ord"), "left_semi").select("treatment")
-        else:  # without windows the earliest claim on a site decides, which is one row a site
-            first = live.groupBy("site").agg(F.min("ord").alias("_first"))
-            blocked = picks.join(first, "site").where("ord > _first").select("treatment")
-        final = cut(picks.join(blocked, "treatment", "left_anti").select("treatment", "site", "w_start", "w_end"))
-        taken = final.select("treatment", "site", F.lit(rounds).alias("rounds"))
-        done = taken if done is None else done.unionByName(taken)
-        live = live.join(final.select("treatment"), "treatment", "left_anti")
-        live = cut(live.alias("l").join(final.alias("f"), F.expr(clash("l", "f")), "left_anti"))
-    return done if done is not None else candidates.select("treatment", "site", F.lit(0).alias("rounds"))
+            claims = _stretch(live.select("site", "ord", "w_start", "w_end"), "w_start", "w_end", width).groupBy("site", "_d").agg(F.min("ord").alias("_first"))
+            picks = _stretch(best, "w_start", "w_end", width).join(claims, ["site", "_d"]).groupBy("treatment", "site", "ord", "w_start", "w_end").agg(F.min("_first").alias("_first"))
+        else:
+            picks = best.join(live.groupBy("site").agg(F.min("ord").alias("_first")), "site")
+        final = cut(picks.where("ord = _first").select("treatment", "site", "w_start", "w_end"))
+        done.append(final.select("treatment", "site", F.lit(rounds).alias("rounds")))
+        live = cut(free_candidates(live.join(final.select("treatment"), "treatment", "left_anti"), final, reuse, width))
+    return reduce(DataFrame.unionAll, done) if done else live.select("treatment", "site", F.lit(0).alias("rounds"))
+
+
+def match_reasons(treatments: DataFrame, stages: list[tuple[str, DataFrame]], matches: DataFrame) -> DataFrame:
+    """Per treatment the candidates (treatment, site, pref) left after each stage, nested counts; ``blocked``, those of the
+    last stage that it would have liked better than what it got (all of them if it got none); ``reason``: ``matched``, the
+    first stage that left none as ``no_<stage>``, or ``all_blocked``."""
+    out = treatments.select("treatment").join(matches.select("treatment", F.col("site").alias("chosen")), "treatment", "left")
+    for name, left in stages:
+        out = out.join(left.groupBy("treatment").agg(F.count("*").alias(name)), "treatment", "left").fillna(0, [name])
+    last = stages[-1][1].join(matches.select("treatment", F.col("site").alias("chosen")), "treatment", "left")
+    pref = last.where("site = chosen").select("treatment", F.col("pref").alias("got"))
+    blocked = last.join(pref, "treatment", "left").groupBy("treatment").agg(F.count_if(F.col("got").isNull() | (F.col("pref") < F.col("got"))).alias("blocked"))
+    reason = F.when(F.col("chosen").isNotNull(), "matched")
+    for name, _ in stages:
+        reason = reason.when(F.col(name) == 0, f"no_{name}")
+    return out.join(blocked, "treatment", "left").select("treatment", *[n for n, _ in stages], F.coalesce("blocked", F.lit(0)).alias("blocked"), reason.otherwise("all_blocked").alias("reason"))
 
 
 def balance_table(df: DataFrame, role: str, cols: list[str]) -> DataFrame:

@@ -60,18 +60,51 @@ def test_components_equal_union_find(spark, edges):
     for a, b in edges:
         p, q = sorted((root(a), root(b)))
         parent[q] = p
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
-    assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in parent}
+    for last in (0, 5, None):
+        got = connected_components(spark.createDataFrame(edges, "src long, dst long"), last_edges=last)
+        assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in parent}
 
 
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 60)] + [(None, 3)]
-    got = {r.component for r in connected_components(spark.createDataFrame(path, "src long, dst long")).collect()}
-    assert got == {0, 100}
+    for last in (0, 20, None):
+        assert {r.component for r in connected_components(spark.createDataFrame(path, "src long, dst long"), last_edges=last).collect()} == {0, 100}
 
 
-def sequential(rows, reuse):
-    taken, out = [], {}
+def test_window_counts_equal_brute_force(spark):
+    """Shared places, all kinds of bounds, reversed and null windows, rows without coordinates, points on the bounds."""
+    rng = random.Random(4)
+    hour = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    units = [(i, float(rng.randrange(4) * 10), float(rng.randrange(3) * 10), rng.randrange(240), rng.choice([None, *range(240)])) for i in range(60)] + [(90, None, 1.0, 5, 9)]
+    points = [(float(rng.randrange(40)), float(rng.randrange(30)), rng.randrange(240)) for _ in range(300)]
+    u = spark.createDataFrame([(i, x, y, hour(s), hour(e) if e is not None else None) for i, x, y, s, e in units], "id int, x_m double, y_m double, s string, e string").selectExpr("id", "x_m", "y_m", "cast(s as timestamp_ntz) s", "cast(e as timestamp_ntz) e")
+    p = spark.createDataFrame([(x, y, hour(t)) for x, y, t in points], "x_m double, y_m double, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    kinds = {"cc": "[]", "co": "[)", "oc": "(]", "oo": "()"}
+    got = {r.id: r for r in sp.count_in_windows(u, p, {k: ("s", "e", b) for k, b in kinds.items()} | {"day": ("s - interval 24 hours", "s", "[)")}, [8, 15], days=2).collect()}
+    assert len(got) == len(units)
+    for i, x, y, s, e in units:
+        for ring in (0, 1):
+            near = [t for a, b, t in points if x is not None and (math.hypot(a - x, b - y) <= 8) == (ring == 0) and math.hypot(a - x, b - y) <= 15]
+            inside = lambda b, lo, hi: sum((lo <= t if b[0] == "[" else lo < t) and (t <= hi if b[1] == "]" else t < hi) for t in near)  # noqa: B023, E731
+            for k, b in kinds.items():
+                assert got[i][f"{k}_{ring}"] == (inside(b, s, e) if e is not None else 0), (i, k)
+            assert got[i][f"day_{ring}"] == inside("[)", s - 24, s)
+
+
+def test_overlapping_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, float(rng.randrange(30)), float(rng.randrange(30)), rng.randrange(1, 25), rng.randrange(0, 6)) for i in range(120)]
+    iv = intervals(spark, [(i, x, y, ts(s), ts(min(s + d, 28), 5)) for i, x, y, s, d in rows] + [(500, 1.0, 1.0, ts(2), None)])
+    b = iv.selectExpr("id as b", "x_m as bx", "y_m as by", "start_ts as bs", "end_ts as be")
+    got = [(r.id, r.b) for r in sp.radius_join_overlapping(iv, b, 5, days=3).collect()]
+    ends = {i: (s * 24, min(s + d, 28) * 24 + 5) for i, x, y, s, d in rows}
+    at = {i: (x, y) for i, x, y, *_ in rows}
+    want = {(i, j) for i in at for j in at if math.dist(at[i], at[j]) <= 5 and ends[i][0] <= ends[j][1] and ends[j][0] <= ends[i][1]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def sequential(rows, reuse, occupied=()):
+    taken, out = list(occupied), {}
     for _, group in itertools.groupby(sorted(rows, key=lambda r: (r[1], r[3])), key=lambda r: r[1]):
         for t, _, site, _, a, b in group:
             if all(s != site or (reuse and (a > d or b < c)) for s, c, d in taken):
@@ -90,8 +123,44 @@ def test_greedy_match_equals_a_sequential_pass(spark, seed, reuse):
         a = rng.randrange(20)
         b = a + rng.randrange(8)
         rows += [(t, (t * 7) % 25, s, k, a, b) for k, s in enumerate(rng.sample(range(8), rng.randrange(1, 6)))]
-    got = mt.greedy_match(spark.createDataFrame(rows, "treatment int, ord int, site int, pref int, w_start int, w_end int"), reuse)
-    assert {r.treatment: r.site for r in got.collect()} == sequential(rows, reuse)
+    held = [(s, a, a + rng.randrange(5)) for s in range(0, 8, 3) for a in (rng.randrange(20),)]
+    candidates = spark.createDataFrame(rows, "treatment int, ord int, site int, pref int, w_start int, w_end int")
+    occupied = spark.createDataFrame(held, "site int, w_start int, w_end int")
+    for last in (0, 12, 10**6):  # all in rounds, the end in one task, all in one task
+        got = mt.greedy_match(candidates, reuse, width=3, last_rows=last).collect()
+        assert {r.treatment: r.site for r in got} == sequential(rows, reuse)
+        got = mt.greedy_match(candidates, reuse, occupied, width=4, last_rows=last).collect()
+        assert {r.treatment: r.site for r in got} == sequential(rows, reuse, held)
+    assert mt.greedy_match(candidates.limit(0), reuse).count() == 0
+
+
+def test_match_reasons_by_hand(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "treatment int")
+    side = lambda r: spark.createDataFrame(r, "treatment int, site int, pref int")
+    band = side([(1, 7, 1), (1, 8, 2), (1, 9, 3), (2, 7, 1), (3, 7, 1), (5, 9, 1)])
+    clean = side([(1, 7, 1), (1, 8, 2), (1, 9, 3), (2, 7, 1), (5, 9, 1)])
+    caliper = side([(1, 7, 1), (1, 8, 2), (1, 9, 3), (2, 7, 1)])
+    got = mt.match_reasons(rows, [("band", band), ("clean", clean), ("caliper", caliper)], spark.createDataFrame([(1, 8)], "treatment int, site int")).collect()
+    assert {tuple(r) for r in got} == {(1, 3, 3, 3, 1, "matched"), (2, 1, 1, 1, 1, "all_blocked"), (3, 1, 0, 0, 0, "no_clean"), (4, 0, 0, 0, 0, "no_band"), (5, 1, 1, 0, 0, "no_caliper")}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_caliper_by_profiles_and_by_pairs_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(2), float(rng.randrange(6)), rng.choice([0.0, 1.0, 4.5])) for i in range(60)] + [(99, 7, 1.0, 1.0)]
+    units = spark.createDataFrame(rows, "id long, region int, n double, k double")
+    sd = [float(np.std([math.log1p(r[c]) for r in rows], ddof=1)) for c in (2, 3)]
+    want = {}
+    for t in rows:
+        for c in rows:
+            d = [abs(math.log1p(t[x]) - math.log1p(c[x])) / s for x, s in zip((2, 3), sd, strict=True)]
+            if t[0] != c[0] and t[1] == c[1] and max(d) <= 0.5:
+                want[t[0], c[0]] = math.hypot(*d)
+    got = {(r.t, r.c): r.z for r in mt.caliper_candidates(units, units, ["n", "k"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    for r in mt.caliper_best(units, ["n", "k"]).collect():
+        own = sorted((round(z, 9), c) for (t, c), z in want.items() if t == r.id)
+        assert (r.n, r.c) == (len(own), own[0][1] if own else None) and (not own or abs(r.z - own[0][0]) < 1e-8)
 
 
 @pytest.mark.parametrize("seed", range(3))
