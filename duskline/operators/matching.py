@@ -170,6 +170,25 @@ def match_reasons(treatments: DataFrame, stages: list[tuple[str, DataFrame]], ma
     return out.join(blocked, "treatment", "left").select("treatment", *[n for n, _ in stages], F.coalesce("blocked", F.lit(0)).alias("blocked"), reason.otherwise("all_blocked").alias("reason"))
 
 
+def assemble_pairs(matches: DataFrame, treatments: DataFrame, sites: DataFrame) -> DataFrame:
+    """Wide pairs: matches (treatment, site) with the columns of both sides and ``control_uses``, how often the site serves."""
+    uses = matches.groupBy("site").agg(F.count("*").alias("control_uses"))
+    return matches.join(uses, "site").join(treatments, "treatment").join(sites, "site")
+
+
+def build_unmatched(reasons: DataFrame, ineligible: DataFrame) -> DataFrame:
+    """One row per treatment without a control: those of ``match_reasons`` not matched, and the ineligible ones (treatment,
+    reason) that never got as far."""
+    return reasons.where("reason <> 'matched'").select("treatment", "reason").unionByName(ineligible.select("treatment", "reason"))
+
+
+def site_roles(sites: DataFrame, matches: DataFrame, own: DataFrame) -> DataFrame:
+    """How often each site (site) is the place of a matched treatment (``own``: treatment, site) and how often a control."""
+    treated = own.join(matches.select("treatment"), "treatment", "left_semi").groupBy("site").agg(F.count("*").alias("as_treatment"))
+    control = matches.groupBy("site").agg(F.count("*").alias("as_control"))
+    return sites.select("site").distinct().join(treated, "site", "left").join(control, "site", "left").fillna(0)
+
+
 def balance_table(df: DataFrame, role: str, cols: list[str]) -> DataFrame:
     """Per variable: means and variances of the treated (role 1) and control (role 0) rows, standardised mean difference
     and variance ratio; null where a variance is zero."""
@@ -179,3 +198,30 @@ def balance_table(df: DataFrame, role: str, cols: list[str]) -> DataFrame:
     m = long.groupBy("variable").agg(side(F.avg, 1).alias("mean_t"), side(F.avg, 0).alias("mean_c"), side(F.var_samp, 1).alias("var_t"), side(F.var_samp, 0).alias("var_c"))
     pooled = F.sqrt((F.col("var_t") + F.col("var_c")) / 2)
     return m.withColumn("smd", F.when(pooled > 0, (F.col("mean_t") - F.col("mean_c")) / pooled)).withColumn("variance_ratio", F.expr("try_divide(var_t, nullif(var_c, 0))"))
+
+
+def representativeness(df: DataFrame, matched: str, col: str, share: str) -> DataFrame:
+    """How the matched rows compare with all eligible ones: means, medians, 90th percentiles and shares of both, and the
+    standardised mean difference."""
+    only = lambda c: F.when(F.col(matched), F.col(c))
+    sides = {"matched": only, "eligible": F.col}
+    stats = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "p90": lambda c: F.percentile(c, 0.9)}
+    r = df.agg(*[f(side(col)).alias(f"{name}_{who}") for name, f in stats.items() for who, side in sides.items()], *[F.var_samp(side(col)).alias(f"_{who}") for who, side in sides.items()], *[F.avg(side(share)).alias(f"share_{who}") for who, side in sides.items()])
+    smd = (F.col("mean_matched") - F.col("mean_eligible")) / F.sqrt((F.col("_matched") + F.col("_eligible")) / 2)
+    return r.withColumn("smd", smd).drop("_matched", "_eligible")
+
+
+def contamination(pairs: DataFrame, intervals: DataFrame, inner: float, outer: float, before: int) -> DataFrame:
+    """Flags of pairs (pair, t_x, t_y, c_x, c_y, w_start, w_end) that other intervals (id, x_m, y_m, start_ts, end_ts) may have
+    touched; ``pair`` is the id of the treated interval. D1: another one within ``inner`` of the treated place meets the
+    window; D2, D2b: one in the ring up to ``outer`` around the treated place, around the control; D3: one within ``inner``
+    of the control; D4: one within ``inner`` of the treated place began before the window and lasted into the ``before``
+    days ahead of it; D5: the control serves several pairs."""
+    b = intervals.select(F.col("id").alias("bid"), F.col("x_m").alias("bx"), F.col("y_m").alias("by"), F.col("start_ts").alias("bs"), F.col("end_ts").alias("be"))
+    reach = (f"w_start - interval {before} days", "w_end")
+    at = lambda xy: radius_join_overlapping(pairs, b, outer, reach, a_xy=xy).where("bid <> pair").withColumn("close", F.col("distance") <= inner).withColumn("meets", F.expr("bs <= w_end and be >= w_start"))
+    treated = at(("t_x", "t_y")).groupBy("pair").agg(F.bool_or(F.expr("close and meets")).alias("d1"), F.bool_or(F.expr("not close and meets")).alias("d2"), F.bool_or(F.expr("close and bs < w_start")).alias("d4"))
+    control = at(("c_x", "c_y")).groupBy("pair").agg(F.bool_or(F.expr("not close and meets")).alias("d2b"), F.bool_or(F.expr("close and meets")).alias("d3"))
+    shared = pairs.groupBy("c_x", "c_y").agg((F.count("*") > 1).alias("d5"))
+    out = pairs.select("pair", "c_x", "c_y").join(treated, "pair", "left").join(control, "pair", "left").join(shared, ["c_x", "c_y"])
+    return out.select("pair", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("d1", "d2", "d2b", "d3", "d4", "d5")])

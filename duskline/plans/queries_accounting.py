@@ -13,7 +13,7 @@ from duskline.operators import spatial as sp
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
-from duskline.plans.queries_models import _candidates, _closed
+from duskline.plans.queries_models import _closed, _matched
 from duskline.plans.queries_windows import _fifo
 from duskline.session import table
 
@@ -59,37 +59,46 @@ def eligible_units(spark, sf):
 
 @register("build_unmatched")
 def build_unmatched(spark, sf):
-    """One row per treatment without a control, with its reason."""
-    c = _candidates(spark, sf)
-    m = mt.greedy_match(c, reuse=True)
-    t = _closed(spark, sf).where("id % 10 = 0").select(F.col("id").alias("treatment"))
-    rest = t.join(m, "treatment", "left_anti")
-    some = c.select("treatment").distinct().withColumn("had", F.lit(True))
-    return rest.join(some, "treatment", "left").select("treatment", F.when(F.col("had"), "all_taken").otherwise("no_candidate").alias("reason"))
+    """One row per interval without a control, with its reason; open intervals are no treatments."""
+    t, stages, m = _matched(spark, sf)
+    open_ = view(spark, sf, "ivals").where("end_ts is null").selectExpr("id as treatment", "'open' as reason")
+    return mt.build_unmatched(mt.match_reasons(t, stages, m), open_)
 
 
-@register("site_roles", "SELECT s_suppkey AS site, count(l_orderkey) FILTER (l_linenumber = 1) AS as_treatment, count(l_orderkey) FILTER (l_linenumber = 2) AS as_control FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+_ROLE_SQL = "r AS (SELECT 1 + l_suppkey % 40 AS site, 1 + l_partkey % 40 AS control, l_orderkey * 10 + l_linenumber AS treatment, l_linenumber = 1 AS matched FROM lineitem)"
+
+
+@register("site_roles", f"WITH {_ROLE_SQL}, a AS (SELECT site, count(*) AS n FROM r WHERE matched GROUP BY 1), c AS (SELECT control AS site, count(*) AS n FROM r WHERE matched GROUP BY 1) SELECT s.site, coalesce(a.n, 0) AS as_treatment, coalesce(c.n, 0) AS as_control FROM (SELECT DISTINCT site FROM r) s LEFT JOIN a ON a.site = s.site LEFT JOIN c ON c.site = s.site")
 def site_roles(spark, sf):
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("site")).agg(F.count_if(F.col("l_linenumber") == 1).alias("as_treatment"), F.count_if(F.col("l_linenumber") == 2).alias("as_control"))
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site")).join(li, "site", "left").fillna(0)
+    """First lines of orders as matched treatments at their supplier's site, with the part's site as control."""
+    r = table(spark, sf, "lineitem").selectExpr("1 + l_suppkey % 40 as site", "1 + l_partkey % 40 as control", "l_orderkey * 10 + l_linenumber as treatment", "l_linenumber = 1 as matched")
+    return mt.site_roles(r, r.where("matched").selectExpr("treatment", "control as site"), r.select("treatment", "site"))
 
 
-@register("representativeness", "WITH s AS (SELECT 'eligible' AS part, o_totalprice AS v FROM orders UNION ALL SELECT 'matched', o_totalprice FROM orders WHERE o_orderkey % 3 = 0) SELECT part, count(*) AS n, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(quantile_cont(v, 0.9), 4) AS p90 FROM s GROUP BY 1")
+@register("representativeness", "WITH s AS (SELECT o_totalprice AS v, CAST(o_orderstatus = 'F' AS INT) AS f, o_orderpriority = '1-URGENT' AS m FROM orders), e AS (SELECT avg(v) AS mean, median(v) AS median, quantile_cont(v, 0.9) AS p90, var_samp(v) AS var, avg(f) AS share FROM s), m AS (SELECT avg(v) AS mean, median(v) AS median, quantile_cont(v, 0.9) AS p90, var_samp(v) AS var, avg(f) AS share FROM s WHERE m) SELECT round(m.mean, 4) AS mean_matched, round(e.mean, 4) AS mean_eligible, round(m.median, 4) AS median_matched, round(e.median, 4) AS median_eligible, round(m.p90, 4) AS p90_matched, round(e.p90, 4) AS p90_eligible, round((m.mean - e.mean) / sqrt((m.var + e.var) / 2), 6) AS smd, round(m.share, 6) AS share_matched, round(e.share, 6) AS share_eligible FROM e, m")
 def representativeness(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    part = F.explode(F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("eligible"), F.lit("matched"))).otherwise(F.array(F.lit("eligible"))))
-    return o.select(part.alias("part"), "v").groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", 0.5), 4).alias("median"), F.round(F.percentile("v", 0.9), 4).alias("p90"))
+    o = table(spark, sf, "orders").selectExpr("o_totalprice as v", "cast(o_orderstatus = 'F' as int) as f", "o_orderpriority = '1-URGENT' as matched")
+    r = mt.representativeness(o, "matched", "v", "f")
+    return r.select(*[F.round(c, 6 if c in ("smd", "share_matched", "share_eligible") else 4).alias(c) for c in r.columns])
+
 
+_CONTAMINATION = (
+    with_views("ivals") + ", v AS (SELECT id, x_m, y_m, start_ts AS s, end_ts AS e FROM ivals WHERE end_ts IS NOT NULL), p AS (SELECT v.*, x_m + 300 AS cx, y_m AS cy FROM v), "
+    "d AS (SELECT p.id, {near} FROM p LEFT JOIN v b ON b.id <> p.id AND b.x_m BETWEEN p.x_m - 100 AND p.x_m + 400 AND b.y_m BETWEEN p.y_m - 100 AND p.y_m + 100 GROUP BY p.id), "
+    "q AS (SELECT id, count(*) OVER (PARTITION BY cx, cy) > 1 AS d5 FROM p) SELECT round(avg(CAST(d1 AS INT)), 9) AS d1, round(avg(CAST(d2 AS INT)), 9) AS d2, round(avg(CAST(d2b AS INT)), 9) AS d2b, round(avg(CAST(d3 AS INT)), 9) AS d3, round(avg(CAST(d4 AS INT)), 9) AS d4, round(avg(CAST(d5 AS INT)), 9) AS d5 FROM d JOIN q USING (id)"
+)
+_T, _C = "sqrt(pow(b.x_m - p.x_m, 2) + pow(b.y_m - p.y_m, 2))", "sqrt(pow(b.x_m - p.cx, 2) + pow(b.y_m - p.cy, 2))"
+_MEET, _BEFORE = "b.s <= p.e AND b.e >= p.s", "b.s < p.s AND b.e >= p.s - INTERVAL 5 DAY"
+_NEAR = ", ".join(f"coalesce(bool_or({cond}), false) AS {name}" for name, cond in (("d1", f"{_T} <= 40 AND {_MEET}"), ("d2", f"{_T} > 40 AND {_T} <= 100 AND {_MEET}"), ("d2b", f"{_C} > 40 AND {_C} <= 100 AND {_MEET}"), ("d3", f"{_C} <= 40 AND {_MEET}"), ("d4", f"{_T} <= 40 AND {_BEFORE}")))
 
-@register("contamination", with_views("ivals") + f", t AS (SELECT * FROM ivals WHERE id % 5 = 0 AND end_ts IS NOT NULL), f AS (SELECT a.id, count(b.id) FILTER ({_D2} <= 50) > 0 AS close_by, count(b.id) FILTER ({_D2} > 50 AND {_D2} <= 150) > 0 AS around FROM t a LEFT JOIN ivals b ON b.id <> a.id AND {_D2} <= 150 AND b.start_ts <= a.end_ts AND b.end_ts >= a.start_ts GROUP BY a.id) SELECT round(avg(CASE WHEN close_by THEN 1.0 ELSE 0.0 END), 9) AS close_share, round(avg(CASE WHEN around THEN 1.0 ELSE 0.0 END), 9) AS around_share FROM f")
+
+@register("contamination", _CONTAMINATION.replace("{near}", _NEAR))
 def contamination(spark, sf):
-    iv = _closed(spark, sf)
-    t = iv.where("id % 5 = 0")
-    b = iv.select(F.col("id").alias("bid"), F.col("x_m").alias("bx"), F.col("y_m").alias("by"), F.col("start_ts").alias("bs"), F.col("end_ts").alias("be"))
-    near = sp.band_join(t, b, [50, 150]).where("bid <> id").where(sp.overlaps("bs", "be", "start_ts", "end_ts"))
-    f = near.groupBy("id").agg(F.bool_or(F.col("band") == 0).alias("close_by"), F.bool_or(F.col("band") == 1).alias("around"))
-    share = lambda c: F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 9)
-    return t.select("id").join(f, "id", "left").agg(share("close_by").alias("close_share"), share("around").alias("around_share"))
+    """Every closed interval paired with a place 300 m east of it: the shares of pairs that other intervals may have touched."""
+    v = _closed(spark, sf)
+    pairs = v.selectExpr("id as pair", "x_m as t_x", "y_m as t_y", "x_m + 300 as c_x", "y_m as c_y", "start_ts as w_start", "end_ts as w_end")
+    flags = mt.contamination(pairs, v, 40, 100, 5)
+    return flags.agg(*[F.round(F.avg(F.col(c).cast("double")), 9).alias(c) for c in ("d1", "d2", "d2b", "d3", "d4", "d5")])
 
 
 @register("population_groups", "WITH g AS (SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'industry' ELSE 'other' END AS class, c_nationkey % 5 AS city, c_acctbal AS v FROM customer), e AS (SELECT quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM g), q AS (SELECT *, CAST(len(list_filter(q, lambda x: x < v)) AS INT) AS quartile FROM g, e) SELECT CASE WHEN grouping(class) = 0 THEN 'class' WHEN grouping(city) = 0 THEN 'city' ELSE 'quartile' END AS dim, coalesce(class, CAST(city AS VARCHAR), CAST(quartile AS VARCHAR)) AS level, count(*) AS n, round(avg(v), 4) AS mean FROM q GROUP BY GROUPING SETS ((class), (city), (quartile))")
@@ -119,38 +128,37 @@ def fleet_partition_check(spark, sf):
     return d.agg(F.count("*").alias("n")).crossJoin(parts).withColumn("equal", F.col("n") == F.col("classified"))
 
 
-@register("label_agreement", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE (o_orderkey % 50 = 0) <> (c_custkey % 50 = 0) AND o_orderkey % 7 = 0")
+@register("label_agreement", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE (o_orderkey % 50 = 0) <> (c_custkey % 50 = 0)")
 def label_agreement(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     return o.join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).where("(o_orderkey % 50 = 0) <> (c_custkey % 50 = 0)").select("o_orderkey")
 
 
-@register("caliper_recheck", "SELECT CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS c WHERE false")
-def caliper_recheck(spark, sf):
-    """Matched pairs outside the caliper on recomputed counts: none."""
-    from duskline.plans.queries_models import _pairs
-
-    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.log1p(F.count("*").cast("double")).alias("v"))
-    sd = n.where("k % 10 = 0").agg(F.stddev_samp("v").alias("sd"))
-    p = _pairs(spark, sf).join(n.selectExpr("k as t", "v as vt"), "t").join(n.selectExpr("k as c", "v as vc"), "c").crossJoin(F.broadcast(sd))
-    return p.where("abs(vt - vc) > 0.5 * sd + 1e-9").select("t", "c")
+@register("pair_recheck", with_views("ivals", "regions") + ", p AS (SELECT id, cust, rid, city, sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) AS d FROM ivals JOIN regions ON sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) <= 320), r AS (SELECT id, rid, 'distance' AS rule FROM p WHERE id % 53 = 0 UNION ALL SELECT id, rid, 'band' FROM p WHERE d <= 50 OR d > 300 UNION ALL SELECT id, rid, 'region' FROM p WHERE city <> cust % 5 UNION ALL SELECT id, rid, 'caliper' FROM p WHERE abs(ln(1 + id % 7) - ln(1 + rid % 7)) > 0.9) SELECT * FROM r")
+def pair_recheck(spark, sf):
+    """Distance, band, region and caliper of candidate pairs computed anew; one in 53 recorded distances is spoilt."""
+    iv = view(spark, sf, "ivals").selectExpr("id", "x_m", "y_m", "cast(cust % 5 as int) as t_region", "id % 7 as t_n")
+    b = view(spark, sf, "regions").selectExpr("rid", "rx as bx", "ry as by", "city as c_region", "rid % 7 as c_n")
+    pairs = sp.radius_join(iv, b, 320).withColumn("distance", F.expr("case when id % 53 = 0 then distance + 1 else distance end"))
+    return qc.pair_violations(pairs, ["id", "rid"], ("x_m", "y_m"), ("bx", "by"), 50, 300, ("t_region", "c_region"), [("t_n", "c_n", 0.9)])
 
 
-@register("sampled_recheck", with_views("pts", "ivals") + " SELECT CAST(NULL AS BIGINT) AS id WHERE false")
+@register("sampled_recheck", with_views("pts", "ivals") + f", n AS (SELECT i.id, count(*) FILTER (sqrt(pow(p.x_m - i.x_m, 2) + pow(p.y_m - i.y_m, 2)) <= 100) AS disc FROM ivals i JOIN pts p ON p.t BETWEEN i.start_ts AND i.end_ts AND abs(p.x_m - i.x_m) <= 100 WHERE i.end_ts IS NOT NULL GROUP BY 1) SELECT id, disc AS n_disc FROM n WHERE id % 31 = 0 AND disc > 0")
 def sampled_recheck(spark, sf):
-    """Counts of a hash sample of intervals, recomputed without the grid, that differ from the operator's: none."""
-    iv = view(spark, sf, "ivals")
-    some = iv.where("end_ts is not null").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(200)) == 0)
-    got = sp.count_in_zone_during(view(spark, sf, "pts"), some, 100, 250)
-    p = view(spark, sf, "pts").select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), "t")
+    """Counts of the operator of which one in 31 is spoilt (set to 0), recomputed without the grid: those that differ."""
+    iv = view(spark, sf, "ivals").where("end_ts is not null")
+    got = sp.count_in_zone_during(view(spark, sf, "pts"), iv, 100, 250).withColumn("n_disc", F.expr("case when id % 31 = 0 then 0 else n_disc end"))
+    # Independently: days as equi-key, every distance of the day computed.
+    p = view(spark, sf, "pts").select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), "t", F.to_date("t").alias("day"))
     d = F.sqrt((F.col("px") - F.col("x_m")) ** 2 + (F.col("py") - F.col("y_m")) ** 2)
-    again = some.join(p, F.expr("t between start_ts and end_ts"), "left").groupBy("id").agg(F.count_if(d <= 100).alias("disc"), F.count_if((d > 100) & (d <= 250)).alias("ring"))
-    return got.join(again, "id").where("n_disc <> disc or n_ring <> ring").select("id")
+    days = iv.withColumn("day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))))
+    again = days.join(p, "day").where("t between start_ts and end_ts").groupBy("id").agg(F.count_if(d <= 100).alias("disc"), F.count_if((d > 100) & (d <= 250)).alias("ring"))
+    return got.join(again, "id").where("n_disc <> disc or n_ring <> ring").select("id", F.col("disc").alias("n_disc"))
 
 
-@register("placebo_rules", with_views("ivals") + " SELECT id FROM ivals WHERE start_ts - INTERVAL 20 DAY < TIMESTAMP '2024-01-01' AND id % 3 = 0")
+@register("placebo_rules", with_views("ivals") + " SELECT id FROM ivals WHERE start_ts - INTERVAL 20 DAY < TIMESTAMP '2024-01-01'")
 def placebo_rules(spark, sf):
-    return view(spark, sf, "ivals").where("id % 3 = 0").withColumn("p", F.expr("start_ts - interval 20 days")).where("p < timestamp_ntz '2024-01-01 00:00:00'").select("id")
+    return view(spark, sf, "ivals").withColumn("p", F.expr("start_ts - interval 20 days")).where("p < timestamp_ntz '2024-01-01 00:00:00'").select("id")
 
 
 @register("plan_constraints", "SELECT 'budget' AS check_id, CAST(0 AS BIGINT) AS n, true AS passed UNION ALL SELECT 'covers_candidates', 0, true UNION ALL SELECT 'quotas', 0, true UNION ALL SELECT 'unique_ids', 0, true")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from duskline.operators import estimate as es
 from duskline.operators import evaluate as ev
 from duskline.operators import matching as mt
+from duskline.operators import quality_checks as qc
 from duskline.operators import spatial as sp
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
-from duskline.session import table
+from duskline.session import cut, table
 
 
 def _closed(spark, sf):
@@ -60,59 +61,99 @@ def analysis_windows(spark, sf):
     return _closed(spark, sf).selectExpr("id", s.format("start_ts - interval 14 days") + " as b_start", s.format("start_ts") + " as b_end", s.format("end_ts + interval 7 days") + " as w_end")
 
 
-_PROFILE = "p AS (SELECT o_custkey AS id, o_custkey % 4 AS region, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_orderpriority) AS DOUBLE) AS k FROM orders GROUP BY ALL), t AS (SELECT * FROM p WHERE id % 10 = 0), s AS (SELECT stddev_samp(ln(1 + n)) AS sn, stddev_samp(ln(1 + k)) AS sk FROM t), z AS (SELECT t.id AS t, p.id AS c, sqrt(pow((ln(1 + t.n) - ln(1 + p.n)) / sn, 2) + pow((ln(1 + t.k) - ln(1 + p.k)) / sk, 2)) AS z FROM t JOIN p ON t.region = p.region AND t.id <> p.id, s WHERE abs(ln(1 + t.n) - ln(1 + p.n)) <= 0.5 * sn AND abs(ln(1 + t.k) - ln(1 + p.k)) <= 0.5 * sk)"
+_PROFILE = "p AS (SELECT o_custkey AS id, o_custkey % 4 AS region, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_orderpriority) AS DOUBLE) AS k FROM orders GROUP BY ALL), s AS (SELECT stddev_samp(ln(1 + n)) AS sn, stddev_samp(ln(1 + k)) AS sk FROM p), z AS (SELECT t.id AS t, p.id AS c, sqrt(pow((ln(1 + t.n) - ln(1 + p.n)) / sn, 2) + pow((ln(1 + t.k) - ln(1 + p.k)) / sk, 2)) AS z FROM p t JOIN p ON t.region = p.region AND t.id <> p.id, s WHERE abs(ln(1 + t.n) - ln(1 + p.n)) <= 0.5 * sn AND abs(ln(1 + t.k) - ln(1 + p.k)) <= 0.5 * sk)"
 
 
-def _pairs(spark, sf):
-    p = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").cast("double").alias("n"), F.countDistinct("o_orderpriority").cast("double").alias("k")).withColumn("region", F.col("id") % 4)
-    return mt.caliper_candidates(p.where("id % 10 = 0"), p, ["n", "k"])
+def _profiles(spark, sf):
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").cast("double").alias("n"), F.countDistinct("o_orderpriority").cast("double").alias("k")).withColumn("region", F.col("id") % 4)
 
 
 @register("caliper_filter", "WITH " + _PROFILE + " SELECT t, count(*) AS n FROM z GROUP BY 1")
 def caliper_filter(spark, sf):
-    return _pairs(spark, sf).groupBy("t").agg(F.count("*").alias("n"))
+    return mt.caliper_best(_profiles(spark, sf), ["n", "k"]).where("n > 0").select(F.col("id").alias("t"), "n")
 
 
 @register("match_distance", "WITH " + _PROFILE + " SELECT t, c, round(z, 6) AS z FROM z QUALIFY row_number() OVER (PARTITION BY t ORDER BY round(z, 9), c) = 1")
 def match_distance(spark, sf):
-    best = _pairs(spark, sf).groupBy("t").agg(F.min(F.struct(F.round("z", 9).alias("z"), "c")).alias("m"))
-    return best.select("t", "m.c", F.round("m.z", 6).alias("z"))
+    return mt.caliper_best(_profiles(spark, sf), ["n", "k"]).where("c is not null").select(F.col("id").alias("t"), "c", F.round("z", 6).alias("z"))
 
 
-def _candidates(spark, sf):
-    t = _closed(spark, sf).where("id % 10 = 0").selectExpr("id as treatment", "id as ord", "x_m", "y_m", "start_ts as w_start", "end_ts as w_end")
-    r = view(spark, sf, "regions").selectExpr("rid as site", "rx as bx", "ry as by")
-    return sp.radius_join(t, r, 900).select("treatment", "ord", "site", F.struct("distance", "site").alias("pref"), "w_start", "w_end")
+# Every closed interval is a treatment. Its controls are other places with intervals within 200 m (band), of these the ones
+# with no interval of their own meanwhile (clean), of these the ones with about as many intervals (caliper).
+_STAGES = (
+    with_views("ivals") + ", v AS (SELECT *, CAST(x_m * 10000 + y_m AS BIGINT) AS own FROM ivals WHERE end_ts IS NOT NULL), s AS (SELECT own AS site, x_m AS sx, y_m AS sy, count(*) AS n FROM v GROUP BY ALL), t AS (SELECT v.*, s.n AS tn FROM v JOIN s ON site = own), sd AS (SELECT stddev_samp(ln(1 + tn)) AS sd FROM t), "
+    "b AS (SELECT t.id AS treatment, site, abs(ln(1 + tn) - ln(1 + n)) <= 0.5 * sd AS alike, start_ts, end_ts FROM t JOIN s ON site <> own AND sqrt((x_m - sx) * (x_m - sx) + (y_m - sy) * (y_m - sy)) <= 200, sd), "
+    "d AS (SELECT DISTINCT b.treatment, b.site FROM b JOIN v ON v.own = b.site AND v.start_ts <= b.end_ts AND v.end_ts >= b.start_ts), "
+    "c AS (SELECT b.*, d.site IS NULL AS clean FROM b LEFT JOIN d ON d.treatment = b.treatment AND d.site = b.site), "
+    "k AS (SELECT t.id AS treatment, count(c.site) AS band, count(c.site) FILTER (clean) AS clean, count(c.site) FILTER (clean AND alike) AS caliper FROM t LEFT JOIN c ON c.treatment = t.id GROUP BY 1)"
+)
+_MICROS = "timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', {})"
+
+
+def _treatments(spark, sf):
+    v = _closed(spark, sf).withColumn("own", F.expr("cast(x_m * 10000 + y_m as bigint)"))
+    return v.join(v.groupBy("own").agg(F.count("*").alias("tn")), "own").select(F.col("id").alias("treatment"), F.col("id").alias("ord"), "own", "tn", "x_m", "y_m", "region", F.expr(_MICROS.format("start_ts")).alias("w_start"), F.expr(_MICROS.format("end_ts")).alias("w_end"))
+
+
+def _stages(spark, sf):
+    """Treatments and their candidates after each stage."""
+    t = cut(_treatments(spark, sf))
+    sites = t.groupBy(F.col("own").alias("site"), F.col("x_m").alias("bx"), F.col("y_m").alias("by")).agg(F.count("*").alias("n"))
+    sd = t.agg(F.stddev_samp(F.log1p("tn")).alias("sd"))
+    band = sp.radius_join(t, sites, 200).where("site <> own").select("treatment", "ord", "site", F.struct("distance", "site").alias("pref"), "w_start", "w_end", F.abs(F.log1p("tn") - F.log1p("n")).alias("gap"))
+    clean = cut(mt.free_candidates(band, t.select(F.col("own").alias("site"), "w_start", "w_end"), True, mt.DAY))
+    return t, [("band", band), ("clean", clean), ("caliper", clean.crossJoin(F.broadcast(sd)).where("gap <= 0.5 * sd").drop("sd"))]
+
+
+@register("candidate_stages", _STAGES + " SELECT * FROM k")
+def candidate_stages(spark, sf):
+    """Nested candidate counts of every treatment."""
+    t, stages = _stages(spark, sf)
+    none = stages[-1][1].limit(0).select("treatment", "site")
+    return mt.match_reasons(t, stages, none).select("treatment", "band", "clean", "caliper")
+
+
+def _matched(spark, sf, reuse: bool = True):
+    t, stages = _stages(spark, sf)
+    return t, stages, cut(mt.greedy_match(stages[-1][1], reuse).select("treatment", "site"))
 
 
 @register("greedy_match")
 def greedy_match(spark, sf):
-    return mt.greedy_match(_candidates(spark, sf), reuse=True).select("treatment", "site")
+    """Windows of all treatments at their own sites are taken beforehand (the stage ``clean``)."""
+    return _matched(spark, sf)[2]
 
 
 @register("greedy_match_once")
 def greedy_match_once(spark, sf):
-    return mt.greedy_match(_candidates(spark, sf)).select("treatment", "site")
+    return _matched(spark, sf, reuse=False)[2]
 
 
 @register("match_reason")
 def match_reason(spark, sf):
-    """Nested candidate counts and the first reason why a treatment has no control."""
-    c = _candidates(spark, sf)
-    n = c.groupBy("treatment").agg(F.count("*").alias("band"))
-    m = mt.greedy_match(c, reuse=True)
-    t = _closed(spark, sf).where("id % 10 = 0").select(F.col("id").alias("treatment"))
-    j = t.join(n, "treatment", "left").join(m.select("treatment", F.col("site").alias("chosen")), "treatment", "left")
-    return j.select("treatment", F.coalesce("band", F.lit(0)).alias("band"), F.when(F.col("chosen").isNotNull(), "matched").when(F.col("band").isNull(), "no_candidate").otherwise("all_taken").alias("reason"))
+    """Nested candidate counts, how many better candidates were blocked, and the first reason why there is no control."""
+    t, stages, m = _matched(spark, sf)
+    return mt.match_reasons(t, stages, m)
+
+
+@register("nested_counts", _STAGES + ", e AS (SELECT * REPLACE (CASE WHEN treatment % 50 = 0 THEN clean + 1 ELSE caliper END AS caliper) FROM k) SELECT treatment, 'caliper' AS stage FROM e WHERE caliper > clean UNION ALL SELECT treatment, 'clean' FROM e WHERE clean > band")
+def nested_counts(spark, sf):
+    """Rows whose counts do not shrink from stage to stage, in counts of which one in fifty is spoilt."""
+    t, stages = _stages(spark, sf)
+    k = mt.match_reasons(t, stages, stages[-1][1].limit(0).select("treatment", "site"))
+    return qc.not_nested(k.withColumn("caliper", F.expr("case when treatment % 50 = 0 then clean + 1 else caliper end")), "treatment", ["band", "clean", "caliper"])
+
+
+def _pair_rows(spark, sf):
+    """Wide matched pairs: both places, the windows, and how often each control serves."""
+    t, _, m = _matched(spark, sf)
+    place = t.select(F.col("own").alias("site"), F.col("x_m").alias("c_x"), F.col("y_m").alias("c_y"), F.col("tn").alias("c_n")).distinct()
+    return mt.assemble_pairs(m, t.withColumnsRenamed({"x_m": "t_x", "y_m": "t_y", "tn": "t_n"}), place)
 
 
 @register("assemble_pairs")
 def assemble_pairs(spark, sf):
-    """Wide matched pairs with how often each control serves."""
-    m = mt.greedy_match(_candidates(spark, sf), reuse=True).select("treatment", "site")
-    uses = m.groupBy("site").agg(F.count("*").alias("control_uses"))
-    t = _closed(spark, sf).select(F.col("id").alias("treatment"), F.col("x_m").alias("t_x"), F.col("y_m").alias("t_y"), "start_ts", "end_ts")
-    return m.join(uses, "site").join(t, "treatment").join(view(spark, sf, "regions").selectExpr("rid as site", "rx as c_x", "ry as c_y"), "site")
+    return _pair_rows(spark, sf)
 
 
 @register("balance_table", "WITH l AS (SELECT l_orderkey % 2 AS role, variable, v FROM (SELECT l_orderkey, l_quantity AS q, l_discount AS d FROM lineitem) UNPIVOT (v FOR variable IN (q, d))), m AS (SELECT variable, avg(v) FILTER (role = 1) AS mt, avg(v) FILTER (role = 0) AS mc, var_samp(v) FILTER (role = 1) AS vt, var_samp(v) FILTER (role = 0) AS vc FROM l GROUP BY 1) SELECT variable, round(mt, 6) AS mean_t, round(mc, 6) AS mean_c, round((mt - mc) / sqrt((vt + vc) / 2), 6) AS smd, round(vt / vc, 6) AS variance_ratio FROM m")

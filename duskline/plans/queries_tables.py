@@ -166,9 +166,9 @@ def correlations(spark, sf):
     return li.agg(F.round(F.corr("x", "y"), 9).alias("pearson")).crossJoin(ag.spearman(li, "x", "y").select(F.round("spearman", 9).alias("spearman")))
 
 
-@register("daily_counts_full_calendar", "WITH n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM n)::TIMESTAMP, (SELECT max(day) FROM n)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d) LEFT JOIN n ON n.day = d")
+@register("daily_counts_full_calendar", "WITH n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM n)::TIMESTAMP, (SELECT max(day) FROM n)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d) LEFT JOIN n ON n.day = d")
 def daily_counts(spark, sf):
-    return ag.calendar_counts(table(spark, sf, "orders").where("o_orderkey % 5 = 0"), "o_orderdate").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    return ag.calendar_counts(table(spark, sf, "orders"), "o_orderdate").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
 @register("period_diagnostics", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT 'all' AS scope, n FROM d UNION ALL SELECT concat('q', quarter(day)), n FROM d) SELECT scope, k, round(avg(n), 6) AS mean, median(n) AS median, max(n) AS max, round(avg(CASE WHEN n > k THEN 1.0 ELSE 0.0 END), 9) AS over_k, round(avg(n) / k, 9) AS load FROM s CROSS JOIN (SELECT CAST(unnest([4, 6, 8]) AS INT) AS k) GROUP BY scope, k")

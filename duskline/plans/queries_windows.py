@@ -83,9 +83,9 @@ def two_way_demean(spark, sf):
     return wi.two_way_demean(view(spark, sf, "panel"), "unit", "period", "y", "r").select("unit", "period", F.round("r", 6).alias("r"))
 
 
-@register("fill_gaps", "WITH n AS (SELECT DISTINCT user_id, CAST(day(ts) AS INT) AS night FROM events WHERE event_id % 7 = 0), g AS (SELECT user_id, night, lead(night) OVER (PARTITION BY user_id ORDER BY night) AS nx FROM n) SELECT user_id, night FROM n UNION ALL SELECT user_id, CAST(unnest(range(night + 1, nx)) AS INT) FROM g WHERE nx - night > 1 AND nx - night - 1 <= 2")
+@register("fill_gaps", "WITH n AS (SELECT DISTINCT user_id, CAST(day(ts) AS INT) AS night FROM events), g AS (SELECT user_id, night, lead(night) OVER (PARTITION BY user_id ORDER BY night) AS nx FROM n) SELECT user_id, night FROM n UNION ALL SELECT user_id, CAST(unnest(range(night + 1, nx)) AS INT) FROM g WHERE nx - night > 1 AND nx - night - 1 <= 2")
 def fill_gaps(spark, sf):
-    return wi.fill_gaps(table(spark, sf, "events").where("event_id % 7 = 0").select("user_id", F.day("ts").alias("night")), "user_id", "night", 2)
+    return wi.fill_gaps(table(spark, sf, "events").select("user_id", F.day("ts").alias("night")), "user_id", "night", 2)
 
 
 @register("first_row_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
