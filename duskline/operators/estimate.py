@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duskline.functions import normal_p
 from duskline.session import cut
 
+#: The 97.5th percentile of the normal distribution.
+Z95 = 1.959963984540054
+
 
 def mean_cluster_se(df: DataFrame, value: str, cluster: str, by: list[str] | None = None) -> DataFrame:
     """Mean, rows, clusters and cluster-robust standard error: sqrt(G / (G - 1) * sum of squared cluster sums) / n; null
@@ -78,15 +82,30 @@ def ols_cluster(df: DataFrame, y: str, xs: list[str], clusters: list[list[str]],
 
 
 def effect_table(spark: SparkSession, names: list[str], beta: np.ndarray, cov: np.ndarray, n: int) -> DataFrame:
-    """One row per coefficient: estimate, standard error, 95 % interval, two-sided normal p."""
+    """One row per coefficient: estimate, standard error, 95 % interval, two-sided normal p, rows. A negative variance, which
+    two-way clustering can give, leaves the estimate without inference."""
     rows = []
     for i, name in enumerate(names):
-        se = math.sqrt(cov[i, i]) if cov[i, i] >= 0 else float("nan")
-        p = math.erfc(abs(beta[i] / se) / math.sqrt(2)) if se > 0 else None
-        rows.append((name, float(beta[i]), se, float(beta[i] - 1.959963984540054 * se), float(beta[i] + 1.959963984540054 * se), p, n))
+        se = math.sqrt(cov[i, i]) if cov[i, i] >= 0 else None
+        p = normal_p(beta[i] / se) if se else None
+        ends = [None, None] if se is None else [float(beta[i] + side * Z95 * se) for side in (-1, 1)]
+        rows.append((name, float(beta[i]), se, *ends, p, n))
     return spark.createDataFrame(rows, "term string, estimate double, se double, ci_lower double, ci_upper double, p_value double, n long")
 
 
+def effect_summary(df: DataFrame, x: str, y: str, cluster: str, names: tuple[str, str]) -> DataFrame:
+    """Rows for the means of ``x`` and ``y``, their sum ``net`` and their ``ratio`` -y / x: estimate, cluster-robust standard
+    error, variance, 95 % interval, p, pairs and clusters. The ratio has no inference; none has with one cluster."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    long = both.select(cluster, F.explode(F.array(*[F.struct(F.lit(n).alias("term"), v.cast("double").alias("v")) for n, v in ((names[0], F.col(x)), (names[1], F.col(y)), ("net", F.col(x) + F.col(y)))])).alias("e")).select(cluster, "e.term", "e.v")
+    rows = mean_cluster_se(long, "v", cluster, ["term"]).withColumnRenamed("n", "pairs")
+    ends = rows.select("*", (F.col("se") ** 2).alias("variance"), (F.col("estimate") - Z95 * F.col("se")).alias("ci_lower"), (F.col("estimate") + Z95 * F.col("se")).alias("ci_upper"))
+    p = F.udf(lambda z: None if z is None else normal_p(z), "double")  # three rows
+    ends = ends.withColumn("p_value", p(F.expr("try_divide(estimate, se)")))
+    ratio = both.agg(F.lit("ratio").alias("term"), F.expr(f"-try_divide(avg({y}), avg({x}))").alias("estimate"), F.count("*").alias("pairs"), F.countDistinct(cluster).alias("clusters"))
+    return ends.unionByName(ratio, allowMissingColumns=True)
+
+
 def poisson_cluster(df: DataFrame, y: str, xs: list[str], cluster: str, family: str = "poisson", rounds: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, int]:
     """Poisson (or NB2 with dispersion 1) regression with log link by iterated weighted least squares; one Gram aggregate a
     round; cluster-robust covariance."""

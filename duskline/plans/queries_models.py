@@ -200,59 +200,96 @@ def group_means(spark, sf):
     return m.select("treatment", F.round("0", 6).alias("pre"), F.round("1", 6).alias("during"), F.round("2", 6).alias("post"))
 
 
-_TWO = "p2 AS (SELECT *, CASE WHEN period = 2 THEN 1 ELSE 0 END AS post FROM panel WHERE period <> 1), g AS (SELECT treatment, post, avg(y) AS m FROM p2 GROUP BY ALL)"
-_DID = with_views("panel") + f", {_TWO}, c AS (SELECT max(m) FILTER (treatment = 0 AND post = 0) AS m00, max(m) FILTER (treatment = 1 AND post = 0) AS m10, max(m) FILTER (treatment = 0 AND post = 1) AS m01, max(m) FILTER (treatment = 1 AND post = 1) AS m11 FROM g) SELECT 'const' AS term, round(m00, 6) AS estimate FROM c UNION ALL SELECT 'treatment', round(m10 - m00, 6) FROM c UNION ALL SELECT 'post', round(m01 - m00, 6) FROM c UNION ALL SELECT 'treatment:post', round(m11 - m10 - m01 + m00, 6) FROM c"
+_TWO = "p2 AS (SELECT *, CASE WHEN period = 2 THEN 1 ELSE 0 END AS post FROM panel WHERE period <> 1), g AS (SELECT treatment, post, avg(y) AS m, count(*) AS n FROM p2 GROUP BY ALL)"
+# A saturated regression in cell means: each coefficient is a contrast L of the four means (or their logs), and its variance is
+# the sum over clusters of the squared contrast of the cells' residual sums.
+_CELLS = with_views("panel") + f", {_TWO}, l(term, treatment, post, l) AS (VALUES ('const', 0, 0, 1), ('const', 1, 0, 0), ('const', 0, 1, 0), ('const', 1, 1, 0), ('treatment', 0, 0, -1), ('treatment', 1, 0, 1), ('treatment', 0, 1, 0), ('treatment', 1, 1, 0), ('post', 0, 0, -1), ('post', 1, 0, 0), ('post', 0, 1, 1), ('post', 1, 1, 0), ('treatment:post', 0, 0, 1), ('treatment:post', 1, 0, -1), ('treatment:post', 0, 1, -1), ('treatment:post', 1, 1, 1))"
+_EFFECT = "SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, n"
+
+
+def _contrasts(mean: str, share: str, factor: str, clusters: str = "cluster") -> str:
+    """SQL ``b`` (term, b) and ``v`` (term, v, n) of the contrasts for clusters of the given columns."""
+    return f", b AS (SELECT term, sum(l * {mean}) AS b FROM l JOIN g USING (treatment, post) GROUP BY 1), {_variance('v', share, factor, clusters)}"
+
+
+def _variance(name: str, share: str, factor: str, clusters: str) -> str:
+    score = f"SELECT term, {clusters}, sum((y - m) * l / {share}) AS s, (SELECT count(*) FROM p2) AS n FROM p2 JOIN g USING (treatment, post) JOIN l USING (treatment, post) GROUP BY term, {clusters}"
+    return f"{name} AS (SELECT term, count(*) / (count(*) - 1.0) * {factor} * sum(s * s) AS v, any_value(n) AS n FROM ({score}) GROUP BY 1)"
+
+
+_SMALL = "(any_value(n) - 1) / (any_value(n) - 4.0)"
+_DID = _CELLS + _contrasts("m", "n", _SMALL) + f" {_EFFECT} FROM (SELECT term, b, sqrt(v) AS se, n FROM b JOIN v USING (term))"
+_NAMES = ["const", "treatment", "post", "treatment:post"]
+_XS = ["1", "treatment", "post", "treatment * post"]
 
 
 def _two_periods(spark, sf):
     return view(spark, sf, "panel").where("period <> 1").withColumn("post", F.expr("cast(period = 2 as int)"))
 
 
+def _rounded(effects):
+    return effects.select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "ci_lower", "ci_upper")], "n")
+
+
 @register("did_ols", _DID)
 def did_ols(spark, sf):
-    names = ["const", "treatment", "post", "treatment:post"]
-    beta, cov, n = es.ols_cluster(_two_periods(spark, sf), "y", ["1", "treatment", "post", "treatment * post"], [["cluster"]])
-    return es.effect_table(spark, names, beta, cov, n).select("term", F.round("estimate", 6).alias("estimate"))
+    return _rounded(es.effect_table(spark, _NAMES, *es.ols_cluster(_two_periods(spark, sf), "y", _XS, [["cluster"]])))
 
 
-@register("did_ols_two_way_clusters")
+@register("did_ols_two_way_clusters", _CELLS + _contrasts("m", "n", _SMALL) + ", " + _variance("vp", "n", _SMALL, "period") + ", " + _variance("vc", "n", _SMALL, "cluster, period") + f" {_EFFECT} FROM (SELECT term, b, CASE WHEN v.v + vp.v - vc.v >= 0 THEN sqrt(v.v + vp.v - vc.v) END AS se, v.n FROM b JOIN v USING (term) JOIN vp USING (term) JOIN vc USING (term))")
 def did_two_way(spark, sf):
-    names = ["const", "treatment", "post", "treatment:post"]
-    beta, cov, n = es.ols_cluster(_two_periods(spark, sf), "y", ["1", "treatment", "post", "treatment * post"], [["cluster"], ["period"], ["cluster", "period"]])
-    return es.effect_table(spark, names, beta, cov, n)
+    return _rounded(es.effect_table(spark, _NAMES, *es.ols_cluster(_two_periods(spark, sf), "y", _XS, [["cluster"], ["period"], ["cluster", "period"]])))
 
 
-@register("fe_ols", with_views("panel") + f", {_TWO} SELECT 'treatment:post' AS term, round(max(m) FILTER (treatment = 1 AND post = 1) - max(m) FILTER (treatment = 1 AND post = 0) - max(m) FILTER (treatment = 0 AND post = 1) + max(m) FILTER (treatment = 0 AND post = 0), 6) AS estimate FROM g")
+_DEMEAN = "x - avg(x) OVER (PARTITION BY unit) - avg(x) OVER (PARTITION BY period) + avg(x) OVER ()"
+
+
+@register("fe_ols", with_views("panel") + f", {_TWO}, x AS (SELECT cluster, {_DEMEAN.replace('x', 'y')} AS y, {_DEMEAN.replace('x', '(treatment * post)')} AS x FROM p2), c AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n FROM x), s AS (SELECT cluster, sum(x.x * (x.y - b * x.x)) AS s FROM x, c GROUP BY 1) {_EFFECT} FROM (SELECT 'treatment:post' AS term, b, sqrt((SELECT count(*) / (count(*) - 1.0) * sum(s * s) FROM s)) / xx AS se, n FROM c)")
 def fe_ols(spark, sf):
     p = _two_periods(spark, sf).withColumn("x", (F.col("treatment") * F.col("post")).cast("double"))
     p = wi.two_way_demean(wi.two_way_demean(p, "unit", "period", "y", "ry"), "unit", "period", "x", "rx")
-    beta, cov, n = es.ols_cluster(p, "ry", ["rx"], [["cluster"]])
-    return es.effect_table(spark, ["treatment:post"], beta, cov, n).select("term", F.round("estimate", 6).alias("estimate"))
+    return _rounded(es.effect_table(spark, ["treatment:post"], *es.ols_cluster(p, "ry", ["rx"], [["cluster"]])))
 
 
-@register("event_study", with_views("panel") + ", g AS (SELECT treatment, period, avg(y) AS m FROM panel GROUP BY ALL) SELECT concat('treatment:', a.period) AS term, round((a.m - b.m) - (c.m - d.m), 6) AS estimate FROM g a JOIN g b ON b.treatment = 1 AND b.period = 0 JOIN g c ON c.treatment = 0 AND c.period = a.period JOIN g d ON d.treatment = 0 AND d.period = 0 WHERE a.treatment = 1 AND a.period > 0")
+@register(
+    "event_study",
+    with_views("panel") + f", x AS (SELECT cluster, {_DEMEAN.replace('x', 'y')} AS y, {_DEMEAN.replace('x', '(treatment * CAST(period = 1 AS INT))')} AS p, {_DEMEAN.replace('x', '(treatment * CAST(period = 2 AS INT))')} AS q FROM panel), "
+    "g AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy, count(*) AS n FROM x), b AS (SELECT *, pp * qq - pq * pq AS d, (qq * py - pq * qy) / (pp * qq - pq * pq) AS b1, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2 FROM g), "
+    "s AS (SELECT cluster, sum(p * (y - b1 * p - b2 * q)) AS sp, sum(q * (y - b1 * p - b2 * q)) AS sq FROM x, b GROUP BY 1), v AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(sp * sp) AS a, sum(sp * sq) AS c, sum(sq * sq) AS e FROM s), "
+    "r AS (SELECT 'treatment:1' AS term, b1 AS b, sqrt(f * (n - 1) / (n - 2.0) * (qq * qq * a - 2 * qq * pq * c + pq * pq * e)) / d AS se, n FROM b, v UNION ALL SELECT 'treatment:2', b2, sqrt(f * (n - 1) / (n - 2.0) * (pp * pp * e - 2 * pp * pq * c + pq * pq * a)) / d, n FROM b, v) " + _EFFECT + " FROM r")
 def event_study(spark, sf):
     p = view(spark, sf, "panel")
     for k in (1, 2):
         p = p.withColumn(f"x{k}", F.expr(f"cast(treatment * cast(period = {k} as int) as double)"))
     for c, r in (("y", "ry"), ("x1", "r1"), ("x2", "r2")):
         p = wi.two_way_demean(p, "unit", "period", c, r)
-    beta, cov, n = es.ols_cluster(p, "ry", ["r1", "r2"], [["cluster"]])
-    return es.effect_table(spark, ["treatment:1", "treatment:2"], beta, cov, n).select("term", F.round("estimate", 6).alias("estimate"))
+    return _rounded(es.effect_table(spark, ["treatment:1", "treatment:2"], *es.ols_cluster(p, "ry", ["r1", "r2"], [["cluster"]])))
+
+
+_LOG = _CELLS + _contrasts("ln(m)", "(n * m)", "1.0") + f" {_EFFECT} FROM (SELECT term, b, sqrt(v) AS se, n FROM b JOIN v USING (term))"
 
 
-@register("poisson_did", _DID.replace("round(m00, 6)", "round(ln(m00), 6)").replace("round(m10 - m00, 6)", "round(ln(m10 / m00), 6)").replace("round(m01 - m00, 6)", "round(ln(m01 / m00), 6)").replace("round(m11 - m10 - m01 + m00, 6)", "round(ln(m11 / m10 / m01 * m00), 6)"))
+@register("poisson_did", _LOG.replace("sum((y - m) * l / (n * m))", "sum((y - m) * l / (g.n * m))"))
 def poisson_did(spark, sf):
-    names = ["const", "treatment", "post", "treatment:post"]
-    beta, cov, n = es.poisson_cluster(_two_periods(spark, sf), "y", ["1", "treatment", "post", "treatment * post"], "cluster")
-    return es.effect_table(spark, names, beta, cov, n).select("term", F.round("estimate", 6).alias("estimate"))
+    return _rounded(es.effect_table(spark, _NAMES, *es.poisson_cluster(_two_periods(spark, sf), "y", _XS, "cluster")))
+
+
+@register("nb2_did", _LOG.replace("sum((y - m) * l / (n * m))", "sum((y - m) * l / (g.n * m))"))
+def nb2_did(spark, sf):
+    """Negative binomial; in a saturated model its estimates and cluster-robust errors are the Poisson ones."""
+    return _rounded(es.effect_table(spark, _NAMES, *es.poisson_cluster(_two_periods(spark, sf), "y", _XS, "cluster", family="nb2")))
 
 
 @register("ppml_two_fe")
 def ppml_two_fe(spark, sf):
     p = es.drop_zero_groups(view(spark, sf, "panel").withColumn("x", F.expr("cast(treatment * cast(period = 2 as int) as double)")), "y", ["unit", "period"])
-    beta, cov, n = es.ppml_two_fe(p, "y", ["x"], ("unit", "period"), "cluster")
-    return es.effect_table(spark, ["treatment:post"], beta, cov, n)
+    return es.effect_table(spark, ["treatment:post"], *es.ppml_two_fe(p, "y", ["x"], ("unit", "period"), "cluster"))
+
+
+@register("effect_summary", _PD + ", m AS (SELECT avg(e) AS me, avg(d) AS md, count(*) AS n FROM d), s AS (SELECT cluster, sum(e - me) AS se, sum(d - md) AS sd FROM d, m GROUP BY 1), v AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(se * se) AS ee, sum(sd * sd) AS dd, sum((se + sd) * (se + sd)) AS nn FROM s), r AS (SELECT 'during' AS term, me AS b, sqrt(f * ee) / n AS se, n FROM m, v UNION ALL SELECT 'post', md, sqrt(f * dd) / n, n FROM m, v UNION ALL SELECT 'net', me + md, sqrt(f * nn) / n, n FROM m, v UNION ALL SELECT 'ratio', -md / me, NULL, n FROM m) SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(se * se, 6) AS variance, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, n AS pairs FROM r")
+def effect_summary(spark, sf):
+    """Effects of both periods, their sum with its variance, and their ratio, which has none."""
+    return es.effect_summary(_paired(spark, sf), "e", "d", "cluster", ("during", "post")).select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "variance", "ci_lower", "ci_upper")], "pairs")
 
 
 # Evaluation -------------------------------------------------------------------------------------------------------------
@@ -266,10 +303,10 @@ def binary_metrics(spark, sf):
     return m.select("lang", "tp", "fp", "tn", "fn", F.round("brier", 6).alias("brier"), F.round("log_loss", 5).alias("log_loss"), *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
-@register("ranking_metrics", with_views("preds") + ", c AS (SELECT lang, p, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM preds GROUP BY ALL), r AS (SELECT *, sum(a) OVER (PARTITION BY lang ORDER BY p DESC) AS tp, sum(b) OVER (PARTITION BY lang ORDER BY p DESC) AS fp, sum(a) OVER (PARTITION BY lang) AS pos, sum(b) OVER (PARTITION BY lang) AS neg FROM c) SELECT lang, round(sum((tp - a / 2) * b) / (max(pos) * max(neg)), 6) AS auc, round(sum(a * tp / (tp + fp)) / max(pos), 6) AS average_precision FROM r WHERE pos > 0 AND neg > 0 GROUP BY 1")
+@register("ranking_metrics", with_views("preds") + ", c AS (SELECT lang, p, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM preds GROUP BY ALL), r AS (SELECT *, sum(a) OVER (PARTITION BY lang ORDER BY p DESC) AS tp, sum(b) OVER (PARTITION BY lang ORDER BY p DESC) AS fp, sum(a) OVER (PARTITION BY lang) AS pos, sum(b) OVER (PARTITION BY lang) AS neg FROM c) SELECT lang, round(sum((tp - a / 2) * b) / (max(pos) * max(neg)), 6) AS auc, round(sum(a * tp / (tp + fp)) / max(pos), 6) AS average_precision, max_by(p, ROW(round(tp / pos - fp / neg, 12), p)) AS youden_threshold FROM r WHERE pos > 0 AND neg > 0 GROUP BY 1")
 def ranking_metrics(spark, sf):
     m = ev.ranking_metrics(view(spark, sf, "preds"), "y", "p", ["lang"])
-    return m.select("lang", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
+    return m.select("lang", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"), "youden_threshold")
 
 
 @register("calibration_table", with_views("preds") + ", b AS (SELECT *, CAST(ntile(10) OVER (ORDER BY p, doc_id) AS INT) AS bin FROM preds) SELECT bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM b GROUP BY 1")
