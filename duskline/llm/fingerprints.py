@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,7 +44,7 @@ SMALL_BUCKET, BLOCK = 24, 512
 #: Likeness from which documents are near.
 LEAST = 0.8
 #: Bands whose buckets are formed in one pass, which bounds the disk of their shuffle.
-BANDS_AT_ONCE = 24
+BANDS_AT_ONCE = 12
 
 
 class EditEmbedding:
@@ -279,15 +280,21 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the checkpoint folder. Null texts count as empty. Rows of equal id follow each other in the order of a hash of their
     texts; null ids come first. A table of one row has itself as next document. An empty table gives an empty result.
 
-    Texts are shuffled once, into ranges of ids as many as the session has shuffle partitions, and streamed through in
-    order. What meets at the ends of two ranges, one text of each, is set aside and joined afterwards; of that the driver
+    Texts are shuffled once, compressed each, into ranges of ids as many as the session has shuffle partitions, and streamed
+    through in order. What meets at the ends of two ranges, one text of each, is set aside and joined afterwards; of that the driver
     holds the numbers of the ranges only.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = docs.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "tie", "packed"])
+
+    packed = docs.select("doc_id", "tie", "text").mapInArrow(pack, T.StructType([docs.schema["doc_id"], T.StructField("tie", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    spread = packed.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "packed")
     done = [docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
     #: A range's first and last text; null in all other rows.
     ends = [T.StructField("range", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("text", T.StringType())]
@@ -300,7 +307,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         last = None  # the row that waits for its next one
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = zlib.decompress(raw).decode()
                 codes, walk, own = _walked(text)
                 if last is None:
                     rows.append((doc_id, None, None, own, None, None, None, part, True, text))
