@@ -31,7 +31,7 @@ def ranking_metrics(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     c = _curve(df, y, p, by)
     auc = F.sum((F.col("tp") - F.col("_pos") / 2) * F.col("_neg")) / (F.first("pos") * F.first("neg"))
     ap = F.sum(F.col("_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("pos")
-    youden = F.max(F.struct((F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg")).alias("j"), F.col("_p").alias("p")))
+    youden = F.max(F.struct(F.round(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg"), 12).alias("j"), F.col("_p").alias("p")))
     return c.where("pos > 0 and neg > 0").groupBy(*by).agg(auc.alias("auc"), ap.alias("average_precision"), youden.getField("p").alias("youden_threshold"))
 
 
