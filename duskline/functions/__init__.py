@@ -31,3 +31,9 @@ def iso_week(ts: str) -> Column:
 def normal_p(z: float) -> float:
     """Two-sided normal tail of one statistic (driver side, for tables of estimates)."""
     return math.erfc(abs(z) / math.sqrt(2))
+
+
+def text_hash(*cols: Column | str, seed: str = "") -> Column:
+    """A number of 60 bits from the MD5 of the values as text joined by ``|`` (nulls as ``~``), which any engine can repeat."""
+    parts = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("~")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 15), 16, 10).cast("long")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskline.functions import text_hash
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """``n`` and ``share`` of each value."""
@@ -38,23 +40,68 @@ def quantile_higher(df: DataFrame, col: str, q: float) -> DataFrame:
     return ranked.crossJoin(at).where("cum > at").agg(F.min("v").alias("q_value"))
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """Cumulative sum of ``value`` by ``order`` (which must be unique) without sorting everything in one task.
+def range_number(ends: Column, value: Column, most: int) -> Column:
+    """How many of the sorted ``ends`` (an array of at most ``most``) lie below ``value``, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    further = lambda at, step: F.when((at + step <= F.size(ends)) & (F.get(ends, at + step - 1) < value), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group's row in ``groups``, null keys being a group as well; one row for all without
+    ``by``."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))
+    named = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return rows.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])).drop(*[f"_of_{c}" for c in by])
+
+
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Cumulative sums, ``sums`` mapping new names to columns, by ``order`` (unique in each group of ``by``), without sorting
+    everything, or a whole group, in one task.
 
-    Rows fall into ranges of ``order`` at approximate quantiles; sums run inside a range, and each range is offset by the
-    total of the ranges before it, of which there are at most ``buckets``.
+    Rows fall into ranges of ``order`` at approximate quantiles, as many as the session has shuffle partitions and at least
+    64; sums run inside a range, and each range is offset by the totals of the ranges before it, one row a range and group.
     """
-    ends = df.select(F.percentile_approx(F.col(order), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000).alias("e"))
-    placed = df.crossJoin(F.broadcast(ends)).withColumn("_b", F.size(F.filter(F.col("e"), lambda e: e < F.col(order)))).drop("e")
-    totals = placed.groupBy("_b").agg(F.sum(value).alias("_t"))
-    before = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(order))
-    return placed.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_b", "_in", "_before")
+    by = by or []
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = df.select(F.percentile_approx(F.col(order), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), max(1000, 20 * buckets)).alias("_e"))
+    placed = df.crossJoin(F.broadcast(ends)).withColumn("_b", range_number(F.col("_e"), F.col(order), buckets)).drop("_e")
+    totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]], *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy(order)
+    ran = placed.select("*", *[F.sum(c).over(inside).alias(f"_r_{n}") for n, c in sums.items()])
+    meet = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_b"]])
+    out = ran.join(before if by else F.broadcast(before), meet)
+    return out.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_p_{n}")).alias(n) for n in sums])
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """Cumulative sum of ``value`` by ``order``, see ``running_totals``."""
+    return running_totals(df, order, {out: value}, buckets=buckets)
+
+
+def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``q``, an array of the exact quantiles with linear interpolation of the non-null values, a row for each group of
+    ``by``. Values are counted, ranges of them carry running counts: no task holds all distinct values."""
+    by = by or []
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ran = running_totals(counts, "_v", {"_cum": "_c"}, by)
+    size = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    j = join_groups(ran, size, by)
+    at = lambda share, edge: edge(share * (F.col("_n") - 1)).cast("long")
+    held = lambda place: (F.col("_cum") > place) & (F.col("_cum") - F.col("_c") <= place)
+    picks = [F.max(F.when(held(at(s, edge)), F.col("_v"))).alias(f"_{name}{i}") for i, s in enumerate(shares) for name, edge in (("lo", F.floor), ("hi", F.ceil))]
+    r = j.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+    mixed = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (s * (F.col("_n") - 1) - at(s, F.floor)) for i, s in enumerate(shares)]
+    return r.select(*by, F.array(*mixed).alias("q"))
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Mean, median, 90th percentile, maximum and share of zeros of a column."""
-    return df.agg(F.avg(col).alias("mean"), F.percentile(col, 0.5).alias("median"), F.percentile(col, 0.9).alias("p90"), F.max(col).alias("max"), F.avg((F.col(col) == 0).cast("double")).alias("zero_share"))
+    one = df.agg(F.avg(col).alias("mean"), F.max(col).alias("max"), F.avg((F.col(col) == 0).cast("double")).alias("zero_share"))
+    return one.crossJoin(exact_quantiles(df, col, [0.5, 0.9])).select("mean", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p90"), "max", "zero_share")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -125,6 +172,6 @@ def explode_nights(df: DataFrame, origin: str, horizon: int, start: str = "start
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content hash: rows, sum and xor of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    """Order-insensitive content hash: rows, sum and xor of row hashes that any engine can repeat."""
+    h = text_hash(*sorted(df.columns))
     return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))

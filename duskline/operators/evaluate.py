@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import running_total
+from duskline.operators.aggregates import exact_quantiles, join_groups, running_total, running_totals
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, threshold: float, by: list[str] | None = None) -> DataFrame:
@@ -20,14 +20,17 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float, by: list[str
 
 
 def _curve(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """Positives and negatives at or above each distinct score, in descending order of score."""
+    """Positives and negatives at or above each distinct score, by running totals over ranges of scores."""
     n = df.groupBy(*by, F.col(p).alias("_p")).agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
-    w, all_ = Window.partitionBy(*by).orderBy(F.desc("_p")), Window.partitionBy(*by)
-    return n.select(*by, "_p", "_pos", "_neg", F.sum("_pos").over(w).alias("tp"), F.sum("_neg").over(w).alias("fp"), F.sum("_pos").over(all_).alias("pos"), F.sum("_neg").over(all_).alias("neg"))
+    ran = running_totals(n, "_p", {"_cp": "_pos", "_cn": "_neg"}, by)
+    size = n.groupBy(*by).agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
+    j = join_groups(ran, size, by)
+    return j.select(*by, "_p", "_pos", "_neg", (F.col("pos") - F.col("_cp") + F.col("_pos")).alias("tp"), (F.col("neg") - F.col("_cn") + F.col("_neg")).alias("fp"), "pos", "neg")
 
 
-def ranking_metrics(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """ROC AUC (ties count half), average precision, and the threshold of largest TPR - FPR (ties: the highest), by group."""
+    by = by or []
     c = _curve(df, y, p, by)
     auc = F.sum((F.col("tp") - F.col("_pos") / 2) * F.col("_neg")) / (F.first("pos") * F.first("neg"))
     ap = F.sum(F.col("_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("pos")
@@ -49,7 +52,7 @@ def calibration_table(df: DataFrame, y: str, p: str, key: str, bins: int = 10) -
 
 def psi_numeric(reference: DataFrame, new: DataFrame, col: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index on the reference's quantile bins; shares are floored."""
-    edges = reference.agg(F.percentile(col, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    edges = exact_quantiles(reference, col, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "_e")
     binned = lambda df: df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(edges)).select(F.size(F.filter("_e", lambda e: e < F.col(col))).alias("b").cast("string"))
     return _psi(binned(reference), binned(new), floor)
 

@@ -61,7 +61,7 @@ def fit_candidates(train: DataFrame, validation: DataFrame, stages: list, models
     fitted, rows = {}, []
     for name, model in models.items():
         fitted[name] = Pipeline(stages=[*stages, model]).fit(train)
-        r = ranking_metrics(with_probability(fitted[name], validation).withColumn("_g", F.lit(1)), label, "p", ["_g"]).first()
+        r = ranking_metrics(with_probability(fitted[name], validation), label, "p").first()
         rows.append((name, r.auc if r else None))
     best = min(rows, key=lambda r: (-(r[1] or 0), r[0]))[0]
     return fitted, train.sparkSession.createDataFrame([(n, a, n == best) for n, a in rows], "model string, auc double, chosen boolean")
@@ -77,7 +77,7 @@ def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str], key: str, label: str = "label", repeats: int = 2) -> DataFrame:
     """Mean loss of AUC when a column is permuted."""
-    auc = lambda d: ranking_metrics(with_probability(model, d).withColumn("_g", F.lit(1)), label, "p", ["_g"]).first().auc
+    auc = lambda d: ranking_metrics(with_probability(model, d), label, "p").first().auc
     df = cut(df)
     base = auc(df)
     rows = [(c, sum(base - auc(permuted(df, c, key, 10 * i)) for i in range(repeats)) / repeats) for c in cols]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import average_rank, running_total
+from duskline.operators.aggregates import average_rank, exact_quantiles, running_total
 
 
 def rank_queue(df: DataFrame, order: list[Column], capacity: int, within: list[str] | None = None) -> DataFrame:
@@ -55,15 +55,18 @@ def tier_by_value(score: Column, high: float, medium: float) -> Column:
 
 def quantile_bin(df: DataFrame, col: str, parts: int, out: str) -> DataFrame:
     """Bin 0..parts-1 with right-closed edges at the exact linear quantiles; null in, null out."""
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("_e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(col).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(col))))).drop("_e")
+    edges = exact_quantiles(df, col, [i / parts for i in range(1, parts)]).withColumnRenamed("q", "_e")
+    return df.join(F.broadcast(edges), how="left").withColumn(out, F.when(F.col(col).isNotNull(), F.size(F.filter("_e", lambda e: e < F.col(col))))).drop("_e")
 
 
 def two_way_demean(df: DataFrame, unit: str, period: str, col: str, out: str) -> DataFrame:
-    """Value less its unit mean and period mean plus the grand mean (balanced panels)."""
+    """Value less its unit mean and period mean plus the grand mean (balanced panels). Means are aggregated and joined, so the
+    rows of a period need no task of their own."""
     grand = df.agg(F.avg(col).alias("_g"))
-    mean = lambda k: F.avg(col).over(Window.partitionBy(k))
-    return df.crossJoin(F.broadcast(grand)).withColumn(out, F.col(col) - mean(unit) - mean(period) + F.col("_g")).drop("_g")
+    mean = lambda k, n: df.groupBy(F.col(k).alias(f"_k{n}")).agg(F.avg(col).alias(n))
+    same = lambda k, n: F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    j = df.join(mean(unit, "_u"), same(unit, "_u")).join(mean(period, "_p"), same(period, "_p")).crossJoin(F.broadcast(grand))
+    return j.withColumn(out, F.col(col) - F.col("_u") - F.col("_p") + F.col("_g")).drop("_g", "_u", "_p", "_k_u", "_k_p")
 
 
 def fill_gaps(df: DataFrame, key: str, night: str, most: int) -> DataFrame:
@@ -74,13 +77,15 @@ def fill_gaps(df: DataFrame, key: str, night: str, most: int) -> DataFrame:
     return nights.unionByName(gap.select(key, F.explode(F.expr(f"sequence({night} + 1, _n - 1)")).alias(night)))
 
 
-def fifo_schedule(jobs: DataFrame, capacity: int, t0: str, key: str = "id", ts: str = "arrival", buckets: int = 64) -> DataFrame:
+def fifo_schedule(jobs: DataFrame, capacity: int, t0: str, key: str = "id", ts: str = "arrival", buckets: int | None = None) -> DataFrame:
     """First-in-first-out service of ``capacity`` jobs a day: ``known_day``, ``fifo_rank`` (from 0), ``service_day``.
 
     A job is known at the first daily decision strictly after its arrival. With rank r and known day d the slot is
     r + max over earlier ranks of (capacity * d - r), and the day is slot div capacity. Ranks and running maxima are taken
-    inside ranges of known days and carried over as one number a range, so no task sees all jobs.
+    inside ranges of known days, as many as the session has shuffle partitions and at least 64, and carried over as one
+    number a range, so no task sees all jobs.
     """
+    buckets = buckets or max(64, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     day = F.greatest(F.floor(F.expr(f"timestampdiff(microsecond, timestamp_ntz '{t0}', {ts})") / 8.64e10).cast("long") + 1, F.lit(0))
     known = jobs.withColumn("known_day", day)
     span = known.agg(F.min("known_day").alias("_a"), F.max("known_day").alias("_z"))

@@ -119,8 +119,8 @@ def modal_value(spark, sf):
 
 @register("exact_percentiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(median(o_totalprice), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1")
 def exact_percentiles(spark, sf):
-    q = lambda p: F.round(F.percentile("o_totalprice", p), 4)
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"))
+    q = ag.exact_quantiles(table(spark, sf, "orders"), "o_totalprice", [0.1, 0.5, 0.9, 0.99], ["o_orderpriority"])
+    return q.select("o_orderpriority", *[F.round(F.get("q", F.lit(i)), 4).alias(name) for i, name in enumerate(("p10", "p50", "p90", "p99"))])
 
 
 @register("quantile_higher", "SELECT o_totalprice AS q_value FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice) = CAST(ceil(0.999 * ((SELECT count(*) FROM orders) - 1)) AS BIGINT) + 1")
@@ -198,6 +198,6 @@ def occupancy_identity(spark, sf):
     return s.agg(F.sum("s").alias("by_row")).crossJoin(groups).withColumn("equal", F.col("by_row") == F.col("by_group"))
 
 
-@register("table_fingerprint")
+@register("table_fingerprint", "WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', '', CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), coalesce(l_returnflag, '~'))), 1, 15)) AS BIGINT) AS h FROM lineitem) SELECT count(*) AS rows, CAST(sum(h) AS DECIMAL(38,0)) AS hash_sum, bit_xor(h) AS hash_xor FROM h")
 def table_fingerprint(spark, sf):
-    return ag.fingerprint(table(spark, sf, "orders"))
+    return ag.fingerprint(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from duskline import functions as fn
 from duskline.operators import aggregates as ag
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
@@ -128,19 +129,26 @@ def curve_down_sample(spark, sf):
     return r.join(F.broadcast(at), "i").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-@register("hash_order")
+def _hash(seed: str, column: str) -> str:
+    """The SQL of ``functions.text_hash``."""
+    return f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', CAST({column} AS VARCHAR))), 1, 15)) AS BIGINT)"
+
+
+@register("hash_order", f"SELECT c_custkey, row_number() OVER (ORDER BY {_hash('11', 'c_custkey')}) AS place FROM customer")
 def hash_order(spark, sf):
-    """A seeded permutation of the customers; the hash is Spark's own, so no SQL elsewhere can state it."""
-    c = table(spark, sf, "customer").select("c_custkey", F.xxhash64("c_custkey", F.lit(11)).alias("h"), F.lit(1).alias("one"))
+    """A seeded permutation of the customers: one global place each."""
+    c = table(spark, sf, "customer").select("c_custkey", fn.text_hash("c_custkey", seed="11").alias("h"), F.lit(1).alias("one"))
     return ag.running_total(c, "h", "one", "place").select("c_custkey", "place")
 
 
-@register("scenario_clones")
+@register("scenario_clones", f"WITH o AS (SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders), q AS (SELECT quantile_cont(o_totalprice, 0.8) AS q FROM o), c AS (SELECT o_orderkey, o_totalprice, CAST(day + CAST({_hash('5', 'o_orderkey')} % 11 - 5 AS INTEGER) AS DATE) AS day, true AS clone FROM o, q WHERE o_totalprice > q AND {_hash('3', 'o_orderkey')} % 2 = 0) SELECT o_orderkey, o_totalprice, strftime(day, '%Y-%m-%d') AS day, clone FROM (SELECT *, false AS clone FROM o UNION ALL SELECT * FROM c)")
 def scenario_clones(spark, sf):
     """Half of the orders above the 80th price percentile again, up to five days earlier or later, by hash."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
-    top = o.crossJoin(o.agg(F.percentile("o_totalprice", 0.8).alias("q"))).where("o_totalprice > q").where(F.pmod(F.xxhash64("o_orderkey", F.lit(3)), F.lit(2)) == 0).drop("q")
-    return o.withColumn("clone", F.lit(False)).unionByName(top.withColumn("day", F.date_add("day", (F.pmod(F.xxhash64("o_orderkey", F.lit(5)), F.lit(11)) - 5).cast("int"))).withColumn("clone", F.lit(True)))
+    q = ag.exact_quantiles(o, "o_totalprice", [0.8]).select(F.get("q", F.lit(0)).alias("q"))
+    top = o.crossJoin(F.broadcast(q)).where("o_totalprice > q").where(fn.text_hash("o_orderkey", seed="3") % 2 == 0).drop("q")
+    moved = top.withColumn("day", F.date_add("day", (fn.text_hash("o_orderkey", seed="5") % 11 - 5).cast("int")))
+    return o.withColumn("clone", F.lit(False)).unionByName(moved.withColumn("clone", F.lit(True))).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @register("latest_n", "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25")

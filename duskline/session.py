@@ -1,8 +1,8 @@
 """Session helpers: read tables, find the shared checkpoint folder, cut lineage.
 
 Executors of a cluster see neither the driver's nor each other's local disk. Whatever an iterative job materialises
-therefore goes through ``DataFrame.checkpoint()`` into ``spark.checkpoint.dir`` (a folder all executors share). Only
-where that setting is absent, as in tests, does the session get a folder of its own.
+therefore goes through ``DataFrame.checkpoint()`` into ``spark.checkpoint.dir`` (a folder all executors share). Only a
+local session without that setting, as in tests, gets a folder of its own; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is set anywhere."""
+    """The cluster's shared checkpoint folder; a temporary one only for a local session that has none."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _TEST_DIR:
             _TEST_DIR.append(tempfile.mkdtemp(prefix="duskline-checkpoint-"))
         shared = _TEST_DIR[0]

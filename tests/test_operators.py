@@ -290,11 +290,25 @@ def test_profile_and_different_rows(spark):
 
 
 def test_hash_order_is_one_permutation(spark):
-    from pyspark.sql import functions as F
+    from hashlib import md5
 
     from duskline.plans import catalog
 
     sf = "/root/testdata/sf0.001"
-    ids = spark.read.parquet(f"{sf}/customer.parquet").orderBy(F.xxhash64("c_custkey", F.lit(11))).select("c_custkey").collect()
+    ids = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    ids.sort(key=lambda i: md5(f"11|{i}".encode()).hexdigest())
     got = {r.c_custkey: r.place for r in catalog.queries()["hash_order"](spark, sf).collect()}
-    assert got == {r.c_custkey: i for i, r in enumerate(ids, 1)}
+    assert got == {c: i for i, c in enumerate(ids, 1)}
+
+
+def test_quantiles_and_running_totals_by_group_with_nulls(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(30))])) for _ in range(400)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.q for r in ag.exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.99, 1.0], ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.1, 0.5, 0.99, 1.0])), g
+    assert "d" not in got
+    counts = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
+    for r in ag.running_totals(counts, "v", {"t": "c"}, ["g"], buckets=7).collect():
+        assert r.t == sum(v is not None and v <= r.v for k, v in rows if k == r.g)
