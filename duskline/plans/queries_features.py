@@ -96,28 +96,58 @@ def drop_zero_groups(spark, sf):
     return es.drop_zero_groups(n, "v", ["user_id", "event_type"])
 
 
-@register("exposure_scenarios")
+_SCENARIOS = (
+    with_views("ivals") + ", r AS (SELECT 'base' AS scenario, x_m, y_m, start_ts AS s, end_ts AS e FROM ivals WHERE end_ts IS NOT NULL UNION ALL SELECT 'early', x_m, y_m, start_ts - INTERVAL 7 DAY, end_ts FROM ivals WHERE end_ts IS NOT NULL "
+    "UNION ALL SELECT 'half', x_m, y_m, start_ts, start_ts + to_seconds(floor(epoch(end_ts - start_ts) / 2)) FROM ivals WHERE end_ts IS NOT NULL UNION ALL SELECT 'open', x_m, y_m, start_ts, coalesce(end_ts, TIMESTAMP '2024-01-29') FROM ivals "
+    "UNION ALL SELECT 'deadline', x_m, y_m, start_ts, end_ts FROM ivals WHERE epoch(end_ts - start_ts) / 3600 NOT BETWEEN 55 AND 60), k AS (SELECT *, greatest(floor(epoch(s - TIMESTAMP '2024-01-01') / 86400), 0) AS f, least(ceil(epoch(e - TIMESTAMP '2024-01-01') / 86400) - 1, 27) AS l FROM r WHERE e >= s), "
+    "n AS (SELECT DISTINCT scenario, x_m, y_m, unnest(range(CAST(f AS BIGINT), CAST(l AS BIGINT) + 1)) AS night FROM k WHERE l >= f), g AS (SELECT lead(night) OVER (PARTITION BY x_m, y_m ORDER BY night) - night - 1 AS gap FROM n WHERE scenario = 'base'), t AS (SELECT scenario, count(*) AS site_nights FROM n GROUP BY 1) "
+    "SELECT * FROM t UNION ALL SELECT concat('gap', m), CAST(site_nights + (SELECT coalesce(sum(gap), 0) FROM g WHERE gap BETWEEN 1 AND m) AS BIGINT) FROM t, (SELECT unnest([2, 7, 14]) AS m) WHERE scenario = 'base'"
+)
+
+
+@register("exposure_scenarios", _SCENARIOS)
 def exposure_scenarios(spark, sf):
     """Total exposure of each timing scenario."""
     from functools import reduce
 
-    nights = [ex.scenario_nights(view(spark, sf, "ivals"), s, "2024-01-01 00:00:00", 28).agg(F.lit(s).alias("scenario"), F.count("*").alias("site_nights")) for s in ("base", "early", "half", "gap2")]
+    names = ("base", "open", "early", "half", "deadline", "gap2", "gap7", "gap14")
+    nights = [ex.scenario_nights(view(spark, sf, "ivals"), s, "2024-01-01 00:00:00", 28).agg(F.lit(s).alias("scenario"), F.count("*").alias("site_nights")) for s in names]
     return reduce(lambda a, b: a.unionByName(b), nights)
 
 
-@register("robustness_grid")
-def robustness_grid(spark, sf):
-    """The same estimate under other timing scenarios, with its difference from the base and whether the sign holds."""
-    from functools import reduce
+# Every closed interval is the treated unit of a pair whose control is the place 300 m east of it.
+_PAIR_UNITS = with_views("pts", "ivals") + ", u AS (SELECT id, cust % 97 AS cluster, treatment, x_m + 300 * (1 - treatment) AS x, y_m AS y, start_ts AS s, end_ts AS e FROM ivals, (SELECT unnest([0, 1]) AS treatment) WHERE end_ts IS NOT NULL), j AS (SELECT u.id, u.treatment, u.s, u.e, p.t, sqrt(pow(p.x_m - x, 2) + pow(p.y_m - y, 2)) AS d FROM u JOIN pts p ON p.x_m BETWEEN x - 250 AND x + 250 AND p.t >= s - INTERVAL 14 DAY AND p.t <= e + INTERVAL 14 DAY AND sqrt(pow(p.x_m - x, 2) + pow(p.y_m - y, 2)) <= 250)"
+_PAIR_PANEL = (
+    _PAIR_UNITS + ", c AS (SELECT id, treatment, " + ", ".join(f"count(*) FILTER (d <= {r} AND {cond}) AS {name}_{r}" for name, cond in (("pre", "t < s"), ("during", "t BETWEEN s AND e"), ("post", "t > e AND t <= e + INTERVAL 7 DAY")) for r in (100, 250)) + " FROM j GROUP BY ALL), "
+    "f AS (SELECT u.*, c.* EXCLUDE (id, treatment) FROM u LEFT JOIN c ON c.id = u.id AND c.treatment = u.treatment) "
+    + " UNION ALL ".join(f"SELECT id AS pair, treatment, '{name}' AS period, {k} AS period_order, {int(name == 'post')} AS post, round({days}, 6) AS days, coalesce({name}_100, 0) AS y_100, coalesce({name}_250, 0) AS y_250, coalesce(pre_100, 0) AS baseline FROM f" for k, (name, days) in enumerate((("pre", "14.0::DOUBLE"), ("during", "epoch(e - s) / 86400"), ("post", "7.0::DOUBLE"))))
+)
+
 
-    def one(s):
-        p = _panel(spark, sf, s).withColumn("cell", F.struct("gx", "gy"))
-        beta, cov, _ = es.ols_cluster(p, "y", ["1", "x_0", "x_1"], [["gx", "gy"]])
-        return spark.createDataFrame([(s, "x_0", float(beta[1]), float(cov[1, 1] ** 0.5)), (s, "x_1", float(beta[2]), float(cov[2, 2] ** 0.5))], "scenario string, term string, estimate double, se double")
+def _pairs_east(spark, sf):
+    return view(spark, sf, "ivals").where("end_ts is not null").selectExpr("id as pair", "cust % 97 as cluster", "x_m as t_x", "y_m as t_y", "x_m + 300 as c_x", "y_m as c_y", "start_ts", "end_ts")
 
-    grid = reduce(lambda a, b: a.unionByName(b), [one(s) for s in ("base", "early", "half")])
-    base = grid.where("scenario = 'base'").select("term", F.col("estimate").alias("base"))
-    return grid.join(base, "term").withColumn("difference", F.col("estimate") - F.col("base")).withColumn("same_sign", F.signum("estimate") == F.signum("base"))
+
+@register("pair_panel", _PAIR_PANEL)
+def pair_panel(spark, sf):
+    p = ex.build_pair_panel(_pairs_east(spark, sf), view(spark, sf, "pts").select("x_m", "y_m", "t"), [100, 250], 14, 7)
+    return p.select("pair", "treatment", "period", "period_order", "post", F.round("days", 6).alias("days"), "y_100", "y_250", "baseline")
+
+
+_SPECS = {"base": (100, 14, 7), "wide": (250, 14, 7), "long": (100, 14, 14), "short": (100, 7, 7)}
+_GRID = (
+    _PAIR_UNITS + ", c AS (SELECT u.id, u.cluster, u.treatment, " + ", ".join(f"count(*) FILTER (d <= {r} AND t > j.e AND t <= j.e + INTERVAL {post} DAY) / {post}.0 - count(*) FILTER (d <= {r} AND t < j.s AND t >= j.s - INTERVAL {pre} DAY) / {pre}.0 AS {name}" for name, (r, pre, post) in _SPECS.items())
+    + " FROM u LEFT JOIN j ON j.id = u.id AND j.treatment = u.treatment GROUP BY ALL), p AS (SELECT id, cluster, unnest([" + ", ".join(f"'{n}'" for n in _SPECS) + "]) AS spec, unnest([" + ", ".join(f"sum((2 * treatment - 1) * {n})" for n in _SPECS) + "]) AS d FROM c GROUP BY id, cluster), "
+    "m AS (SELECT spec, avg(d) AS b, count(*) AS n FROM p GROUP BY 1), s AS (SELECT spec, cluster, sum(d - b) AS s FROM p JOIN m USING (spec) GROUP BY ALL), r AS (SELECT spec, b, sqrt(count(*) / (count(*) - 1.0) * sum(s * s)) / n AS se FROM s JOIN m USING (spec) GROUP BY spec, b, n) "
+    "SELECT r.spec, round(r.b, 6) AS estimate, round(r.se, 6) AS se, round(r.b - o.b, 6) AS difference, sign(r.b) = sign(o.b) AS same_sign, abs(r.b) <= 1.959963984540054 * r.se AS holds_zero FROM r JOIN r o ON o.spec = 'base'"
+)
+
+
+@register("robustness_grid", _GRID)
+def robustness_grid(spark, sf):
+    """The effect after an interval under other radii and periods, each through its own pair panel."""
+    g = ex.robustness_grid(_pairs_east(spark, sf), view(spark, sf, "pts").select("x_m", "y_m", "t"), _SPECS, "cluster")
+    return g.select("spec", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "difference")], "same_sign", "holds_zero")
 
 
 @register("before_after_naive", with_views("panel") + ", d AS (SELECT unit, max(y) FILTER (period = 2) - max(y) FILTER (period = 0) AS d FROM panel WHERE treatment = 1 GROUP BY 1) SELECT round(avg(d), 6) AS estimate, round(stddev_samp(d) / sqrt(count(d)), 6) AS se, avg(d) - 1.96 * stddev_samp(d) / sqrt(count(d)) <= 0 AND avg(d) + 1.96 * stddev_samp(d) / sqrt(count(d)) >= 0 AS holds_zero FROM d")
