@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +159,54 @@ def project_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     return x, y
 
 
+def unproject_utm(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude of a northern easting and northing: the inverse of ``project_utm``."""
+    a, e2, k0 = 6378137.0, 0.00669437999014, 0.9996
+    ep, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    mu = y / (k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    c, t, sin2 = ep * F.cos(foot) ** 2, F.tan(foot) ** 2, 1 - e2 * F.sin(foot) ** 2
+    n, r = a / F.sqrt(sin2), a * (1 - e2) / sin2**1.5
+    d = (x - 500000) / (n * k0)
+    lat = foot - n * F.tan(foot) / r * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep - 3 * c**2) * d**6 / 720)
+    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep + 24 * t**2) * d**5 / 120) / F.cos(foot)
+    return F.degrees(lon) + (zone * 6 - 183), F.degrees(lat)
+
+
+#: Conformal conic of Long Island on GRS 80 (fixed values): half axis, flattening, parallels, origin, false easting.
+LONG_ISLAND = {"a": 6378137.0, "f": 1 / 298.257222101, "parallels": (41 + 2 / 60, 40 + 40 / 60), "lat0": 40 + 10 / 60, "lon0": -74.0, "x0": 300000.0}
+
+
+def _conic(zone: dict) -> tuple[float, float, float, float]:
+    """Eccentricity, exponent, scale and radius at the origin of a conic with two parallels."""
+    e = math.sqrt(zone["f"] * (2 - zone["f"]))
+    m = lambda deg: math.cos(math.radians(deg)) / math.sqrt(1 - (e * math.sin(math.radians(deg))) ** 2)
+    t = lambda deg: math.tan(math.pi / 4 - math.radians(deg) / 2) * ((1 + e * math.sin(math.radians(deg))) / (1 - e * math.sin(math.radians(deg)))) ** (e / 2)
+    one, two = zone["parallels"]
+    n = (math.log(m(one)) - math.log(m(two))) / (math.log(t(one)) - math.log(t(two)))
+    scale = zone["a"] * m(one) / (n * t(one) ** n)
+    return e, n, scale, scale * t(zone["lat0"]) ** n
+
+
+def project_lambert(lon: Column, lat: Column, zone: dict = LONG_ISLAND) -> tuple[Column, Column]:
+    """Metres in a Lambert conformal conic with two parallels."""
+    e, n, scale, rho0 = _conic(zone)
+    phi = F.radians(lat)
+    rho = scale * F.pow(F.tan(math.pi / 4 - phi / 2) * F.pow((1 + e * F.sin(phi)) / (1 - e * F.sin(phi)), e / 2), n)
+    theta = n * (F.radians(lon) - math.radians(zone["lon0"]))
+    return zone["x0"] + rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def unproject_lambert(x: Column, y: Column, zone: dict = LONG_ISLAND) -> tuple[Column, Column]:
+    """Longitude and latitude, the inverse of ``project_lambert`` (five steps of the latitude's fixed point)."""
+    e, n, scale, rho0 = _conic(zone)
+    dx, dy = x - zone["x0"], rho0 - y
+    t = F.pow(F.sqrt(dx**2 + dy**2) / scale, 1 / n)
+    start = math.pi / 2 - 2 * F.atan(t)
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, lambda at, _: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(at)) / (1 + e * F.sin(at)), e / 2)))
+    return F.degrees(F.atan2(dx, dy) / n) + zone["lon0"], F.degrees(phi)
+
+
 def display_text(address: Column, crossing: Column, street: Column, region: Column) -> Column:
     """Readable place: address, else crossing, else street, then the region; words capitalised."""
     return F.concat_ws(", ", F.initcap(F.coalesce(address, crossing, street)), F.initcap(region))

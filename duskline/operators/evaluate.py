@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import exact_quantiles, join_groups, running_total, running_totals
+from duskline.operators.aggregates import exact_quantiles, join_groups, quantile_higher, running_total, running_totals
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, threshold: float, by: list[str] | None = None) -> DataFrame:
@@ -76,3 +78,41 @@ def rate_metrics(df: DataFrame, y: str, mu: str) -> DataFrame:
     dev = lambda pred: 2 * (F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / pred)).otherwise(0.0) - (F.col(y) - pred))
     return df.crossJoin(F.broadcast(m)).agg(
         F.avg(dev(F.col(mu))).alias("deviance"), F.avg(dev(F.col("_m"))).alias("constant_deviance"), F.avg(F.abs(F.col(y) - F.col(mu))).alias("mae"), F.sqrt(F.avg((F.col(y) - F.col(mu)) ** 2)).alias("rmse"))
+
+
+def metrics_by_group(df: DataFrame, y: str, p: str, by: list[str], threshold: float = 0.5, least: int = 10) -> DataFrame:
+    """All binary and ranking metrics of each group with at least ``least`` rows and both outcomes."""
+    size = df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(y).alias("_k")).where((F.col("n") >= least) & (F.col("_k") == 2)).drop("_k")
+    rank = join_groups(binary_metrics(df, y, p, threshold, by), ranking_metrics(df, y, p, by), by)
+    return join_groups(rank, size, by)
+
+
+def weighted_group_auc(df: DataFrame, y: str, p: str, by: list[str], least: int = 10) -> DataFrame:
+    """The mean of the groups' AUC weighted by their rows, and how many groups it is of: ranking within groups only."""
+    g = metrics_by_group(df, y, p, by, least=least)
+    return g.agg((F.sum(F.col("auc") * F.col("n")) / F.sum("n")).alias("auc_within"), F.count("*").alias("groups"))
+
+
+def drift_table(reference: DataFrame, new: DataFrame, numeric: list[str], categorical: list[str], limit: float = 0.2) -> DataFrame:
+    """One row a column: its stability index, the missing rates of both sides, and ``drifted`` (index above ``limit``)."""
+    rows = []
+    for c in [*numeric, *categorical]:
+        psi = psi_numeric(reference, new, c) if c in numeric else psi_categorical(reference, new, c)
+        gone = lambda df, name: df.agg(F.avg(F.col(c).isNull().cast("double")).alias(name))  # noqa: B023, E731
+        rows.append(psi.crossJoin(gone(reference, "missing_reference")).crossJoin(gone(new, "missing_new")).select(F.lit(c).alias("column_name"), "psi", "missing_reference", "missing_new", (F.col("psi") > limit).alias("drifted")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def top_share(df: DataFrame, y: str, mu: str, share: float = 0.1) -> DataFrame:
+    """``capture``: the part of all outcomes in the rows predicted at or above the 1 - ``share`` quantile, ``lift``: that over
+    these rows' part of all."""
+    cut_off = quantile_higher(df, mu, 1 - share)
+    top = F.col(mu) >= F.col("q_value")
+    r = df.crossJoin(F.broadcast(cut_off)).agg((F.sum(F.when(top, F.col(y)).otherwise(0)) / F.sum(y)).alias("capture"), F.avg(top.cast("double")).alias("_part"))
+    return r.select("capture", (F.col("capture") / F.col("_part")).alias("lift"))
+
+
+def tracking_table(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """Predicted and observed mean of each group, their difference, and rows."""
+    g = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(y).cast("double")).alias("observed"))
+    return g.withColumn("difference", F.col("predicted") - F.col("observed"))

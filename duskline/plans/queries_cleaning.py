@@ -140,6 +140,32 @@ def project_points(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+def _lambert_sql() -> str:
+    """The projection by its published formulas, constants and all, in SQL."""
+    lon, lat = "(-74.2 + o_orderkey % 90 / 60.0)::DOUBLE", "(40.4 + o_orderkey % 100 / 120.0)::DOUBLE"
+    e = "sqrt((1 / 298.257222101) * (2 - 1 / 298.257222101))"
+    m = lambda d: f"cos(radians({d})) / sqrt(1 - pow({e} * sin(radians({d})), 2))"
+    t = lambda d: f"tan(pi() / 4 - radians({d}) / 2) * pow((1 + {e} * sin(radians({d}))) / (1 - {e} * sin(radians({d}))), {e} / 2)"
+    one, two, lat0 = "(41 + 2 / 60.0::DOUBLE)", "(40 + 40 / 60.0::DOUBLE)", "(40 + 10 / 60.0::DOUBLE)"
+    return (
+        f"WITH c AS (SELECT (ln({m(one)}) - ln({m(two)})) / (ln({t(one)}) - ln({t(two)})) AS n), k AS (SELECT n, 6378137.0 * {m(one)} / (n * pow({t(one)}, n)) AS s FROM c), "
+        f"p AS (SELECT o_orderkey AS id, {lon} AS lon, {lat} AS lat FROM orders), r AS (SELECT id, lon, lat, s * pow({t('lat')}, n) AS rho, s * pow({t(lat0)}, n) AS rho0, n * radians(lon + 74) AS theta FROM p, k) "
+        "SELECT id, round(300000 + rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat, round(lon, 7) AS utm_lon, round(lat, 7) AS utm_lat FROM r"
+    )
+
+
+@register("project_lambert", _lambert_sql())
+def project_lambert(spark, sf):
+    """Conic metres, and the degrees that both inverse projections give back."""
+    p = table(spark, sf, "orders").selectExpr("o_orderkey as id", "-74.2D + o_orderkey % 90 / 60.0D as lon", "40.4D + o_orderkey % 100 / 120.0D as lat")
+    x, y = cl.project_lambert(F.col("lon"), F.col("lat"))
+    u, v = cl.project_utm(F.col("lon"), F.col("lat"), 18)
+    p = p.select("id", x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+    lon, lat = cl.unproject_lambert(F.col("x"), F.col("y"))
+    utm_lon, utm_lat = cl.unproject_utm(F.col("u"), F.col("v"), 18)
+    return p.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"), F.round(utm_lon, 7).alias("utm_lon"), F.round(utm_lat, 7).alias("utm_lat"))
+
+
 @register("display_fields", "SELECT s_suppkey, concat_ws(', ', CASE WHEN s_suppkey % 2 = 0 THEN concat(upper(substr(s_name, 1, 1)), lower(substr(s_name, 2))) ELSE 'Main Street' END, concat(upper(substr(n_name, 1, 1)), lower(substr(n_name, 2)))) AS place, round_even(s_acctbal / 24.0, 1) AS days FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def display_fields(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -219,16 +219,65 @@ def single_feature_auc(spark, sf):
     return ev.ranking_metrics(e, "y", "p", ["g"]).select(F.round("auc", 6).alias("auc"))
 
 
-@register("metrics_by_group", with_views("preds") + " SELECT lang, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM preds GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT y) = 2")
+_GROUPED = (
+    with_views("preds") + ", b AS (SELECT *, {keys} FROM preds), g AS (SELECT {by}, count(*) AS n, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, avg(CASE WHEN y = 1 THEN -ln(greatest(least(p, 1 - 1e-15), 1e-15)) ELSE -ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)) END) AS ll FROM b GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT y) = 2), "
+    "k AS (SELECT {by}, y, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2.0 AS r FROM b), a AS (SELECT {by}, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM k GROUP BY ALL HAVING count(DISTINCT y) = 2)"
+)
+
+
+@register("metrics_by_group", _GROUPED.format(keys="1 AS one", by="lang") + " SELECT lang, n, tp, round(ll, 5) AS log_loss, round(auc, 6) AS auc FROM g JOIN a USING (lang)")
 def metrics_by_group(spark, sf):
-    g = view(spark, sf, "preds").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("y"), 6).alias("observed"), F.countDistinct("y").alias("k"))
-    return g.where("n >= 10 and k = 2").drop("k")
+    g = ev.metrics_by_group(view(spark, sf, "preds").where("lang is not null"), "y", "p", ["lang"])
+    return g.select("lang", "n", "tp", F.round("log_loss", 5).alias("log_loss"), F.round("auc", 6).alias("auc"))
+
+
+@register("auc_within_groups", _GROUPED.format(keys="doc_id % 5 AS part", by="lang, part") + " SELECT round(sum(auc * n) / sum(n), 6) AS auc_within, count(*) AS groups FROM g JOIN a USING (lang, part)")
+def auc_within_groups(spark, sf):
+    """Ranking within language and part only, weighted by rows."""
+    p = view(spark, sf, "preds").where("lang is not null").withColumn("part", F.expr("doc_id % 5"))
+    return ev.weighted_group_auc(p, "y", "p", ["lang", "part"]).select(F.round("auc_within", 6).alias("auc_within"), "groups")
+
+
+def _psi_sql(name: str, cells: str) -> str:
+    return f"SELECT '{name}' AS column_name, (SELECT sum((q - p) * ln(q / p)) FROM (SELECT greatest(na / sum(na) OVER (), 1e-4) AS p, greatest(nb / sum(nb) OVER (), 1e-4) AS q FROM (SELECT b, count(*) FILTER (NOT new) AS na, count(*) FILTER (new) AS nb FROM ({cells}) GROUP BY 1))) AS psi, avg(CAST({name} IS NULL AS INT)) FILTER (NOT new) AS missing_reference, avg(CAST({name} IS NULL AS INT)) FILTER (new) AS missing_new FROM x"
+
+
+_DRIFT = (
+    "WITH x AS (SELECT CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END AS price, l_quantity * CASE WHEN year(l_shipdate) = 1999 THEN 1.5 ELSE 1 END AS quantity, l_returnflag AS flag, year(l_shipdate) = 1999 AS new FROM lineitem WHERE year(l_shipdate) IN (1997, 1999)), "
+    "e AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS price, quantile_cont(quantity, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS quantity FROM x WHERE NOT new), "
+    "d AS (" + " UNION ALL ".join([*(_psi_sql(c, f"SELECT len(list_filter(e.{c}, lambda z: z < x.{c})) AS b, new FROM x, e WHERE x.{c} IS NOT NULL") for c in ("price", "quantity")), _psi_sql("flag", "SELECT flag AS b, new FROM x")]) + ") "
+    "SELECT column_name, round(psi, 6) AS psi, round(missing_reference, 9) AS missing_reference, round(missing_new, 9) AS missing_new, psi > 0.2 AS drifted FROM d"
+)
+
 
+@register("drift_table", _DRIFT)
+def drift_table(spark, sf):
+    x = table(spark, sf, "lineitem").where("year(l_shipdate) in (1997, 1999)").selectExpr("case when l_orderkey % 11 <> 0 then l_extendedprice end as price", "l_quantity * case when year(l_shipdate) = 1999 then 1.5D else 1.0D end as quantity", "l_returnflag as flag", "year(l_shipdate) = 1999 as new")
+    d = ev.drift_table(x.where("not new"), x.where("new"), ["price", "quantity"], ["flag"])
+    return d.select("column_name", F.round("psi", 6).alias("psi"), F.round("missing_reference", 9).alias("missing_reference"), F.round("missing_new", 9).alias("missing_new"), "drifted")
 
-@register("score_parity", "SELECT CAST(0 AS BIGINT) AS differing")
+
+@register("top_decile", with_views("panel") + ", m AS (SELECT y, CAST(1 + unit * 7 % 31 AS DOUBLE) AS mu FROM panel), q AS (SELECT mu AS q FROM m QUALIFY row_number() OVER (ORDER BY mu) = CAST(ceil(0.9 * ((SELECT count(*) FROM m) - 1)) AS BIGINT) + 1), r AS (SELECT sum(y) FILTER (mu >= q) / sum(y) AS capture, avg(CAST(mu >= q AS INT)) AS part FROM m, q) SELECT round(capture, 6) AS capture, round(capture / part, 6) AS lift FROM r")
+def top_decile(spark, sf):
+    m = view(spark, sf, "panel").selectExpr("y", "cast(1 + unit * 7 % 31 as double) as mu")
+    return ev.top_share(m, "y", "mu").select(F.round("capture", 6).alias("capture"), F.round("lift", 6).alias("lift"))
+
+
+@register("tracking_table", "SELECT event_type, CAST(floor((day(ts) - 1) / 7) AS INT) AS week, count(*) AS n, round(avg(hour(ts) / 24.0), 6) AS predicted, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS observed, round(avg(hour(ts) / 24.0) - avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS difference FROM events GROUP BY ALL")
+def tracking_table(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.floor((F.day("ts") - 1) / 7).cast("int").alias("week"), (F.hour("ts") / 24.0).alias("p"), (F.col("value") > 20).cast("int").alias("y"))
+    return ev.tracking_table(e, "y", "p", ["event_type", "week"]).select("event_type", "week", "n", *[F.round(c, 6).alias(c) for c in ("predicted", "observed", "difference")])
+
+
+@register("score_parity", "SELECT event_id FROM events WHERE event_id % 41 = 0 AND ts >= TIMESTAMP '2024-01-26'")
 def score_parity(spark, sf):
-    """Scores computed under two partitionings agree."""
-    from duskline.operators.scores import priority_index
+    """Events whose score by a fitted pipeline differs from the stored one; one in 41 stored scores is spoilt."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
 
-    s = lambda n: priority_index(view(spark, sf, "jobs").repartition(n).selectExpr("id", "score as rate", "1.0D as days"), "rate", "days", 0.5).select("id", "score")
-    return ag.compare_tables(s(3), s(5), "id", "score").agg(F.count_if(F.expr("difference is null or difference > 1e-9")).alias("differing"))
+    train, _, test = _parts(spark, sf)
+    model = Pipeline(stages=[*fe.preprocessing(_NUMERIC, ["event_type"]), LogisticRegression(regParam=0.01)]).fit(train)
+    path = _place(spark)
+    fe.with_probability(model, test).select("event_id", F.when(F.col("event_id") % 41 == 0, F.col("p") + 1).otherwise(F.col("p")).alias("p")).write.parquet(path)
+    again = fe.with_probability(model, test.repartition(3)).select("event_id", "p")
+    return ag.compare_tables(again, spark.read.parquet(path), "event_id", "p").where("difference is null or difference > 1e-9").select("event_id")
