@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
@@ -27,14 +27,18 @@ def fold_rare(df: DataFrame, col: str, least: int) -> DataFrame:
     return df.join(common, F.col(col) == F.col("_k"), "left").withColumn(col, F.when(F.col(col).isNotNull(), F.coalesce("_k", F.lit("other")))).drop("_k")
 
 
-def preprocessing(numeric: list[str], categorical: list[str]) -> list:
-    """Median imputation, scaling and one-hot stages that end in ``features``. Add missing flags with ``missing_flags`` first."""
+def preprocessing(numeric: list[str], categorical: list[str], logged: tuple[str, ...] = ()) -> list:
+    """Median imputation, log1p of the columns in ``logged`` (negative values count as 0), scaling and one-hot stages that end
+    in ``features``. Add missing flags with ``missing_flags`` first."""
     filled = [f"{c}_filled" for c in numeric]
+    logs = [SQLTransformer(statement="SELECT *, " + ", ".join(f"ln(1 + greatest({c}_filled, 0)) AS {c}_log" for c in logged) + " FROM __THIS__")] if logged else []
+    used = [f"{c}_log" if c in logged else f"{c}_filled" for c in numeric]
     return [
         Imputer(inputCols=numeric, outputCols=filled, strategy="median"),
+        *logs,
         StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical]),
-        VectorAssembler(inputCols=[*filled, *[f"{c}_hot" for c in categorical]], outputCol="raw_features"),
+        VectorAssembler(inputCols=[*used, *[f"{c}_hot" for c in categorical]], outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features"),
     ]
 
@@ -43,12 +47,22 @@ def missing_flags(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numeric])
 
 
-def candidates(label: str = "label", seed: int = 1) -> dict:
-    """Classifiers to choose from."""
-    return {
-        "logistic_strong": LogisticRegression(labelCol=label, regParam=0.1), "logistic_weak": LogisticRegression(labelCol=label, regParam=0.001),
-        "forest": RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=6, seed=seed), "boosted": GBTClassifier(labelCol=label, maxIter=10, maxDepth=3, seed=seed),
-    }
+def candidates(label: str = "label", seed: int = 1, weight: str | None = None) -> dict:
+    """Classifiers to choose from: logistic regressions of three strengths, four forests, four boosted ensembles. ``weight``
+    names a column of row weights, such as ``class_weights`` gives."""
+    more = {"labelCol": label} | ({"weightCol": weight} if weight else {})
+    out: dict = {f"logistic_{name}": LogisticRegression(regParam=reg, **more) for name, reg in (("strong", 0.1), ("middle", 0.01), ("weak", 0.001))}
+    for depth in (4, 8):
+        out |= {f"forest_{depth}_{leaf}": RandomForestClassifier(numTrees=20, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, **more) for leaf in (5, 30)}
+        out |= {f"boosted_{depth // 2}_{rate}": GBTClassifier(maxIter=8, maxDepth=depth // 2, stepSize=rate, seed=seed, **more) for rate in (0.1, 0.3)}
+    return out
+
+
+def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """``out``: rows of the other outcome per row of the own one, halved, so that both outcomes weigh alike in sum."""
+    n = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    total = df.agg(F.count("*").alias("_t"))
+    return df.join(n.crossJoin(F.broadcast(total)), F.col(label) == F.col("_l")).withColumn(out, F.col("_t") / (2 * F.col("_n"))).drop("_l", "_n", "_t")
 
 
 def with_probability(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:

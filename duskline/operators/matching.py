@@ -39,6 +39,12 @@ def episode_table(intervals: DataFrame, members: DataFrame) -> DataFrame:
         F.sqrt((F.max("x_m") - F.min("x_m")) ** 2 + (F.max("y_m") - F.min("y_m")) ** 2).alias("span_m"))
 
 
+def torn_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) whose ends (id, episode) are in different episodes."""
+    of = lambda s: members.select(F.col("id").alias(s), F.col("episode").alias(f"_{s}"))
+    return links.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select("a", "b")
+
+
 def _log_scales(treated: DataFrame, cols: list[str]) -> dict[str, float]:
     """Standard deviation of each column on the log1p scale over the treated rows; 0 if there is none."""
     r = treated.agg(*[F.stddev_samp(F.log1p(c)).alias(c) for c in cols]).first()

@@ -13,7 +13,7 @@ from duskline.operators import spatial as sp
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
-from duskline.plans.queries_models import _closed, _matched
+from duskline.plans.queries_models import _LINKS, _closed, _matched
 from duskline.plans.queries_windows import _fifo
 from duskline.session import table
 
@@ -120,12 +120,34 @@ def fe_variation(spark, sf):
     return wi.two_way_demean(x, "unit", "period", "x", "r").agg(F.round(F.var_pop("r") / F.var_pop("x"), 6).alias("within_share"))
 
 
-@register("fleet_partition_check", with_views("dirty") + " SELECT count(*) AS n, count(*) AS classified, true AS equal FROM dirty")
+@register("fleet_partition_check", with_views("dirty") + " SELECT 'as it is' AS run, count(*) AS n, count(*) AS classified, true AS equal FROM dirty UNION ALL SELECT 'one class lost', count(*), count(*) FILTER (end_ts IS NOT NULL), false FROM dirty")
 def fleet_partition_check(spark, sf):
-    """The exclusive classes of the intervals add up to all rows."""
+    """The exclusive classes of the intervals add up to all rows; without the open ones they do not."""
     d = view(spark, sf, "dirty")
-    parts = d.groupBy(cl.classify_interval(240).alias("c")).agg(F.count("*").alias("k")).agg(F.sum("k").alias("classified"))
-    return d.agg(F.count("*").alias("n")).crossJoin(parts).withColumn("equal", F.col("n") == F.col("classified"))
+    n = d.agg(F.count("*").alias("n"))
+
+    def check(rows, name):
+        parts = rows.groupBy(cl.classify_interval(240).alias("c")).agg(F.count("*").alias("k")).agg(F.sum("k").alias("classified"))
+        return n.crossJoin(parts).select(F.lit(name).alias("run"), "n", "classified", (F.col("n") == F.col("classified")).alias("equal"))
+
+    return check(d, "as it is").unionByName(check(d.where("end_ts is not null"), "one class lost"))
+
+
+@register("episode_links", _LINKS + " SELECT a, b FROM l WHERE a % 50 = 0 OR b % 50 = 0")
+def episode_links(spark, sf):
+    """Linked intervals in different episodes, in episodes of which one member in fifty is torn off."""
+    iv = _closed(spark, sf)
+    of = mt.episodes(iv, 25).withColumn("episode", F.expr("case when id % 50 = 0 then -id else episode end"))
+    return mt.torn_links(mt.link_pairs(iv, 25), of)
+
+
+@register("threshold_rebuild", with_views("ivals") + ", n AS (SELECT x_m, y_m, count(*) AS n FROM ivals GROUP BY ALL) SELECT x_m, y_m FROM n WHERE x_m % 7 = 0")
+def threshold_rebuild(spark, sf):
+    """Sites whose recorded artifact flag differs from the one rebuilt from the intervals; flags at x % 7 = 0 are spoilt."""
+    n = view(spark, sf, "ivals").groupBy("x_m", "y_m").agg(F.count("*").alias("n"))
+    flag = n.crossJoin(F.broadcast(ag.quantile_higher(n, "n", 0.9))).select("x_m", "y_m", (F.col("n") > F.col("q_value")).alias("flag"))
+    stored = flag.withColumn("flag", F.expr("flag <> (x_m % 7 = 0)"))
+    return qc.different_values(flag, stored, ["x_m", "y_m"], "flag").select("x_m", "y_m")
 
 
 @register("label_agreement", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE (o_orderkey % 50 = 0) <> (c_custkey % 50 = 0)")
@@ -161,15 +183,12 @@ def placebo_rules(spark, sf):
     return view(spark, sf, "ivals").withColumn("p", F.expr("start_ts - interval 20 days")).where("p < timestamp_ntz '2024-01-01 00:00:00'").select("id")
 
 
-@register("plan_constraints", "SELECT 'budget' AS check_id, CAST(0 AS BIGINT) AS n, true AS passed UNION ALL SELECT 'covers_candidates', 0, true UNION ALL SELECT 'quotas', 0, true UNION ALL SELECT 'unique_ids', 0, true")
+@register("plan_constraints", with_views("jobs") + ", q AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, id) AS own FROM jobs), r AS (SELECT id FROM q WHERE own > 12 AND score > 0 ORDER BY score DESC, id LIMIT 40), p AS (SELECT id, region, (own <= 12 OR id IN (SELECT id FROM r)) AND id % 2 = 1 OR id % 500 = 3 AS selected FROM q WHERE id % 900 <> 1), k AS (SELECT count(*) AS n FROM p WHERE selected) SELECT 'unique_ids' AS check_id, (SELECT count(*) FROM p WHERE id % 400 = 5) AS n, (SELECT count(*) FROM p WHERE id % 400 = 5) = 0 AS passed UNION ALL SELECT 'covers_candidates', count(*), count(*) = 0 FROM jobs WHERE id % 900 = 1 UNION ALL SELECT 'budget', CAST(n + (SELECT count(*) FROM p WHERE selected AND id % 400 = 5) > 100 AS BIGINT), n + (SELECT count(*) FROM p WHERE selected AND id % 400 = 5) <= 100 FROM k UNION ALL SELECT 'quotas', count(*), count(*) = 0 FROM (SELECT region FROM (SELECT region FROM p WHERE selected UNION ALL SELECT region FROM p WHERE selected AND id % 400 = 5) GROUP BY 1 HAVING count(*) < 12)")
 def plan_constraints(spark, sf):
+    """Rules of a plan, checked on one that is spoilt: rows lost, repeated, and selected or not by their number."""
     j = view(spark, sf, "jobs")
-    plan = wi.quota_topk(j, "id", "score", "region", 100, F.lit(12))
-    chosen = plan.where("selected")
-    return qc.checked({
-        "unique_ids": qc.repeated_keys(plan, ["id"]), "covers_candidates": qc.missing_keys(j, plan, "id"),
-        "budget": chosen.agg(F.count("*").alias("k")).where("k > 100"), "quotas": chosen.groupBy("region").agg(F.count("*").alias("k")).where("k < 12"),
-    })
+    plan = wi.quota_topk(j, "id", "score", "region", 100, F.lit(12)).where("id % 900 <> 1").withColumn("selected", F.expr("selected and id % 2 = 1 or id % 500 = 3"))
+    return qc.checked(qc.plan_violations(plan.unionByName(plan.where("id % 400 = 5")), j, "id", "region", 100, 12))
 
 
 @register("queue_history_share", with_views("jobs") + " SELECT id, round(CAST(count(*) OVER (PARTITION BY region ORDER BY arrival, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY region), 9) AS earlier FROM jobs")

@@ -179,8 +179,10 @@ def _parts(spark, sf):
 
 @register("fit_candidates")
 def fit_candidates(spark, sf):
+    """Eleven classifiers with weighted classes, their validation AUC, and which is chosen."""
     train, valid, _ = _parts(spark, sf)
-    return fe.fit_candidates(train, valid, fe.preprocessing([*_NUMERIC, "since_previous_s_missing"], ["event_type"]), fe.candidates())[1]
+    stages = fe.preprocessing([*_NUMERIC, "since_previous_s_missing"], ["event_type"], logged=("since_previous_s", "prior_7d"))
+    return fe.fit_candidates(fe.class_weights(train, "label"), valid, stages, fe.candidates(weight="weight"))[1]
 
 
 @register("ablation")

@@ -91,10 +91,11 @@ def percentile_compare(spark, sf):
     return r.orderBy(F.desc("pa"), "k").limit(20).select("k", F.round("pa", 6).alias("pa"), F.round("pb", 6).alias("pb"))
 
 
-@register("estimate_view", "SELECT s_suppkey, split_part(name, ':', 1) AS effect, split_part(name, ':', 2) AS period, lo <= 0 AND hi >= 0 AS contains_zero FROM (SELECT s_suppkey, concat('net', s_suppkey % 3, ':post') AS name, s_acctbal - 3000 AS lo, s_acctbal + 3000 AS hi FROM supplier)")
+@register("estimate_view", "SELECT s_suppkey, split_part(name, ':', 1) AS effect, split_part(name, ':', 2) AS period, lo <= 0 AND hi >= 0 AS contains_zero, CASE WHEN lo > 0 THEN 'increase' WHEN hi < 0 THEN 'decrease' ELSE 'none' END AS significant, n_name AS label FROM (SELECT s_suppkey, concat('net', s_suppkey % 3, ':post') AS name, s_acctbal - 3000 AS lo, s_acctbal + 3000 AS hi, s_nationkey FROM supplier) JOIN nation ON s_nationkey = n_nationkey")
 def estimate_view(spark, sf):
-    s = table(spark, sf, "supplier").selectExpr("s_suppkey", "concat('net', s_suppkey % 3, ':post') as name", "s_acctbal - 3000 as lo", "s_acctbal + 3000 as hi")
-    return s.select("s_suppkey", F.split_part("name", F.lit(":"), F.lit(1)).alias("effect"), F.split_part("name", F.lit(":"), F.lit(2)).alias("period"), F.expr("lo <= 0 and hi >= 0").alias("contains_zero"))
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey", "concat('net', s_suppkey % 3, ':post') as name", "s_acctbal - 3000 as lo", "s_acctbal + 3000 as hi", "s_nationkey as n_nationkey").join(table(spark, sf, "nation"), "n_nationkey")
+    sign = F.when(F.col("lo") > 0, "increase").when(F.col("hi") < 0, "decrease").otherwise("none")
+    return s.select("s_suppkey", F.split_part("name", F.lit(":"), F.lit(1)).alias("effect"), F.split_part("name", F.lit(":"), F.lit(2)).alias("period"), F.expr("lo <= 0 and hi >= 0").alias("contains_zero"), sign.alias("significant"), F.col("n_name").alias("label"))
 
 
 @register("key_checks", "SELECT 'orders_unique' AS check_id, CAST(0 AS BIGINT) AS n, true AS passed UNION ALL SELECT 'customer_repeats', count(*), count(*) = 0 FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'order_customers_known', count(*), count(*) = 0 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0))")
@@ -143,23 +144,65 @@ def table_profile(spark, sf):
     return qc.profile(table(spark, sf, "orders").select(*_PROFILED)).drop("about_distinct")
 
 
-@register("determinism_check", "SELECT true AS equal")
+@register("determinism_check", "SELECT 'as it is' AS run, true AS equal UNION ALL SELECT 'one count changed', false")
 def determinism_check(spark, sf):
-    """Fingerprints of one result computed twice under different partitionings."""
-    counts = lambda n: ag.fingerprint(sp.count_in_zone_during(view(spark, sf, "pts").repartition(n), view(spark, sf, "ivals"), 100, 250))
-    return counts(3).withColumnsRenamed({"rows": "r2", "hash_sum": "s2", "hash_xor": "x2"}).crossJoin(counts(7)).select(F.expr("rows = r2 and hash_sum = s2 and hash_xor = x2").alias("equal"))
+    """Fingerprints of one result computed under different partitionings, and of a result in which one count is changed."""
+    counts = lambda n: sp.count_in_zone_during(view(spark, sf, "pts").repartition(n), view(spark, sf, "ivals"), 100, 250)
+    other = ag.fingerprint(counts(7)).withColumnsRenamed({"rows": "r2", "hash_sum": "s2", "hash_xor": "x2"})
+    changed = counts(3).withColumn("n_disc", F.expr("n_disc + cast(id = 1 as int)"))
+    same = lambda df, name: ag.fingerprint(df).crossJoin(other).select(F.lit(name).alias("run"), F.expr("rows = r2 and hash_sum = s2 and hash_xor = x2").alias("equal"))
+    return same(counts(3), "as it is").unionByName(same(changed, "one count changed"))
 
 
-@register("estimator_identity", "SELECT true AS equal")
+@register("estimator_identity", "SELECT 'paired mean' AS identity, true AS equal UNION ALL SELECT 'net error', true UNION ALL SELECT 'paired mean of a changed panel', false")
 def estimator_identity(spark, sf):
-    """The mean of the paired differences of balanced pairs is the fixed-effects coefficient."""
-    from duskline.operators.estimate import ols_cluster
+    """The mean of the paired differences of balanced pairs is the fixed-effects coefficient; the standard error of a net
+    effect is that of the summed differences. A changed panel breaks the first."""
+    from duskline.operators.estimate import mean_cluster_se, net_effect, ols_cluster
 
     p = view(spark, sf, "panel").where("period <> 1")
     whole = p.groupBy("pair").agg(F.count("*").alias("n")).where("n = 4").select("pair")
     p = p.join(whole, "pair").withColumn("x", F.expr("cast(treatment * cast(period = 2 as int) as double)"))
-    for c, r in (("y", "ry"), ("x", "rx")):
-        p = wi.two_way_demean(p, "unit", "period", c, r)
-    beta, _, _ = ols_cluster(p, "ry", ["rx"], [["cluster"]])
-    paired = p.groupBy("pair").agg(F.sum(F.expr("(case when period = 2 then 1 else -1 end) * y * (2 * treatment - 1)")).alias("d")).agg(F.avg("d").alias("d"))
-    return paired.select((F.abs(F.col("d") - float(beta[0])) < 1e-9).alias("equal"))
+    paired = lambda df: df.groupBy("pair", "cluster").agg(F.sum(F.expr("(case when period = 2 then 1 else -1 end) * y * (2 * treatment - 1)")).alias("d"))
+    r = p
+    for c, name in (("y", "ry"), ("x", "rx")):
+        r = wi.two_way_demean(r, "unit", "period", c, name)
+    beta = float(ols_cluster(r, "ry", ["rx"], [["cluster"]])[0][0])
+    mean = lambda df, name: paired(df).groupBy("pair").agg(F.sum("d").alias("d")).agg((F.abs(F.avg("d") - beta) < 1e-9).alias("equal")).select(F.lit(name).alias("identity"), "equal")
+    d = view(spark, sf, "panel").groupBy("cluster", "pair").agg(F.sum(F.expr("(case when period = 2 then y else 0 end)")).alias("a"), F.sum(F.expr("(case when period = 1 then -y else 0 end)")).alias("b"))
+    net = net_effect(d, "a", "b", "cluster").crossJoin(mean_cluster_se(d.withColumn("s", F.col("a") + F.col("b")), "s", "cluster")).select(F.lit("net error").alias("identity"), (F.abs(F.col("net_se") - F.col("se")) < 1e-9).alias("equal"))
+    changed = p.withColumn("y", F.expr("y + cast(unit = 1 and period = 2 as int)"))
+    return mean(p, "paired mean").unionByName(net).unionByName(mean(changed, "paired mean of a changed panel"))
+
+
+@register("ward_relationships", with_views("ivals", "regions") + ", w AS (SELECT rid, CAST(1 + rid % 9 AS DOUBLE) AS population, sigma, count(id) AS n, CAST(count(id) AS DOUBLE) / (1 + rid % 9) AS rate FROM regions LEFT JOIN ivals ON cust % (SELECT count(*) FROM regions) + 1 = rid GROUP BY rid, sigma), l AS (SELECT rid, unnest(['population', 'sigma']) AS factor, unnest([population, sigma]) AS v, rate FROM w), k AS (SELECT *, rank() OVER (PARTITION BY factor ORDER BY v) + (count(*) OVER (PARTITION BY factor, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY factor ORDER BY rate) + (count(*) OVER (PARTITION BY factor, rate) - 1) / 2.0 AS rr FROM l) SELECT factor, round(corr(v, rate), 6) AS pearson, round(corr(rv, rr), 6) AS spearman FROM k GROUP BY 1")
+def ward_relationships(spark, sf):
+    """How the rate of intervals of each ward goes with its other figures."""
+    from functools import reduce
+
+    r = view(spark, sf, "regions")
+    wards = r.crossJoin(F.broadcast(r.agg(F.count("*").alias("wards"))))
+    n = view(spark, sf, "ivals").crossJoin(F.broadcast(r.agg(F.count("*").alias("wards")))).groupBy(F.expr("cast(cust % wards + 1 as bigint)").alias("rid")).agg(F.count("*").alias("n"))
+    w = wards.select("rid", "sigma", (1 + F.col("rid") % 9).cast("double").alias("population")).join(n, "rid", "left").fillna(0, ["n"]).withColumn("rate", F.col("n") / F.col("population"))
+    one = lambda c: w.agg(F.lit(c).alias("factor"), F.round(F.corr(c, "rate"), 6).alias("pearson")).crossJoin(ag.spearman(w, c, "rate").select(F.round("spearman", 6).alias("spearman")))
+    return reduce(lambda a, b: a.unionByName(b), [one("population"), one("sigma")])
+
+
+@register("kpi_breakdown", with_views("dirty") + ", c AS (SELECT CASE WHEN end_ts IS NULL THEN 'no end' WHEN end_ts < start_ts THEN 'reversed' WHEN epoch(end_ts - start_ts) < 864000 THEN 'short' ELSE 'kept' END AS reason, CASE WHEN epoch(end_ts - start_ts) >= 5184000 THEN 'High' WHEN epoch(end_ts - start_ts) >= 2592000 THEN 'Medium' WHEN end_ts IS NOT NULL THEN 'Low' END AS tier FROM dirty), k AS (SELECT 'reason' AS kind, reason AS label FROM c UNION ALL SELECT 'tier', coalesce(tier, 'none') FROM c) SELECT kind, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY kind), 9) AS share FROM k GROUP BY kind, label")
+def kpi_breakdown(spark, sf):
+    """Rows by the reason that excludes them and by tier, with shares."""
+    hours = F.expr("timestampdiff(second, start_ts, end_ts)")
+    reason = F.when(F.col("end_ts").isNull(), "no end").when(F.expr("end_ts < start_ts"), "reversed").when(hours < 864000, "short").otherwise("kept")
+    c = view(spark, sf, "dirty").select(reason.alias("reason"), F.coalesce(wi.tier_by_value(hours, 5184000, 2592000), F.lit("none")).alias("tier"))
+    long = c.select(F.explode(F.array(F.struct(F.lit("reason").alias("kind"), F.col("reason").alias("label")), F.struct(F.lit("tier").alias("kind"), F.col("tier").alias("label")))).alias("k")).select("k.*")
+    n = long.groupBy("kind", "label").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("kind").agg(F.sum("n").alias("all")), "kind").select("kind", "label", "n", F.round(F.col("n") / F.col("all"), 9).alias("share"))
+
+
+@register("row_rules", with_views("ivals") + ", d AS (SELECT x_m, y_m, start_ts FROM ivals GROUP BY ALL HAVING count(*) > 1) SELECT (SELECT count(*) FROM ivals WHERE x_m < 10 OR x_m > 4990 OR y_m < 10 OR y_m > 4990) AS outside_box, (SELECT count(*) FROM d) AS repeated_time_and_place, (SELECT count(*) FROM ivals WHERE end_ts < start_ts + INTERVAL 1 HOUR) AS closed_too_soon, (SELECT count(*) FROM ivals WHERE end_ts IS NULL) AS without_end")
+def row_rules(spark, sf):
+    """Rows outside a box, of repeated time and place, closed within the hour, and without an end."""
+    iv = view(spark, sf, "ivals")
+    inside = F.col("x_m").between(10, 4990) & F.col("y_m").between(10, 4990)
+    one = iv.agg(F.count_if(~inside).alias("outside_box"), F.count_if(F.expr("end_ts < start_ts + interval 1 hour")).alias("closed_too_soon"), F.count_if(F.col("end_ts").isNull()).alias("without_end"))
+    return one.crossJoin(qc.repeated_keys(iv, ["x_m", "y_m", "start_ts"]).agg(F.count("*").alias("repeated_time_and_place")))
