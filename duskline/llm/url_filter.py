@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 FEATURES, SIZES = 1 << 13, (3, 4, 5)
 #: Rules of the query: host suffix, path prefix, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Small labelled table: unwanted (1) and wanted (0) hosts and paths; invented, none occurs in a corpus.
+#: Small labelled table: unwanted (1) and wanted (0) hosts and paths. The hosts are invented, but their words (pills, casino,
+#: farm, adult and the like) and the form of the paths are those of the pages that the filter is meant for.
 LABELLED = [
     ("cheap-meds.shop.test", "/buy/now", 1), ("cheap-pills-online.test", "/order/12", 1), ("best-pills.pharma.test", "/discount", 1), ("pills4you.test", "/en/55", 1),
     ("www.cheap-watches.test", "/sale/9", 1), ("spam-site.test", "/en/1", 1), ("spam-links.farm.test", "/de/20", 1), ("link-farm.test", "/fr/300", 1), ("content-farm.test", "/es/41", 1),
@@ -81,7 +82,7 @@ def judge_urls(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "
 
     A rule fits its host and the subdomains if the path starts with the rule's; the longest rule wins (equally long: the
     longer host). Null URLs and URLs without ``://``: empty host and path, judged by the classifier. Any path of any
-    length is read whole. Repeated rows are judged each. Other columns are ignored.
+    length is read whole. Repeated rows are judged each. An empty table gives an empty result. Other columns are ignored.
     """
     rules = RULES if rules is None else rules
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))

@@ -211,3 +211,98 @@ def test_pipeline_stages(spark, odd, odd_rows, none):
         out = stage(spark, clash, sf)
         assert out.columns == clash.columns, name
         out.count()
+
+
+def plain_languages(docs):
+    """(doc_id -> (language, share)) by walking counts of the last three bytes, learnt from all labelled texts."""
+    from functools import lru_cache
+    from math import log2
+
+    import regex
+
+    counts = {}
+    for _, text, lang in docs:
+        if text is not None and lang is not None:
+            b = bytes(3) + text.encode()
+            for i in range(3, len(b)):
+                for order in range(4):
+                    seen = counts.setdefault((lang, b[i - order : i]), {})
+                    seen[b[i]] = seen.get(b[i], 0) + 1
+
+    @lru_cache(None)
+    def cost(lang, context, byte):
+        seen = counts.get((lang, context))
+        if seen is None:
+            return cost(lang, context[1:], byte) if context else 8.0
+        n, q = sum(seen.values()), len(seen)
+        return -log2(seen[byte] / (n + q)) if byte in seen else -log2(q / (n + q)) + (cost(lang, context[1:], byte) if context else 8.0)
+
+    langs, out = sorted({lang for lang, _ in counts}), {}
+    for i, text, _ in docs:
+        if text and regex.search(r"\p{L}", text):
+            b = bytes(3) + text.encode()
+            bits = [sum(cost(lang, b[j - 3 : j], b[j]) for j in range(3, len(b))) for lang in langs]
+            out[i] = (langs[bits.index(min(bits))], 1 / sum(2 ** max(min(bits) - x, -1000) for x in bits))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    pytest.importorskip("corpus_pipeline")
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    from .test_near_dedup import brute
+    from .test_texts import base_by_definition, entropy_by_definition
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    said = plain_languages(rows)
+    kept = [(i, t) for i, t, _ in rows if i in said and said[i][1] >= corpus_pipeline.LEAST_LANGUAGE_SHARE]
+    groups = brute(kept, k=5)
+    kept = [(i, t) for i, t in kept if groups[i] == i]
+    clean = []
+    for i, t in kept:
+        own = shingles(t)
+        if not any(s and 100 * len(s & own) >= 80 * len(s) for s in items):
+            clean.append((i, t))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = set()
+    for i, t in clean:
+        hidden = [False] * len(t)
+        for s in filter(None, base_by_definition(t).split(",")):
+            hidden[int(s.split(":")[1]) : int(s.split(":")[2])] = [True] * (int(s.split(":")[2]) - int(s.split(":")[1]))
+        for a, b in entropy_by_definition(t):
+            hidden[a:b] = [True] * (b - a)
+        spans = sorted([tuple(map(int, s.split(":")[1:])) for s in filter(None, base_by_definition(t).split(","))] + entropy_by_definition(t))
+        starts = {a for a, b in spans if not any(c < a < d for c, d in spans)}  # spans that only touch are masked each
+        text = "".join(("[SECRET]" if j in starts else "") if hide else c for j, (c, hide) in enumerate(zip(t, hidden, strict=True)))
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        want |= {(i, p, min(4096, n - 4096 * p)) for p in range(-(-n // 4096))}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {(r.doc_id, r.piece, r.piece_tokens) for r in got if r.piece is not None} == want and len(got) >= len(want)
+    used = {}
+    for r in got:
+        if r.piece is not None:
+            used[r.shard, r.bin] = used.get((r.shard, r.bin), 0) + r.piece_tokens
+    assert all(used[r.shard, r.bin] == r.bin_tokens <= r.bin_length for r in got if r.piece is not None)
+
+
+def test_url_probability_equals_a_plain_model(spark):
+    """The probability of the classifier is the logistic of its weights over the hashed n-grams, and unseen kinds of hosts,
+    which share no word with the labelled table, are mostly let through."""
+    import numpy as np
+
+    from duskline.llm import url_filter
+
+    model = fit(spark)
+    urls = [f"http://{host}/{path}" for host in ("www.granite-quarry.example", "violin-lessons.example", "harbour-pilots.example", "moss-and-fern.example", "tide-tables.example") for path in ("", "en/4", "a/b/c.html")]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), model).collect()
+    rows = url_filter._vectors(spark.createDataFrame([(r.page_id, r.host, r.path) for r in got], "page_id int, host string, path string")).collect()
+    at = {r.page_id: r._features_ for r in rows}
+    for r in got:
+        z = float(np.dot(model.coefficients.toArray()[at[r.page_id].indices], at[r.page_id].values)) + model.intercept
+        assert r.p_block == pytest.approx(1 / (1 + np.exp(-z)))
+    assert sum(r.verdict == "allow" for r in got) >= 0.8 * len(got)

@@ -101,6 +101,34 @@ def test_base_spans_by_definition(spark):
         assert r.base_sha256 == hashlib.sha256(base_by_definition(r.text).encode()).hexdigest(), r.text
 
 
+def entropy_by_definition(text):
+    """Hot windows of candidate runs, every window's entropy computed anew."""
+    from collections import Counter
+    from math import log2
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or secret_scan.ALLOWED.fullmatch(run):
+            continue
+        least = 3.0 if re.fullmatch("[0-9A-Fa-f]+", run) else 3.8
+        hot = [i for i in range(len(run) - 19) if -sum(c / 20 * log2(c / 20) for c in Counter(run[i : i + 20]).values()) >= least - 1e-12]
+        if hot:
+            out.append((m.start() + hot[0], m.start() + hot[-1] + 20))
+    return out
+
+
+def test_entropy_spans_by_definition():
+    rng = random.Random(10)
+    parts = ["Zk3vQ9xT7mLp", "deadbeef0123", "aaaaaaaaaaaa", "word-of-mouth", "_id", "==", "/", " ", "\n", "9", "example", "é", "0f1e2d3c4b5a69788796"]
+    found = 0
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert secret_scan.entropy_spans(text) == entropy_by_definition(text), text
+        found += len(entropy_by_definition(text))
+    assert found > 200
+
+
 def test_entropy_adds_and_allow_list_suppresses():
     hot = "Zk3vQ9xT7mLp2RwY8bNcD4fH6jKs"
     assert [k for _, _, k in secret_scan.scan(f"see {hot} here")] == ["entropy"]
