@@ -312,3 +312,61 @@ def test_quantiles_and_running_totals_by_group_with_nulls(spark):
     counts = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
     for r in ag.running_totals(counts, "v", {"t": "c"}, ["g"], buckets=7).collect():
         assert r.t == sum(v is not None and v <= r.v for k, v in rows if k == r.g)
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from duskline import session
+
+    nothing = SimpleNamespace(isDefined=lambda: False)
+    conf = SimpleNamespace(get=lambda key, default="": default)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing)), getConf=lambda: conf, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_ppml_equals_a_regression_with_dummies(spark):
+    """The fixed-effects Poisson coefficient solves the equations of a Poisson regression with a dummy for each group."""
+    rng = np.random.default_rng(4)
+    rows = [(u, t, float(rng.poisson(np.exp(0.3 * (u % 3) + 0.2 * t + 0.4 * x))), x, u % 4) for u in range(14) for t in range(4) for x in [float(rng.integers(0, 3))]]
+    df = es.drop_zero_groups(spark.createDataFrame(rows, "u int, t int, y double, x double, c int"), "y", ["u", "t"])
+    beta, cov, n = es.ppml_two_fe(df, "y", ["x"], ("u", "t"), "c")
+    kept = [tuple(r) for r in df.select("u", "t", "y", "x").collect()]
+    us, times = sorted({r[0] for r in kept}), sorted({r[1] for r in kept})
+    design = np.array([[r[3], *[float(r[0] == u) for u in us], *[float(r[1] == t) for t in times[1:]]] for r in kept])
+    y, b = np.array([r[2] for r in kept]), np.zeros(design.shape[1])
+    for _ in range(60):
+        mu = np.exp(design @ b)
+        b = b + np.linalg.solve(design.T @ (design * mu[:, None]), design.T @ (y - mu))
+    assert n == len(kept) and abs(beta[0] - b[0]) < 1e-5 and cov[0, 0] > 0
+
+
+def test_candidates_importance_and_folds(spark):
+    """A feature that decides the outcome is found by every classifier, noise is not; folds never see the group they predict."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    from duskline.operators import features as fe
+
+    rng = random.Random(8)
+    rows = [(i, float(i % 10), rng.random() * 100, rng.choice("ab"), float(i % 10 > 6)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, good double, noise double, kind string, label double")
+    weighted = fe.class_weights(df, "label")
+    sums = {r.label: r.w for r in weighted.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    assert sums[0.0] == pytest.approx(sums[1.0]) and sum(sums.values()) == pytest.approx(400)
+    every = fe.candidates(weight="weight")
+    assert len(every) == 11
+    some = {k: every[k] for k in ("logistic_weak", "forest_4_5", "boosted_2_0.3")}
+    fitted, table_ = fe.fit_candidates(weighted, df, fe.preprocessing(["good", "noise"], ["kind"], logged=("good",)), some)
+    assert all(r.auc == pytest.approx(1.0) for r in table_.collect()) and [r.model for r in table_.collect() if r.chosen] == ["boosted_2_0.3"]
+    model = Pipeline(stages=[*fe.preprocessing(["good", "noise"], ["kind"]), LogisticRegression(regParam=0.01)]).fit(df)
+    lost = {r.feature: r.importance for r in fe.permutation_importance(model, df, ["good", "noise"], "id").collect()}
+    assert lost["good"] > 0.2 > 0.02 > abs(lost["noise"])
+    counts = spark.createDataFrame([(g, float(rng.randrange(1, 4) + 3 * (g % 2)), float(g % 2)) for g in range(60)], "g int, n double, odd double").withColumn("days", F.lit(2.0))
+    out = fe.group_kfold_predict(counts, "g", "n", "days", ["odd"]).collect()
+    fold = {r.g: r.f for r in counts.select("g", F.pmod(F.xxhash64("g"), F.lit(3)).cast("int").alias("f")).collect()}
+    assert len(out) == 60
+    for r in out:  # two kinds of groups: the rate of the other folds' groups of its kind, about
+        others = [x.n / 2 for x in out if fold[x.g] != fold[r.g] and x.odd == r.odd]
+        assert r.predicted_rate == pytest.approx(sum(others) / len(others), rel=0.1)
