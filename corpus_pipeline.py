@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again for the next one. All
-but the last return the columns of ``docs``. Rows with a null id pass the filters that decide by id.
+but the last return the columns of ``docs``, whatever their names. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskline.llm.arrow_map import filter_by_ids
+from duskline.llm.arrow_map import filter_by_ids, spare_name
 from duskline.llm.decontaminate import drop_contaminated
 from duskline.llm.language_id import fit, identify
 from duskline.llm.near_dedup import near_duplicates
@@ -26,12 +26,13 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 def _with_own_names(docs: DataFrame, step, names: tuple[str, ...]) -> DataFrame:
     """``step`` on ``docs`` with columns that clash with the step's new ones set aside and put back."""
-    aside = {c: f"_aside_{c}" for c in docs.columns if c.lower() in names}
+    aside = {c: spare_name(docs, f"_aside_{c}") for c in docs.columns if c.lower() in names}
     return step(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language."""
+    """Documents with a recognised language. Null, empty and letterless texts go; repeated rows are judged each, alike if
+    their texts are; the model is learnt from the labelled rows of ``docs``. Without any label all documents go."""
     model = fit(docs.select("doc_id", "text", "lang"))
 
     def step(df: DataFrame) -> DataFrame:
@@ -41,18 +42,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
+    """One document of each near-duplicate group (five words, similarity 0.8): the one with the smallest id. Rows without id
+    or without words stay; rows that repeat an id stay or go together."""
     repeated = near_duplicates(docs).where("not kept").select("doc_id")
     return filter_by_ids(docs, repeated, "doc_id", keep=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and wordless texts hold none; rows without id stay; rows that repeat an id
+    stay or go together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; ``n_chars`` follows the text."""
+    """All documents, secrets masked; ``n_chars`` follows the text. Null texts stay null, repeated rows are masked each."""
 
     def step(df: DataFrame) -> DataFrame:
         out = scan_secrets(df, redacted=True)
@@ -62,7 +65,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences. A document without tokens has one row without a piece; repeated rows and rows
+    without id are packed each."""
     import public_tokenizers
 
     return pack_documents(count_tokens(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), without=("text",)))
@@ -76,7 +80,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Language models and packing are beyond SQL; the stages are tested against brute-force versions.
+#: Language models and packing are beyond SQL; the pipeline is tested against a brute-force version of all its stages.
 ORACLE_SQL = None
 
 
