@@ -20,7 +20,10 @@ def _closed(spark, sf):
 
 
 _LINKS = with_views("ivals") + ", l AS (SELECT a.id AS a, b.id AS b FROM ivals a JOIN ivals b ON a.id < b.id AND sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m)) <= 25 AND a.start_ts <= b.end_ts AND a.end_ts >= b.start_ts WHERE a.end_ts IS NOT NULL AND b.end_ts IS NOT NULL)"
-_COMP = _LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(id, c) AS (SELECT id, id FROM ivals WHERE end_ts IS NOT NULL UNION SELECT u.b, min(r.c) FROM r JOIN u ON u.a = r.id WHERE r.c < u.b GROUP BY u.b), m AS (SELECT id, min(c) AS episode FROM r GROUP BY 1)"
+# Least labels by rounds: each node takes the least label around it, then the label of its label. Twelve rounds are more than
+# the longest chain needs; a recursive closure is quadratic in the largest episode.
+_ROUNDS = "".join(f", h{i} AS MATERIALIZED (SELECT c.id, least(c.c, coalesce(min(n.c), c.c)) AS c FROM c{i - 1} c LEFT JOIN u ON u.a = c.id LEFT JOIN c{i - 1} n ON n.id = u.b GROUP BY c.id, c.c), c{i} AS MATERIALIZED (SELECT h.id, least(h.c, j.c) AS c FROM h{i} h JOIN h{i} j ON j.id = h.c)" for i in range(1, 13))
+_COMP = _LINKS + ", u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), c0 AS MATERIALIZED (SELECT id, id AS c FROM ivals WHERE end_ts IS NOT NULL)" + _ROUNDS + ", m AS MATERIALIZED (SELECT id, c AS episode FROM c12)"
 
 
 @register("link_pairs", _LINKS + " SELECT a, b FROM l")
