@@ -172,6 +172,6 @@ def explode_nights(df: DataFrame, origin: str, horizon: int, start: str = "start
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content hash: rows, sum and xor of row hashes that any engine can repeat."""
+    """Order-insensitive content hash: rows, sum (modulo a prime each) and xor of row hashes that any engine can repeat."""
     h = text_hash(*sorted(df.columns))
-    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    return df.agg(F.count("*").alias("rows"), F.sum(h % 1_000_000_007).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))

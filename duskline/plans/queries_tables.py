@@ -201,6 +201,6 @@ def occupancy_identity(spark, sf):
     return check(groups, "as it is").unionByName(check(groups.where("cust % 100 <> 1"), "groups lost"))
 
 
-@register("table_fingerprint", "WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', '', CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), coalesce(l_returnflag, '~'))), 1, 15)) AS BIGINT) AS h FROM lineitem) SELECT count(*) AS rows, CAST(sum(h) AS DECIMAL(38,0)) AS hash_sum, bit_xor(h) AS hash_xor FROM h")
+@register("table_fingerprint", "WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', '', CAST(l_linenumber AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), coalesce(l_returnflag, '~'))), 1, 15)) AS BIGINT) AS h FROM lineitem) SELECT count(*) AS rows, CAST(sum(h % 1000000007) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM h")
 def table_fingerprint(spark, sf):
     return ag.fingerprint(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"))

@@ -370,3 +370,16 @@ def test_candidates_importance_and_folds(spark):
     for r in out:  # two kinds of groups: the rate of the other folds' groups of its kind, about
         others = [x.n / 2 for x in out if fold[x.g] != fold[r.g] and x.odd == r.odd]
         assert r.predicted_rate == pytest.approx(sum(others) / len(others), rel=0.1)
+
+
+def test_pairs_and_unmatched_by_hand(spark):
+    matches = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "treatment int, site int")
+    treatments = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0), (4, 8.0)], "treatment int, t_x double")
+    sites = spark.createDataFrame([(7, 70.0), (8, 80.0), (9, 90.0)], "site int, c_x double")
+    got = {tuple(r) for r in mt.assemble_pairs(matches, treatments, sites).select("treatment", "site", "control_uses", "t_x", "c_x").collect()}
+    assert got == {(1, 7, 2, 5.0, 70.0), (2, 7, 2, 6.0, 70.0), (3, 8, 1, 7.0, 80.0)}
+    reasons = spark.createDataFrame([(1, "matched"), (4, "all_blocked")], "treatment int, reason string")
+    early = spark.createDataFrame([(10, "open")], "treatment int, reason string")
+    assert {tuple(r) for r in mt.build_unmatched(reasons, early).collect()} == {(4, "all_blocked"), (10, "open")}
+    own = spark.createDataFrame([(1, 9), (2, 9), (3, 7), (4, 8)], "treatment int, site int")
+    assert {tuple(r) for r in mt.site_roles(sites, matches, own).collect()} == {(7, 1, 2), (8, 0, 1), (9, 2, 0)}
