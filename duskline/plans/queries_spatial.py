@@ -65,7 +65,10 @@ def lagged_activity(spark, sf):
 @register("prior_nearby_events", with_views("ivals") + f" SELECT a.id, count(b.id) AS n FROM ivals a LEFT JOIN ivals b ON b.start_ts < a.start_ts AND b.start_ts >= a.start_ts - INTERVAL 9 DAY AND {_SELF} <= 50 GROUP BY a.id")
 def prior_nearby_events(spark, sf):
     iv = view(spark, sf, "ivals").select("id", "x_m", "y_m", "start_ts")
-    return sp.count_in_windows(iv, iv, {"b": ("start_ts - interval 9 days", "start_ts", "[)")}, [50], t="start_ts").select("id", F.col("b_0").alias("n"))
+    b = _right(iv, {"x_m": "bx", "y_m": "by", "start_ts": "bt"})
+    # A small circle holds few points: pairs keyed by cell and period cost less than running counts.
+    near = sp.radius_join_during(b, iv, 50, ("bx", "by"), sp.XY, "bt", "start_ts - interval 9 days", "start_ts", days=9).where("bt < start_ts")
+    return iv.select("id").join(near.groupBy("id").agg(F.count("*").alias("n")), "id", "left").fillna(0)
 
 
 @register("events_during_open", with_views("pts", "ivals") + f" SELECT i.id, count(p.event_id) AS n, round(count(p.event_id) / greatest(epoch(i.end_ts - i.start_ts) / 86400.0, 0.25), 9) AS per_day FROM ivals i LEFT JOIN pts p ON p.t BETWEEN i.start_ts AND i.end_ts AND {_D} <= 100 WHERE i.end_ts IS NOT NULL GROUP BY i.id, i.start_ts, i.end_ts")
