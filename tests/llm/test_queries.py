@@ -35,7 +35,7 @@ def crc(i, parts):
 
 def test_names():
     assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_toxicity", "op2_decontaminate", "op3_token_counts", "op4_quality", "op5_best_fit_packing", "op6_fingerprints", "op7_url_filter", "op8_near_dedup", "op9_language_id", "op10_secret_scan"]
+        "op1_toxicity", "op2_decontaminate", "op3_token_counts", "op4_quality", "op5_best_fit_packing", "op6_fingerprints", "op7_url_filter", "op8_near_dedup", "op9_language_id", "op10_secret_scan", "op12_exact_dedup"]
 
 
 def test_toxicity(spark, small, texts):
@@ -105,3 +105,8 @@ def test_secrets(spark, small, texts):
     for r in rows:
         written = [s for s in r.spans.split(",") if s and not s.startswith("entropy")]
         assert hashlib.sha256(",".join(written).encode()).hexdigest() == r.base_sha256 and r.n_assign + r.n_access + r.n_hex == len(written)
+
+
+def test_exact_dedup_equals_sql(spark, small, base):
+    got = q.op12_exact_dedup(spark, small).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(base.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({q.SQL_op12_exact_dedup})").fetchall())
