@@ -35,7 +35,7 @@ def crc(i, parts):
 
 def test_names():
     assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_toxicity", "op2_decontaminate", "op3_token_counts", "op4_quality", "op5_best_fit_packing", "op6_fingerprints", "op7_url_filter", "op8_near_dedup", "op9_language_id", "op10_secret_scan", "op12_exact_dedup", "op13_spelling_variants"]
+        "op1_toxicity", "op2_decontaminate", "op3_token_counts", "op4_quality", "op5_best_fit_packing", "op6_fingerprints", "op7_url_filter", "op8_near_dedup", "op9_language_id", "op10_secret_scan", "op11_token_alignment", "op12_exact_dedup", "op13_spelling_variants"]
 
 
 def test_toxicity(spark, small, texts):
