@@ -23,7 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +147,16 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_to
     dealt = cut_up.select("doc_id", "piece", "piece_tokens", shard.alias("shard"))
     schema = SCHEMA.format(id=docs.schema[id_col].dataType.simpleString())
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, length = pack(group.piece_tokens.tolist(), lengths)
-        group = group.assign(bin=bins, bin_offset=offsets, bin_length=[length[b] for b in bins])
-        return group.assign(bin_tokens=group.groupby("bin").piece_tokens.transform("sum"))
-
-    packed = dealt.where("piece is not null").groupBy("shard").applyInPandas(run, schema)
+    def run(group: pa.Table) -> pa.Table:  # Arrow keeps ids as they are, a null beside large numbers too
+        group = group.sort_by([("piece_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sizes = group["piece_tokens"].to_pylist()
+        bins, offsets, length = pack(sizes, lengths)
+        tokens = [0] * len(length)
+        for b, n in zip(bins, sizes, strict=True):
+            tokens[b] += n
+        int32 = lambda values: pa.array(values, pa.int32())
+        placed = [int32(bins), int32([length[b] for b in bins]), pa.array([tokens[b] for b in bins], pa.int64()), int32(offsets)]
+        return pa.table([*(group[c] for c in ("doc_id", "piece", "piece_tokens", "shard")), *placed], ["doc_id", "piece", "piece_tokens", "shard", "bin", "bin_length", "bin_tokens", "bin_offset"])
+
+    packed = dealt.where("piece is not null").groupBy("shard").applyInArrow(run, schema)
     return packed.unionByName(dealt.where("piece is null").selectExpr("doc_id", "piece", "piece_tokens", "cast(null as int) shard"), allowMissingColumns=True)
