@@ -223,6 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.schema
     blocked = dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(lambda g: _block_links(g, num, den), ends)
 
+    # The texts of one id are one document: their classes are linked, and the id has one component.
+    key = F.struct("n", "s1", "s2")
+    several = cut(sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("doc_id"))
+    repeats = not several.isEmpty()
+    if repeats:
+        held = usable.join(several, "doc_id", "left_semi").select("doc_id", "n", "s1", "s2").distinct().join(classes.drop("bands"), ["n", "s1", "s2"]).select("doc_id", "node")
+        own_links = held.join(held.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+        more = more.unionByName(own_links)
+
     # What the second comparison found is contracted to the components of the first before it is joined up.
     late = more.unionByName(blocked).join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     late = connected_components(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
@@ -233,4 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketch.select("doc_id", "n", "s1", "s2").join(placed, (F.col("n") == F.col("n_")) & (F.col("s1") == F.col("s1_")) & (F.col("s2") == F.col("s2_")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if repeats:  # a row without words has the component of its id's other rows
+        out = cut(out)
+        least = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

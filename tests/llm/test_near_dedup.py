@@ -111,3 +111,12 @@ def test_block_links_join_each_component_once():
     row = lambda node, side, elements: {"bucket": 1, "node": node, "comp": node, "side": side, "i": 0, "j": 0, "elements": elements.tobytes()}
     group = pd.DataFrame([row(1, 0, s), row(2, 1, s), row(3, 1, s[:45]), row(4, 1, s + np.uint64(1000))])
     assert sorted(map(tuple, _block_links(group, 80, 100).to_numpy().tolist())) == [(1, 2), (1, 3)]
+
+
+def test_one_id_with_two_texts_is_one_document(spark):
+    words = lambda t: " ".join(f"{t}{i}" for i in range(30))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, ""), (7, c), (7, None), (8, c + " end"), (9, words("d"))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: {x.component_id for x in got if x.doc_id == r.doc_id} for r in got} == {1: {1}, 2: {1}, 3: {1}, 7: {7}, 8: {7}, 9: {9}}
+    assert {r.doc_id: r.component_id for r in got} == brute(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
