@@ -8,7 +8,7 @@ depends on the four bytes ending in it only. Code lengths are multiples of 2**-1
 so a text's score does not depend on the texts around it.
 
 The fit takes a bounded hash sample of whole labelled texts (``TRAIN_DOCS`` documents a language, none longer than
-``TRAIN_BYTES``) and keeps every context seen in it. Only what a language has seen takes room: some 30 bytes for each
+``TRAIN_BYTES``, or the shortest text of a language that has only longer ones) and keeps every context seen in it. Only what a language has seen takes room: some 30 bytes for each
 distinct four-byte string of the sample and some 6 for each language that has it. Scoring covers all bytes of all texts.
 """
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.llm.arrow_map import append_columns, byte_slices, hashed_sample, spare_name
+from duskline.session import cut
 
-#: Bound of the fit: documents of each language, about, and the bytes of the longest one. Longer ones are not learnt from.
+#: Bound of the fit: documents of each language, about, and the bytes of the longest one. Of a language whose texts are all
+#: longer, the shortest text is learnt from.
 TRAIN_DOCS, TRAIN_BYTES = 400, 1 << 18
 ORDER = 3
 
@@ -186,7 +188,13 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, longest: int = TRA
     """Fit on the non-null ``lang`` of ``(doc_id, text, lang)``; None if there is no labelled text. Rows that repeat an id or
     a text are learnt from each; other columns are ignored."""
     usable = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    counts = _grams(hashed_sample(usable.where(F.octet_length("text") <= longest), "lang", docs_per_lang)).toArrow()  # bounded by the sample
+    size = F.octet_length("text")
+    sample = hashed_sample(usable.where(size <= longest), "lang", docs_per_lang)
+    shortest = usable.groupBy("lang").agg(F.min(F.struct(size.alias("size"), "doc_id")).alias("s")).where(F.col("s.size") > longest)
+    shortest = cut(shortest.select("lang", "s.doc_id", F.col("s.size").alias("size")))
+    if not shortest.isEmpty():
+        sample = sample.unionByName(usable.withColumn("size", size).join(shortest, ["lang", "doc_id", "size"]).select("doc_id", "text", "lang"))
+    counts = _grams(sample).toArrow()  # bounded by the sample
     if not counts.num_rows:
         return None
     return ByteContexts(counts["lang"].to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy())
