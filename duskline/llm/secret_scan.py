@@ -3,11 +3,11 @@
 Base kinds (``assign``, ``access``, ``hex``) are leftmost, non-overlapping pattern matches. The method adds ``entropy``
 spans: candidate strings are maximal runs of base64 characters, at least ``WINDOW`` long. A window of ``WINDOW``
 characters slides over each; the counts of its characters are updated by the one that enters and the one that leaves,
-and with them the sum of c * log2(c), so each step costs constant time. A candidate whose characters are all hexadecimal
-is held to the threshold of that class, any other to that of base64, and a run of a few classes of characters only (no
-digit, or no letter) is not a candidate. The entropy span runs from the first to the last hot window. Spans inside an
-allow-listed form (UUIDs, spelled-out placeholders, paths of words, repeated characters) are suppressed. Entropy spans
-never replace base spans.
+and with them the sum of c * log2(c) and the counts of digits, letters and hexadecimal digits, so each step costs constant
+time. A window is held to the threshold of its class: digits only, no digits, hexadecimal, or any. It is suppressed if one
+allow-listed form covers it whole: a UUID, or words, placeholders and short numbers joined by signs. What stands before or
+after such a form is judged on its own. The entropy span runs from the first to the last hot window. Entropy spans never
+replace base spans.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from duskline.llm.arrow_map import append_columns, spare_name
 
-#: Characters in a window, and the bits a character must carry in a window of each class.
-WINDOW, HEX_BITS, BASE64_BITS = 20, 3.0, 3.8
+#: Characters in a window, and the bits a character must carry in a window of each class: digits only, no digit, hexadecimal,
+#: any other. Twenty different characters carry log2(20) = 4.32 bits, ten different digits twice log2(10) = 3.32.
+WINDOW, DIGIT_BITS, LETTER_BITS, HEX_BITS, BASE64_BITS = 20, 3.0, 4.0, 3.0, 3.8
 #: Base patterns and their least lengths (fixed values).
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,12 +32,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|(?i:.*(?:example|placeholder|changeme|your[-_]?(?:key|token|secret)).*)|(?:[A-Za-z]+[-_/=])+[A-Za-z]*[0-9]{0,4}"
-)
+_PART = r"(?:[a-z]{1,15}|[A-Z][a-z]{0,14}|[A-Z]{1,15}|0?123456(?:7(?:8(?:90?)?)?)?|[0-9]{1,4})"
+#: Whole parts between signs: UUIDs, and lower-case, capitalised or upper-case words, short numbers and those that count up.
+ALLOWED = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|{_PART}(?:[-_/=+]+{_PART})+)(?![A-Za-z0-9])")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
-_DIGIT, _LETTER, _NOT_HEX = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[^0-9A-Fa-f]")
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 
 
 def window_entropy(s: str, window: int = WINDOW) -> list[float]:
@@ -57,15 +58,31 @@ def window_entropy(s: str, window: int = WINDOW) -> list[float]:
     return out
 
 
+def window_thresholds(s: str, window: int = WINDOW) -> list[float]:
+    """The bits that each window of ``s`` is held to, by incremental counts of digits and hexadecimal digits."""
+    digits = hexes = 0
+    out = []
+    for i, c in enumerate(s):
+        digits += c.isdigit()
+        hexes += c in _HEX_DIGITS
+        if i >= window - 1:
+            out.append(DIGIT_BITS if digits == window else LETTER_BITS if not digits else HEX_BITS if hexes == window else BASE64_BITS)
+            old = s[i - window + 1]
+            digits -= old.isdigit()
+            hexes -= old in _HEX_DIGITS
+    return out
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of candidate strings with a hot window that no allow-listed form covers."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if not _DIGIT.search(s) or not _LETTER.search(s) or ALLOWED.fullmatch(s):
+        forms = [f.span() for f in ALLOWED.finditer(s) if f.end() - f.start() >= WINDOW]
+        if forms == [(0, len(s))]:
             continue
-        least = BASE64_BITS if _NOT_HEX.search(s) else HEX_BITS
-        hot = [i for i, bits in enumerate(window_entropy(s)) if bits >= least]
+        hot = [i for i, (bits, least) in enumerate(zip(window_entropy(s), window_thresholds(s), strict=True)) if bits >= least]
+        hot = [i for i in hot if not any(a <= i and i + WINDOW <= b for a, b in forms)] if forms else hot
         if hot:
             out.append((m.start() + hot[0], m.start() + hot[-1] + WINDOW))
     return out
