@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from duskline.llm.arrow_map import append_columns, bound_batches
+from duskline.llm.arrow_map import append_columns, bound_batches, spare_name
 from duskline.operators.components import connected_components
 from duskline.session import cut, let_go
 
@@ -244,13 +244,15 @@ def candidate_pairs(docs: DataFrame, id_col: str = "doc_id", bands: int | None =
 
 def add_near_groups(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with ``near_group``: the smallest id of the documents joined to it by
-    ``candidate_pairs``, its own if there are none, null without id. Each row stays. ``prints`` should be materialised."""
+    ``candidate_pairs``, its own if there are none, null without id. Each row stays; rows that repeat an id have one group, and
+    of rows with equal fingerprints the smallest id is the group. An empty table gives an empty result. A column named
+    ``near_group`` is replaced, other columns stay whatever their names. ``prints`` should be materialised."""
     let_go(prints.sparkSession)  # what the fingerprints were made with
-    names = prints.columns
-    if any(c.lower() in ("near_group", "component") for c in names):
-        raise ValueError("near_group and component are the names of new columns")
-    groups = connected_components(candidate_pairs(prints, least=least), "doc_id", "center_id").select(F.col("node").alias("doc_id"), "component")
-    return prints.join(groups, "doc_id", "left").withColumn("near_group", F.coalesce("component", "doc_id")).drop("component")
+    kept = [c for c in prints.columns if c.lower() != "near_group"]
+    joined, component = spare_name(prints, "_node"), spare_name(prints, "_component")
+    groups = connected_components(candidate_pairs(prints.select("doc_id", "fingerprint"), least=least), "doc_id", "center_id")
+    groups = groups.select(F.col("node").alias(joined), F.col("component").alias(component))
+    return prints.join(groups, F.col("doc_id") == F.col(joined), "left").select(*kept, F.coalesce(component, "doc_id").alias("near_group"))
 
 
 def _edit(text: str, codes: np.ndarray, walk: np.ndarray, then: str) -> tuple[str, str]:
