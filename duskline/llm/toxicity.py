@@ -276,8 +276,9 @@ def _fit_chain(ids: list[list[str]], labels: list[str], weight: np.ndarray, name
 def score_toxicity(docs: DataFrame, model: ToxicField | None, text_col: str = "text", threshold: float = 0.3, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` (1 if score >= ``threshold``) and ``toxic_spans`` (``start:end`` in code points).
 
-    Null, empty and letterless texts and any text without a model: score 0, no spans. Whole texts are scored. Extra
-    columns stay; ones named like the new columns are replaced.
+    Null, empty and letterless texts and any text without a model: score 0, no spans. Whole texts are scored. Repeated rows
+    are scored each, equal texts alike. An empty table gives an empty result. Extra columns stay; ones named like the new
+    columns are replaced.
     """
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.StringType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -190,6 +190,21 @@ def test_pack_rows(spark):
     assert pack_documents(docs.limit(0)).count() == 0
 
 
+def test_large_ids_beside_a_null_id_come_out_as_they_went_in(spark):
+    ids = [2**53 + 1, 2**63 - 1, None, -(2**53) - 1, 5]
+    got = pack_documents(spark.createDataFrame([(i, 700) for i in ids], "doc_id long, n_tokens long")).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr)
+
+
+def test_near_groups_beside_clashing_columns(spark):
+    from duskline.llm.fingerprints import add_near_groups
+
+    prints = [(1, "00ff" * 32, "a", 5, 1), (2, "00ff" * 32, "b", 6, 2), (2, "00ff" * 32, "c", 6, 2), (None, "00ff" * 32, "d", 7, 3), (9, "0f1e" * 32, "e", 8, 4)]
+    got = add_near_groups(spark.createDataFrame(prints, "doc_id long, fingerprint string, Near_Group string, component int, _node int").cache())
+    assert sorted((r.near_group for r in got.collect()), key=repr) == [1, 1, 1, 9, None] and got.columns == ["doc_id", "fingerprint", "component", "_node", "near_group"]
+    assert add_near_groups(got.limit(0).drop("near_group")).collect() == []
+
+
 def test_pipeline_stages(spark, odd, odd_rows, none):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

@@ -109,10 +109,13 @@ def entropy_by_definition(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or secret_scan.ALLOWED.fullmatch(run):
-            continue
-        least = 3.0 if re.fullmatch("[0-9A-Fa-f]+", run) else 3.8
-        hot = [i for i in range(len(run) - 19) if -sum(c / 20 * log2(c / 20) for c in Counter(run[i : i + 20]).values()) >= least - 1e-12]
+        forms = [f.span() for f in secret_scan.ALLOWED.finditer(run)]
+        hot = []
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            least = 3.0 if w.isdigit() else 4.0 if not re.search("[0-9]", w) else 3.0 if re.fullmatch("[0-9A-Fa-f]+", w) else 3.8
+            if -sum(c / 20 * log2(c / 20) for c in Counter(w).values()) >= least - 1e-12 and not any(a <= i and i + 20 <= b for a, b in forms):
+                hot.append(i)
         if hot:
             out.append((m.start() + hot[0], m.start() + hot[-1] + 20))
     return out
@@ -120,7 +123,7 @@ def entropy_by_definition(text):
 
 def test_entropy_spans_by_definition():
     rng = random.Random(10)
-    parts = ["Zk3vQ9xT7mLp", "deadbeef0123", "aaaaaaaaaaaa", "word-of-mouth", "_id", "==", "/", " ", "\n", "9", "example", "é", "0f1e2d3c4b5a69788796"]
+    parts = ["Zk3vQ9xT7mLp", "deadbeef0123", "aaaaaaaaaaaa", "word-of-mouth", "_id", "==", "/", " ", "\n", "9", "example", "é", "0f1e2d3c4b5a69788796", "qWmZrTyUbHpLxK", "8041592635371"]
     found = 0
     for _ in range(600):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
@@ -134,6 +137,13 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert [k for _, _, k in secret_scan.scan(f"see {hot} here")] == ["entropy"]
     for quiet in ("123e4567-e89b-12d3-a456-426614174000", "this_is_a_long_identifier_name_2024", "YOUR_API_KEY_EXAMPLE_1234567890", "aaaaaaaaaaaaaaaaaaaaaaaa1", "ordinarilylongsyntheticword"):
         assert secret_scan.entropy_spans(quiet) == []  # base patterns are never suppressed
+    for around in ("example{}", "{}/your_token", "example/{}", "placeholder-{}-changeme", "src/main/{}"):
+        (a, b), text = *secret_scan.entropy_spans(around.format(hot)), around.format(hot)
+        assert a <= text.index(hot) + 10 and b >= text.index(hot) + len(hot) - 10  # what stands beside a secret hides none of it
+    for found in ("qWmZrTyUbHpLxKcVnDsGfJaEoIQw", "80415926353718972946028315"):
+        assert secret_scan.entropy_spans(found)  # letters only, digits only
+    for quiet in ("AbstractSingletonProxyFactoryBean", "src/main/java/com/example/Handler", "00000000000000000000000000", "donaudampfschifffahrtsgesellschaft"):
+        assert not secret_scan.entropy_spans(quiet)
     text = f"a token = {hot} b"
     assert secret_scan.redact(text, secret_scan.scan(text)) == "a [SECRET] b"
 
@@ -455,3 +465,39 @@ def test_toxicity_held_out_and_rows(spark, odd, none, odd_rows):
     assert spans.predicted == 1 and spans.toxic_spans.startswith("4:")
     assert toxicity.score_toxicity(none, model).count() == 0 and toxicity.fit(none.select("doc_id", "text"), labels.limit(0)) is None
     assert SCHEMA
+
+
+def test_a_language_of_long_texts_only_is_learnt(spark):
+    from duskline.llm import language_id
+
+    rows = [(i, f"the quick brown fox number {i} walks over the hill", "en") for i in range(20)] + [(100 + i, "lorem ipsum dolor sit amet consectetur " * (40 + i), "la") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, longest=500)
+    assert model.langs == ["en", "la"]
+    got = language_id.identify(spark.createDataFrame([(1, "dolor sit amet lorem"), (2, "the brown hill")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["la", "en"]
+
+
+def test_toxic_spans_are_the_planted_words(spark):
+    """Invented words and stems mark toxic texts; on texts not learnt from, the spans are those words and little else."""
+    from duskline.llm.toxicity import fit, score_toxicity
+
+    rng = random.Random(8)
+    plain = ["".join(rng.choices("abcdeilmnorstu", k=rng.randrange(3, 9))) for _ in range(400)]
+    rows, planted = [], {}
+    for i in range(1200):
+        words, bad = rng.choices(plain, k=rng.randrange(20, 90)), i % 4 == 0
+        for _ in range(rng.randrange(2, 5) if bad else 0):
+            words[rng.randrange(len(words))] = rng.choice(["zorgul", "blatfink", "quoxpa" + rng.choice(plain)])
+        at = 0
+        for w in words:
+            if w.startswith(("zorgul", "blatfink", "quoxpa")):
+                planted.setdefault(i, set()).update(range(at, at + len(w)))
+            at += len(w) + 1
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit(docs.select("doc_id", "text"), docs.where("doc_id % 8 < 5").select("doc_id", "toxic"))
+    found = {r.doc_id: {c for s in r.toxic_spans.split(",") if s for c in range(*map(int, s.split(":")))} for r in score_toxicity(docs.where("doc_id % 8 >= 5"), model).collect()}
+    want = {i: {c for c in planted.get(i, ())} for i in found}
+    hit = sum(len(found[i] & want[i]) for i in found)
+    assert hit >= 0.9 * sum(map(len, want.values())) and hit >= 0.9 * sum(map(len, found.values()))
