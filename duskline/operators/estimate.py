@@ -86,7 +86,7 @@ def effect_table(spark: SparkSession, names: list[str], beta: np.ndarray, cov: n
     two-way clustering can give, leaves the estimate without inference."""
     rows = []
     for i, name in enumerate(names):
-        se = math.sqrt(cov[i, i]) if cov[i, i] >= 0 else None
+        se = math.sqrt(cov[i, i]) if cov[i, i] >= 0 else None  # not with one cluster either, whose variance is NaN
         p = normal_p(beta[i] / se) if se else None
         ends = [None, None] if se is None else [float(beta[i] + side * Z95 * se) for side in (-1, 1)]
         rows.append((name, float(beta[i]), se, *ends, p, n))
@@ -98,40 +98,47 @@ def effect_summary(df: DataFrame, x: str, y: str, cluster: str, names: tuple[str
     error, variance, 95 % interval, p, pairs and clusters. The ratio has no inference; none has with one cluster."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     long = both.select(cluster, F.explode(F.array(*[F.struct(F.lit(n).alias("term"), v.cast("double").alias("v")) for n, v in ((names[0], F.col(x)), (names[1], F.col(y)), ("net", F.col(x) + F.col(y)))])).alias("e")).select(cluster, "e.term", "e.v")
-    rows = mean_cluster_se(long, "v", cluster, ["term"]).withColumnRenamed("n", "pairs")
-    ends = rows.select("*", (F.col("se") ** 2).alias("variance"), (F.col("estimate") - Z95 * F.col("se")).alias("ci_lower"), (F.col("estimate") + Z95 * F.col("se")).alias("ci_upper"))
-    p = F.udf(lambda z: None if z is None else normal_p(z), "double")  # three rows
-    ends = ends.withColumn("p_value", p(F.expr("try_divide(estimate, se)")))
+    rows = []
+    for r in mean_cluster_se(long, "v", cluster, ["term"]).collect():  # three rows
+        ends = [None, None] if r.se is None else [r.estimate + side * Z95 * r.se for side in (-1, 1)]
+        rows.append((r.term, r.estimate, r.n, r.clusters, r.se, None if r.se is None else r.se**2, *ends, normal_p(r.estimate / r.se) if r.se else None))
+    done = df.sparkSession.createDataFrame(rows, "term string, estimate double, pairs long, clusters long, se double, variance double, ci_lower double, ci_upper double, p_value double")
     ratio = both.agg(F.lit("ratio").alias("term"), F.expr(f"-try_divide(avg({y}), avg({x}))").alias("estimate"), F.count("*").alias("pairs"), F.countDistinct(cluster).alias("clusters"))
-    return ends.unionByName(ratio, allowMissingColumns=True)
+    return done.unionByName(ratio, allowMissingColumns=True)
 
 
 def poisson_cluster(df: DataFrame, y: str, xs: list[str], cluster: str, family: str = "poisson", rounds: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, int]:
-    """Poisson (or NB2 with dispersion 1) regression with log link by iterated weighted least squares; one Gram aggregate a
-    round; cluster-robust covariance."""
-    cols = [F.expr(x).cast("double") for x in xs]
-    target = F.col(y).cast("double")
-    df = df.select(target.alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(cols)], F.col(cluster).alias("_c"))
-    cols = [F.col(f"_x{i}") for i in range(len(xs))]
-    start = df.agg(F.avg("_y")).first()[0]
-    beta = np.zeros(len(xs))
-    eta = F.lit(math.log(max(start, 1e-6)))
+    """Poisson (or NB2 with dispersion 1) regression with log link by iterated weighted least squares; cluster-robust
+    covariance, NaN with one cluster.
+
+    Rows with equal covariates and outcome are counted first and cut, so a round is one Gram aggregate over the distinct
+    ones. RuntimeError if ``rounds`` rounds do not settle the coefficients to ``tol``. Rows with a null are ignored.
+    """
+    names = [f"_x{i}" for i in range(len(xs))]
+    rows = df.select(F.col(y).cast("double").alias("_y"), *[F.expr(x).cast("double").alias(n) for x, n in zip(xs, names, strict=True)], F.col(cluster).alias("_c")).dropna()
+    distinct = cut(rows.groupBy("_y", *names).agg(F.count("*").cast("double").alias("_n")))
+    cols, target, times = [F.col(c) for c in names], F.col("_y"), F.col("_n")
+    total = distinct.agg((F.sum(target * times) / F.sum(times)).alias("m"), F.sum(times).cast("long").alias("n")).first()
+    if total.n is None:
+        raise ValueError("no rows to fit")
+    weight = lambda mu: mu / (1 + mu) if family == "nb2" else mu
+    beta, eta = np.zeros(len(xs)), F.lit(math.log(max(total.m, 1e-6)))
     for step in range(rounds):
         mu = F.exp(eta)
-        w = mu / (1 + mu) if family == "nb2" else mu
-        gram, b, n = _gram(df, cols, eta + (F.col("_y") - mu) / mu, w)
+        gram, b, _ = _gram(distinct, cols, eta + (target - mu) / mu, times * weight(mu))
         new = np.linalg.pinv(gram) @ b
         moved = np.abs(new - beta).max()
         beta = new
         eta = sum((c * float(v) for c, v in zip(cols, beta, strict=True)), F.lit(0.0))
-        if step and moved < tol:
+        if step and moved < tol * max(1.0, np.abs(beta).max()):
             break
+    else:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
     mu = F.exp(eta)
-    score = (F.col("_y") - mu) / (1 + mu) if family == "nb2" else F.col("_y") - mu
-    gram, _, n = _gram(df, cols, eta, mu / (1 + mu) if family == "nb2" else mu)
-    meat, g = _meat(df, cols, score, ["_c"])
+    gram, _, _ = _gram(distinct, cols, eta, times * weight(mu))
+    meat, g = _meat(rows, cols, (target - mu) / (1 + mu) if family == "nb2" else target - mu, ["_c"])
     inverse = np.linalg.pinv(gram)
-    return beta, g / (g - 1) * inverse @ meat @ inverse, n
+    return beta, (g / (g - 1) if g > 1 else float("nan")) * inverse @ meat @ inverse, total.n
 
 
 def drop_zero_groups(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
@@ -145,44 +152,3 @@ def drop_zero_groups(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
         if (m := df.count()) == n:
             return df
         n = m
-
-
-def ppml_two_fe(df: DataFrame, y: str, xs: list[str], fe: tuple[str, str], cluster: str, rounds: int = 30, sweeps: int = 60, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, int]:
-    """Poisson regression with two absorbed fixed effects: weighted alternating projections inside iterated least squares.
-
-    Every sweep is two weighted group means joined back. Every four sweeps the table is cut to the shared checkpoint folder
-    and the largest remaining group mean looked at.
-    Groups with total 0 should be dropped first (``drop_zero_groups``). Cluster-robust covariance.
-    """
-    k = len(xs)
-    base = cut(df.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)], F.col(fe[0]).alias("f"), F.col(fe[1]).alias("g"), F.col(cluster).alias("c")))
-    mean_y = base.agg(F.avg("y")).first()[0]
-    state = base.withColumn("mu", (F.col("y") + mean_y) / 2).withColumn("eta", F.log("mu"))
-    beta = np.zeros(k)
-    for step in range(rounds):
-        work = state.select(*base.columns, "mu", "eta").withColumn("z", F.col("eta") + (F.col("y") - F.col("mu")) / F.col("mu"))
-        names = ["z", *[f"x{i}" for i in range(k)]]
-        work = cut(work.select("*", *[F.col(c).alias(f"r_{c}") for c in names]))
-        for sweep in range(sweeps):
-            for key in ("f", "g"):
-                means = work.groupBy(key).agg(*[(F.sum(F.col("mu") * F.col(f"r_{c}")) / F.sum("mu")).alias(f"m_{c}") for c in names])
-                work = work.join(means, key).select(*[c for c in work.columns if not c.startswith("r_")], *[(F.col(f"r_{c}") - F.col(f"m_{c}")).alias(f"r_{c}") for c in names])
-            if sweep % 4 < 3 and sweep + 1 < sweeps:
-                continue
-            work = cut(work)
-            left = work.groupBy("f").agg(*[F.abs(F.sum(F.col("mu") * F.col(f"r_{c}")) / F.sum("mu")).alias(c) for c in names]).agg(F.max(F.greatest(*names)) if len(names) > 1 else F.max(names[0])).first()[0]
-            if left < tol / 10:
-                break
-        gram, b, n = _gram(work, [F.col(f"r_x{i}") for i in range(k)], F.col("r_z"), F.col("mu"))
-        new = np.linalg.pinv(gram) @ b
-        moved = np.abs(new - beta).max()
-        beta = new
-        residual = F.col("r_z") - sum((F.col(f"r_x{i}") * float(v) for i, v in enumerate(beta)), F.lit(0.0))
-        state = work.withColumn("eta", F.col("z") - residual).withColumn("mu", F.exp("eta"))
-        if step and moved < tol:
-            break
-    state = cut(state)
-    gram, _, n = _gram(state, [F.col(f"r_x{i}") for i in range(k)], F.col("r_z"), F.col("mu"))
-    meat, g = _meat(state, [F.col(f"r_x{i}") for i in range(k)], F.col("y") - F.col("mu"), ["c"])
-    inverse = np.linalg.pinv(gram)
-    return beta, g / (g - 1) * inverse @ meat @ inverse, n

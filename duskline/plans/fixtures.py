@@ -18,6 +18,7 @@ _VIEWS = {
     "jobs": "SELECT o_orderkey AS id, {seconds:CAST(o_orderdate AS TIMESTAMP_NTZ)|o_orderkey * 7919 % 86400} AS arrival, o_totalprice AS score, o_custkey % 5 AS region FROM orders",
     "dirty": "SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP_NTZ) AS start_ts, max(CAST(l_shipdate AS TIMESTAMP_NTZ)) AS end_ts, o_orderstatus AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_orderstatus",
     "panel": "SELECT u AS unit, CAST(floor(u / 2) AS BIGINT) AS pair, u % 2 AS treatment, u % 50 AS cluster, p AS period, CAST(count(e.event_id) AS DOUBLE) AS y FROM (SELECT DISTINCT user_id AS u FROM events) CROSS JOIN (SELECT DISTINCT CAST(least(floor((day(ts) - 1) / 10), 2) AS INT) AS p FROM events) LEFT JOIN events e ON e.user_id = u AND CAST(least(floor((day(e.ts) - 1) / 10), 2) AS INT) = p GROUP BY u, p",
+    "weeks": "SELECT u AS unit, u % 2 AS treatment, u % 50 AS cluster, w AS week, CAST(count(e.event_id) AS DOUBLE) AS y FROM (SELECT DISTINCT user_id AS u FROM events) CROSS JOIN (SELECT DISTINCT CAST(floor((day(ts) - 1) * 9 / 31) AS INT) - 4 AS w FROM events) LEFT JOIN events e ON e.user_id = u AND CAST(floor((day(e.ts) - 1) * 9 / 31) AS INT) - 4 = w GROUP BY u, w",
     "preds": "SELECT d.doc_id, CAST(quality AS INT) AS y, (n_chars % 1000) / 1000.0D AS p, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
 }
 

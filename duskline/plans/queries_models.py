@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskline.operators import estimate as es
 from duskline.operators import evaluate as ev
+from duskline.operators import fixed_effects as fx
 from duskline.operators import matching as mt
 from duskline.operators import quality_checks as qc
 from duskline.operators import spatial as sp
@@ -207,7 +208,15 @@ _TWO = "p2 AS (SELECT *, CASE WHEN period = 2 THEN 1 ELSE 0 END AS post FROM pan
 # A saturated regression in cell means: each coefficient is a contrast L of the four means (or their logs), and its variance is
 # the sum over clusters of the squared contrast of the cells' residual sums.
 _CELLS = with_views("panel") + f", {_TWO}, l(term, treatment, post, l) AS (VALUES ('const', 0, 0, 1), ('const', 1, 0, 0), ('const', 0, 1, 0), ('const', 1, 1, 0), ('treatment', 0, 0, -1), ('treatment', 1, 0, 1), ('treatment', 0, 1, 0), ('treatment', 1, 1, 0), ('post', 0, 0, -1), ('post', 1, 0, 0), ('post', 0, 1, 1), ('post', 1, 1, 0), ('treatment:post', 0, 0, 1), ('treatment:post', 1, 0, -1), ('treatment:post', 0, 1, -1), ('treatment:post', 1, 1, 1))"
-_EFFECT = "SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, n"
+
+
+def _erfc(x: str) -> str:
+    """SQL of the complementary error function of 0 <= x: exp(-x^2) times the series of x^(2k + 1) / gamma(k + 3/2); 0 beyond 6."""
+    series = "list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5) - {x} * {x})))"
+    return f"CASE WHEN {x} > 6 THEN 0.0 WHEN {x} > 0 THEN 1 - {series.replace('{x}', x)} ELSE 1.0 END"
+
+
+_EFFECT = f"SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, CASE WHEN se > 0 THEN round({_erfc('(abs(b / se) / sqrt(2))')}, 6) END AS p_value, n"
 
 
 def _contrasts(mean: str, share: str, factor: str, clusters: str = "cluster") -> str:
@@ -231,7 +240,7 @@ def _two_periods(spark, sf):
 
 
 def _rounded(effects):
-    return effects.select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "ci_lower", "ci_upper")], "n")
+    return effects.select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "ci_lower", "ci_upper", "p_value")], "n")
 
 
 @register("did_ols", _DID)
@@ -250,23 +259,57 @@ _DEMEAN = "x - avg(x) OVER (PARTITION BY unit) - avg(x) OVER (PARTITION BY perio
 @register("fe_ols", with_views("panel") + f", {_TWO}, x AS (SELECT cluster, {_DEMEAN.replace('x', 'y')} AS y, {_DEMEAN.replace('x', '(treatment * post)')} AS x FROM p2), c AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n FROM x), s AS (SELECT cluster, sum(x.x * (x.y - b * x.x)) AS s FROM x, c GROUP BY 1) {_EFFECT} FROM (SELECT 'treatment:post' AS term, b, sqrt((SELECT count(*) / (count(*) - 1.0) * sum(s * s) FROM s)) / xx AS se, n FROM c)")
 def fe_ols(spark, sf):
     p = _two_periods(spark, sf).withColumn("x", (F.col("treatment") * F.col("post")).cast("double"))
-    p = wi.two_way_demean(wi.two_way_demean(p, "unit", "period", "y", "ry"), "unit", "period", "x", "rx")
+    p = cut(fx.demean_columns(p.select("unit", "period", "cluster", "y", "x"), "unit", "period", {"ry": "y", "rx": "x"}).select("cluster", "ry", "rx"))
     return _rounded(es.effect_table(spark, ["treatment:post"], *es.ols_cluster(p, "ry", ["rx"], [["cluster"]])))
 
 
-@register(
-    "event_study",
-    with_views("panel") + f", x AS (SELECT cluster, {_DEMEAN.replace('x', 'y')} AS y, {_DEMEAN.replace('x', '(treatment * CAST(period = 1 AS INT))')} AS p, {_DEMEAN.replace('x', '(treatment * CAST(period = 2 AS INT))')} AS q FROM panel), "
-    "g AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * y) AS py, sum(q * y) AS qy, count(*) AS n FROM x), b AS (SELECT *, pp * qq - pq * pq AS d, (qq * py - pq * qy) / (pp * qq - pq * pq) AS b1, (pp * qy - pq * py) / (pp * qq - pq * pq) AS b2 FROM g), "
-    "s AS (SELECT cluster, sum(p * (y - b1 * p - b2 * q)) AS sp, sum(q * (y - b1 * p - b2 * q)) AS sq FROM x, b GROUP BY 1), v AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(sp * sp) AS a, sum(sp * sq) AS c, sum(sq * sq) AS e FROM s), "
-    "r AS (SELECT 'treatment:1' AS term, b1 AS b, sqrt(f * (n - 1) / (n - 2.0) * (qq * qq * a - 2 * qq * pq * c + pq * pq * e)) / d AS se, n FROM b, v UNION ALL SELECT 'treatment:2', b2, sqrt(f * (n - 1) / (n - 2.0) * (pp * pp * e - 2 * pp * pq * c + pq * pq * a)) / d, n FROM b, v) " + _EFFECT + " FROM r")
+_WEEKS = [k for k in range(-4, 5) if k != -1]
+#: The eight dummies of treated units by week, week -1 being the base. In a balanced panel the coefficient of a week is a
+#: difference of four means, the residual is the deviation from the group's week, and a unit moves the estimate by
+#: (T - mean T) * (its residual of the week less that of week -1) / sum of (T - mean T)^2.
+_STUDY = (
+    with_views("weeks") + ", gw AS (SELECT treatment, week, avg(y) AS m FROM weeks GROUP BY ALL), gm AS (SELECT treatment, avg(y) AS m FROM weeks GROUP BY 1), um AS (SELECT unit, avg(y) AS m FROM weeks GROUP BY 1), "
+    "e AS (SELECT unit, w.treatment, w.cluster, w.week, y - um.m - gw.m + gm.m AS e FROM weeks w JOIN um USING (unit) JOIN gw ON gw.treatment = w.treatment AND gw.week = w.week JOIN gm ON gm.treatment = w.treatment), "
+    "t AS (SELECT avg(treatment) AS tm, sum((treatment - tm0) * (treatment - tm0)) AS st, (SELECT count(*) FROM weeks) AS n FROM (SELECT DISTINCT unit, treatment FROM weeks), (SELECT avg(treatment) AS tm0 FROM (SELECT DISTINCT unit, treatment FROM weeks))), "
+    "s AS (SELECT a.cluster, a.week, sum((a.treatment - tm) * (a.e - z.e)) / any_value(st) AS s FROM e a JOIN e z ON z.unit = a.unit AND z.week = -1, t WHERE a.week <> -1 GROUP BY ALL), "
+    "f AS (SELECT count(DISTINCT cluster) AS g, count(DISTINCT cluster) / (count(DISTINCT cluster) - 1.0) * (any_value(n) - 1) / (any_value(n) - 8.0) AS f FROM s, t), "
+    "v AS (SELECT a.week AS i, c.week AS j, any_value(f) * sum(a.s * c.s) AS v FROM s a JOIN s c ON a.cluster = c.cluster, f GROUP BY ALL), "
+    "b AS (SELECT a.week, (a.m - z.m) - (c.m - y.m) AS b FROM gw a JOIN gw z ON z.treatment = 1 AND z.week = -1 JOIN gw c ON c.treatment = 0 AND c.week = a.week JOIN gw y ON y.treatment = 0 AND y.week = -1 WHERE a.treatment = 1 AND a.week <> -1)"
+)
+
+
+@register("event_study", _STUDY + f" {_EFFECT} FROM (SELECT 'treatment:' || week AS term, b, sqrt(v) AS se, (SELECT n FROM t) AS n FROM b JOIN v ON i = week AND j = week)")
 def event_study(spark, sf):
-    p = view(spark, sf, "panel")
-    for k in (1, 2):
-        p = p.withColumn(f"x{k}", F.expr(f"cast(treatment * cast(period = {k} as int) as double)"))
-    for c, r in (("y", "ry"), ("x1", "r1"), ("x2", "r2")):
-        p = wi.two_way_demean(p, "unit", "period", c, r)
-    return _rounded(es.effect_table(spark, ["treatment:1", "treatment:2"], *es.ols_cluster(p, "ry", ["r1", "r2"], [["cluster"]])))
+    beta, cov, n, _ = _week_effects(spark, sf)
+    return _rounded(es.effect_table(spark, [f"treatment:{k}" for k in _WEEKS], beta, cov, n))
+
+
+def _week_effects(spark, sf):
+    p = view(spark, sf, "weeks").withColumn("treated", F.col("treatment").cast("double"))
+    dummies = {f"r{i}": f"treated * cast(week = {k} as int)" for i, k in enumerate(_WEEKS)}
+    p = cut(fx.demean_columns(p, "unit", "week", {"ry": "y"} | dummies).select("cluster", "ry", *dummies))
+    return *es.ols_cluster(p, "ry", list(dummies), [["cluster"]]), p.select("cluster").distinct().count()
+
+
+# b' V^-1 b of three weeks by the adjugate, and the tail of F as the incomplete beta integral by Simpson's rule.
+_LEADS = {f"v{i}{j}": f"max(v) FILTER (i = {p} AND j = {q})" for i, p in enumerate((-4, -3, -2)) for j, q in enumerate((-4, -3, -2))}
+_ADJ = {(0, 0): "v11 * v22 - v12 * v21", (0, 1): "v02 * v21 - v01 * v22", (0, 2): "v01 * v12 - v02 * v11", (1, 1): "v00 * v22 - v02 * v20", (1, 2): "v02 * v10 - v00 * v12", (2, 2): "v00 * v11 - v01 * v10"}
+_QUADRATIC = " + ".join(f"{1 if i == j else 2} * b{i} * b{j} * ({c})" for (i, j), c in _ADJ.items())
+_DET = "(v00 * (v11 * v22 - v12 * v21) - v01 * (v10 * v22 - v12 * v20) + v02 * (v10 * v21 - v11 * v20))"
+_SIMPSON = "list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(k * x / 4000, a - 1) * sqrt(1 - k * x / 4000))) * x / 12000"
+
+
+@register(
+    "pretrend_test",
+    _STUDY + f", w AS (SELECT {', '.join(f'{c} AS {n}' for n, c in _LEADS.items())} FROM v), c AS (SELECT {', '.join(f'max(b) FILTER (week = {k}) AS b{i}' for i, k in enumerate((-4, -3, -2)))} FROM b), "
+    f"q AS (SELECT ({_QUADRATIC}) / {_DET} / 3 AS fs, g - 1 AS df2 FROM w, c, f), x AS (SELECT *, df2 / 2.0 AS a, df2 / (df2 + 3 * fs) AS x FROM q) "
+    f"SELECT round(fs, 6) AS f_statistic, 3 AS df1, df2, round({_SIMPSON} * exp(lgamma(a + 1.5) - lgamma(a) - lgamma(1.5)), 6) AS p_value FROM x",
+)
+def pretrend_test(spark, sf):
+    """Weeks -4 to -2 jointly zero, with clusters less one denominator degrees of freedom."""
+    beta, cov, _, clusters = _week_effects(spark, sf)
+    f, p = fx.wald_test(beta, cov, [0, 1, 2], clusters - 1)
+    return spark.createDataFrame([(round(f, 6), 3, clusters - 1, round(p, 6))], "f_statistic double, df1 int, df2 long, p_value double")
 
 
 _LOG = _CELLS + _contrasts("ln(m)", "(n * m)", "1.0") + f" {_EFFECT} FROM (SELECT term, b, sqrt(v) AS se, n FROM b JOIN v USING (term))"
@@ -277,22 +320,63 @@ def poisson_did(spark, sf):
     return _rounded(es.effect_table(spark, _NAMES, *es.poisson_cluster(_two_periods(spark, sf), "y", _XS, "cluster")))
 
 
-@register("nb2_did", _LOG.replace("sum((y - m) * l / (n * m))", "sum((y - m) * l / (g.n * m))"))
+# Newton's steps of a negative binomial model (NB2, dispersion 1) on a constant and a continuous covariate, unrolled.
+_NB2_ROUNDS = 14
+_NB2 = with_views("panel") + ", d AS MATERIALIZED (SELECT y, cluster, (unit % 97) / 97.0 + period * 0.5 AS x FROM panel), n0 AS (SELECT ln(avg(y)) AS b0, 0.0::DOUBLE AS b1 FROM d)" + "".join(
+    f", n{i} AS MATERIALIZED (SELECT any_value(b0) + (sum(w * x * x) * sum(u) - sum(w * x) * sum(u * x)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS b0, any_value(b1) + (sum(w) * sum(u * x) - sum(w * x) * sum(u)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS b1 FROM (SELECT x, b0, b1, exp(b0 + b1 * x) / (1 + exp(b0 + b1 * x)) AS w, (y - exp(b0 + b1 * x)) / (1 + exp(b0 + b1 * x)) AS u FROM d, n{i - 1}))"
+    for i in range(1, _NB2_ROUNDS + 1)
+)
+_NB2 += (
+    f", h AS (SELECT cluster, x, b0, b1, exp(b0 + b1 * x) / (1 + exp(b0 + b1 * x)) AS w, (y - exp(b0 + b1 * x)) / (1 + exp(b0 + b1 * x)) AS u FROM d, n{_NB2_ROUNDS}), g AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(w) AS a, sum(w * x) AS b, sum(w * x * x) AS c, sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x) AS det, count(*) AS n FROM h), "
+    "s AS (SELECT cluster, sum(u) AS s0, sum(u * x) AS s1 FROM h GROUP BY 1), m AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(pow((c * s0 - b * s1) / det, 2)) AS v0, sum(pow((a * s1 - b * s0) / det, 2)) AS v1 FROM s, g) "
+)
+
+
+@register("nb2_did", _NB2 + f"{_EFFECT} FROM (SELECT 'const' AS term, b0 AS b, sqrt(f * v0) AS se, n FROM g, m UNION ALL SELECT 'x', b1, sqrt(f * v1), n FROM g, m)")
 def nb2_did(spark, sf):
-    """Negative binomial; in a saturated model its estimates and cluster-robust errors are the Poisson ones."""
-    return _rounded(es.effect_table(spark, _NAMES, *es.poisson_cluster(_two_periods(spark, sf), "y", _XS, "cluster", family="nb2")))
+    """Negative binomial on a continuous covariate, where its estimates differ from the Poisson ones."""
+    p = view(spark, sf, "panel").withColumn("x", F.expr("(unit % 97) / 97.0D + period * 0.5D"))
+    return _rounded(es.effect_table(spark, ["const", "x"], *es.poisson_cluster(p, "y", ["1", "x"], "cluster", family="nb2")))
+
+
+# Two fixed effects: each unit's effect makes its means add up to its total; Newton's steps of the slope and the effects of the
+# second and third period, unrolled. A unit's rows are z = (x, [period 1], [period 2]).
+_Z = ("x", "p1", "p2")
+_PPML_ROUNDS = 9
+_PAIRS3 = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _cramer(g: str) -> list[str]:
+    """The solution of the symmetric system of the columns h00 .. h22 and right side g0 .. g2."""
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    minor = lambda i, j: (lambda r, c: f"({h(r[0], c[0])} * {h(r[1], c[1])} - {h(r[0], c[1])} * {h(r[1], c[0])})")([k for k in range(3) if k != i], [k for k in range(3) if k != j])
+    det = " + ".join(f"{h(0, j)} * {'-' if j % 2 else ''}1 * {minor(0, j)}" for j in range(3))
+    return [f"(({' + '.join(f'{chr(45) if (i + j) % 2 else chr(32)}1 * {minor(i, j)} * {g}{j}' for j in range(3))}) / ({det}))" for i in range(3)]
+
+
+def _ppml_sql() -> str:
+    sums = ", ".join(f"sum(mu * {_Z[i]} * {_Z[j]}) - (SELECT sum(q{i} * q{j} / t) FROM u{{k}}) AS h{i}{j}" for i, j in _PAIRS3) + ", " + ", ".join(f"sum((y - mu) * {z}) AS g{i}" for i, z in enumerate(_Z))
+    out = with_views("panel") + ", live AS MATERIALIZED (SELECT unit, cluster, y, (treatment * CAST(period = 2 AS INT))::DOUBLE AS x, (period = 1)::INT AS p1, (period = 2)::INT AS p2, sum(y) OVER (PARTITION BY unit) AS t FROM panel QUALIFY sum(y) OVER (PARTITION BY unit) > 0), t0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"
+    for k in range(_PPML_ROUNDS + 1):
+        out += f", m{k} AS MATERIALIZED (SELECT live.*, t * exp(b0 * x + b1 * p1 + b2 * p2) / sum(exp(b0 * x + b1 * p1 + b2 * p2)) OVER (PARTITION BY unit) AS mu FROM live, t{k}), u{k} AS MATERIALIZED (SELECT unit, any_value(t) AS t, sum(mu * x) AS q0, sum(mu * p1) AS q1, sum(mu * p2) AS q2 FROM m{k} GROUP BY 1), s{k} AS MATERIALIZED (SELECT {sums.format(k=k)} FROM m{k})"
+        if k < _PPML_ROUNDS:
+            out += f", t{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"b{i} + {c} AS b{i}" for i, c in enumerate(_cramer("g"))) + f" FROM t{k}, s{k})"
+    k = _PPML_ROUNDS
+    # The slope's influence of a cluster: the first row of the inverse information times its scores.
+    out += f", c AS (SELECT cluster, {', '.join(f'sum((y - mu) * ({z} - q{i} / u.t)) AS g{i}' for i, z in enumerate(_Z))} FROM m{k} m JOIN u{k} u USING (unit) GROUP BY 1)"
+    return out + f", v AS (SELECT count(*) / (count(*) - 1.0) * sum(pow({_cramer('c.g')[0]}, 2)) AS v FROM c, s{k}) {_EFFECT} FROM (SELECT 'treatment:post' AS term, b0 AS b, sqrt(v) AS se, (SELECT count(*) FROM m{k}) AS n FROM t{k}, v)"
 
 
-@register("ppml_two_fe")
+@register("ppml_two_fe", _ppml_sql())
 def ppml_two_fe(spark, sf):
     p = es.drop_zero_groups(view(spark, sf, "panel").withColumn("x", F.expr("cast(treatment * cast(period = 2 as int) as double)")), "y", ["unit", "period"])
-    return es.effect_table(spark, ["treatment:post"], *es.ppml_two_fe(p, "y", ["x"], ("unit", "period"), "cluster"))
+    return _rounded(es.effect_table(spark, ["treatment:post"], *fx.ppml_two_fe(p, "y", ["x"], ("unit", "period"), "cluster")))
 
 
-@register("effect_summary", _PD + ", m AS (SELECT avg(e) AS me, avg(d) AS md, count(*) AS n FROM d), s AS (SELECT cluster, sum(e - me) AS se, sum(d - md) AS sd FROM d, m GROUP BY 1), v AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(se * se) AS ee, sum(sd * sd) AS dd, sum((se + sd) * (se + sd)) AS nn FROM s), r AS (SELECT 'during' AS term, me AS b, sqrt(f * ee) / n AS se, n FROM m, v UNION ALL SELECT 'post', md, sqrt(f * dd) / n, n FROM m, v UNION ALL SELECT 'net', me + md, sqrt(f * nn) / n, n FROM m, v UNION ALL SELECT 'ratio', -md / me, NULL, n FROM m) SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(se * se, 6) AS variance, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, n AS pairs FROM r")
+@register("effect_summary", _PD + ", m AS (SELECT avg(e) AS me, avg(d) AS md, count(*) AS n FROM d), s AS (SELECT cluster, sum(e - me) AS se, sum(d - md) AS sd FROM d, m GROUP BY 1), v AS (SELECT count(*) / (count(*) - 1.0) AS f, sum(se * se) AS ee, sum(sd * sd) AS dd, sum((se + sd) * (se + sd)) AS nn FROM s), r AS (SELECT 'during' AS term, me AS b, sqrt(f * ee) / n AS se, n FROM m, v UNION ALL SELECT 'post', md, sqrt(f * dd) / n, n FROM m, v UNION ALL SELECT 'net', me + md, sqrt(f * nn) / n, n FROM m, v UNION ALL SELECT 'ratio', -md / me, NULL, n FROM m) SELECT term, round(b, 6) AS estimate, round(se, 6) AS se, round(se * se, 6) AS variance, round(b - 1.959963984540054 * se, 6) AS ci_lower, round(b + 1.959963984540054 * se, 6) AS ci_upper, CASE WHEN se > 0 THEN round(" + _erfc("(abs(b / se) / sqrt(2))") + ", 6) END AS p_value, n AS pairs FROM r")
 def effect_summary(spark, sf):
     """Effects of both periods, their sum with its variance, and their ratio, which has none."""
-    return es.effect_summary(_paired(spark, sf), "e", "d", "cluster", ("during", "post")).select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "variance", "ci_lower", "ci_upper")], "pairs")
+    return es.effect_summary(_paired(spark, sf), "e", "d", "cluster", ("during", "post")).select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "se", "variance", "ci_lower", "ci_upper", "p_value")], "pairs")
 
 
 # Evaluation -------------------------------------------------------------------------------------------------------------

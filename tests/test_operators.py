@@ -14,6 +14,7 @@ from duskline.operators import aggregates as ag
 from duskline.operators import cleaning as cl
 from duskline.operators import estimate as es
 from duskline.operators import evaluate as ev
+from duskline.operators import fixed_effects as fx
 from duskline.operators import matching as mt
 from duskline.operators import quality_checks as qc
 from duskline.operators import scores as sc
@@ -259,7 +260,7 @@ def test_poisson_with_fixed_effects_equals_dummies(spark):
     rows = [(u, t, float(rng.normal()), int(u % 4)) for u in range(8) for t in range(6)]
     data = [(u, t, x, c, int(rng.poisson(np.exp(0.3 * x + 0.1 * u + 0.2 * t)) + 1)) for u, t, x, c in rows]
     df = spark.createDataFrame(data, "u int, t int, x double, c int, y int")
-    beta, cov, n = es.ppml_two_fe(df, "y", ["x"], ("u", "t"), "c", tol=1e-7)
+    beta, cov, n = fx.ppml_two_fe(df, "y", ["x"], ("u", "t"), "c", tol=1e-7)
     X = np.array([[x] + [u == i for i in range(8)] + [t == j for j in range(1, 6)] for u, t, x, _, _ in data], float)
     y = np.array([r[4] for r in data], float)
     b = np.zeros(X.shape[1])
@@ -331,7 +332,7 @@ def test_ppml_equals_a_regression_with_dummies(spark):
     rng = np.random.default_rng(4)
     rows = [(u, t, float(rng.poisson(np.exp(0.3 * (u % 3) + 0.2 * t + 0.4 * x))), x, u % 4) for u in range(14) for t in range(4) for x in [float(rng.integers(0, 3))]]
     df = es.drop_zero_groups(spark.createDataFrame(rows, "u int, t int, y double, x double, c int"), "y", ["u", "t"])
-    beta, cov, n = es.ppml_two_fe(df, "y", ["x"], ("u", "t"), "c")
+    beta, cov, n = fx.ppml_two_fe(df, "y", ["x"], ("u", "t"), "c")
     kept = [tuple(r) for r in df.select("u", "t", "y", "x").collect()]
     us, times = sorted({r[0] for r in kept}), sorted({r[1] for r in kept})
     design = np.array([[r[3], *[float(r[0] == u) for u in us], *[float(r[1] == t) for t in times[1:]]] for r in kept])
