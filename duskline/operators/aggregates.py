@@ -156,13 +156,6 @@ def compare_tables(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
     return both.withColumn("difference", F.abs(F.col("va") - F.col("vb"))).withColumn("same_sign", F.signum("va") == F.signum("vb"))
 
 
-def overlapping_reuse(df: DataFrame, key: str, start: str, end: str, ident: str) -> DataFrame:
-    """Rows whose closed interval meets an earlier or the next one of the same key."""
-    w = Window.partitionBy(key).orderBy(start, ident)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_b", before).withColumn("_n", F.lead(start).over(w)).where((F.col("_b") >= F.col(start)) | (F.col("_n") <= F.col(end))).drop("_b", "_n")
-
-
 def explode_nights(df: DataFrame, origin: str, horizon: int, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
     """One row per night that [start, end) overlaps, as ``night`` counted in days from ``origin``, clipped to 0..horizon-1."""
     us = lambda c: F.expr(f"timestampdiff(microsecond, timestamp_ntz '{origin}', {c})")

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import average_rank, exact_quantiles, running_total
+from duskline.operators.aggregates import average_rank, exact_quantiles, join_groups, running_total
+from duskline.operators.scans import count_in_ranges, ranks, scan
 
 
 def rank_queue(df: DataFrame, order: list[Column], capacity: int, within: list[str] | None = None) -> DataFrame:
     """``rank`` from 1 in the given total order (in each group of ``within``) and ``repair_day`` = ceil(rank / capacity)."""
-    w = Window.partitionBy(*(within or [])).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("repair_day", F.ceil(F.col("rank") / capacity).cast("int"))
+    ranked = ranks(df, within or [], order).withColumn("rank", F.col("rank").cast("int"))
+    return ranked.withColumn("repair_day", F.ceil(F.col("rank") / capacity).cast("int"))
+
+
+def group_share(df: DataFrame, by: list[str], order: list[Column], rank: str, total: str) -> DataFrame:
+    """``rank`` from 1 of each row in its group and the ``total`` of the group."""
+    return join_groups(ranks(df, by, order, rank), df.groupBy(*by).agg(F.count("*").alias(total)), by)
 
 
 def prior_count(df: DataFrame, key: str, ts: str, days: int, out: str) -> DataFrame:
     """Rows of the same key in the trailing window, strictly earlier by at least a second."""
-    w = Window.partitionBy(key).orderBy(F.col("_s")).rangeBetween(-days * 86400, -1)
-    return _seconds(df, ts).withColumn(out, F.count("*").over(w)).drop("_s")
+    timed = _seconds(df, ts)
+    probes = timed.select(key, "_s").distinct().withColumn("_low", F.col("_s") - days * 86400).withColumn("_high", F.col("_s"))
+    n = count_in_ranges(timed, probes, key, "_s", ["_s"], "_low", "_high", out)
+    return join_groups(timed, n, [key, "_s"]).select(*df.columns, out)
 
 
 def since_previous(df: DataFrame, key: str, ts: str, out: str) -> DataFrame:
     """Seconds since the latest strictly earlier row of the key; null for the first."""
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(Window.unboundedPreceding, -1)
-    return _seconds(df, ts).withColumn(out, F.col("_s") - F.max("_s").over(w)).drop("_s")
+    timed = _seconds(df, ts)
+    last = scan(timed.select(key, "_s").distinct(), [key], [F.col("_s")], {"_last": ("max", F.col("_s"))}, before=True)
+    return join_groups(timed, last, [key, "_s"]).select(*df.columns, (F.col("_s") - F.col("_last")).alias(out))
 
 
 def _seconds(df: DataFrame, ts: str) -> DataFrame:
@@ -100,16 +109,3 @@ def fifo_schedule(jobs: DataFrame, capacity: int, t0: str, key: str = "id", ts:
     best = F.greatest(F.max("_lag").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
     out = ranked.join(F.broadcast(carried), "_b").withColumn("service_day", F.floor((F.col("fifo_rank") + best) / capacity))
     return out.drop("_b", "_first", "_lag", "_carry")
-
-
-def quota_topk(df: DataFrame, key: str, score: str, region: str, budget: int, quota: Column) -> DataFrame:
-    """``selected``: the best ``quota`` rows of each region with a positive score, then the best of the rest up to ``budget``.
-
-    Exact for rows of equal cost. Rows of a non-positive score fill quotas only.
-    """
-    own = Window.partitionBy(region).orderBy(F.desc(score), key)
-    marked = df.withColumn("_q", F.row_number().over(own) <= quota)
-    rest = marked.where((~F.col("_q")) & (F.col(score) > 0)).orderBy(F.desc(score), key)
-    used = marked.agg(F.count_if("_q").alias("u")).first().u
-    fill = rest.limit(max(budget - used, 0)).select(key, F.lit(True).alias("_f"))
-    return marked.join(fill, key, "left").withColumn("selected", F.col("_q") | F.coalesce("_f", F.lit(False))).drop("_q", "_f")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duskline.operators import aggregates as ag
 from duskline.operators import cleaning as cl
+from duskline.operators import dispatch as dp
 from duskline.operators import matching as mt
 from duskline.operators import quality_checks as qc
 from duskline.operators import spatial as sp
@@ -187,11 +187,11 @@ def placebo_rules(spark, sf):
 def plan_constraints(spark, sf):
     """Rules of a plan, checked on one that is spoilt: rows lost, repeated, and selected or not by their number."""
     j = view(spark, sf, "jobs")
-    plan = wi.quota_topk(j, "id", "score", "region", 100, F.lit(12)).where("id % 900 <> 1").withColumn("selected", F.expr("selected and id % 2 = 1 or id % 500 = 3"))
+    plan = dp.quota_topk(j, "id", "score", "region", 100, 12).where("id % 900 <> 1").withColumn("selected", F.expr("selected and id % 2 = 1 or id % 500 = 3"))
     return qc.checked(qc.plan_violations(plan.unionByName(plan.where("id % 400 = 5")), j, "id", "region", 100, 12))
 
 
 @register("queue_history_share", with_views("jobs") + " SELECT id, round(CAST(count(*) OVER (PARTITION BY region ORDER BY arrival, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY region), 9) AS earlier FROM jobs")
 def queue_history_share(spark, sf):
-    w, all_ = Window.partitionBy("region").orderBy("arrival", "id"), Window.partitionBy("region")
-    return view(spark, sf, "jobs").select("id", F.round((F.row_number().over(w) - 1) / F.count("*").over(all_), 9).alias("earlier"))
+    q = wi.group_share(view(spark, sf, "jobs"), ["region"], [F.col("arrival"), F.col("id")], "place", "n")
+    return q.select("id", F.round((F.col("place") - 1) / F.col("n"), 9).alias("earlier"))

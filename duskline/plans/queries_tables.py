@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskline.operators import aggregates as ag
+from duskline.operators import scans
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
 from duskline.session import table
@@ -67,7 +68,7 @@ def set_accounting(spark, sf):
 
 @register("overlapping_reuse", with_views("ivals") + " SELECT id FROM ivals a WHERE end_ts IS NOT NULL AND EXISTS (SELECT 1 FROM ivals b WHERE b.cust = a.cust AND b.id <> a.id AND b.end_ts IS NOT NULL AND b.start_ts <= a.end_ts AND b.end_ts >= a.start_ts)")
 def overlapping_reuse(spark, sf):
-    return ag.overlapping_reuse(view(spark, sf, "ivals").where("end_ts is not null"), "cust", "start_ts", "end_ts", "id").select("id")
+    return scans.meets_another(view(spark, sf, "ivals").where("end_ts is not null"), "cust", "start_ts", "end_ts", "id").select("id")
 
 
 @register("compare_tables", "WITH a AS (SELECT o_custkey AS k, count(*) - 10.0::DOUBLE AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) - 10.0::DOUBLE AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, a.v AS va, b.v AS vb, abs(a.v - b.v) AS difference, coalesce(sign(a.v) = sign(b.v), false) AS same_sign FROM a FULL JOIN b ON a.k = b.k")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duskline import functions as fn
 from duskline.operators import aggregates as ag
+from duskline.operators import dispatch as dp
+from duskline.operators import scans
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
@@ -25,8 +26,8 @@ def queue_comparison(spark, sf):
     j = view(spark, sf, "jobs").withColumn("s", F.col("score").cast("decimal(18,2)"))
     day = lambda order, name: wi.rank_queue(j, order, 7, ["region"]).groupBy("region", F.col("repair_day").alias("day")).agg(F.sum("s").alias(name))
     both = day([F.col("arrival"), F.col("id")], "f").join(day([F.desc("score"), F.col("id")], "g"), ["region", "day"])
-    w = Window.partitionBy("region").orderBy("day")
-    c = both.withColumn("fifo", F.sum("f").over(w).cast("double")).withColumn("scored", F.sum("g").over(w).cast("double"))
+    c = scans.scan(both, ["region"], [F.col("day")], {"fifo_sum": ("sum", F.col("f")), "scored_sum": ("sum", F.col("g"))})
+    c = c.withColumn("fifo", F.col("fifo_sum").cast("double")).withColumn("scored", F.col("scored_sum").cast("double"))
     return c.select("region", "day", F.round(F.col("scored") - F.col("fifo"), 2).alias("gain"), F.round(F.expr("try_divide(scored - fifo, fifo)"), 9).alias("gain_share"))
 
 
@@ -38,11 +39,10 @@ def prior_count(spark, sf):
 
 @register("repeats_in_window", with_views("ivals") + " SELECT a.id, count(b.id) AS n FROM ivals a LEFT JOIN ivals b ON b.cust = a.cust AND b.id <> a.id AND b.start_ts >= a.start_ts - INTERVAL 10 DAY AND b.start_ts < a.end_ts WHERE a.end_ts IS NOT NULL GROUP BY a.id")
 def repeats_in_window(spark, sf):
-    iv = view(spark, sf, "ivals")
-    b = iv.select("cust", F.col("id").alias("bid"), F.col("start_ts").alias("bs"))
-    a = iv.where("end_ts is not null").select("cust", "id", "start_ts", "end_ts")
-    n = a.join(b, "cust").where("bid <> id and bs >= start_ts - interval 10 days and bs < end_ts").groupBy("id").agg(F.count("*").alias("n"))
-    return a.select("id").join(n, "id", "left").fillna(0)
+    iv = view(spark, sf, "ivals").select("cust", "id", "start_ts", "end_ts")
+    asked = iv.where("end_ts is not null").withColumn("low", F.expr("start_ts - interval 10 days")).withColumn("own", F.expr("cast(start_ts < end_ts as long)"))
+    n = scans.count_in_ranges(iv, asked, "cust", "start_ts", ["id", "own"], "low", "end_ts", "n")
+    return n.select("id", (F.col("n") - F.col("own")).alias("n"))
 
 
 @register("trailing_context", with_views("ivals") + ", d AS (SELECT region, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INT)) AS TIMESTAMP) AS day, i FROM (SELECT DISTINCT region FROM ivals), (SELECT unnest(range(5, 31)) AS i)) SELECT d.region, CAST(d.i AS INT) AS day, count(v.id) FILTER (v.start_ts >= d.day - INTERVAL 20 DAY AND (v.end_ts IS NULL OR v.end_ts >= d.day)) AS backlog, count(v.id) FILTER (v.start_ts >= d.day - INTERVAL 7 DAY) AS created_7d, count(v.id) FILTER (v.end_ts < d.day AND v.end_ts >= d.day - INTERVAL 5 DAY) AS closed_5d, round(median(epoch(v.end_ts - v.start_ts)) FILTER (v.end_ts < d.day AND v.end_ts >= d.day - INTERVAL 5 DAY) / 3600, 6) AS median_h FROM d LEFT JOIN ivals v ON v.region = d.region AND v.start_ts < d.day GROUP BY d.region, d.i")
@@ -70,7 +70,7 @@ def ecdf(spark, sf):
 
 @register("tiers", with_views("jobs") + " SELECT id, CASE WHEN r <= 0.1 * n THEN 'High' WHEN r <= 0.3 * n THEN 'Medium' ELSE 'Low' END AS by_rank, CASE WHEN score >= 400000 THEN 'High' WHEN score >= 200000 THEN 'Medium' ELSE 'Low' END AS by_value FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY region) AS n FROM jobs)")
 def tiers(spark, sf):
-    j = view(spark, sf, "jobs").withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("score"), "id"))).withColumn("n", F.count("*").over(Window.partitionBy("region")))
+    j = wi.group_share(view(spark, sf, "jobs"), ["region"], [F.desc("score"), F.col("id")], "r", "n")
     return j.select("id", wi.tier_by_rank(F.col("r"), F.col("n")).alias("by_rank"), wi.tier_by_value(F.col("score"), 400000, 200000).alias("by_value"))
 
 
@@ -210,14 +210,30 @@ def capacity_rule(spark, sf):
 
 @register("quota_topk", with_views("jobs") + ", q AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, id) <= 12 AS q FROM jobs), r AS (SELECT id FROM q WHERE NOT q AND score > 0 ORDER BY score DESC, id LIMIT 40) SELECT id, region FROM q WHERE q OR id IN (SELECT id FROM r)")
 def quota_topk(spark, sf):
-    return wi.quota_topk(view(spark, sf, "jobs"), "id", "score", "region", 100, F.lit(12)).where("selected").select("id", "region")
+    return dp.quota_topk(view(spark, sf, "jobs"), "id", "score", "region", 100, 12).where("selected").select("id", "region")
 
 
-@register("plan_summary", with_views("jobs") + ", q AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, id) AS own, row_number() OVER (ORDER BY score DESC, id) AS g FROM jobs), r AS (SELECT id FROM q WHERE own > 18 ORDER BY score DESC, id LIMIT 10) SELECT CAST(sum(CAST(score AS DECIMAL(18,2))) FILTER (own <= 18 OR id IN (SELECT id FROM r)) AS DOUBLE) AS fair, CAST(sum(CAST(score AS DECIMAL(18,2))) FILTER (g <= 100) AS DOUBLE) AS free FROM q")
+_PLAN = (
+    with_views("jobs") + ", n AS (SELECT region, count(*) AS candidates, CASE region WHEN 3 THEN 30 ELSE CAST(floor(0.5 * 160 * count(*) / (SELECT count(*) FROM jobs) + 1e-9) AS BIGINT) END AS quota FROM jobs GROUP BY 1), "
+    "q AS (SELECT id, region, score, quota, row_number() OVER (PARTITION BY region ORDER BY score DESC, arrival, id) AS own, row_number() OVER (ORDER BY score DESC, arrival, id) AS g FROM jobs JOIN n USING (region)), "
+    "r AS (SELECT id FROM q WHERE own > quota ORDER BY g LIMIT (SELECT 160 - sum(quota) FROM n)), p AS (SELECT *, own <= quota OR id IN (SELECT id FROM r) AS selected, g <= 160 AS unconstrained FROM q)"
+)
+_SUMS = "count(*) AS candidates, count(*) FILTER (selected) AS selected, count(*) FILTER (unconstrained) AS unconstrained, CAST(sum(CAST(score AS DECIMAL(28,6))) FILTER (selected) AS DOUBLE) AS benefit, CAST(coalesce(sum(CAST(score AS DECIMAL(28,6))) FILTER (unconstrained), 0) AS DOUBLE) AS unconstrained_benefit"
+
+
+def _plan(spark, sf):
+    """A budget of 400 for jobs of 2.5 each, a quota of 30 set for one region."""
+    return dp.plan(view(spark, sf, "jobs").withColumn("region", F.col("region").cast("string")), "id", "score", "region", "arrival", 400, 2.5, overrides={"3": 30})
+
+
+@register("plan_summary", _PLAN + f" SELECT CAST(region AS VARCHAR) AS region, {_SUMS}, any_value(quota) AS quota, count(*) FILTER (selected) >= any_value(quota) AS compliant FROM p GROUP BY region UNION ALL SELECT NULL, {_SUMS}, (SELECT CAST(sum(quota) AS BIGINT) FROM n), count(*) FILTER (selected) >= (SELECT sum(quota) FROM n) FROM p")
 def plan_summary(spark, sf):
-    j = view(spark, sf, "jobs").withColumn("s", F.col("score").cast("decimal(18,2)"))
-    total = lambda q, name: wi.quota_topk(j, "id", "score", "region", 100, F.lit(q)).where("selected").agg(F.sum("s").cast("double").alias(name))
-    return total(18, "fair").crossJoin(total(0, "free"))
+    return _plan(spark, sf)[1]
+
+
+@register("dispatch_plan", _PLAN + " SELECT id, CAST(region AS VARCHAR) AS region, selected, unconstrained FROM p")
+def dispatch_plan(spark, sf):
+    return _plan(spark, sf)[0].select("id", "region", "selected", "unconstrained")
 
 
 @register("replay_table", _FIFO + " SELECT s.id, s.known_day, s.service_day, CAST((o_custkey * 7919) % 5000 AS DOUBLE) AS x_m FROM s JOIN orders ON o_orderkey = s.id")

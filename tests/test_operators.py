@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from duskline.operators import aggregates as ag
 from duskline.operators import cleaning as cl
+from duskline.operators import dispatch as dp
 from duskline.operators import estimate as es
 from duskline.operators import evaluate as ev
 from duskline.operators import fixed_effects as fx
@@ -231,7 +232,7 @@ def test_rules_and_guards(spark):
 def test_quota_larger_than_group_and_budget(spark):
     rows = [(1, 5.0, "a"), (2, 4.0, "a"), (3, 0.0, "b"), (4, 9.0, "c"), (5, 8.0, "c"), (6, -1.0, "c")]
     df = spark.createDataFrame(rows, "id int, score double, region string")
-    chosen = lambda budget, quota: {r.id for r in wi.quota_topk(df, "id", "score", "region", budget, F.lit(quota)).where("selected").collect()}
+    chosen = lambda budget, quota: {r.id for r in dp.quota_topk(df, "id", "score", "region", budget, quota).where("selected").collect()}
     assert chosen(4, 1) == {1, 3, 4, 5} and chosen(100, 1) == {1, 2, 3, 4, 5} and chosen(3, 0) == {4, 5, 1} and chosen(6, 9) == {1, 2, 3, 4, 5, 6}
 
 
