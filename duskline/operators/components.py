@@ -1,28 +1,31 @@
 """Connected components of an edge table by repeated contraction.
 
-Each round hooks every node onto the node of least random priority within two steps of it and contracts the edges. Stars
-and cliques vanish in one round; other graphs lose a constant factor of their edges a round in expectation, so the
+Before anything is moved, each task joins up the edges it has, in bounded chunks, and hands on one edge a node at most: copies
+and chains shrink to stars where they lie. If no more than ``LAST_EDGES`` are left, one task joins them up and labels the
+nodes. Otherwise each round hooks every node onto the node of least random priority within two steps of it and contracts the
+edges. Stars and cliques vanish in one round; other graphs lose a constant factor of their edges a round in expectation, so the
 driver's loop runs O(log n) times and sees only a count. Edges are aggregated with partial aggregation, so a hub node
-costs no more than its share of the rows. Once at most ``LAST_EDGES`` edges are left, one task joins them up.
+costs no more than its share of the rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.session import cut
 
-#: Contracted edges that one task takes, a few megabytes.
-LAST_EDGES = 200_000
+#: Contracted edges that one task takes, a few megabytes; edges that a task joins up at once before the first exchange.
+LAST_EDGES, CHUNK = 200_000, 500_000
 
 
-def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(v, to)`` for the nodes of the edges, by union-find."""
+def _labels(a: list, b: list) -> dict:
+    """The least node of its component for each node of the edges, by union-find."""
     parent: dict = {}
 
     def root(x):
@@ -30,13 +33,25 @@ def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x] = x = parent[up]
         return x
 
-    for frame in frames:
-        for a, b in zip(frame.a.tolist(), frame.b.tolist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[b] = a
-    if parent:
-        yield pd.DataFrame({"v": list(parent), "to": [root(x) for x in parent]})
+    for x, y in zip(a, b, strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in parent}
+
+
+def _join_up(frames: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[pa.RecordBatch]:
+    """``(a, b)``: each node of the edges with the least node of its component, chunk by chunk (None: all at once)."""
+    a, b, kind = [], [], None
+    for frame in itertools.chain(frames, [None]):
+        if frame is not None:
+            kind = frame.column(0).type
+            a += frame.column(0).to_pylist()
+            b += frame.column(1).to_pylist()
+        if a and (frame is None or (chunk and len(a) >= chunk)):
+            found = _labels(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), kind)], names=["a", "b"])
+            a, b = [], []
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_edges: int | None = None) -> DataFrame:
@@ -45,13 +60,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Nulls: an edge with a null end is ignored. Self loops give their node a component of its own. Repeated edges count
     once. An empty edge table gives an empty result. Nodes without an edge are not listed (they are their own component).
     """
-    known = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
-    live, hooks = known.where("a <> b"), []
+    known = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     few = LAST_EDGES if last_edges is None else last_edges
+    # Nodes whose ids Python would not give back as they were (timestamps, decimals) are only told apart by Spark.
+    plain = isinstance(known.schema["a"].dataType, (T.IntegralType, T.StringType))
+    join_up = lambda df, chunk: df.mapInArrow(lambda frames: _join_up(frames, chunk), known.schema)
+    known = cut(join_up(known, CHUNK) if plain else known.distinct())
+    live, hooks = known.where("a <> b"), []
+    if plain and known.count() <= few:
+        return join_up(known.coalesce(1), None).toDF("node", "component")
     while n := live.count():
-        if n <= few:
-            kind = known.schema["a"].dataType
-            hooks.append(cut(live.coalesce(1).mapInPandas(_join_up, T.StructType([T.StructField("v", kind), T.StructField("to", kind)]))))
+        if n <= few and plain:
+            hooks.append(cut(join_up(live.coalesce(1), None).toDF("v", "to")))
             break
         if len(hooks) == max_rounds:
             raise RuntimeError("connected components did not settle")

@@ -43,7 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def let_go(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle and checkpoint files of frames that nothing refers to any more."""
+    """Have Spark delete the shuffle files of frames that nothing refers to any more, and their checkpoint files where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
