@@ -18,7 +18,7 @@ from duskline.llm.near_dedup import near_duplicates
 from duskline.llm.packing import pack_documents
 from duskline.llm.secret_scan import scan_secrets
 from duskline.llm.token_counts import count_tokens
-from duskline.session import checkpoint_dir, table
+from duskline.session import checkpoint_dir, remove, table
 
 #: Documents whose best language has less of the probability than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -85,11 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what passes between them lies in the shared checkpoint folder."""
+    """All stages over the documents of ``sf_dir``; what passes between them lies in the shared checkpoint folder until the next
+    stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs

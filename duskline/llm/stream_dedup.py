@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskline.llm.arrow_map import MAX_BROADCAST_IDS
-from duskline.session import checkpoint_dir, cut
+from duskline.session import checkpoint_dir, cut, remove
 
 #: Bytes of files that one micro-batch takes, about.
 BATCH_BYTES = 1 << 40
@@ -108,6 +108,5 @@ def deduplicate(spark: SparkSession, path: str, state_folder: str | None = None,
         mixed = mixed.join(groups, [*at, "content"]).select(*at, "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", here("last.{}").alias("kept"), "text_sha256")
         out = out.join(confused, at, "left_anti").unionByName(mixed)
     if state_folder is None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, folder)
     return out.drop(*at)
