@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskline.operators.aggregates import exact_quantiles
 from duskline.operators.components import connected_components
 from duskline.operators.spatial import radius_join_overlapping
 from duskline.session import cut
@@ -211,23 +212,53 @@ def representativeness(df: DataFrame, matched: str, col: str, share: str) -> Dat
     standardised mean difference."""
     only = lambda c: F.when(F.col(matched), F.col(c))
     sides = {"matched": only, "eligible": F.col}
-    stats = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5), "p90": lambda c: F.percentile(c, 0.9)}
-    r = df.agg(*[f(side(col)).alias(f"{name}_{who}") for name, f in stats.items() for who, side in sides.items()], *[F.var_samp(side(col)).alias(f"_{who}") for who, side in sides.items()], *[F.avg(side(share)).alias(f"share_{who}") for who, side in sides.items()])
+    r = df.agg(*[F.avg(side(col)).alias(f"mean_{who}") for who, side in sides.items()], *[F.var_samp(side(col)).alias(f"_{who}") for who, side in sides.items()], *[F.avg(side(share)).alias(f"share_{who}") for who, side in sides.items()])
     smd = (F.col("mean_matched") - F.col("mean_eligible")) / F.sqrt((F.col("_matched") + F.col("_eligible")) / 2)
+    for who, rows in (("matched", df.where(matched)), ("eligible", df)):
+        q = exact_quantiles(rows, col, [0.5, 0.9])
+        r = r.crossJoin(q.select(F.get("q", F.lit(0)).alias(f"median_{who}"), F.get("q", F.lit(1)).alias(f"p90_{who}")))
     return r.withColumn("smd", smd).drop("_matched", "_eligible")
 
 
-def contamination(pairs: DataFrame, intervals: DataFrame, inner: float, outer: float, before: int) -> DataFrame:
-    """Flags of pairs (pair, t_x, t_y, c_x, c_y, w_start, w_end) that other intervals (id, x_m, y_m, start_ts, end_ts) may have
-    touched; ``pair`` is the id of the treated interval. D1: another one within ``inner`` of the treated place meets the
-    window; D2, D2b: one in the ring up to ``outer`` around the treated place, around the control; D3: one within ``inner``
-    of the control; D4: one within ``inner`` of the treated place began before the window and lasted into the ``before``
-    days ahead of it; D5: the control serves several pairs."""
-    b = intervals.select(F.col("id").alias("bid"), F.col("x_m").alias("bx"), F.col("y_m").alias("by"), F.col("start_ts").alias("bs"), F.col("end_ts").alias("be"))
-    reach = (f"w_start - interval {before} days", "w_end")
-    at = lambda xy: radius_join_overlapping(pairs, b, outer, reach, a_xy=xy).where("bid <> pair").withColumn("close", F.col("distance") <= inner).withColumn("meets", F.expr("bs <= w_end and be >= w_start"))
-    treated = at(("t_x", "t_y")).groupBy("pair").agg(F.bool_or(F.expr("close and meets")).alias("d1"), F.bool_or(F.expr("not close and meets")).alias("d2"), F.bool_or(F.expr("close and bs < w_start")).alias("d4"))
-    control = at(("c_x", "c_y")).groupBy("pair").agg(F.bool_or(F.expr("not close and meets")).alias("d2b"), F.bool_or(F.expr("close and meets")).alias("d3"))
-    shared = pairs.groupBy("c_x", "c_y").agg((F.count("*") > 1).alias("d5"))
-    out = pairs.select("pair", "c_x", "c_y").join(treated, "pair", "left").join(control, "pair", "left").join(shared, ["c_x", "c_y"])
-    return out.select("pair", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("d1", "d2", "d2b", "d3", "d4", "d5")])
+def contamination(pairs: DataFrame, intervals: DataFrame, direct: float, exclusion: float, zone: float) -> DataFrame:
+    """What else may have touched each matched pair, one row a pair.
+
+    ``pairs`` has ``pair`` (also the id of its treated interval), places ``t_x, t_y, c_x, c_y``, the window ``w_start, w_end`` and the
+    interval itself ``start_ts, end_ts``; ``intervals`` has ``id, x_m, y_m, start_ts, end_ts``. Distances and windows are closed.
+
+    d1: the control is within ``zone`` of another pair's treatment and both windows meet. d2: an interval in the ring
+    (``exclusion``, ``zone``] around the control meets the window. d2b: one within ``exclusion`` of the control meets the time from
+    the treated interval's start to the window's end. d3: as d1, with another pair's control. d4: how many other intervals
+    within ``direct`` of the treatment meet the treated interval, its own left out, others of its episode included. Places
+    or times that are null touch nothing. Pairs of equal ``pair`` share their flags.
+    """
+    other = lambda xy: pairs.select(F.col("pair").alias("bid"), F.col(xy[0]).alias("bx"), F.col(xy[1]).alias("by"), F.col("w_start").alias("bs"), F.col("w_end").alias("be"))
+    dark = intervals.select(F.col("id").alias("bid"), F.col("x_m").alias("bx"), F.col("y_m").alias("by"), F.col("start_ts").alias("bs"), F.col("end_ts").alias("be"))
+    window, control = ("w_start", "w_end"), ("c_x", "c_y")
+    near = lambda b: radius_join_overlapping(pairs, b, zone, window, a_xy=control)
+    some = lambda df, name: df.select("pair").distinct().withColumn(name, F.lit(True))
+    flags = [
+        some(near(other(("t_x", "t_y"))).where("bid <> pair"), "d1"),
+        some(near(dark).where(F.col("distance") > exclusion), "d2"),
+        some(radius_join_overlapping(pairs, dark, exclusion, ("start_ts", "w_end"), a_xy=control), "d2b"),
+        some(near(other(control)).where("bid <> pair"), "d3"),
+    ]
+    d4 = radius_join_overlapping(pairs, dark, direct, a_xy=("t_x", "t_y")).where("bid <> pair").select("pair", "bid").distinct().groupBy("pair").agg(F.count("*").alias("d4"))
+    out = reduce(lambda a, b: a.join(b, "pair", "left"), [*flags, d4], pairs.select("pair"))
+    return out.select("pair", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("d1", "d2", "d2b", "d3")], F.coalesce("d4", F.lit(0)).cast("long").alias("d4"))
+
+
+def contamination_report(flags: DataFrame, table: DataFrame, review: float = 0.1, far: float = 100.0, long_days: int = 365) -> DataFrame:
+    """``(measure, part, value)``: of d1 to d3 the pairs, their share and whether (0 or 1) it is above ``review``; of d4 mean, median,
+    90th percentile, maximum and share of zeros; of d5, from the episodes (``episode_table``), how many there are, how many
+    spread over ``far`` metres and last over ``long_days`` days, and the widest."""
+    number = lambda c: c.cast("double")
+    share = lambda c: F.avg(number(F.col(c)))
+    cells = [(c, part, value) for c in ("d1", "d2", "d2b", "d3") for part, value in (("pairs", number(F.count_if(F.col(c)))), ("share", share(c)), ("above_review", number(share(c) > review)))]
+    cells += [("d4", "mean", F.avg("d4")), ("d4", "max", number(F.max("d4"))), ("d4", "share_zero", F.avg(number(F.col("d4") == 0)))]
+    spread = F.expr(f"timestampdiff(microsecond, first_start, last_end) > {long_days} * 86400000000")
+    last = [("d5", "episodes", number(F.count("*"))), ("d5", "far", number(F.count_if(F.col("span_m") > far))), ("d5", "long", number(F.count_if(spread))), ("d5", "widest_m", F.max("span_m"))]
+    row = lambda m, p, v: F.struct(F.lit(m).alias("measure"), F.lit(p).alias("part"), v.alias("value"))
+    stacked = lambda df, parts: df.agg(F.array(*[row(*c) for c in parts]).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    middle = exact_quantiles(flags, "d4", [0.5, 0.9]).select(F.explode(F.array(row("d4", "p50", F.get("q", F.lit(0))), row("d4", "p90", F.get("q", F.lit(1))))).alias("r")).select("r.*")
+    return stacked(flags, cells).unionByName(middle).unionByName(stacked(table, last))

@@ -13,9 +13,9 @@ from duskline.operators import spatial as sp
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
-from duskline.plans.queries_models import _LINKS, _closed, _matched
+from duskline.plans.queries_models import _COMP, _LINKS, _closed, _matched, _pair_rows
 from duskline.plans.queries_windows import _fifo
-from duskline.session import table
+from duskline.session import cut, table
 
 _D2 = "sqrt((a.x_m - b.x_m) * (a.x_m - b.x_m) + (a.y_m - b.y_m) * (a.y_m - b.y_m))"
 _SWEEP = with_views("jobs") + ", k AS (SELECT c, CAST(greatest(floor(epoch_us(arrival - TIMESTAMP '1995-01-01 08:00:00') / 86400000000.0) + 1, 0) AS BIGINT) AS d, row_number() OVER (PARTITION BY c ORDER BY arrival, id) - 1 AS r FROM jobs, (SELECT CAST(unnest([5, 6, 7, 8, 9]) AS INT) AS c)), s AS (SELECT c, CAST(floor((r + max(c * d - r) OVER (PARTITION BY c ORDER BY r)) / c) AS BIGINT) - d AS w FROM k), t AS (SELECT unnest([7, 14, 30]) AS days), m AS (SELECT c, days, avg(CASE WHEN w <= days THEN 1.0 ELSE 0.0 END) >= 0.9 AS meets FROM s, t GROUP BY ALL)"
@@ -83,22 +83,40 @@ def representativeness(spark, sf):
 
 
 _CONTAMINATION = (
-    with_views("ivals") + ", v AS (SELECT id, x_m, y_m, start_ts AS s, end_ts AS e FROM ivals WHERE end_ts IS NOT NULL), p AS (SELECT v.*, x_m + 300 AS cx, y_m AS cy FROM v), "
-    "d AS (SELECT p.id, {near} FROM p LEFT JOIN v b ON b.id <> p.id AND b.x_m BETWEEN p.x_m - 100 AND p.x_m + 400 AND b.y_m BETWEEN p.y_m - 100 AND p.y_m + 100 GROUP BY p.id), "
-    "q AS (SELECT id, count(*) OVER (PARTITION BY cx, cy) > 1 AS d5 FROM p) SELECT round(avg(CAST(d1 AS INT)), 9) AS d1, round(avg(CAST(d2 AS INT)), 9) AS d2, round(avg(CAST(d2b AS INT)), 9) AS d2b, round(avg(CAST(d3 AS INT)), 9) AS d3, round(avg(CAST(d4 AS INT)), 9) AS d4, round(avg(CAST(d5 AS INT)), 9) AS d5 FROM d JOIN q USING (id)"
+    _COMP + ", v AS (SELECT id, x_m, y_m, start_ts AS s, end_ts AS e FROM ivals WHERE end_ts IS NOT NULL), p AS (SELECT *, x_m + 300 AS cx, y_m AS cy, s - INTERVAL 3 DAY AS ws, e + INTERVAL 3 DAY AS we FROM v), "
+    "d1 AS (SELECT DISTINCT p.id FROM p JOIN p b ON b.x_m BETWEEN p.cx - 100 AND p.cx + 100 AND sqrt(pow(b.x_m - p.cx, 2) + pow(b.y_m - p.cy, 2)) <= 100 AND b.ws <= p.we AND b.we >= p.ws AND b.id <> p.id), "
+    "d3 AS (SELECT DISTINCT p.id FROM p JOIN p b ON b.cx BETWEEN p.cx - 100 AND p.cx + 100 AND sqrt(pow(b.cx - p.cx, 2) + pow(b.cy - p.cy, 2)) <= 100 AND b.ws <= p.we AND b.we >= p.ws AND b.id <> p.id), "
+    "n AS (SELECT p.id, sqrt(pow(b.x_m - p.cx, 2) + pow(b.y_m - p.cy, 2)) AS d, b.s AS bs, b.e AS be, p.s, p.ws, p.we FROM p JOIN v b ON b.x_m BETWEEN p.cx - 100 AND p.cx + 100 AND sqrt(pow(b.x_m - p.cx, 2) + pow(b.y_m - p.cy, 2)) <= 100 AND b.s <= p.we AND b.e >= p.ws), "
+    "f AS (SELECT id, coalesce(bool_or(d > 40), false) AS d2, coalesce(bool_or(d <= 40 AND be >= s), false) AS d2b FROM n GROUP BY 1), "
+    "d4 AS (SELECT p.id, count(*) AS d4 FROM p JOIN v b ON b.id <> p.id AND b.x_m BETWEEN p.x_m - 30 AND p.x_m + 30 AND sqrt(pow(b.x_m - p.x_m, 2) + pow(b.y_m - p.y_m, 2)) <= 30 AND b.s <= p.e AND b.e >= p.s GROUP BY 1), "
+    "g AS (SELECT p.id, d1.id IS NOT NULL AS d1, coalesce(d2, false) AS d2, coalesce(d2b, false) AS d2b, d3.id IS NOT NULL AS d3, coalesce(d4, 0) AS d4 FROM p LEFT JOIN d1 ON d1.id = p.id LEFT JOIN d3 ON d3.id = p.id LEFT JOIN f ON f.id = p.id LEFT JOIN d4 ON d4.id = p.id), "
+    "e AS (SELECT sqrt(pow(max(x_m) - min(x_m), 2) + pow(max(y_m) - min(y_m), 2)) AS span, max(end_ts) - min(start_ts) AS long FROM m JOIN ivals USING (id) GROUP BY episode), "
+    "r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS measure, '{part}' AS part, {value.format(c)} AS value FROM g" for c in ("d1", "d2", "d2b", "d3") for part, value in (("pairs", "count(*) FILTER ({})"), ("share", "avg({}::INT)"), ("above_review", "(avg({}::INT) > 0.1)::INT")))
+    + " UNION ALL SELECT 'd4', 'mean', avg(d4) FROM g UNION ALL SELECT 'd4', 'max', max(d4) FROM g UNION ALL SELECT 'd4', 'share_zero', avg((d4 = 0)::INT) FROM g UNION ALL SELECT 'd4', 'p50', quantile_cont(d4, 0.5) FROM g UNION ALL SELECT 'd4', 'p90', quantile_cont(d4, 0.9) FROM g "
+    "UNION ALL SELECT 'd5', 'episodes', count(*) FROM e UNION ALL SELECT 'd5', 'far', count(*) FILTER (span > 20) FROM e UNION ALL SELECT 'd5', 'long', count(*) FILTER (long > INTERVAL 5 DAY) FROM e UNION ALL SELECT 'd5', 'widest_m', max(span) FROM e) SELECT measure, part, round(value, 6) AS value FROM r"
 )
-_T, _C = "sqrt(pow(b.x_m - p.x_m, 2) + pow(b.y_m - p.y_m, 2))", "sqrt(pow(b.x_m - p.cx, 2) + pow(b.y_m - p.cy, 2))"
-_MEET, _BEFORE = "b.s <= p.e AND b.e >= p.s", "b.s < p.s AND b.e >= p.s - INTERVAL 5 DAY"
-_NEAR = ", ".join(f"coalesce(bool_or({cond}), false) AS {name}" for name, cond in (("d1", f"{_T} <= 40 AND {_MEET}"), ("d2", f"{_T} > 40 AND {_T} <= 100 AND {_MEET}"), ("d2b", f"{_C} > 40 AND {_C} <= 100 AND {_MEET}"), ("d3", f"{_C} <= 40 AND {_MEET}"), ("d4", f"{_T} <= 40 AND {_BEFORE}")))
 
 
-@register("contamination", _CONTAMINATION.replace("{near}", _NEAR))
-def contamination(spark, sf):
-    """Every closed interval paired with a place 300 m east of it: the shares of pairs that other intervals may have touched."""
+def _contamination(spark, sf, pairs):
     v = _closed(spark, sf)
-    pairs = v.selectExpr("id as pair", "x_m as t_x", "y_m as t_y", "x_m + 300 as c_x", "y_m as c_y", "start_ts as w_start", "end_ts as w_end")
-    flags = mt.contamination(pairs, v, 40, 100, 5)
-    return flags.agg(*[F.round(F.avg(F.col(c).cast("double")), 9).alias(c) for c in ("d1", "d2", "d2b", "d3", "d4", "d5")])
+    flags = cut(mt.contamination(pairs, v, 30, 40, 100))
+    report = mt.contamination_report(flags, mt.episode_table(v, mt.episodes(v, 25)), far=20, long_days=5)
+    return report.select("measure", "part", F.round("value", 6).alias("value"))
+
+
+@register("contamination", _CONTAMINATION)
+def contamination(spark, sf):
+    """Every closed interval paired with a place 300 m east of it, windows of three days on both sides."""
+    pairs = _closed(spark, sf).selectExpr("id as pair", "x_m as t_x", "y_m as t_y", "x_m + 300 as c_x", "y_m as c_y", "start_ts - interval 3 days as w_start", "end_ts + interval 3 days as w_end", "start_ts", "end_ts")
+    return _contamination(spark, sf, pairs)
+
+
+@register("contamination_matched")
+def contamination_matched(spark, sf):
+    """The same report on the pairs that greedy matching makes."""
+    v = _closed(spark, sf).select("id", "start_ts", "end_ts")
+    pairs = cut(_pair_rows(spark, sf).select(F.col("treatment").alias("pair"), "t_x", "t_y", "c_x", "c_y").join(v, F.col("pair") == F.col("id")).drop("id"))
+    return _contamination(spark, sf, pairs.withColumn("w_start", F.expr("start_ts - interval 3 days")).withColumn("w_end", F.expr("end_ts + interval 3 days")))
 
 
 @register("population_groups", "WITH g AS (SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'industry' ELSE 'other' END AS class, c_nationkey % 5 AS city, c_acctbal AS v FROM customer), e AS (SELECT quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM g), q AS (SELECT *, CAST(len(list_filter(q, lambda x: x < v)) AS INT) AS quartile FROM g, e) SELECT CASE WHEN grouping(class) = 0 THEN 'class' WHEN grouping(city) = 0 THEN 'city' ELSE 'quartile' END AS dim, coalesce(class, CAST(city AS VARCHAR), CAST(quartile AS VARCHAR)) AS level, count(*) AS n, round(avg(v), 4) AS mean FROM q GROUP BY GROUPING SETS ((class), (city), (quartile))")
