@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskline.functions import text_hash
+from duskline.session import cut
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -66,7 +67,7 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: list[str
     by = by or []
     buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = df.select(F.percentile_approx(F.col(order), F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), max(1000, 20 * buckets)).alias("_e"))
-    placed = df.crossJoin(F.broadcast(ends)).withColumn("_b", range_number(F.col("_e"), F.col(order), buckets)).drop("_e")
+    placed = cut(df.crossJoin(F.broadcast(ends)).withColumn("_b", range_number(F.col("_e"), F.col(order), buckets)).drop("_e"))
     totals = placed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]], *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in sums])
@@ -82,11 +83,13 @@ def running_total(df: DataFrame, order: str, value: str, out: str, buckets: int
     return running_totals(df, order, {out: value}, buckets=buckets)
 
 
-def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, shares: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """``q``, an array of the exact quantiles with linear interpolation of the non-null values, a row for each group of
-    ``by``. Values are counted, ranges of them carry running counts: no task holds all distinct values."""
+    ``by``. Values are counted (or ``weight``, how often each row counts, added up) and cut; ranges of them carry running counts: no
+    task holds all distinct values."""
     by = by or []
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    times = F.sum(weight) if weight else F.count("*")
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(times.cast("long").alias("_c")))
     ran = running_totals(counts, "_v", {"_cum": "_c"}, by)
     size = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     j = join_groups(ran, size, by)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskline import functions as fn
 from duskline.operators import aggregates as ag
+from duskline.operators import context as ct
 from duskline.operators import dispatch as dp
 from duskline.operators import scans
 from duskline.operators import windows as wi
@@ -45,16 +46,36 @@ def repeats_in_window(spark, sf):
     return n.select("id", (F.col("n") - F.col("own")).alias("n"))
 
 
-@register("trailing_context", with_views("ivals") + ", d AS (SELECT region, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(i AS INT)) AS TIMESTAMP) AS day, i FROM (SELECT DISTINCT region FROM ivals), (SELECT unnest(range(5, 31)) AS i)) SELECT d.region, CAST(d.i AS INT) AS day, count(v.id) FILTER (v.start_ts >= d.day - INTERVAL 20 DAY AND (v.end_ts IS NULL OR v.end_ts >= d.day)) AS backlog, count(v.id) FILTER (v.start_ts >= d.day - INTERVAL 7 DAY) AS created_7d, count(v.id) FILTER (v.end_ts < d.day AND v.end_ts >= d.day - INTERVAL 5 DAY) AS closed_5d, round(median(epoch(v.end_ts - v.start_ts)) FILTER (v.end_ts < d.day AND v.end_ts >= d.day - INTERVAL 5 DAY) / 3600, 6) AS median_h FROM d LEFT JOIN ivals v ON v.region = d.region AND v.start_ts < d.day GROUP BY d.region, d.i")
+# The intervals that do not end before they start; every region and the city (region null) on each day from the first start on.
+_CONTEXT = (
+    with_views("ivals") + ", v AS (SELECT region, start_ts AS s, end_ts AS e, epoch(end_ts - start_ts) AS sec FROM ivals WHERE end_ts IS NULL OR end_ts >= start_ts), "
+    "g AS (SELECT DISTINCT region AS g FROM v UNION ALL SELECT NULL), d AS (SELECT g, CAST(TIMESTAMP '1970-01-01' + to_days(CAST(i AS INT)) AS TIMESTAMP) AS dt, CAST(i AS INT) AS day FROM g, (SELECT unnest(range(CAST(floor(epoch(min(s)) / 86400) AS BIGINT), CAST(floor(epoch(max(s)) / 86400) AS BIGINT) + 1)) AS i FROM v)), "
+    "c AS (SELECT d.g AS region, d.day, count(s) FILTER (s >= dt - INTERVAL 20 DAY AND s < dt AND (e IS NULL OR e >= dt)) AS backlog, count(s) FILTER (s >= dt - INTERVAL 7 DAY AND s < dt) AS created, count(s) FILTER (e < dt AND e >= dt - INTERVAL 5 DAY) AS closed, "
+    "avg((sec > 172800)::INT) FILTER (e < dt AND e >= dt - INTERVAL 5 DAY) AS slow_share, median(sec) FILTER (e < dt AND e >= dt - INTERVAL 5 DAY) / 3600 AS median_h FROM d JOIN v ON d.g IS NULL OR v.region = d.g GROUP BY d.g, d.day, d.dt)"
+)
+_SPANS = {"backlog_days": 20, "volume_days": 7, "closure_days": 5, "slow_hours": 48.0}
+
+
+@register("trailing_context", _CONTEXT + " SELECT region, day, backlog, created, closed, round(slow_share, 9) AS slow_share, round(median_h, 6) AS median_h FROM c")
 def trailing_context(spark, sf):
-    iv = view(spark, sf, "ivals").select("region", "id", "start_ts", "end_ts")
-    spine = iv.select("region").distinct().select("region", F.explode(F.sequence(F.lit(5), F.lit(30))).alias("day"))
-    spine = spine.withColumn("at", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(day, 0, 0, 0)"))
-    j = spine.join(iv, (iv.region == spine.region) & F.expr("start_ts < at"), "left").drop(iv.region)
-    closed = "end_ts < at and end_ts >= at - interval 5 days"
-    return j.groupBy("region", "day").agg(
-        F.count_if(F.expr("start_ts >= at - interval 20 days and (end_ts is null or end_ts >= at)")).alias("backlog"), F.count_if(F.expr("start_ts >= at - interval 7 days")).alias("created_7d"),
-        F.count_if(F.expr(closed)).alias("closed_5d"), F.round(F.median(F.expr(f"case when {closed} then timestampdiff(second, start_ts, end_ts) end")) / 3600, 6).alias("median_h"))
+    c = ct.daily_context(view(spark, sf, "ivals"), **_SPANS)
+    return c.select("region", "day", "backlog", "created", "closed", F.round("slow_share", 9).alias("slow_share"), F.round("median_h", 6).alias("median_h"))
+
+
+@register(
+    "interval_features",
+    _CONTEXT + ", p AS (SELECT i.*, CAST(floor(epoch_us(start_ts) / 1000000.0) AS BIGINT) AS t, c_mktsegment AS segment, n_name AS nation, o_orderpriority AS priority, o_orderstatus AS status, CAST(c_nationkey AS VARCHAR) AS zone, cust % 51 AS district FROM ivals i JOIN orders ON o_orderkey = id JOIN customer ON c_custkey = cust JOIN nation ON n_nationkey = c_nationkey), "
+    "h AS (SELECT a.id, count(b.id) FILTER (b.t >= a.t - 90 * 86400) AS n90, count(b.id) AS n365, (a.t - max(b.t)) / 86400.0 AS since FROM p a LEFT JOIN p b ON b.x_m = a.x_m AND b.y_m = a.y_m AND b.t < a.t AND b.t >= a.t - 365 * 86400 GROUP BY a.id, a.t) "
+    "SELECT p.id, p.region, segment, nation, priority, status, zone, CAST(hour(start_ts) AS INT) AS hour, CAST(isodow(start_ts) - 1 AS INT) AS dow, CAST(month(start_ts) AS INT) AS month, (isodow(start_ts) >= 6)::INT AS is_weekend, (hour(start_ts) >= 8 AND hour(start_ts) < 18 AND isodow(start_ts) <= 5)::INT AS is_business_hours, "
+    "p.x_m, p.y_m, 1 AS has_coords, district, n90 AS place_prior_90d, n365 AS place_prior_365d, round(since, 9) AS place_days_since_prev, c.backlog AS region_backlog, c.created AS region_created, c.closed AS region_closed, round(c.median_h, 6) AS region_median_h, round(z.median_h, 6) AS city_median_h, round(c.slow_share, 9) AS region_slow_share "
+    "FROM p JOIN h USING (id) LEFT JOIN c ON c.region = p.region AND c.day = CAST(floor(epoch(start_ts) / 86400) AS INT) LEFT JOIN c z ON z.region IS NULL AND z.day = CAST(floor(epoch(start_ts) / 86400) AS INT)",
+)
+def interval_features(spark, sf):
+    """Twenty-four features of each interval: six categories, eighteen numbers."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("c_nationkey").alias("zone"))
+    out = ct.interval_features(view(spark, sf, "ivals").join(o, "id").join(c, "cust").withColumn("district", F.expr("cust % 51")), ["segment", "nation", "priority", "status", "zone"], ["district"], **_SPANS)
+    return out.withColumns({c: F.round(c, d) for c, d in (("place_days_since_prev", 9), ("region_median_h", 6), ("city_median_h", 6), ("region_slow_share", 9))})
 
 
 @register("percent_rank_avg", "SELECT l_orderkey, l_linenumber, round((rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0) / count(*) OVER (), 9) AS pct FROM lineitem")
