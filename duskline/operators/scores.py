@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import min_max
+from duskline.operators.aggregates import min_max, running_totals
+from duskline.operators.dispatch import best_of_groups
 from duskline.operators.windows import ecdf, tier_by_value
+from duskline.session import cut
 
 
 def priority_index(df: DataFrame, rate: str, days: str, tau: float, high: float = 80.0, medium: float = 40.0) -> DataFrame:
@@ -43,3 +47,33 @@ def percentile_component(df: DataFrame, reference: DataFrame, col: str, out: str
 
 def recommend_action(score: Column, days_open: Column) -> Column:
     return F.when(score >= 80, "repair").when((score >= 40) | (days_open > 30), "schedule").otherwise("monitor")
+
+
+def weight_variants(weights: dict[str, float], draws: int, seed: str, least: float = 0.6, most: float = 1.4) -> dict[str, dict[str, float]]:
+    """Weights by variant: each component dropped once, and ``draws`` with every weight scaled by a number between ``least`` and
+    ``most`` from a hash of the seed, the draw and the component."""
+    out = {f"drop {c}": weights | {c: 0.0} for c in weights}
+    part = lambda d, c: int(md5(f"{seed}|{d}|{c}".encode()).hexdigest()[:12], 16) / 16**12
+    return out | {f"scaled {d}": {c: w * (least + (most - least) * part(d, c)) for c, w in weights.items()} for d in range(1, draws + 1)}
+
+
+def weight_sensitivity(df: DataFrame, key: str, weights: dict[str, float], variants: dict[str, dict[str, float]], top: int = 100, digits: int = 9) -> DataFrame:
+    """``(variant, rows, spearman, overlap)``: how the ranking under other weights compares with that under ``weights``.
+
+    Scores are weighted means of the components that are there (``weighted_components``), to ``digits`` digits. ``spearman`` is
+    over the rows that have both scores, ties averaged; ``overlap`` is the share of the ``top`` best (ties: by key) under
+    both. All variants are one axis of one table: rows are ranked by variant inside ranges of scores, and tasks keep the
+    best of each variant of their own rows. Null scores take no part.
+    """
+    score = lambda w: F.round(sum((F.coalesce(F.col(c) * v, F.lit(0.0)) for c, v in w.items()), F.lit(0.0)) / F.nullif(sum((F.when(F.col(c).isNotNull(), F.lit(v)).otherwise(0.0) for c, v in w.items()), F.lit(0.0)), F.lit(0.0)), digits)
+    every = F.array(*[F.struct(F.lit(n).alias("variant"), score(w).alias("s")) for n, w in variants.items()])
+    long = cut(df.select(F.col(key).alias("_k"), score(weights).alias("base"), F.explode(every).alias("v")).select("_k", "base", "v.*").where("base is not null or s is not null"))
+    both = long.where("base is not null and s is not null")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("base").alias("x")), F.struct(F.lit(1).alias("side"), F.col("s").alias("x"))))
+    counts = cut(both.select("variant", sides.alias("e")).select("variant", "e.*").groupBy("variant", "side", "x").agg(F.count("*").alias("c")))
+    ranked = cut(running_totals(counts, "x", {"cum": "c"}, ["variant", "side"]).select("variant", "side", "x", (F.col("cum") - (F.col("c") - 1) / 2).alias("r")))
+    of = lambda side, on, name: ranked.where(F.col("side") == side).select(F.col("variant"), F.col("x").alias(on), F.col("r").alias(name))
+    spearman = both.join(of(0, "base", "r0"), ["variant", "base"]).join(of(1, "s", "r1"), ["variant", "s"]).groupBy("variant").agg(F.count("*").alias("rows"), F.corr("r0", "r1").alias("spearman"))
+    best = lambda col: best_of_groups(long.where(F.col(col).isNotNull()), "variant", [F.desc(col), F.col("_k")], top, "_k").select("variant", "_k")
+    overlap = best("base").join(best("s"), ["variant", "_k"]).groupBy("variant").agg((F.count("*") / top).alias("overlap"))
+    return spearman.join(overlap, "variant", "left").select("variant", "rows", "spearman", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))

@@ -165,11 +165,34 @@ def nearest_join(a: DataFrame, b: DataFrame, radius: float, max_radius: float, a
 
 
 def assign_region(points: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
-    """Of the centroids (rid, rx, ry, sigma, city) of the point's city, the nearest in units of its sigma (ties: the smaller
-    id). The centroid table is a small dimension, joined on the city."""
-    d = F.sqrt((F.col("x_m") - F.col("rx")) ** 2 + (F.col("y_m") - F.col("ry")) ** 2) / F.col("sigma")
-    pairs = points.join(centroids, "city").withColumn("d", d)
-    return pairs.groupBy(key).agg(F.min(F.struct("d", "rid")).alias("m")).select(key, F.col("m.rid").alias("rid"))
+    """``(key, rid)``: of the centroids (rid, rx, ry, sigma, city) of the point's city, the nearest in units of its sigma (ties: the
+    smaller id).
+
+    A reach in sigmas bounds the search: each centroid goes to the grid cells that its own sigma times the reach touches (nine at
+    most, as cells are as wide as the reach of the widest), and a point meets those of its cell. Points without a hit go on with
+    twice the reach, so a point never meets all centroids of its city. Points without coordinates or a city with centroids, and
+    centroids without a positive sigma, are left out.
+    """
+    given = lambda *cols: " and ".join(f"{c} is not null and not isnan({c})" for c in cols)
+    centres = cut(centroids.select("rid", "rx", "ry", "sigma", "city").where(f"{given('rx', 'ry')} and sigma > 0 and city is not null"))
+    rest = cut(points.select(key, "x_m", "y_m", "city").where(given("x_m", "y_m")).join(centres.select("city").distinct(), "city", "left_semi"))
+    box = centres.agg(F.count("*").alias("n"), F.greatest(F.max("rx") - F.min("rx"), F.max("ry") - F.min("ry")).alias("wide"), F.max("sigma").alias("sigma")).first()
+    found = rest.limit(0).select(key, F.lit(None).cast(centres.schema["rid"].dataType).alias("rid"))
+    if not box.n:
+        return found
+    reach = max(box.wide, 1.0) / box.n**0.5 / box.sigma
+    while not rest.isEmpty():
+        size = reach * box.sigma
+        cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach * F.col("sigma")) / size).cast("long"), F.floor((F.col(c) + reach * F.col("sigma")) / size).cast("long")))  # noqa: B023, E731
+        spread = centres.withColumn("_gx", cells("rx")).withColumn("_gy", cells("ry"))
+        gx, gy = cell_of("x_m", "y_m", size)
+        d = F.sqrt((F.col("x_m") - F.col("rx")) ** 2 + (F.col("y_m") - F.col("ry")) ** 2) / F.col("sigma")
+        met = rest.withColumn("_gx", gx).withColumn("_gy", gy).join(spread, ["city", "_gx", "_gy"]).withColumn("d", d).where(F.col("d") <= reach)
+        hit = cut(met.groupBy(key).agg(F.min(F.struct("d", "rid")).alias("m")).select(key, "m.rid"))
+        found = found.unionByName(hit)
+        rest = cut(rest.join(hit.select(key), key, "left_anti"))
+        reach *= 2
+    return found
 
 
 def round_site(df: DataFrame, step: float = 1.0, x: str = "x_m", y: str = "y_m") -> DataFrame:

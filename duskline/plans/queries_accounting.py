@@ -183,17 +183,15 @@ def pair_recheck(spark, sf):
     return qc.pair_violations(pairs, ["id", "rid"], ("x_m", "y_m"), ("bx", "by"), 50, 300, ("t_region", "c_region"), [("t_n", "c_n", 0.9)])
 
 
-@register("sampled_recheck", with_views("pts", "ivals") + f", n AS (SELECT i.id, count(*) FILTER (sqrt(pow(p.x_m - i.x_m, 2) + pow(p.y_m - i.y_m, 2)) <= 100) AS disc FROM ivals i JOIN pts p ON p.t BETWEEN i.start_ts AND i.end_ts AND abs(p.x_m - i.x_m) <= 100 WHERE i.end_ts IS NOT NULL GROUP BY 1) SELECT id, disc AS n_disc FROM n WHERE id % 31 = 0 AND disc > 0")
+_CHOSEN = "CAST(('0x' || substr(md5(concat_ws('|', 'recheck', CAST(id AS VARCHAR))), 1, 15)) AS BIGINT) % 1000000 < ceil(1000000 * 2000 / (SELECT count(*) FROM ivals WHERE end_ts IS NOT NULL))"
+
+
+@register("sampled_recheck", with_views("pts", "ivals") + f", i AS (SELECT * FROM ivals WHERE end_ts IS NOT NULL AND {_CHOSEN}), d AS (SELECT i.id, sqrt(pow(p.x_m - i.x_m, 2) + pow(p.y_m - i.y_m, 2)) AS d FROM i JOIN pts p ON p.t BETWEEN i.start_ts AND i.end_ts AND abs(p.x_m - i.x_m) <= 250) SELECT id, count(*) FILTER (d <= 100) AS n_disc, count(*) FILTER (d > 100 AND d <= 250) AS n_ring FROM d WHERE id % 31 = 0 GROUP BY 1 HAVING count(*) FILTER (d <= 100) > 0")
 def sampled_recheck(spark, sf):
-    """Counts of the operator of which one in 31 is spoilt (set to 0), recomputed without the grid: those that differ."""
+    """Counts of which one in 31 is spoilt (its disc set to 0): those of a sample of about 2,000 that do not hold."""
     iv = view(spark, sf, "ivals").where("end_ts is not null")
     got = sp.count_in_zone_during(view(spark, sf, "pts"), iv, 100, 250).withColumn("n_disc", F.expr("case when id % 31 = 0 then 0 else n_disc end"))
-    # Independently: days as equi-key, every distance of the day computed.
-    p = view(spark, sf, "pts").select(F.col("x_m").alias("px"), F.col("y_m").alias("py"), "t", F.to_date("t").alias("day"))
-    d = F.sqrt((F.col("px") - F.col("x_m")) ** 2 + (F.col("py") - F.col("y_m")) ** 2)
-    days = iv.withColumn("day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))))
-    again = days.join(p, "day").where("t between start_ts and end_ts").groupBy("id").agg(F.count_if(d <= 100).alias("disc"), F.count_if((d > 100) & (d <= 250)).alias("ring"))
-    return got.join(again, "id").where("n_disc <> disc or n_ring <> ring").select("id", F.col("disc").alias("n_disc"))
+    return qc.sampled_recheck(got, iv, view(spark, sf, "pts"), 100, 250, 2000)
 
 
 @register("placebo_rules", with_views("ivals") + " SELECT id FROM ivals WHERE start_ts - INTERVAL 20 DAY < TIMESTAMP '2024-01-01'")

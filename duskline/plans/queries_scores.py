@@ -47,11 +47,25 @@ def evidence_weight(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(sc.evidence_weight(F.col("s_acctbal"), F.col("s_acctbal") - 2000, F.lit(5000.0)), 6).alias("w"))
 
 
-@register("weight_sensitivity", f"WITH x AS ({_COMPONENTS}), s AS (SELECT id, (coalesce(a, 0) * 0.5 + coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2) / nullif({_WEIGHT}, 0) AS s0, (coalesce(b, 0) * 0.3 + coalesce(c, 0) * 0.2) / nullif((CASE WHEN b IS NULL THEN 0 ELSE 0.3 END) + (CASE WHEN c IS NULL THEN 0 ELSE 0.2 END), 0) AS s1 FROM x), q AS (SELECT round(s0, 9) AS s0, round(s1, 9) AS s1 FROM s WHERE s0 IS NOT NULL AND s1 IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY s0) + (count(*) OVER (PARTITION BY s0) - 1) / 2.0 AS r0, rank() OVER (ORDER BY s1) + (count(*) OVER (PARTITION BY s1) - 1) / 2.0 AS r1 FROM q) SELECT round(corr(r0, r1), 6) AS spearman FROM r")
+_VARIANTS = sc.weight_variants(_W, 6, "weights")
+
+
+def _scored(w: dict[str, float]) -> str:
+    there = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {v!r}::DOUBLE END" for c, v in w.items())
+    return f"round(({' + '.join(f'coalesce({c} * {v!r}::DOUBLE, 0)' for c, v in w.items())}) / nullif({there}, 0), 9)"
+
+
+@register(
+    "weight_sensitivity",
+    f"WITH x AS ({_COMPONENTS}), s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, id, {_scored(_W)} AS s0, {_scored(w)} AS s1 FROM x" for n, w in _VARIANTS.items()) + "), q AS (SELECT * FROM s WHERE s0 IS NOT NULL AND s1 IS NOT NULL), "
+    "r AS (SELECT variant, rank() OVER (PARTITION BY variant ORDER BY s0) + (count(*) OVER (PARTITION BY variant, s0) - 1) / 2.0 AS r0, rank() OVER (PARTITION BY variant ORDER BY s1) + (count(*) OVER (PARTITION BY variant, s1) - 1) / 2.0 AS r1 FROM q), "
+    "a AS (SELECT variant, id FROM s WHERE s0 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant ORDER BY s0 DESC, id) <= 100), b AS (SELECT variant, id FROM s WHERE s1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant ORDER BY s1 DESC, id) <= 100), "
+    "o AS (SELECT variant, count(*) / 100.0 AS overlap FROM a JOIN b USING (variant, id) GROUP BY 1) SELECT variant, count(*) AS rows, round(corr(r0, r1), 6) AS spearman, round(coalesce(any_value(overlap), 0), 6) AS overlap FROM r LEFT JOIN o USING (variant) GROUP BY 1",
+)
 def weight_sensitivity(spark, sf):
-    x = _components(spark, sf)
-    s = sc.weighted_components(sc.weighted_components(x, _W, "s0"), {"b": 0.3, "c": 0.2}, "s1").select(F.round("s0", 9).alias("s0"), F.round("s1", 9).alias("s1"))
-    return ag.spearman(s, "s0", "s1").select(F.round("spearman", 6).alias("spearman"))
+    """Each component dropped, and six draws of scaled weights."""
+    s = sc.weight_sensitivity(_components(spark, sf), "id", _W, _VARIANTS)
+    return s.select("variant", "rows", F.round("spearman", 6).alias("spearman"), F.round("overlap", 6).alias("overlap"))
 
 
 @register("age_activity_repeat_score", with_views("ivals") + ", a AS (SELECT id, epoch(TIMESTAMP '2024-02-01' - start_ts) / 86400.0 / 31 AS age, (count(*) OVER (PARTITION BY cust)) - 1 AS repeats, x_m FROM ivals), e AS (SELECT id, age, repeats, (SELECT count(*) FROM ivals v WHERE v.x_m <= a.x_m) / (SELECT count(*) FROM ivals) AS act FROM a) SELECT id, round((least(age, 1) + act + least(repeats / 5.0, 1)) / 3, 6) AS score FROM e")
