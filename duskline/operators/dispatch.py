@@ -1,4 +1,4 @@
-"""A day's plan under a budget with quotas: the best of each region first, then the best of the rest.
+"""Plans and queues. A day's plan under a budget with quotas: the best of each region first, then the best of the rest.
 
 With jobs of equal cost this is the exact optimum of the selection problem, so no solver is needed. Only the best few rows of
 each region can be chosen: tasks keep those of their own rows, which are merged by region before anything is put in order.
@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskline.operators.aggregates import exact_quantiles
 from duskline.session import cut
 
 UNSPECIFIED = "UNSPECIFIED"
@@ -119,3 +120,42 @@ def plan(df: DataFrame, key: str, score: str, region: str, created: str, budget:
     whole = out.agg(*sums).crossJoin(per.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("quota"))).withColumn("compliant", F.col("selected") >= F.col("quota"))
     columns = ["candidates", "quota", "selected", "compliant", "unconstrained", "benefit", "unconstrained_benefit"]
     return out, by_region.select(region, *columns).unionByName(whole.withColumn(region, F.lit(None).cast(out.schema[region].dataType)).select(region, *columns))
+
+
+def overload_start(jobs: DataFrame, capacity: float, arrival: str = "arrival"):
+    """The first quarter whose arrivals per day exceed ``capacity``, as the timestamp of its first day; None if there is none."""
+    quarter = F.date_trunc("quarter", arrival)
+    n = jobs.groupBy(quarter.alias("q")).agg(F.count("*").alias("n"))
+    days = F.datediff(F.expr("q + interval 3 months"), F.col("q"))
+    return n.where(F.col("n") / days > capacity).agg(F.min("q").alias("q")).first().q
+
+
+def wait_report(scheduled: DataFrame, t0: str, split, region: str = "region", arrival: str = "arrival") -> DataFrame:
+    """Waits in days by regime and region: ``all`` jobs, those that arrived before ``split`` (``stable``) and from then on
+    (``overload``; none without a split); region null is all regions. ``n``, mean, exact median and 90th percentile, maximum and
+    the shares served within 7 and 30 days. A job selected before its arrival raises ValueError; jobs without a region are
+    named ``<missing>``."""
+    selected = F.expr(f"timestamp_ntz '{t0}' + make_dt_interval(cast(service_day as int), 0, 0, 0)")
+    wait = F.expr(f"timestampdiff(microsecond, {arrival}, _selected)") / 8.64e10
+    late = F.lit(False) if split is None else F.col(arrival) >= F.lit(split)
+    rows = scheduled.withColumn("_selected", selected).select(wait.alias("w"), F.coalesce(F.col(region).cast("string"), F.lit("<missing>")).alias("r"), F.when(late, "overload").otherwise("stable").alias("regime"))
+    counted = cut(rows.groupBy("regime", "r", "w").agg(F.count("*").alias("n")))
+    if counted.where("w <= 0").limit(1).count():
+        raise ValueError("a job is selected before its arrival")
+    cells = F.array(*[F.struct(a.alias("regime"), b.alias("r")) for a in (F.lit("all"), F.col("regime")) for b in (F.lit(None).cast("string"), F.col("r"))])
+    each = cut(counted.select(F.explode(cells).alias("c"), "w", "n").select("c.*", "w", "n").groupBy("regime", "r", "w").agg(F.sum("n").alias("n")))
+    within = lambda d: (F.sum(F.when(F.col("w") <= d, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"within_{d}")
+    sums = each.groupBy("regime", "r").agg(F.sum("n").alias("n"), (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"), F.max("w").alias("max"), within(7), within(30))
+    q = exact_quantiles(each, "w", [0.5, 0.9], ["regime", "r"], weight="n").withColumnsRenamed({"regime": "_g", "r": "_r"})
+    out = sums.join(q, (F.col("regime") == F.col("_g")) & F.col("r").eqNullSafe(F.col("_r")))
+    return out.select("regime", F.col("r").alias(region), "n", "mean", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p90"), "max", "within_7", "within_30")
+
+
+def queue_report(series: DataFrame, capacity: int, horizon: int) -> DataFrame:
+    """One row from the days (day, selected, waiting) of a schedule, those before ``horizon``: mean, largest and last backlog,
+    jobs served a day, utilisation of the capacity, and how many days after the horizon the queue still takes to drain."""
+    inside = F.col("day") < horizon
+    only = lambda c: F.when(inside, F.col(c))
+    return series.agg(
+        F.avg(only("waiting")).alias("backlog_mean"), F.max(only("waiting")).alias("backlog_max"), F.max_by(only("waiting"), only("day")).alias("backlog_end"), F.avg(only("selected")).alias("throughput"),
+        F.try_divide(F.sum(only("selected")), capacity * F.count(only("day"))).alias("utilisation"), F.count_if(~inside).alias("drain_days"))

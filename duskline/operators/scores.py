@@ -7,7 +7,7 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskline.operators.aggregates import min_max, running_totals
+from duskline.operators.aggregates import exact_quantiles, min_max, running_totals
 from duskline.operators.dispatch import best_of_groups
 from duskline.operators.windows import ecdf, tier_by_value
 from duskline.session import cut
@@ -77,3 +77,14 @@ def weight_sensitivity(df: DataFrame, key: str, weights: dict[str, float], varia
     best = lambda col: best_of_groups(long.where(F.col(col).isNotNull()), "variant", [F.desc(col), F.col("_k")], top, "_k").select("variant", "_k")
     overlap = best("base").join(best("s"), ["variant", "_k"]).groupBy("variant").agg((F.count("*") / top).alias("overlap"))
     return spearman.join(overlap, "variant", "left").select("variant", "rows", "spearman", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
+def ward_summary(rows: DataFrame, wards: DataFrame, assigned: DataFrame, key: str, ward: str, score: str, people: str, area: str, per: float) -> DataFrame:
+    """Per ward: rows ``n``, ``per_head`` (n / ``people`` * ``per``), ``per_km2`` (n / ``area``), mean and largest score, ``risk`` (``per_km2``
+    stretched to 0..100 over the wards) and ``category`` of ``per_head`` by its exact 33rd and 67th percentiles. Wards without rows
+    have 0 and no scores; a ward without people or area has null there and in what follows from it."""
+    n = rows.join(assigned, key).groupBy(ward).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.max(score).alias("max_score"))
+    per_ward = cut(wards.select(ward, people, area).join(n, ward, "left").fillna(0, ["n"]).withColumn("per_head", F.expr(f"try_divide(n, {people}) * {per}D")).withColumn("per_km2", F.expr(f"try_divide(n, {area})")))
+    q = exact_quantiles(per_ward, "per_head", [0.33, 0.67])
+    category = F.when(F.col("per_head") > F.get("q", F.lit(1)), "High").when(F.col("per_head") > F.get("q", F.lit(0)), "Medium").when(F.col("per_head").isNotNull(), "Low")
+    return min_max(per_ward, "per_km2", "risk").crossJoin(F.broadcast(q)).withColumn("category", category).drop("q")

@@ -81,15 +81,18 @@ def recommend_action(spark, sf):
     return view(spark, sf, "jobs").groupBy(sc.recommend_action(F.col("score") / 5000, F.col("id") % 60).alias("action")).agg(F.count("*").alias("n"))
 
 
-@register("ward_summary", with_views("ivals", "regions") + ", a AS (SELECT id, rid FROM ivals JOIN regions ON city = cust % 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) / sigma, rid) = 1), n AS (SELECT r.rid, count(a.id) AS n, count(a.id) / (1 + r.rid % 9) * 10.0 AS per_10k FROM regions r LEFT JOIN a ON a.rid = r.rid GROUP BY r.rid), q AS (SELECT quantile_cont(per_10k, [0.33, 0.67]) AS q FROM n) SELECT rid, n, round(per_10k, 6) AS per_10k, CASE WHEN per_10k > q[2] THEN 'High' WHEN per_10k > q[1] THEN 'Medium' ELSE 'Low' END AS category FROM n, q")
+@register(
+    "ward_summary",
+    with_views("ivals", "regions") + ", a AS (SELECT ivals.id, rid, (ivals.id * 37 % 1000) / 10.0 AS score FROM ivals JOIN regions ON city = cust % 5 QUALIFY row_number() OVER (PARTITION BY ivals.id ORDER BY sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) / sigma, rid) = 1), "
+    "n AS (SELECT r.rid, count(a.id) AS n, count(a.id) / (1 + r.rid % 9) * 10.0 AS per_10k, count(a.id) / (0.5 + r.rid % 7) AS per_km2, avg(score) AS mean_score, max(score) AS max_score FROM regions r LEFT JOIN a ON a.rid = r.rid GROUP BY r.rid), q AS (SELECT quantile_cont(per_10k, [0.33, 0.67]) AS q, min(per_km2) AS lo, max(per_km2) AS hi FROM n) "
+    "SELECT rid, n, round(per_10k, 6) AS per_10k, round(per_km2, 6) AS per_km2, round(mean_score, 12) AS mean_score, max_score, round(CASE WHEN hi > lo THEN (per_km2 - lo) / (hi - lo) * 100 ELSE 0 END, 6) AS risk, CASE WHEN per_10k > q[2] THEN 'High' WHEN per_10k > q[1] THEN 'Medium' ELSE 'Low' END AS category FROM n, q",
+)
 def ward_summary(spark, sf):
-    iv = view(spark, sf, "ivals").selectExpr("id", "x_m", "y_m", "cast(cust % 5 as int) as city")
-    r = view(spark, sf, "regions")
-    n = sp.assign_region(iv, r, "id").groupBy("rid").agg(F.count("*").alias("n"))
-    n = r.select("rid").join(n, "rid", "left").fillna(0).withColumn("per_10k", F.col("n") / (1 + F.col("rid") % 9) * 10.0)
-    q = n.agg(F.percentile("per_10k", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
-    category = F.when(F.col("per_10k") > F.col("q")[1], "High").when(F.col("per_10k") > F.col("q")[0], "Medium").otherwise("Low")
-    return n.crossJoin(q).select("rid", "n", F.round("per_10k", 6).alias("per_10k"), category.alias("category"))
+    """Intervals of each ward per head and km2, their scores, a risk from 0 to 100 and a category by terciles."""
+    iv = view(spark, sf, "ivals").selectExpr("id", "x_m", "y_m", "cast(cust % 5 as int) as city", "(id * 37 % 1000) / 10.0D as score")
+    wards = view(spark, sf, "regions").withColumn("people", F.col("rid") % 9 + 1).withColumn("km2", F.col("rid") % 7 + 0.5)
+    out = sc.ward_summary(iv, wards, sp.assign_region(iv, wards, "id"), "id", "rid", "score", "people", "km2", 10.0)
+    return out.select("rid", "n", F.round("per_head", 6).alias("per_10k"), F.round("per_km2", 6).alias("per_km2"), F.round("mean_score", 12).alias("mean_score"), "max_score", F.round("risk", 6).alias("risk"), "category")
 
 
 @register("kpi_summary", with_views("jobs") + " SELECT count(*) AS jobs, round(avg(score), 4) AS mean_score, count(*) FILTER (score >= 400000) AS high, count(*) FILTER (score < 200000) AS low, count(DISTINCT region) AS regions FROM jobs")

@@ -215,6 +215,29 @@ def wait_metrics(spark, sf):
     return w.groupBy("region").agg(F.round(F.avg("w"), 6).alias("mean"), F.percentile("w", 0.5).alias("median"), F.round(F.percentile("w", 0.9), 6).alias("p90"), F.max("w").alias("max"), share(7).alias("within_7"), share(30).alias("within_30"))
 
 
+_QUARTERS = "z AS (SELECT min(q) AS split FROM (SELECT date_trunc('quarter', arrival) AS q, count(*) AS n FROM jobs GROUP BY 1) WHERE n / date_diff('day', q, q + INTERVAL 3 MONTH) > {c})"
+_WAITS = "round(avg(w), 6) AS mean, round(median(w), 6) AS median, round(quantile_cont(w, 0.9), 6) AS p90, round(max(w), 6) AS max, round(avg((w <= 7)::INT), 9) AS within_7, round(avg((w <= 30)::INT), 9) AS within_30"
+
+
+def _split(spark, sf):
+    """The jobs and the first quarter that is busier than all in the mean by a twelfth."""
+    j = view(spark, sf, "jobs")
+    return j, dp.overload_start(j, 1.08 * j.count() / 2400)
+
+
+@register("regime_waits", _FIFO + ", " + _QUARTERS.format(c="(1.08 * (SELECT count(*) FROM jobs) / 2400)") + f", w AS (SELECT CAST(k.region AS VARCHAR) AS region, epoch(TIMESTAMP '1995-01-01 08:00:00' + to_days(CAST(service_day AS INT)) - arrival) / 86400 AS w, CASE WHEN split IS NOT NULL AND arrival >= split THEN 'overload' ELSE 'stable' END AS regime FROM s k JOIN jobs USING (id), z), x AS (SELECT * FROM w UNION ALL SELECT region, w, 'all' FROM w) SELECT regime, region, count(*) AS n, {_WAITS} FROM x GROUP BY GROUPING SETS ((regime, region), (regime))")
+def regime_waits(spark, sf):
+    j, split = _split(spark, sf)
+    r = dp.wait_report(wi.fifo_schedule(j, 6, "1995-01-01 08:00:00"), "1995-01-01 08:00:00", split)
+    return r.select("regime", "region", "n", *[F.round(c, d).alias(c) for c, d in (("mean", 6), ("median", 6), ("p90", 6), ("max", 6), ("within_7", 9), ("within_30", 9))])
+
+
+@register("queue_report", _FIFO + ", d AS (SELECT unnest(range(0, 1 + (SELECT max(service_day) FROM s))) AS day), n AS (SELECT d.day, coalesce(a.n, 0) AS arrived, coalesce(b.n, 0) AS selected FROM d LEFT JOIN (SELECT known_day, count(*) AS n FROM s GROUP BY 1) a ON known_day = day LEFT JOIN (SELECT service_day, count(*) AS n FROM s GROUP BY 1) b ON service_day = day), x AS (SELECT day, selected, sum(arrived - selected) OVER (ORDER BY day) AS waiting FROM n) SELECT round(avg(waiting) FILTER (day < 800), 6) AS backlog_mean, CAST(max(waiting) FILTER (day < 800) AS BIGINT) AS backlog_max, CAST(max_by(waiting, day) FILTER (day < 800) AS BIGINT) AS backlog_end, round(avg(selected) FILTER (day < 800), 6) AS throughput, round(sum(selected) FILTER (day < 800) / (6.0 * count(*) FILTER (day < 800)), 9) AS utilisation, count(*) FILTER (day >= 800) AS drain_days FROM x")
+def queue_report(spark, sf):
+    r = dp.queue_report(backlog_series(spark, sf), 6, 800)
+    return r.select(*[F.round(c, 9 if c == "utilisation" else 6).alias(c) if c in ("backlog_mean", "throughput", "utilisation") else c for c in r.columns])
+
+
 @register("capacity_sweep", with_views("jobs") + ", k AS (SELECT c, CAST(greatest(floor(epoch_us(arrival - TIMESTAMP '1995-01-01 08:00:00') / 86400000000.0) + 1, 0) AS BIGINT) AS d, row_number() OVER (PARTITION BY c ORDER BY arrival, id) - 1 AS r FROM jobs, (SELECT CAST(unnest([5, 6, 7, 8, 9]) AS INT) AS c)), s AS (SELECT c, CAST(floor((r + max(c * d - r) OVER (PARTITION BY c ORDER BY r)) / c) AS BIGINT) - d AS w FROM k) SELECT c AS capacity, round(avg(w), 6) AS mean, max(w) AS max, round(avg(CASE WHEN w <= 7 THEN 1.0 ELSE 0.0 END), 9) AS within_7, avg(CASE WHEN w <= 7 THEN 1.0 ELSE 0.0 END) >= 0.9 AS meets FROM s GROUP BY 1")
 def capacity_sweep(spark, sf):
     from functools import reduce

@@ -113,3 +113,21 @@ def test_best_of_a_hot_group_is_bounded_before_the_merge(spark):
     df = spark.range(5000).select("id", F.lit("one").alias("region"), (F.col("id") % 100).alias("score"))
     best = dp.best_of_groups(df, "region", [F.desc("score"), F.col("id")], 7, "id").orderBy("_place").collect()
     assert [(r.score, r.id) for r in best] == [(99, 99 + 100 * k) for k in range(7)]
+
+
+def test_waits_and_queue_by_hand(spark):
+    jobs = [(1, "01-01 06:00:00", 1, "n"), (2, "01-01 18:00:00", 3, None), (3, "05-01 00:00:00", 125, "n"), (4, "05-02 12:00:00", 130, "n")]
+    rows = spark.createDataFrame(jobs, "id int, a string, service_day long, region string").withColumn("arrival", F.expr("to_timestamp_ntz(concat('2024-', a))"))
+    split = dp.overload_start(rows.unionByName(rows.where("id > 2")).unionByName(rows.where("id > 2")), 0.04)
+    assert str(split) == "2024-04-01 00:00:00" and dp.overload_start(rows, 5) is None
+    got = {(r.regime, r.region): r for r in dp.wait_report(rows, "2024-01-01 08:00:00", split).collect()}
+    waits = {1: 26 / 24, 2: 62 / 24}
+    assert got["all", None].n == 4 and got["stable", None].n == 2 and got["overload", "n"].n == 2 and got["stable", "<missing>"].mean == pytest.approx(waits[2])
+    assert got["stable", None].median == pytest.approx((waits[1] + waits[2]) / 2) and got["stable", None].max == pytest.approx(waits[2]) and got["all", None].within_7 >= 0.5
+    assert {r.regime for r in dp.wait_report(rows, "2024-01-01 08:00:00", None).collect()} == {"all", "stable"}
+    with pytest.raises(ValueError, match="before its arrival"):
+        dp.wait_report(rows.withColumn("service_day", F.lit(0)), "2024-01-01 08:00:00", split)
+    series = spark.createDataFrame([(0, 1, 4), (1, 3, 6), (2, 3, 3), (3, 3, 0)], "day long, selected long, waiting long")
+    r = dp.queue_report(series, 3, 3).first()
+    assert (r.backlog_mean, r.backlog_max, r.backlog_end, r.throughput, r.utilisation, r.drain_days) == (pytest.approx(13 / 3), 6, 3, pytest.approx(7 / 3), pytest.approx(7 / 9), 1)
+    assert dp.queue_report(series.limit(0), 3, 3).first().utilisation is None
