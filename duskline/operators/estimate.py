@@ -93,6 +93,18 @@ def effect_table(spark: SparkSession, names: list[str], beta: np.ndarray, cov: n
     return spark.createDataFrame(rows, "term string, estimate double, se double, ci_lower double, ci_upper double, p_value double, n long")
 
 
+def coef_differences(spark: SparkSession, names: list[str], beta: np.ndarray, cov: np.ndarray, base: int) -> DataFrame:
+    """Each other coefficient less the one at ``base``: ``difference``, its standard error from the covariance (variances less twice
+    the covariance), ``z``, two-sided normal p and whether the signs agree. No inference where the variance is not positive."""
+    rows = []
+    for i, name in enumerate(names):
+        if i != base:
+            d, v = float(beta[i] - beta[base]), float(cov[i, i] + cov[base, base] - 2 * cov[i, base])
+            se = math.sqrt(v) if v > 0 else None
+            rows.append((name, float(beta[i]), d, se, d / se if se else None, normal_p(d / se) if se else None, bool(np.sign(beta[i]) == np.sign(beta[base]))))
+    return spark.createDataFrame(rows, "term string, estimate double, difference double, se double, z double, p_value double, same_sign boolean")
+
+
 def effect_summary(df: DataFrame, x: str, y: str, cluster: str, names: tuple[str, str]) -> DataFrame:
     """Rows for the means of ``x`` and ``y``, their sum ``net`` and their ``ratio`` -y / x: estimate, cluster-robust standard
     error, variance, 95 % interval, p, pairs and clusters. The ratio has no inference; none has with one cluster."""

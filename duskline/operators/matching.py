@@ -196,15 +196,21 @@ def site_roles(sites: DataFrame, matches: DataFrame, own: DataFrame) -> DataFram
     return sites.select("site").distinct().join(treated, "site", "left").join(control, "site", "left").fillna(0)
 
 
-def balance_table(df: DataFrame, role: str, cols: list[str]) -> DataFrame:
-    """Per variable: means and variances of the treated (role 1) and control (role 0) rows, standardised mean difference
-    and variance ratio; null where a variance is zero."""
+def balance_table(df: DataFrame, role: str, cols: list[str], smd_max: float = 0.1, ratio: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Per variable: means and variances of the treated (role 1) and control (role 0) rows, standardised mean difference,
+    variance ratio and ``passes``: the difference is below ``smd_max`` and the ratio within ``ratio``.
+
+    Without any variance the difference is 0 for equal means, else infinite, and the ratio 1; a ratio to no variance is infinite.
+    A side with fewer than two values has neither and does not pass. Nulls are left out.
+    """
     pairs = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
     long = df.selectExpr(role, f"stack({len(cols)}, {pairs}) as (variable, v)")
     side = lambda f, r: f(F.when(F.col(role) == r, F.col("v")))
     m = long.groupBy("variable").agg(side(F.avg, 1).alias("mean_t"), side(F.avg, 0).alias("mean_c"), side(F.var_samp, 1).alias("var_t"), side(F.var_samp, 0).alias("var_c"))
-    pooled = F.sqrt((F.col("var_t") + F.col("var_c")) / 2)
-    return m.withColumn("smd", F.when(pooled > 0, (F.col("mean_t") - F.col("mean_c")) / pooled)).withColumn("variance_ratio", F.expr("try_divide(var_t, nullif(var_c, 0))"))
+    pooled, gap, endless = F.sqrt((F.col("var_t") + F.col("var_c")) / 2), F.col("mean_t") - F.col("mean_c"), F.lit(float("inf"))
+    smd = F.when(pooled > 0, gap / pooled).when(pooled == 0, F.when(gap == 0, 0.0).otherwise(F.signum(gap) * endless))
+    out = m.withColumn("smd", smd).withColumn("variance_ratio", F.when((F.col("var_t") == 0) & (F.col("var_c") == 0), 1.0).when(F.col("var_c") == 0, endless).otherwise(F.expr("try_divide(var_t, var_c)")))
+    return out.withColumn("passes", F.coalesce((F.abs("smd") < smd_max) & F.col("variance_ratio").between(*ratio), F.lit(False)))
 
 
 def representativeness(df: DataFrame, matched: str, col: str, share: str) -> DataFrame:

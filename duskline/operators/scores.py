@@ -14,10 +14,12 @@ from duskline.session import cut
 
 
 def priority_index(df: DataFrame, rate: str, days: str, tau: float, high: float = 80.0, medium: float = 40.0) -> DataFrame:
-    """``raw`` = max(0, tau * rate * days), ``score`` stretched to 0..100 and ``tier``; rows without rate or days stay null."""
+    """``raw`` = max(0, tau * rate * days), ``score`` stretched to 0..100 and ``tier``; rows without rate or days stay null and have
+    the ``reason``."""
     raw = F.when(F.col(rate).isNotNull() & F.col(days).isNotNull(), F.greatest(F.lit(0.0), F.lit(tau) * F.col(rate) * F.col(days)))
     out = min_max(df.withColumn("raw", raw), "raw", "score")
-    return out.withColumn("tier", tier_by_value(F.col("score"), high, medium))
+    reason = F.when(F.col(rate).isNull() & F.col(days).isNull(), "no rate, no days").when(F.col(rate).isNull(), "no rate").when(F.col(days).isNull(), "no days")
+    return out.withColumn("tier", tier_by_value(F.col("score"), high, medium)).withColumn("reason", reason)
 
 
 def weighted_components(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:

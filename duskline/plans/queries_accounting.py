@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from duskline.operators import aggregates as ag
 from duskline.operators import cleaning as cl
 from duskline.operators import dispatch as dp
+from duskline.operators import estimate as es
 from duskline.operators import matching as mt
 from duskline.operators import quality_checks as qc
 from duskline.operators import spatial as sp
 from duskline.operators import windows as wi
 from duskline.plans.catalog import register
 from duskline.plans.fixtures import view, with_views
-from duskline.plans.queries_models import _COMP, _LINKS, _closed, _matched, _pair_rows
+from duskline.plans.queries_models import _COMP, _LINKS, _STUDY, _WEEKS, _closed, _erfc, _matched, _pair_rows, _week_effects
 from duskline.plans.queries_windows import _fifo
 from duskline.session import cut, table
 
@@ -125,11 +126,12 @@ def population_groups(spark, sf):
     return ag.grouped_by_many(wi.quantile_bin(g, "v", 4, "quartile"), ["class", "city", "quartile"], [F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean")])
 
 
-@register("coef_compare", with_views("panel") + ", g AS (SELECT treatment, period, avg(y) AS m FROM panel GROUP BY ALL), d AS (SELECT period, max(m) FILTER (treatment = 1) - max(m) FILTER (treatment = 0) AS d FROM g GROUP BY 1) SELECT a.period, round(a.d, 6) AS estimate, round(a.d - b.d, 6) AS difference, sign(a.d) = sign(b.d) AS same_sign FROM d a JOIN d b ON b.period = 0")
+@register("coef_compare", _STUDY + ", d AS (SELECT b.week, b.b, b.b - z.b AS d, sqrt(p.v + q.v - 2 * c.v) AS se, sign(b.b) = sign(z.b) AS same_sign FROM b JOIN b z ON z.week = -4 JOIN v p ON p.i = b.week AND p.j = b.week JOIN v q ON q.i = -4 AND q.j = -4 JOIN v c ON c.i = b.week AND c.j = -4 WHERE b.week <> -4) SELECT 'treatment:' || week AS term, round(b, 6) AS estimate, round(d, 6) AS difference, round(se, 6) AS se, round(d / se, 6) AS z, round(" + _erfc("(abs(d / se) / sqrt(2))") + ", 6) AS p_value, same_sign FROM d")
 def coef_compare(spark, sf):
-    g = view(spark, sf, "panel").groupBy("period").agg((F.avg(F.expr("case when treatment = 1 then y end")) - F.avg(F.expr("case when treatment = 0 then y end"))).alias("d"))
-    base = g.where("period = 0").select(F.col("d").alias("base"))
-    return g.crossJoin(F.broadcast(base)).select("period", F.round("d", 6).alias("estimate"), F.round(F.col("d") - F.col("base"), 6).alias("difference"), (F.signum("d") == F.signum("base")).alias("same_sign"))
+    """Each week's coefficient less that of the first week, with the covariance of the two."""
+    beta, cov, _, _ = _week_effects(spark, sf)
+    d = es.coef_differences(spark, [f"treatment:{k}" for k in _WEEKS], beta, cov, 0)
+    return d.select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "difference", "se", "z", "p_value")], "same_sign")
 
 
 @register("fe_variation", with_views("panel") + ", x AS (SELECT unit, period, CAST(treatment * (period + 1) * (period + unit % 3) AS DOUBLE) AS x FROM panel), r AS (SELECT x, x - avg(x) OVER (PARTITION BY unit) - avg(x) OVER (PARTITION BY period) + avg(x) OVER () AS r FROM x) SELECT round(var_pop(r) / var_pop(x), 6) AS within_share FROM r")

@@ -160,10 +160,10 @@ def assemble_pairs(spark, sf):
     return _pair_rows(spark, sf)
 
 
-@register("balance_table", "WITH l AS (SELECT l_orderkey % 2 AS role, variable, v FROM (SELECT l_orderkey, l_quantity AS q, l_discount AS d FROM lineitem) UNPIVOT (v FOR variable IN (q, d))), m AS (SELECT variable, avg(v) FILTER (role = 1) AS mt, avg(v) FILTER (role = 0) AS mc, var_samp(v) FILTER (role = 1) AS vt, var_samp(v) FILTER (role = 0) AS vc FROM l GROUP BY 1) SELECT variable, round(mt, 6) AS mean_t, round(mc, 6) AS mean_c, round((mt - mc) / sqrt((vt + vc) / 2), 6) AS smd, round(vt / vc, 6) AS variance_ratio FROM m")
+@register("balance_table", "WITH l AS (SELECT l_orderkey % 2 AS role, variable, v FROM (SELECT l_orderkey, l_quantity AS q, l_discount AS d FROM lineitem) UNPIVOT (v FOR variable IN (q, d))), m AS (SELECT variable, avg(v) FILTER (role = 1) AS mt, avg(v) FILTER (role = 0) AS mc, var_samp(v) FILTER (role = 1) AS vt, var_samp(v) FILTER (role = 0) AS vc FROM l GROUP BY 1) SELECT variable, round(mt, 6) AS mean_t, round(mc, 6) AS mean_c, round((mt - mc) / sqrt((vt + vc) / 2), 6) AS smd, round(vt / vc, 6) AS variance_ratio, abs((mt - mc) / sqrt((vt + vc) / 2)) < 0.1 AND vt / vc BETWEEN 0.5 AND 2 AS passes FROM m")
 def balance_table(spark, sf):
     b = mt.balance_table(table(spark, sf, "lineitem").selectExpr("l_orderkey % 2 as role", "l_quantity as q", "l_discount as d"), "role", ["q", "d"])
-    return b.select("variable", *[F.round(c, 6).alias(c) for c in ("mean_t", "mean_c", "smd", "variance_ratio")])
+    return b.select("variable", *[F.round(c, 6).alias(c) for c in ("mean_t", "mean_c", "smd", "variance_ratio")], "passes")
 
 
 # Estimation -------------------------------------------------------------------------------------------------------------

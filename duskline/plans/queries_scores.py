@@ -15,10 +15,10 @@ from duskline.plans.fixtures import view, with_views
 from duskline.session import table
 
 
-@register("priority_index", with_views("jobs") + ", r AS (SELECT id, CASE WHEN id % 13 <> 0 THEN greatest(0, 0.02 * (score - 50000) * (1 + id % 30)) END AS raw FROM jobs), s AS (SELECT id, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) * 100 AS score FROM r) SELECT id, round(score, 6) AS score, CASE WHEN score >= 80 THEN 'High' WHEN score >= 40 THEN 'Medium' WHEN score IS NOT NULL THEN 'Low' END AS tier FROM s")
+@register("priority_index", with_views("jobs") + ", r AS (SELECT id, CASE WHEN id % 13 <> 0 AND id % 11 <> 0 THEN greatest(0, 0.02 * (score - 50000) * (1 + id % 30)) END AS raw, CASE WHEN id % 143 = 0 THEN 'no rate, no days' WHEN id % 13 = 0 THEN 'no rate' WHEN id % 11 = 0 THEN 'no days' END AS reason FROM jobs), s AS (SELECT id, reason, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) * 100 AS score FROM r) SELECT id, round(score, 6) AS score, CASE WHEN score >= 80 THEN 'High' WHEN score >= 40 THEN 'Medium' WHEN score IS NOT NULL THEN 'Low' END AS tier, reason FROM s")
 def priority_index(spark, sf):
-    j = view(spark, sf, "jobs").select("id", F.expr("case when id % 13 <> 0 then score - 50000 end").alias("rate"), F.expr("cast(1 + id % 30 as double)").alias("days"))
-    return sc.priority_index(j, "rate", "days", 0.02).select("id", F.round("score", 6).alias("score"), "tier")
+    j = view(spark, sf, "jobs").select("id", F.expr("case when id % 13 <> 0 then score - 50000 end").alias("rate"), F.expr("case when id % 11 <> 0 then cast(1 + id % 30 as double) end").alias("days"))
+    return sc.priority_index(j, "rate", "days", 0.02).select("id", F.round("score", 6).alias("score"), "tier", "reason")
 
 
 _W = {"a": 0.5, "b": 0.3, "c": 0.2}
