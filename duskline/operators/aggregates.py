@@ -48,13 +48,13 @@ def range_number(ends: Column, value: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), further)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their group's row in ``groups``, null keys being a group as well; one row for all without
     ``by``."""
     if not by:
         return rows.crossJoin(F.broadcast(groups))
     named = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    return rows.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])).drop(*[f"_of_{c}" for c in by])
+    return rows.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]), how).drop(*[f"_of_{c}" for c in by])
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of an edge table by repeated contraction.
 
-Before anything is moved, each task joins up the edges it has, in bounded chunks, and hands on one edge a node at most: copies
-and chains shrink to stars where they lie. If no more than ``LAST_EDGES`` are left, one task joins them up and labels the
+On request (``early``), each task first joins up the edges it has, in bounded chunks, and hands on one edge a node at most: copies
+and chains shrink to stars before anything is moved. This suits edges that the JVM makes: where Python makes them, every task
+would need a second worker. If no more than ``LAST_EDGES`` are left, one task joins them up and labels the
 nodes. Otherwise each round hooks every node onto the node of least random priority within two steps of it and contracts the
 edges. Stars and cliques vanish in one round; other graphs lose a constant factor of their edges a round in expectation, so the
 driver's loop runs O(log n) times and sees only a count. Edges are aggregated with partial aggregation, so a hub node
@@ -54,7 +55,7 @@ def _join_up(frames: Iterator[pa.RecordBatch], chunk: int | None) -> Iterator[pa
             a, b = [], []
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_edges: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, last_edges: int | None = None, early: bool = False) -> DataFrame:
     """``(node, component)`` for every node on an edge; ``component`` is the smallest node id reachable.
 
     Nulls: an edge with a null end is ignored. Self loops give their node a component of its own. Repeated edges count
@@ -65,10 +66,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     # Nodes whose ids Python would not give back as they were (timestamps, decimals) are only told apart by Spark.
     plain = isinstance(known.schema["a"].dataType, (T.IntegralType, T.StringType))
     join_up = lambda df, chunk: df.mapInArrow(lambda frames: _join_up(frames, chunk), known.schema)
-    known = cut(join_up(known, CHUNK) if plain else known.distinct())
+    known = cut(join_up(known, CHUNK) if plain and early else known.distinct())
     live, hooks = known.where("a <> b"), []
     if plain and known.count() <= few:
-        return join_up(known.coalesce(1), None).toDF("node", "component")
+        return cut(join_up(known.coalesce(1), None).toDF("node", "component"))
     while n := live.count():
         if n <= few and plain:
             hooks.append(cut(join_up(live.coalesce(1), None).toDF("v", "to")))

@@ -81,3 +81,31 @@ def interval_features(df: DataFrame, codes: list[str], numbers: list[str], place
         ((hour >= 8) & (hour < 18) & (weekday < 5)).cast("int").alias("is_business_hours"), "x_m", "y_m", (F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).cast("int").alias("has_coords"), *numbers,
         *[F.when(known, F.col(c)).alias(c) for c in ("place_prior_90d", "place_prior_365d")], F.when(known, F.col("_since") / 86400).alias("place_days_since_prev"),
         "region_backlog", "region_created", "region_closed", "region_median_h", "city_median_h", "region_slow_share")
+
+
+def window_pressure(df: DataFrame, group: str, ts: str, value: str, first: str, last: str, window: int = 28, step: int = 7, least: int = 30, windows: int = 10) -> DataFrame:
+    """How each group's latest trailing window of ``window`` days compares with its own history.
+
+    Reference windows end every ``step`` days, from ``first`` (a date) plus ``window`` days up to ``last``; the current one ends
+    at the latest time of the table. A window is open at its start and closed at its end, and has a mean of ``value`` only with
+    ``least`` rows. Columns: ``available`` (the current mean is there and ``windows`` reference means are), ``observations`` of the
+    current window, ``mean``, ``reference_windows``, ``percentile`` (share of the reference means at or below it, in percent),
+    ``above_range`` (above all of them) and ``level`` (High from 80, Moderate from 40, else Low); what is not available is null.
+    Each row goes to the few windows that hold it, so nothing is joined on time ranges. Null groups are a group.
+    """
+    days = F.expr(f"timestampdiff(microsecond, timestamp_ntz '{first} 00:00:00', {ts})") / 8.64e10
+    span = F.expr(f"datediff(date '{last}', date '{first}')")
+    rows = df.where(F.col(ts).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), days.alias("x"))
+    low, high = F.greatest(F.ceil((F.col("x") - window) / step), F.lit(0)), F.least(F.ceil(F.col("x") / step) - 1, F.floor((span - window) / step))
+    placed = rows.withColumn("k", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))))
+    reference = placed.groupBy("g", "k").agg(F.when(F.count("v") >= least, F.avg("v")).alias("m")).where("m is not null")
+    latest = rows.agg(F.max("x").alias("z"))
+    current = rows.crossJoin(F.broadcast(latest)).groupBy("g").agg(F.count(F.expr(f"case when x > z - {window} then v end")).alias("n"), F.avg(F.expr(f"case when x > z - {window} then v end")).alias("mean"))
+    current = current.withColumn("mean", F.when(F.col("n") >= least, F.col("mean")))
+    both = join_groups(current, reference.groupBy("g").agg(F.count("*").alias("refs"), F.max("m").alias("top")), ["g"], how="left")
+    below = join_groups(reference, current.select("g", "mean"), ["g"]).groupBy("g").agg(F.count_if(F.col("m") <= F.col("mean")).alias("below"))
+    out = join_groups(both, below, ["g"], how="left").withColumn("refs", F.coalesce("refs", F.lit(0)))
+    ready = F.col("mean").isNotNull() & (F.col("refs") >= windows)
+    share = F.when(ready, 100 * F.col("below") / F.col("refs"))
+    level = F.when(share >= 80, "High").when(share >= 40, "Moderate").when(share.isNotNull(), "Low")
+    return out.select(F.col("g").alias(group), ready.alias("available"), F.col("n").alias("observations"), "mean", F.col("refs").alias("reference_windows"), share.alias("percentile"), F.when(ready, F.col("mean") > F.col("top")).alias("above_range"), level.alias("level"))

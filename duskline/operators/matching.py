@@ -28,7 +28,7 @@ def link_pairs(intervals: DataFrame, r: float) -> DataFrame:
 
 def episodes(intervals: DataFrame, r: float) -> DataFrame:
     """``(id, episode)``: connected intervals share an episode, named by its smallest id; single ones are their own."""
-    comp = connected_components(link_pairs(intervals, r), "a", "b")
+    comp = connected_components(link_pairs(intervals, r), "a", "b", early=True)
     return intervals.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("episode"))
 
 

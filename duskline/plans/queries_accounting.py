@@ -196,9 +196,16 @@ def sampled_recheck(spark, sf):
     return qc.sampled_recheck(got, iv, view(spark, sf, "pts"), 100, 250, 2000)
 
 
-@register("placebo_rules", with_views("ivals") + " SELECT id FROM ivals WHERE start_ts - INTERVAL 20 DAY < TIMESTAMP '2024-01-01'")
+@register("placebo_rules", with_views("ivals") + " SELECT id, 'start' AS rule FROM ivals WHERE id % 47 = 0 UNION ALL SELECT id, 'end' FROM ivals WHERE id % 53 = 0 AND end_ts IS NOT NULL UNION ALL SELECT id, 'real' FROM ivals WHERE id % 59 = 0 UNION ALL SELECT -id - 1, 'unknown' FROM ivals WHERE id % 61 = 0")
 def placebo_rules(spark, sf):
-    return view(spark, sf, "ivals").withColumn("p", F.expr("start_ts - interval 20 days")).where("p < timestamp_ntz '2024-01-01 00:00:00'").select("id")
+    """Intervals shifted by twenty days, in which some starts, ends, remembered originals and ids are spoilt."""
+    iv = view(spark, sf, "ivals").select("id", "start_ts", "end_ts")
+    moved = iv.selectExpr("id", "start_ts - interval 20 days as start_ts", "end_ts - interval 20 days as end_ts", "start_ts as start_original", "end_ts as end_original")
+    spoilt = moved.withColumn("start_ts", F.expr("case when id % 47 = 0 then start_ts + interval 1 hour else start_ts end")).withColumn("end_ts", F.expr("case when id % 53 = 0 then end_ts - interval 1 day else end_ts end"))
+    early = F.expr("case when id % 59 = 0 then start_original - interval 1 day else start_original end")
+    spoilt = spoilt.withColumn("start_ts", F.expr("case when id % 59 = 0 then start_ts - interval 1 day else start_ts end")).withColumn("start_original", early)
+    strangers = moved.where("id % 61 = 0").withColumn("id", -F.col("id") - 1)
+    return qc.placebo_violations(spoilt.unionByName(strangers), iv, 20)
 
 
 @register("plan_constraints", with_views("jobs") + ", q AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, id) AS own FROM jobs), r AS (SELECT id FROM q WHERE own > 12 AND score > 0 ORDER BY score DESC, id LIMIT 40), p AS (SELECT id, region, (own <= 12 OR id IN (SELECT id FROM r)) AND id % 2 = 1 OR id % 500 = 3 AS selected FROM q WHERE id % 900 <> 1), k AS (SELECT count(*) AS n FROM p WHERE selected) SELECT 'unique_ids' AS check_id, (SELECT count(*) FROM p WHERE id % 400 = 5) AS n, (SELECT count(*) FROM p WHERE id % 400 = 5) = 0 AS passed UNION ALL SELECT 'covers_candidates', count(*), count(*) = 0 FROM jobs WHERE id % 900 = 1 UNION ALL SELECT 'budget', CAST(n + (SELECT count(*) FROM p WHERE selected AND id % 400 = 5) > 100 AS BIGINT), n + (SELECT count(*) FROM p WHERE selected AND id % 400 = 5) <= 100 FROM k UNION ALL SELECT 'quotas', count(*), count(*) = 0 FROM (SELECT region FROM (SELECT region FROM p WHERE selected UNION ALL SELECT region FROM p WHERE selected AND id % 400 = 5) GROUP BY 1 HAVING count(*) < 12)")

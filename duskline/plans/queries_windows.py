@@ -78,6 +78,21 @@ def interval_features(spark, sf):
     return out.withColumns({c: F.round(c, d) for c, d in (("place_days_since_prev", 9), ("region_median_h", 6), ("city_median_h", 6), ("region_slow_share", 9))})
 
 
+@register(
+    "window_pressure",
+    with_views("jobs") + ", k AS (SELECT TIMESTAMP '1992-01-01' + to_days(CAST(28 + 7 * i AS INT)) AS e, i FROM (SELECT unnest(range(0, 261)) AS i) WHERE TIMESTAMP '1992-01-01' + to_days(CAST(28 + 7 * i AS INT)) <= TIMESTAMP '1996-12-31'), "
+    "r AS (SELECT region, i, avg(score) AS m FROM k JOIN jobs ON arrival > e - INTERVAL 28 DAY AND arrival <= e GROUP BY ALL HAVING count(*) >= 3), z AS (SELECT max(arrival) AS z FROM jobs), "
+    "c AS (SELECT region, count(*) FILTER (arrival > z - INTERVAL 28 DAY) AS n, avg(score) FILTER (arrival > z - INTERVAL 28 DAY) AS m FROM jobs, z GROUP BY 1), d AS (SELECT region, n, CASE WHEN n >= 3 THEN m END AS mean FROM c), "
+    "o AS (SELECT d.region, n, mean, count(r.m) AS refs, count(*) FILTER (r.m <= mean) AS below, max(r.m) AS top FROM d LEFT JOIN r USING (region) GROUP BY ALL) "
+    "SELECT region, mean IS NOT NULL AND refs >= 10 AS available, n AS observations, round(mean, 4) AS mean, refs AS reference_windows, CASE WHEN mean IS NOT NULL AND refs >= 10 THEN round(100 * below / refs, 6) END AS percentile, CASE WHEN mean IS NOT NULL AND refs >= 10 THEN mean > top END AS above_range, "
+    "CASE WHEN mean IS NULL OR refs < 10 THEN NULL WHEN 100 * below / refs >= 80 THEN 'High' WHEN 100 * below / refs >= 40 THEN 'Moderate' ELSE 'Low' END AS level FROM o",
+)
+def window_pressure(spark, sf):
+    """The latest 28 days of each region against its weekly windows of five years."""
+    w = ct.window_pressure(view(spark, sf, "jobs"), "region", "arrival", "score", "1992-01-01", "1996-12-31", least=3)
+    return w.withColumn("mean", F.round("mean", 4)).withColumn("percentile", F.round("percentile", 6))
+
+
 @register("percent_rank_avg", "SELECT l_orderkey, l_linenumber, round((rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0) / count(*) OVER (), 9) AS pct FROM lineitem")
 def percent_rank_avg(spark, sf):
     return wi.percent_rank_avg(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", "pct").select("l_orderkey", "l_linenumber", F.round("pct", 9).alias("pct"))

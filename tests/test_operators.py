@@ -63,7 +63,7 @@ def test_components_equal_union_find(spark, edges):
         p, q = sorted((root(a), root(b)))
         parent[q] = p
     for last in (0, 5, None):
-        got = connected_components(spark.createDataFrame(edges, "src long, dst long"), last_edges=last)
+        got = connected_components(spark.createDataFrame(edges, "src long, dst long"), last_edges=last, early=last == 0)
         assert {r.node: r.component for r in got.collect()} == {x: root(x) for x in parent}
 
 
