@@ -69,7 +69,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     known = cut(join_up(known, CHUNK) if plain and early else known.distinct())
     live, hooks = known.where("a <> b"), []
     if plain and known.count() <= few:
-        return cut(join_up(known.coalesce(1), None).toDF("node", "component"))
+        # Dealt out again: a table of one known partition would draw what it is joined with into one task.
+        return cut(join_up(known.coalesce(1), None).toDF("node", "component").repartition("node"))
     while n := live.count():
         if n <= few and plain:
             hooks.append(cut(join_up(live.coalesce(1), None).toDF("v", "to")))
