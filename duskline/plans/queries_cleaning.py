@@ -170,4 +170,5 @@ def project_lambert(spark, sf):
 def display_fields(spark, sf):
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     place = cl.display_text(F.expr("case when s_suppkey % 2 = 0 then s_name end"), F.lit(None).cast("string"), F.lit("main street"), F.col("n_name"))
-    return s.select("s_suppkey", place.alias("place"), F.bround(F.col("s_acctbal") / 24.0, 1).alias("days"))
+    # Half-even of the tenths as doubles, like the SQL: ``bround`` rounds the printed decimals, and -31.650000000000002 is a tie in tenths.
+    return s.select("s_suppkey", place.alias("place"), (F.rint(F.col("s_acctbal") / 24.0 * 10) / 10).alias("days"))
