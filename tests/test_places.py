@@ -35,3 +35,57 @@ def test_trailing_mean_is_computed_once(spark, small):
     # Two scans of the events would be two sums, of which one may differ from the other in the last bit.
     assert "events" not in q._jdf.queryExecution().optimizedPlan().toString()
     assert "value" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def scattered(spark, seed, n, spots=40):
+    """``n`` rows at few places, some without one, and their list."""
+    rng = random.Random(seed)
+    at = [(float(rng.randrange(60)), float(rng.randrange(60))) for _ in range(spots)]
+    rows = [(i, *(rng.choice(at) if i % 19 else (None, None)), i % 3, rng.randrange(25)) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, x_m double, y_m double, city int, cust int"), rows
+
+
+def far(a, b):
+    return math.inf if a[1] is None or b[1] is None else math.hypot(a[1] - b[1], a[2] - b[2])
+
+
+def test_counts_in_bands_meet_by_place(spark):
+    from duskline.operators import spatial as sp
+
+    (u, us), (p, ps) = scattered(spark, 1, 150), scattered(spark, 2, 300)
+    for by in (None, ["city"]):
+        got = {(r.id, r.band): r.n for r in sp.count_in_bands(u, p, [8, 20], by=by).collect()}
+        want = {}
+        for a in us:
+            for b in ps:
+                d = far(a, b)
+                if d <= 20 and (not by or a[3] == b[3]):
+                    want[a[0], int(d > 8)] = want.get((a[0], int(d > 8)), 0) + 1
+        assert got == want
+    # 2,000 rows on each side at one place are one pair of places; they were 4,000,000 pairs.
+    heap = spark.range(2000).selectExpr("id", "0.0D as x_m", "0.0D as y_m")
+    n = sp.count_in_bands(heap, heap, [1])
+    assert n.agg({"n": "sum"}).first()[0] == 4_000_000
+    joined = [m for m in n._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in m]
+    assert len(joined) >= 3
+
+
+def test_distinct_values_around_places(spark):
+    from duskline.operators import spatial as sp
+
+    (u, us), (p, ps) = scattered(spark, 3, 60), scattered(spark, 4, 200, 150)
+    ps = [(*r[:4], r[4] if r[0] % 2 else r[0] + 1000) for r in ps]  # half of the values are at one place only
+    p = spark.createDataFrame(ps, "id long, x_m double, y_m double, city int, cust int")
+    got = {(r.x_m, r.y_m): r.n for r in sp.distinct_within(u, p, "cust", 15).collect()}
+    want = {(a[1], a[2]): len({b[4] for b in ps if far(a, b) <= 15}) for a in us if a[1] is not None}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_nearest_of_many_at_one_place(spark):
+    from duskline.operators import spatial as sp
+
+    (a, xs), (b, ys) = scattered(spark, 5, 120), scattered(spark, 6, 400)
+    right = b.selectExpr("id as bid", "x_m as bx", "y_m as by")
+    got = {r.id: (round(r.distance, 9), r.bid) for r in sp.nearest_join(a, right, 50, 60, "id", "bid").collect()}
+    want = {x[0]: min((round(far(x, y), 9), y[0]) for y in ys) for x in xs if x[1] is not None}
+    assert got == {k: v for k, v in want.items() if v[0] <= 60}
