@@ -142,9 +142,11 @@ def unbalanced_units(spark, sf):
 
 @register("boundary_pairs", with_views("pts", "regions") + ", d AS (SELECT abs(sqrt((x_m - rx) * (x_m - rx) + (y_m - ry) * (y_m - ry)) - 250) AS e FROM pts, regions) SELECT count(*) FILTER (e <= 0.001) AS within_1_mm, count(*) AS within_1_m FROM d WHERE e <= 1")
 def boundary_pairs(spark, sf):
-    r = view(spark, sf, "regions").selectExpr("rid", "rx as bx", "ry as by")
-    near = sp.radius_join(view(spark, sf, "pts").select("x_m", "y_m"), r, 251).where("abs(distance - 250) <= 1")
-    return near.agg(F.count_if(F.expr("abs(distance - 250) <= 0.001")).alias("within_1_mm"), F.count("*").alias("within_1_m"))
+    r = view(spark, sf, "regions").groupBy(F.col("rx").alias("bx"), F.col("ry").alias("by")).agg(F.count("*").alias("m"))
+    p = view(spark, sf, "pts").groupBy("x_m", "y_m").agg(F.count("*").alias("n"))
+    near = sp.radius_join(p, r, 251).where("abs(distance - 250) <= 1").withColumn("n", F.expr("n * m"))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return near.agg(some(F.expr("case when abs(distance - 250) <= 0.001 then n end")).alias("within_1_mm"), some("n").alias("within_1_m"))
 
 
 @register("table_rules", "SELECT count(*) FILTER (o_custkey IS NULL) AS no_customer, count(*) FILTER (o_totalprice <= 0) AS bad_price, count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) AS bad_status FROM orders")
