@@ -154,3 +154,34 @@ def test_recheck_recounts_every_interval(spark):
     # A sample of 2,000 would miss some.
     spoilt = right.withColumn("n_ring", right.n_ring + 1)
     assert qc.recheck_counts(spoilt, iv, pts, 10, 20).count() == 3000
+
+
+def test_radius_join_by_place_equals_loops(spark):
+    from duskline.operators import spatial as sp
+
+    (a, xs), (b, ys) = scattered(spark, 14, 80), scattered(spark, 15, 200)
+    right = b.selectExpr("id as bid", "x_m as bx", "y_m as by")
+    got = sorted((r.id, r.bid, r.distance) for r in sp.radius_join_by_place(a, right, 12, digits=6).select("id", "bid", "distance").collect())
+    assert got == sorted((x[0], y[0], round(far(x, y), 6)) for x in xs for y in ys if far(x, y) <= 12)
+
+
+def test_kinds_meet_instead_of_rows(spark):
+    from duskline.operators import quality_checks as qc
+
+    rows = [(i, i % 3 if i % 10 else None) for i in range(60)]
+    left, left_kinds = qc.kinds_of(spark.createDataFrame(rows, "id long, v int"), "id", "k")
+    right, right_kinds = qc.kinds_of(spark.createDataFrame([(i, i % 4) for i in range(50)], "rid long, w int"), "rid", "l")
+    assert (left_kinds.count(), right_kinds.count()) == (4, 4)  # 60 and 50 rows
+    broken = left_kinds.crossJoin(right_kinds).where("v <> w").selectExpr("k", "l", "'differs' as rule")
+    got = sorted((r.id, r.rid) for r in qc.each_of(broken, right, left).collect())
+    assert got == sorted((i, j) for i, v in rows for j in range(50) if v is not None and v != j % 4)
+
+
+def test_links_are_compared_once(spark):
+    from duskline.operators import matching as mt
+
+    df, rows = timed(spark, 16, 150)
+    rows = [r for r in rows if r[0] % 23]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) <= 8 and a[3] <= b[4] and b[3] <= a[4])
+    for days in (1, 5):
+        assert sorted((r.a, r.b) for r in mt.link_pairs(df, 8, days=days).collect()) == want
