@@ -185,3 +185,19 @@ def test_links_are_compared_once(spark):
     want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) <= 8 and a[3] <= b[4] and b[3] <= a[4])
     for days in (1, 5):
         assert sorted((r.a, r.b) for r in mt.link_pairs(df, 8, days=days).collect()) == want
+
+
+def test_parameter_sets_share_one_count(spark, monkeypatch):
+    from duskline.operators import exposure as ex
+
+    iv, _ = timed(spark, 17, 60)
+    pts = timed(spark, 18, 300)[0].selectExpr("x_m", "y_m", "start_ts as t")
+    pairs = iv.where("end_ts is not null").selectExpr("id as pair", "id % 5 as cluster", "x_m as t_x", "y_m as t_y", "x_m + 6 as c_x", "y_m as c_y", "start_ts", "end_ts")
+    specs = {"base": (8, 3, 2), "wide": (15, 3, 2), "long": (8, 3, 5), "none": (8, 0, 2)}
+    want = {name: {r.pair: round(r.d, 9) for r in ex.pair_effects(ex.build_pair_panel(pairs, pts, [s[0]], *s[1:]), f"y_{s[0]}", "cluster").collect()} for name, s in specs.items()}
+    got = ex.spec_effects(pairs, pts, specs, "cluster").collect()
+    assert {n: {r.pair: round(r[n], 9) for r in got if r[n] is not None} for n in specs} == want and want["base"] and not want["none"]
+    calls, count = [], ex.count_in_windows
+    monkeypatch.setattr(ex, "count_in_windows", lambda *a, **k: calls.append(1) or count(*a, **k))
+    ex.robustness_grid(pairs, pts, {k: v for k, v in specs.items() if k != "none"}, "cluster")
+    assert len(calls) == 1  # one a set before
