@@ -156,6 +156,24 @@ def test_recheck_recounts_every_interval(spark):
     assert qc.recheck_counts(spoilt, iv, pts, 10, 20).count() == 3000
 
 
+@pytest.mark.parametrize("most", [7, 200_000])
+def test_recheck_deals_crowded_cells_and_equals_loops(spark, most):
+    from duskline.operators import quality_checks as qc
+
+    iv, _ = timed(spark, 21, 150)
+    pts = timed(spark, 22, 120)[0].selectExpr("x_m", "y_m", "start_ts as t")
+    pts = pts.unionByName(pts.where("x_m > 10")).cache()  # some points several times
+    none = iv.selectExpr("id", "-1L as n_disc", "-1L as n_ring")
+    got = {r.id: (r.n_disc, r.n_ring) for r in qc.recheck_counts(none, iv, pts, 10, 20, most=most).collect()}
+    seen = [p for p in pts.collect() if None not in p]
+    want = {}
+    for i in iv.collect():
+        known = None not in (i.x_m, i.y_m, i.start_ts, i.end_ts)
+        d = [math.sqrt((p.x_m - i.x_m) ** 2 + (p.y_m - i.y_m) ** 2) for p in seen if i.start_ts <= p.t <= i.end_ts] if known else []
+        want[i.id] = (sum(v <= 10 for v in d), sum(10 < v <= 20 for v in d))
+    assert got == want and any(a for a, _ in want.values()) and any(b for _, b in want.values())
+
+
 def test_radius_join_by_place_equals_loops(spark):
     from duskline.operators import spatial as sp
 
