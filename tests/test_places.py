@@ -219,3 +219,18 @@ def test_parameter_sets_share_one_count(spark, monkeypatch):
     monkeypatch.setattr(ex, "count_in_windows", lambda *a, **k: calls.append(1) or count(*a, **k))
     ex.robustness_grid(pairs, pts, {k: v for k, v in specs.items() if k != "none"}, "cluster")
     assert len(calls) == 1  # one a set before
+
+
+def test_counts_in_bands_are_a_band_join(spark, monkeypatch):
+    from duskline.operators import spatial as sp
+
+    (u, us), (p, ps) = scattered(spark, 23, 60), scattered(spark, 24, 90)
+    right = u.selectExpr("id as uid", "x_m as bx", "y_m as by", "id % 3 as kind")
+    pairs = sp.band_join(p.selectExpr("id", "x_m", "y_m", "id % 3 as kind"), right, [6, 15], by=["kind"]).collect()
+    want = sorted((y[0], x[0], 0 if far(x, y) <= 6 else 1) for x in us for y in ps if x[0] % 3 == y[0] % 3 and far(x, y) <= 15)
+    assert sorted((r.id, r.uid, r.band) for r in pairs) == want and want
+    calls, join = [], sp.band_join
+    monkeypatch.setattr(sp, "band_join", lambda *a, **k: calls.append(1) or join(*a, **k))
+    got = {(r.id, r.band): r.n for r in sp.count_in_bands(u, p, [6, 15]).collect()}
+    assert len(calls) == 1  # none before: the rings were told apart beside the join
+    assert sum(got.values()) == sum(far(x, y) <= 15 for x in us for y in ps)  # every pair of rows
