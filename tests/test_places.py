@@ -234,3 +234,28 @@ def test_counts_in_bands_are_a_band_join(spark, monkeypatch):
     got = {(r.id, r.band): r.n for r in sp.count_in_bands(u, p, [6, 15]).collect()}
     assert len(calls) == 1  # none before: the rings were told apart beside the join
     assert sum(got.values()) == sum(far(x, y) <= 15 for x in us for y in ps)  # every pair of rows
+
+
+@pytest.mark.parametrize("most", [(500_000, 2_000_000), (9, 30)])
+def test_windows_and_meetings_are_read_in_cells(spark, most):
+    """Counts in cells, also where crowded cells are dealt to several tasks, against loops; no row a pair of place and point is moved."""
+    from duskline.operators import spatial as sp
+
+    (u, us), (b, _) = timed(spark, 25, 70), timed(spark, 26, 160)
+    pts = b.selectExpr("x_m", "y_m", "start_ts as t").unionByName(spark.createDataFrame([(None, 1.0, T0)], "x_m double, y_m double, t timestamp_ntz"))
+    u = u.unionByName(spark.createDataFrame([(-1, None, 2.0, T0, T0)], u.schema))
+    windows = {"a": ("start_ts", "end_ts", "[]"), "b": ("start_ts - interval 2 days", "start_ts", "[)"), "c": ("end_ts", "end_ts + interval 1 day", "(]")}
+    counted = sp.count_in_windows(u, pts, windows, [6, 15], most=most)
+    got = {r.id: tuple(r)[1:] for r in counted.collect()}
+    met = {r.id: tuple(r)[1:] for r in sp.count_meeting(u, b, {"n": windows["c"]}, [6, 15], most=most).collect()}
+    seen, rows, day = [p for p in pts.collect() if p.x_m is not None], b.collect(), dt.timedelta(days=1)
+    want, meets = {}, {}
+    for r in u.collect():
+        away = lambda p: math.inf if r.x_m is None else math.hypot(p.x_m - r.x_m, p.y_m - r.y_m)  # noqa: B023, E731
+        s, e = r.start_ts, r.end_ts
+        tests = (lambda t: e and s <= t <= e, lambda t: s - 2 * day <= t < s, lambda t: e and e < t <= e + day)  # noqa: B023
+        want[r.id] = tuple(sum(bool(ok(p.t)) and lo < away(p) <= hi for p in seen) for ok in tests for lo, hi in ((-1, 6), (6, 15)))
+        meets[r.id] = tuple(sum(bool(e and p.end_ts and p.start_ts <= e + day and p.end_ts > e) and lo < away(p) <= hi for p in rows) for lo, hi in ((-1, 6), (6, 15)))
+    assert got == want and all(any(w[i] for w in want.values()) for i in range(6)) and got[-1] == (0,) * 6
+    assert met == meets and any(w[0] for w in meets.values())
+    assert "SortMergeJoin" not in (plan := counted._jdf.queryExecution().toString()) and "Window" not in plan  # pairs went through both before
