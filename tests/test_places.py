@@ -259,3 +259,12 @@ def test_windows_and_meetings_are_read_in_cells(spark, most):
     assert got == want and all(any(w[i] for w in want.values()) for i in range(6)) and got[-1] == (0,) * 6
     assert met == meets and any(w[0] for w in meets.values())
     assert "SortMergeJoin" not in (plan := counted._jdf.queryExecution().toString()) and "Window" not in plan  # pairs went through both before
+
+
+def test_parameter_sets_are_not_joined_back(spark):
+    from duskline.operators import exposure as ex
+
+    iv, _ = timed(spark, 27, 40)
+    pairs = iv.where("end_ts is not null").selectExpr("id as pair", "id % 5 as cluster", "x_m as t_x", "y_m as t_y", "x_m + 6 as c_x", "y_m as c_y", "start_ts", "end_ts")
+    e = ex.spec_effects(pairs, iv.selectExpr("x_m", "y_m", "start_ts as t"), {"base": (8, 3, 2), "wide": (15, 3, 5)}, "cluster")
+    assert "Join" not in e._jdf.queryExecution().optimizedPlan().toString() and e.count() == pairs.count()
