@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskline.operators.evaluate import ranking_metrics
-from duskline.operators.windows import prior_count, since_previous
+from duskline.operators.windows import trailing_counts
 from duskline.session import cut
 
 
 def engineer_features(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Calendar features and counts of strictly earlier rows of the same key; nothing looks ahead of the row's time."""
-    df = since_previous(prior_count(prior_count(df, key, ts, 7, "prior_7d"), key, ts, 1, "prior_1d"), key, ts, "since_previous_s")
+    df = trailing_counts(df, key, ts, {"prior_7d": 7, "prior_1d": 1}, "since_previous_s")
     return df.withColumn("hour", F.hour(ts)).withColumn("dow", F.weekday(ts)).withColumn("weekend", (F.weekday(ts) >= 5).cast("int")).withColumn("business", (F.hour(ts).between(9, 17) & (F.weekday(ts) < 5)).cast("int"))
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from duskline.operators.aggregates import average_rank, exact_quantiles, join_groups, running_total
 from duskline.operators.scans import count_in_ranges, ranks, scan
+from duskline.session import cut
+
+#: Rows of a key that are read in one sorted pass.
+USUAL_ROWS = 2000
 
 
 def rank_queue(df: DataFrame, order: list[Column], capacity: int, within: list[str] | None = None) -> DataFrame:
@@ -35,6 +39,29 @@ def since_previous(df: DataFrame, key: str, ts: str, out: str) -> DataFrame:
     return join_groups(timed, last, [key, "_s"]).select(*df.columns, (F.col("_s") - F.col("_last")).alias(out))
 
 
+def trailing_counts(df: DataFrame, key: str, ts: str, counts: dict[str, int], since: str, most: int = USUAL_ROWS) -> DataFrame:
+    """``df`` with ``prior_count`` of each window of days in ``counts`` and with ``since_previous`` as ``since``.
+
+    Keys of at most ``most`` rows are dealt out once and read in one sorted pass, without probes, checkpoints or a join back.
+    Keys with more rows, of which there are few, are scanned in ranges.
+    """
+    crowded = cut(df.groupBy(key).agg(F.count("*").alias("_n")).where(f"_n > {most}").select(key, F.lit(True).alias("_crowded")))
+    rest, large = df, None
+    if not crowded.isEmpty():
+        marked = join_groups(df, F.broadcast(crowded), [key], "left")
+        rest, large = marked.where("_crowded is null").drop("_crowded"), marked.where("_crowded").drop("_crowded")
+    along = Window.partitionBy(key).orderBy("_s")
+    # Rows without a time count nothing and are counted by none.
+    inside = {out: F.when(F.col("_s").isNull(), 0).otherwise(F.count("_s").over(along.rangeBetween(-days * 86400, -1))).alias(out) for out, days in counts.items()}
+    last = F.max("_s").over(along.rangeBetween(Window.unboundedPreceding, -1))
+    out = _seconds(rest, ts).select(*df.columns, *inside.values(), (F.col("_s") - last).alias(since))
+    if large is None:
+        return out
+    for name, days in counts.items():
+        large = prior_count(large, key, ts, days, name)
+    return out.unionByName(since_previous(large, key, ts, since))
+
+
 def _seconds(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("_s", F.floor(F.expr(f"timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', {ts})") / 1e6).cast("long"))
 

@@ -1,6 +1,8 @@
 """Sources, sinks, scalar functions and features on edge rows."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,23 @@ def test_scenarios_and_zero_cells(spark):
     pts = spark.createDataFrame([(10.0, 10.0, "2024-01-09 00:00:00"), (900.0, 10.0, "2024-01-01 00:00:00")], "x_m double, y_m double, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     panel = ex.exposure_panel(pts, ex.open_nights(iv, "2024-01-01 00:00:00", 14), 100, [80, 200], "2024-01-01 00:00:00", 2)
     assert {(r.gx, r.week): (r.y, r.x_0, r.x_1) for r in panel.collect()} == {(0, 0): (0, 2, 0), (0, 1): (1, 0, 0), (9, 0): (1, 0, 0), (9, 1): (0, 0, 0)}
+
+
+@pytest.mark.parametrize("most", [2000, 5])
+def test_trailing_counts_equal_loops(spark, most):
+    """One pass for usual keys and ranges for crowded ones give what loops give; before, every event was probed for each window."""
+    from duskline.operators import windows as wi
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 1, 1, 1, 2, 3]), None if i % 17 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=250 * rng.randrange(8_000_000))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, k int, t timestamp_ntz")
+    out = wi.trailing_counts(df, "k", "t", {"a": 7, "b": 1}, "since", most)
+    got = {r.id: (r.a, r.b, r.since) for r in out.collect()}
+    sec = lambda t: None if t is None else int((t - dt.datetime(1970, 1, 1)).total_seconds())
+    want = {}
+    for i, k, t in rows:
+        before = [sec(u) - sec(t) for _, q, u in rows if t and u and q == k and sec(u) < sec(t)]
+        want[i] = (sum(b >= -7 * 86400 for b in before), sum(b >= -86400 for b in before), -max(before) if before else None)
+    assert got == want and out.columns == ["id", "k", "t", "a", "b", "since"]
+    if most == 2000:
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
