@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from functools import reduce
+
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -65,20 +67,25 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(n.crossJoin(F.broadcast(total)), F.col(label) == F.col("_l")).withColumn(out, F.col("_t") / (2 * F.col("_n"))).drop("_l", "_n", "_t")
 
 
-def with_probability(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def with_probability(model: Model, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])
 
 
 def fit_candidates(train: DataFrame, validation: DataFrame, stages: list, models: dict, label: str = "label") -> tuple[dict, DataFrame]:
-    """All fitted pipelines, and a table of their validation AUC with the best one marked (ties: by name)."""
-    train, validation = cut(train), cut(validation)
-    fitted, rows = {}, []
-    for name, model in models.items():
-        fitted[name] = Pipeline(stages=[*stages, model]).fit(train)
-        r = ranking_metrics(with_probability(fitted[name], validation), label, "p").first()
-        rows.append((name, r.auc if r else None))
-    best = min(rows, key=lambda r: (-(r[1] or 0), r[0]))[0]
-    return fitted, train.sparkSession.createDataFrame([(n, a, n == best) for n, a in rows], "model string, auc double, chosen boolean")
+    """All fitted pipelines, and a table of their validation AUC with the best one marked (ties: by name).
+
+    ``stages`` are fitted once and only what the models read is kept of their rows. The scores of all models are ranked together.
+    """
+    train = cut(train)
+    prepared = Pipeline(stages=stages).fit(train)
+    read = list(dict.fromkeys(m.getOrDefault(p) for m in models.values() for p in ("featuresCol", "labelCol", "weightCol") if m.hasParam(p) and m.isDefined(p)))
+    rows = cut(prepared.transform(train).select(*read))
+    fitted = {name: PipelineModel([*prepared.stages, model.fit(rows)]) for name, model in models.items()}
+    seen = cut(prepared.transform(validation).select(label, *[c for c in read if c in {m.getOrDefault("featuresCol") for m in models.values()} - {label}]))
+    scored = reduce(DataFrame.unionByName, [with_probability(f.stages[-1], seen).select(F.lit(name).alias("model"), label, "p") for name, f in fitted.items()])
+    auc = {r.model: r.auc for r in ranking_metrics(scored, label, "p", ["model"]).select("model", "auc").collect()}
+    best = min(models, key=lambda n: (-(auc.get(n) or 0), n))
+    return fitted, train.sparkSession.createDataFrame([(n, auc.get(n), n == best) for n in models], "model string, auc double, chosen boolean")
 
 
 def permuted(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:

@@ -96,3 +96,20 @@ def test_trailing_counts_equal_loops(spark, most):
     assert got == want and out.columns == ["id", "k", "t", "a", "b", "since"]
     if most == 2000:
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_share_their_stages(spark, monkeypatch):
+    """Stages are fitted once for all models and scores ranked once; both were done for every model."""
+    from pyspark.ml.feature import Imputer
+
+    calls, fit, rank = [], Imputer._fit, fe.ranking_metrics
+    monkeypatch.setattr(Imputer, "_fit", lambda self, df: calls.append("fit") or fit(self, df))
+    monkeypatch.setattr(fe, "ranking_metrics", lambda *a: calls.append("rank") or rank(*a))
+    rows = [(float(i % 7), "ab"[i % 2], float(i * 37 % 11 > 4), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, kind string, label double, weight double")
+    models = {k: v for k, v in fe.candidates(weight="weight").items() if k.startswith("logistic") or k == "forest_4_5"}
+    fitted, table = fe.fit_candidates(df, df, fe.preprocessing(["x"], ["kind"]), models)
+    assert calls == ["fit", "rank"]
+    got = {r.model: r.auc for r in table.collect()}
+    alone = {n: rank(fe.with_probability(m, df), "label", "p").first().auc for n, m in fitted.items()}  # whole pipelines, on raw rows
+    assert got == pytest.approx(alone) and set(got) == set(models)
