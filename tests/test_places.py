@@ -268,3 +268,17 @@ def test_parameter_sets_are_not_joined_back(spark):
     pairs = iv.where("end_ts is not null").selectExpr("id as pair", "id % 5 as cluster", "x_m as t_x", "y_m as t_y", "x_m + 6 as c_x", "y_m as c_y", "start_ts", "end_ts")
     e = ex.spec_effects(pairs, iv.selectExpr("x_m", "y_m", "start_ts as t"), {"base": (8, 3, 2), "wide": (15, 3, 5)}, "cluster")
     assert "Join" not in e._jdf.queryExecution().optimizedPlan().toString() and e.count() == pairs.count()
+
+
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_links_move_an_interval_few_times(spark, monkeypatch, few):
+    from duskline.operators import matching as mt
+
+    monkeypatch.setattr(mt, "NEAR_ROWS", few)
+    df, rows = timed(spark, 28, 120)
+    rows = [r for r in rows if r[0] % 23]
+    links = mt.link_pairs(df, 8)
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) <= 8 and a[3] <= b[4] and b[3] <= a[4])
+    # Few pairs of places go to the intervals; intervals were dealt out by place first, and once a day they are open.
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (few > 3) and "86400" not in plan and "/ 4" in plan
